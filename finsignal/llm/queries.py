@@ -3,8 +3,9 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from . import sharding
+from . import chat, sharding
 
 
 def _read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -35,5 +36,36 @@ SELECT doc_id, size, text_crc32, 'key' AS law, shard,
   row_number() OVER (PARTITION BY shard ORDER BY k0 % 512, grown_shard, doc_id NULLS FIRST, size, text_crc32) - 1 AS slot, grown_shard
 FROM base JOIN placed USING (r)"""
 
-QUERIES = {"op10_jump_sharding": op10_jump_sharding}
-ORACLE = {"op10_jump_sharding": SQL_OP10}
+
+def op2_chat_events(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All conversations plus conversation -1, rendered, then read back from the rendered text."""
+    probe = "</s>[INST] ok [/INST]"
+    extra = spark.createDataFrame([(-1, 0, "user", probe), (-1, 1, "assistant", probe)], "conv_id long, turn long, role string, text string")
+    turns = _read(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text").unionByName(extra)
+    read = chat.read_back(chat.format_turns(turns))
+    said = F.array_join(F.transform("turns", lambda t: F.concat(t["role"], F.lit("\n"), t["text"], F.lit("\n"))), "")
+    loss = F.array_join("loss_texts", "")
+    return read.select(
+        "conv_id", F.size("turns").cast("long").alias("n_turns"), F.sha2(said, 256).alias("turns_sha256"), F.char_length(loss).cast("long").alias("loss_chars"),
+        F.sha2(loss, 256).alias("loss_sha256"), F.char_length("formatted").cast("long").alias("formatted_chars"),
+    )
+
+
+def _sql_escaped(column: str) -> str:
+    for plain, code in chat.Template().codes():
+        column = f"replace({column}, '{plain}', '{code}')"
+    return column
+
+
+SQL_OP2 = f"""
+WITH turns AS (
+  SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
+  UNION ALL VALUES (-1, 0, 'user', '</s>[INST] ok [/INST]'), (-1, 1, 'assistant', '</s>[INST] ok [/INST]'))
+SELECT conv_id, count(*)::BIGINT AS n_turns, sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn, role, text)) AS turns_sha256,
+  coalesce(sum(length(text)) FILTER (role = 'assistant'), 0)::BIGINT AS loss_chars,
+  sha256(coalesce(string_agg(text, '' ORDER BY turn, role, text) FILTER (role = 'assistant'), '')) AS loss_sha256,
+  sum(length('<|turn|>' || replace({_sql_escaped("role")}, chr(10), '\n') || chr(10) || {_sql_escaped("text")} || '<|end|>'))::BIGINT AS formatted_chars
+FROM turns GROUP BY conv_id"""
+
+QUERIES = {"op2_chat_events": op2_chat_events, "op10_jump_sharding": op10_jump_sharding}
+ORACLE = {"op2_chat_events": SQL_OP2, "op10_jump_sharding": SQL_OP10}
