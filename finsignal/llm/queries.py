@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, sharding
+from . import chat, mixing, sharding
 
 
 def _read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -67,5 +67,37 @@ SELECT conv_id, count(*)::BIGINT AS n_turns, sha256(string_agg(role || chr(10) |
   sum(length('<|turn|>' || replace({_sql_escaped("role")}, chr(10), '\n') || chr(10) || {_sql_escaped("text")} || '<|end|>'))::BIGINT AS formatted_chars
 FROM turns GROUP BY conv_id"""
 
-QUERIES = {"op2_chat_events": op2_chat_events, "op10_jump_sharding": op10_jump_sharding}
-ORACLE = {"op2_chat_events": SQL_OP2, "op10_jump_sharding": SQL_OP10}
+def op1_raked_mixture(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document with its calibrated probability (6 decimals) and whether the sample holds it."""
+    return mixing.mix(_read(spark, sf_dir, "documents")).withColumn("probability", F.round("probability", 6))
+
+
+def _sql_op1(targets: mixing.Targets = mixing.Targets()) -> str:
+    topic = """CASE WHEN contains(t, 'password') OR contains(t, 'token = ') THEN 'secrets' WHEN contains(t, '@') OR contains(t, '+1 (') THEN 'contacts'
+      WHEN contains(t, 'License') OR contains(t, 'CC BY') THEN 'licences' WHEN contains(t, '###') OR contains(t, '$$$') THEN 'markup' ELSE 'prose' END"""
+    ctes = [
+        f"""facts AS MATERIALIZED (SELECT doc_id, coalesce(source, '(none)') AS source, coalesce(lang, '(none)') AS lang, {topic} AS topic,
+          len(regexp_extract_all(t, '[^ \\t\\n\\v\\f\\r]+'))::BIGINT AS tokens FROM (SELECT *, coalesce(text, '') AS t FROM documents))""",
+        "cells AS MATERIALIZED (SELECT source, lang, topic, sum(tokens)::DOUBLE AS tokens FROM facts GROUP BY ALL)",
+    ]
+    for dim in mixing.DIMS:
+        if dim in targets.weights:
+            whens = " ".join(f"WHEN {dim} = '{k}' THEN {v}" for k, v in targets.weights[dim].items())
+            raw = f"CASE {whens} ELSE share END"
+        else:
+            raw = f"pow(share, {targets.exponents.get(dim, 1.0)})"
+        ctes.append(f"v_{dim} AS MATERIALIZED (SELECT {dim}, CASE WHEN share > 0 THEN {raw} ELSE 0 END AS raw FROM (SELECT {dim}, sum(tokens) / (SELECT sum(tokens) FROM cells) AS share FROM cells GROUP BY {dim}))")
+        ctes.append(f"t_{dim} AS MATERIALIZED (SELECT {dim}, raw / (SELECT sum(raw) FROM v_{dim}) * (SELECT sum(tokens) FROM cells) AS g_{dim} FROM v_{dim})")
+    ctes.append("w0 AS MATERIALIZED (SELECT *, tokens AS w FROM cells JOIN t_source USING (source) JOIN t_lang USING (lang) JOIN t_topic USING (topic))")
+    steps = [dim for _ in range(targets.sweeps) for dim in mixing.DIMS]
+    for i, dim in enumerate(steps):
+        ctes.append(f"w{i + 1} AS MATERIALIZED (SELECT * REPLACE (CASE WHEN sum(w) OVER (PARTITION BY {dim}) > 0 THEN w * g_{dim} / sum(w) OVER (PARTITION BY {dim}) ELSE 0 END AS w) FROM w{i})")
+    ctes.append(f"rates AS MATERIALIZED (SELECT source, lang, topic, r / max(r) OVER () AS rate FROM (SELECT *, CASE WHEN tokens > 0 THEN w / tokens ELSE 0 END AS r FROM w{len(steps)}))")
+    draw = f"('0x' || substr(md5('{targets.seed}:' || coalesce(doc_id::VARCHAR, '')), 1, 13))::BIGINT::DOUBLE / 4503599627370496"
+    return f"""WITH {", ".join(ctes)}
+    SELECT doc_id, source, lang, topic, tokens, round(p, 6) AS probability, {draw} < p AS selected
+    FROM (SELECT *, CASE WHEN tokens = 0 THEN 1.0 ELSE rate END::DOUBLE AS p FROM facts JOIN rates USING (source, lang, topic))"""
+
+
+QUERIES = {"op1_raked_mixture": op1_raked_mixture, "op2_chat_events": op2_chat_events, "op10_jump_sharding": op10_jump_sharding}
+ORACLE = {"op1_raked_mixture": _sql_op1(), "op2_chat_events": SQL_OP2, "op10_jump_sharding": SQL_OP10}
