@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, mixing, sharding, simhash
+from . import chat, exact_topk, mixing, sharding, simhash
 
 
 def _read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -20,6 +20,17 @@ def op5_simhash_popcount(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(_read(spark, sf_dir, "documents"))
 
 
+def op8_kdtree_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return exact_topk.top_k(_read(spark, sf_dir, "embeddings"))
+
+
+SQL_OP8 = """
+WITH v AS (SELECT vec_id, list_transform(embedding, lambda x: floor(64 * x::DOUBLE)) AS q FROM embeddings
+  WHERE embedding IS NOT NULL AND list_bool_and(list_transform(embedding, lambda x: coalesce(isfinite(x), false)))),
+s AS (SELECT a.vec_id AS query_id, b.vec_id, list_dot_product(a.q, b.q)::BIGINT AS score FROM v a, v b WHERE a.vec_id % 20 = 0 AND a.vec_id <> b.vec_id)
+SELECT query_id, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id)::INTEGER AS rank, vec_id, score FROM s QUALIFY rank <= 20"""
+
+
 #: CRC-32 bit by bit over the bytes; DuckDB has no function for it.
 _CRC = """xor(4294967295, list_reduce(list_prepend(4294967295::BIGINT, list_transform(regexp_extract_all(hex(encode(coalesce(text, ''))), '..'),
   lambda h: ('0x' || h)::BIGINT)), lambda c, b: xor(c >> 8, list_reduce([xor(c, b) & 255, 1, 2, 3, 4, 5, 6, 7, 8],
@@ -103,5 +114,5 @@ def _sql_op1(targets: mixing.Targets = mixing.Targets()) -> str:
     FROM (SELECT *, CASE WHEN tokens = 0 THEN 1.0 ELSE rate END::DOUBLE AS p FROM facts JOIN rates USING (source, lang, topic))"""
 
 
-QUERIES = {"op5_simhash_popcount": op5_simhash_popcount, "op1_raked_mixture": op1_raked_mixture, "op2_chat_events": op2_chat_events, "op10_jump_sharding": op10_jump_sharding}
-ORACLE = {"op1_raked_mixture": _sql_op1(), "op2_chat_events": SQL_OP2, "op10_jump_sharding": SQL_OP10}
+QUERIES = {"op8_kdtree_topk": op8_kdtree_topk, "op5_simhash_popcount": op5_simhash_popcount, "op1_raked_mixture": op1_raked_mixture, "op2_chat_events": op2_chat_events, "op10_jump_sharding": op10_jump_sharding}
+ORACLE = {"op8_kdtree_topk": SQL_OP8, "op1_raked_mixture": _sql_op1(), "op2_chat_events": SQL_OP2, "op10_jump_sharding": SQL_OP10}
