@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, exact_topk, mixing, sharding, simhash
+from . import ann, chat, exact_topk, mixing, sharding, simhash
 
 
 def _read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -20,6 +20,10 @@ def op5_simhash_popcount(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(_read(spark, sf_dir, "documents"))
 
 
+def op3_kmeans_tree_ann(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ann.neighbours(_read(spark, sf_dir, "embeddings"))
+
+
 def op8_kdtree_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_topk.top_k(_read(spark, sf_dir, "embeddings"))
 
@@ -114,5 +118,5 @@ def _sql_op1(targets: mixing.Targets = mixing.Targets()) -> str:
     FROM (SELECT *, CASE WHEN tokens = 0 THEN 1.0 ELSE rate END::DOUBLE AS p FROM facts JOIN rates USING (source, lang, topic))"""
 
 
-QUERIES = {"op8_kdtree_topk": op8_kdtree_topk, "op5_simhash_popcount": op5_simhash_popcount, "op1_raked_mixture": op1_raked_mixture, "op2_chat_events": op2_chat_events, "op10_jump_sharding": op10_jump_sharding}
+QUERIES = {"op3_kmeans_tree_ann": op3_kmeans_tree_ann, "op8_kdtree_topk": op8_kdtree_topk, "op5_simhash_popcount": op5_simhash_popcount, "op1_raked_mixture": op1_raked_mixture, "op2_chat_events": op2_chat_events, "op10_jump_sharding": op10_jump_sharding}
 ORACLE = {"op8_kdtree_topk": SQL_OP8, "op1_raked_mixture": _sql_op1(), "op2_chat_events": SQL_OP2, "op10_jump_sharding": SQL_OP10}
