@@ -165,13 +165,12 @@ def neighbours(embeddings: DataFrame, k: int = 20, every: int = 20, recall: floa
         sample = rows.limit(1).select("vec").toArrow()
     points = matrix(sample["vec"])
     tree = fit_tree(points, max(8.0, LEAF_ROWS * len(points) / n))
-    n_leaves = len(tree.leaves())
-    shared = spark.sparkContext.broadcast(tree)  # bounded by the sample
+    n_leaves = len(tree.leaves())  # the tree goes along with the tasks: bounded by the sample
 
     def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             if batch.num_rows:
-                leaf = nearest_leaf(shared.value, matrix(batch.column("vec")))
+                leaf = nearest_leaf(tree, matrix(batch.column("vec")))
                 yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(leaf.astype(np.int32))], ["vec_id", "vec", "leaf"])
 
     placed = write_table(rows.mapInArrow(place, "vec_id long, vec array<double>, leaf int"), "leaves")
@@ -182,7 +181,7 @@ def neighbours(embeddings: DataFrame, k: int = 20, every: int = 20, recall: floa
         def order(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for batch in batches:
                 if batch.num_rows:
-                    lists = visit_order(shared.value, matrix(batch.column("vec")), visits)
+                    lists = visit_order(tree, matrix(batch.column("vec")), visits)
                     yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(lists, pa.list_(pa.int32()))], ["query_id", "query", "visit"])
 
         listed = which.select("vec_id", "vec").mapInArrow(order, "query_id long, query array<double>, visit array<int>")

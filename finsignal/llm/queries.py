@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import ann, chat, exact_topk, mixing, sharding, simhash
+from . import ann, chat, exact_topk, mixing, sharding, simhash, toxicity
 
 
 def _read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -35,6 +35,11 @@ s AS (SELECT a.vec_id AS query_id, b.vec_id, list_dot_product(a.q, b.q)::BIGINT
 SELECT query_id, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id)::INTEGER AS rank, vec_id, score FROM s QUALIFY rank <= 20"""
 
 
+def op9_crf_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    documents = _read(spark, sf_dir, "documents")
+    return toxicity.score(documents, toxicity.train(documents, _read(spark, sf_dir, "labels")))
+
+
 #: CRC-32 bit by bit over the bytes; DuckDB has no function for it.
 _CRC = """xor(4294967295, list_reduce(list_prepend(4294967295::BIGINT, list_transform(regexp_extract_all(hex(encode(coalesce(text, ''))), '..'),
   lambda h: ('0x' || h)::BIGINT)), lambda c, b: xor(c >> 8, list_reduce([xor(c, b) & 255, 1, 2, 3, 4, 5, 6, 7, 8],
@@ -118,5 +123,5 @@ def _sql_op1(targets: mixing.Targets = mixing.Targets()) -> str:
     FROM (SELECT *, CASE WHEN tokens = 0 THEN 1.0 ELSE rate END::DOUBLE AS p FROM facts JOIN rates USING (source, lang, topic))"""
 
 
-QUERIES = {"op3_kmeans_tree_ann": op3_kmeans_tree_ann, "op8_kdtree_topk": op8_kdtree_topk, "op5_simhash_popcount": op5_simhash_popcount, "op1_raked_mixture": op1_raked_mixture, "op2_chat_events": op2_chat_events, "op10_jump_sharding": op10_jump_sharding}
+QUERIES = {"op9_crf_toxicity": op9_crf_toxicity, "op3_kmeans_tree_ann": op3_kmeans_tree_ann, "op8_kdtree_topk": op8_kdtree_topk, "op5_simhash_popcount": op5_simhash_popcount, "op1_raked_mixture": op1_raked_mixture, "op2_chat_events": op2_chat_events, "op10_jump_sharding": op10_jump_sharding}
 ORACLE = {"op8_kdtree_topk": SQL_OP8, "op1_raked_mixture": _sql_op1(), "op2_chat_events": SQL_OP2, "op10_jump_sharding": SQL_OP10}
