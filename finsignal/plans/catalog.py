@@ -2,5 +2,10 @@
 
 from __future__ import annotations
 
+from . import news
+
 QUERIES: dict = {}
 ORACLE: dict[str, str] = {}
+for _part in (news,):
+    QUERIES.update(_part.QUERIES)
+    ORACLE.update(_part.ORACLE)
