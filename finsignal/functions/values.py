@@ -58,7 +58,7 @@ def parse_timestamp_iso(c: Column, fallback: Column | None = None) -> Column:
     """ISO text; without an offset it is Nairobi time; null or `fallback` when unreadable."""
     has_zone = c.rlike(r"(Z|[+-]\d{2}:?\d{2})$")
     value = F.try_to_timestamp(c)
-    return F.coalesce(F.when(has_zone, value).otherwise(local_to_instant(value)), fallback or F.lit(None).cast("timestamp"))
+    return F.coalesce(F.when(has_zone, value).otherwise(local_to_instant(value)), F.lit(None).cast("timestamp") if fallback is None else fallback)
 
 
 def parse_feed_date(published: Column, updated: Column) -> Column:
