@@ -1,0 +1,246 @@
+import hashlib
+import random
+
+import numpy as np
+import pytest
+import xxhash
+from conftest import EDGE
+
+from finsignal.llm import pii, repeats, simhash, spiece, toxicity
+from finsignal.llm.components import components
+
+
+def plain_fingerprint(text):
+    words = [w for w in __import__("re").split(r"[\x20\x09-\x0D]+", "".join(c.lower() if "A" <= c <= "Z" else c for c in text or "")) if w]
+    parts = [" ".join(words[i : i + 4]) for i in range(len(words) - 3)] or ([" ".join(words)] if words else [])
+    h = [xxhash.xxh64_intdigest(p.encode(), 42) for p in parts]
+    return sum(1 << b for b in range(64) if sum(x >> b & 1 for x in h) * 2 > len(h)) if h else 0
+
+
+def test_fingerprint(monkeypatch):
+    monkeypatch.setattr(simhash, "BLOCK_BYTES", 64)
+    monkeypatch.setattr(simhash, "BLOCK_SHINGLES", 3)
+    rng = random.Random(1)
+    for n in (0, 1, 3, 4, 5, 50, 300):
+        t = " ".join(rng.choice(["Ab", "É", "c\td", "x", "zz"]) for _ in range(n))
+        assert simhash.fingerprint(t) == plain_fingerprint(t)
+    assert simhash.fingerprint(None) == 0
+
+
+def groups(fp, ids, bits):
+    root = list(range(len(fp)))
+    for _ in fp:
+        for i in range(len(fp)):
+            for j in range(len(fp)):
+                if bin(fp[i] ^ fp[j]).count("1") <= bits:
+                    root[i] = root[j] = min(root[i], root[j])
+    out = {}
+    for r, i in zip(root, ids):
+        if i is not None:
+            out[r] = min(out.get(r, i), i)
+    return [out.get(r) for r in root]
+
+
+@pytest.mark.parametrize("small", [12, 2])
+def test_links(spark, monkeypatch, small):
+    """Chains and a dense group of fingerprints against all pairs, through both ways of searching a cell."""
+    monkeypatch.setattr(simhash, "SMALL_CELL", small)
+    rng = random.Random(2)
+    fp = [rng.getrandbits(64) for _ in range(40)]
+    for base in fp[:6]:
+        x = base
+        for _ in range(6):
+            x ^= sum(1 << b for b in rng.sample(range(64), rng.choice([1, 3, 4, 5])))
+            fp.append(x)
+    fp = sorted(set(fp + [fp[0] ^ 1 << b for b in range(64)]))
+    rows = spark.createDataFrame([(simhash._signed(x),) for x in fp], "fp long")
+    links = simhash.near_links(rows)
+    assert all(bin((r["u"] ^ r["v"]) & (1 << 64) - 1).count("1") <= 4 for r in links.collect())
+    root = {r["u"]: r["root"] for r in components(links).collect()}
+    want = groups(fp, fp, 4)
+    for i, x in enumerate(fp):
+        for j, y in enumerate(fp):
+            same = root.get(simhash._signed(x), simhash._signed(x)) == root.get(simhash._signed(y), simhash._signed(y))
+            assert same == (want[i] == want[j])
+
+
+def test_near_duplicates_edges(spark, docs_of):
+    got = simhash.near_duplicates(docs_of(EDGE)).collect()
+    assert len(got) == len(EDGE)
+    by_id = {r["doc_id"]: r for r in got}
+    assert by_id[0]["component_id"] == by_id[3]["component_id"] == 0 and by_id[0]["fingerprint"] == f"{plain_fingerprint(EDGE[0][1]):016x}"
+    assert by_id[1]["component_id"] == by_id[2]["component_id"] == by_id[5]["component_id"] == 1 and by_id[1]["fingerprint"] == "0" * 16
+    assert simhash.near_duplicates(docs_of([])).count() == 0
+
+
+def test_keep_first(spark, docs_of):
+    rng = random.Random(3)
+    base = [f"w{rng.randrange(10**6)}" for _ in range(300)]
+    near = base[:150] + ["changed"] + base[151:]
+    other = [f"v{rng.randrange(10**6)}" for _ in range(300)]
+    rows = [(10, " ".join(base)), (11, " ".join(near)), (12, " ".join(other)), (12, " ".join(other)), (None, "n"), (13, " ".join(base))]
+    df = docs_of(rows)
+    kept = simhash.keep_first(df)
+    assert sorted(str(r["doc_id"]) for r in kept.collect()) == ["10", "12", "None"] and kept.columns == df.columns
+    assert simhash.keep_first(docs_of([])).count() == 0
+
+
+def brute_repeats(rows):
+    data = [(t or "").encode() for _, t in rows]
+    seen = {}
+    for b in data:
+        for i in range(len(b) - 199):
+            seen[b[i : i + 200]] = seen.get(b[i : i + 200], 0) + 1
+    out = []
+    for (i, _), b in zip(rows, data):
+        gone = np.zeros(len(b) + 1, dtype=int)
+        for k in range(len(b) - 199):
+            if seen[b[k : k + 200]] > 1:
+                gone[k : k + 200] = 1
+        runs = int((np.diff(np.concatenate(([0], gone))) == 1).sum())
+        kept = bytes(c for c, g in zip(b, gone) if not g)
+        out.append((i, len(b), int(gone.sum()), runs, hashlib.sha256(kept).hexdigest()))
+    return sorted(out, key=str)
+
+
+@pytest.mark.parametrize("piece", [1 << 17, 700])
+def test_repeats(spark, docs_of, monkeypatch, piece):
+    monkeypatch.setattr(repeats, "PIECE", piece)
+    rng = random.Random(4)
+    text = lambda n: "".join(rng.choice("abcdé ") for _ in range(n))
+    p, q, r = text(260), text(199), text(520)
+    rows = [(1, text(300) + p + text(50)), (2, p + text(400)), (3, q + text(9)), (4, q), (5, r + text(100) + r), (6, text(40) + r[:330]), (7, "a" * 450), (8, "ab" * 150 + "c"), (9, None), (10, ""), (11, r), (11, r), (None, p), (12, r[100:420] + text(3)), (13, text(200)), (14, "a" * 199 + "b")]
+    got = sorted((tuple(x) for x in repeats.remove_repeats(docs_of(rows)).collect()), key=str)
+    assert got == brute_repeats(rows)
+    assert repeats.remove_repeats(docs_of([])).count() == 0
+
+
+def test_pii(spark, docs_of):
+    text = "é mail ann@x.example.org, ip 10.0.0.7 and 300.1.1.1 card 4111 1111 1111 1111 or 4111111111111112 call +1 (415) 555-0134."
+    rows = EDGE + [(50, text), (51, "password=a9ce335683f9772ddc ok"), (52, "In 1998 about 25 of 1,250 took version 3.")]
+    got = {r["doc_id"]: r for r in pii.find(docs_of(rows)).collect() if r["doc_id"] != 3}
+    r = got[50]
+    assert (r["n_email"], r["n_ip"], r["n_card"], r["n_phone"]) == (1, 1, 1, 1)
+    spans = [s.split(":") for s in r["spans"].split(",")]
+    want = {"email": "ann@x.example.org", "ip": "10.0.0.7", "card": "4111 1111 1111 1111", "phone": "+1 (415) 555-0134"}
+    assert {k: text[int(a) : int(b)] for k, a, b in spans} == want
+    assert r["base_sha256"] == hashlib.sha256(r["spans"].encode()).hexdigest()
+    assert got[51]["spans"].startswith("secret:") and got[52]["spans"] == "" and got[1]["spans"] == ""
+    masked = {r["doc_id"]: r for r in pii.mask(docs_of(rows)).collect()}
+    assert "ann@" not in masked[50]["text"] and "<EMAIL>" in masked[50]["text"] and masked[50]["n_chars"] == len(masked[50]["text"])
+    assert masked[1]["text"] is None and masked[0]["text"] == EDGE[0][1]
+    assert pii.find(docs_of([])).count() == 0
+
+
+def test_field_labels_its_own_table():
+    field = pii.train()
+    hits = total = 0
+    for line in pii.parse_labelled():
+        text, at = "", []
+        for w, k in line:
+            at.append((len(text), len(text) + len(w), k))
+            text += w + " "
+        spans = pii.find_spans(field, [text])[0][1]
+        for a, b, k in at:
+            if k != "o":
+                total += 1
+                hits += any(s < b and a < e for _, s, e in spans)
+    assert hits >= 0.95 * total
+
+
+def test_viterbi_is_the_best_path():
+    rng = np.random.default_rng(6)
+    field = pii.Field({str(i): i for i in range(20)}, rng.normal(size=(21, 6)), rng.normal(size=(6, 6)))
+    runs = [[rng.integers(0, 21, 4).tolist() for _ in range(n)] for n in (1, 2, 4, 3)]
+    import itertools
+
+    for run, path in zip(runs, pii.viterbi(field, runs)):
+        score = lambda ys: sum(field.weights[x].sum(axis=0)[y] for x, y in zip(run, ys)) + sum(field.moves[a, b] for a, b in zip(ys, ys[1:]))  # noqa: E731, B023
+        assert score(path) == pytest.approx(max(map(score, itertools.product(range(6), repeat=len(run)))))
+
+
+def test_toxicity(spark, docs_of):
+    rng = random.Random(5)
+    vocabulary = ["".join(rng.choice("etaoinsr") for _ in range(rng.randrange(3, 9))) for _ in range(400)]
+    make = lambda bad: " ".join(rng.choice(["vilething", "nastyword"]) if bad and rng.random() < 0.05 else rng.choice(vocabulary) for _ in range(120))
+    rows = [(i, make(i % 4 == 0)) for i in range(400)] + [(900, None), (901, ""), (None, "vilething")]
+    docs = docs_of(rows)
+    labels = spark.createDataFrame([(i, 0, int(i % 4 == 0)) for i in range(400)] + [(5, 1, 0), (None, 0, 1), (7, 0, None)], "doc_id long, quality int, toxic int")
+    chain = toxicity.train(docs, labels)
+    got = {r["doc_id"]: r for r in toxicity.score(docs, chain).collect()}
+    held = [r for i, r in got.items() if i is not None and i < 400 and r["held_out"]]
+    assert len(held) > 40 and np.mean([r["predicted"] == int(r["doc_id"] % 4 == 0) for r in held]) > 0.95
+    assert got[900]["score"] == got[901]["score"] < 0.5
+    text = dict(rows)[0]
+    for span in got[0]["spans"].split(","):
+        a, b = map(int, span.split(":"))
+        assert {*text[a:b].split()} <= {"vilething", "nastyword"}
+    kept = toxicity.drop_toxic(docs, chain)
+    assert kept.columns == docs.columns and kept.count() == sum(r["predicted"] == 0 for r in got.values())
+    assert toxicity.score(docs_of([]), chain).count() == 0
+    assert {r["score"] for r in toxicity.score(docs, toxicity.train(docs, labels.limit(0))).collect()} == {0.0}
+
+
+def test_marginals_sum_over_paths():
+    chain = toxicity.Chain(np.zeros(toxicity.BUCKETS), 0.0, np.array([[0.3, -1.0], [0.2, 0.8]]), (0.0, 1.0, 1.0))
+    emissions = [0.5, -2.0, 1.5, 0.1]
+    import itertools
+
+    weight = {ys: np.exp(sum(e * y for e, y in zip(emissions, ys)) + sum(chain.moves[a, b] for a, b in zip(ys, ys[1:]))) for ys in itertools.product((0, 1), repeat=4)}
+    want = [sum(w for ys, w in weight.items() if ys[i]) / sum(weight.values()) for i in range(4)]
+    assert chain.marginals(emissions) == pytest.approx(want)
+
+
+@pytest.fixture(scope="module")
+def model():
+    import os
+
+    if not os.path.exists(spiece.MODEL):
+        pytest.skip("no tokenizer file here")
+    return spiece.load_model()
+
+
+def test_sentencepiece_equals_the_library(model):
+    import sentencepiece
+
+    lib, enc, table = sentencepiece.SentencePieceProcessor(model_file=spiece.MODEL), spiece.Encoder(model), spiece.decoder_table(model)
+    rng = random.Random(7)
+    texts = ["", " ", "  a", "a\x00b\n\n", "x" * 3000, "Hello  world\tfooé 日本語 😀 ", "if (a==b) { return 'c'; }\r\n"]
+    texts += ["".join(rng.choice("abcdeeett  \n\té日本😀aan0123.,'()\r") for _ in range(rng.randrange(1, 80))) for _ in range(400)]
+    for t in texts:
+        ids = enc.encode(t).tolist()
+        assert ids == lib.encode(t), t
+        assert spiece.decode_ids(ids, table) == t
+    assert spiece.decode_ids(enc.encode("a▁ b▁").tolist(), table) == "a▁ b▁"
+
+
+def test_streaming_window(model, monkeypatch):
+    enc = spiece.Encoder(model)
+    text = spiece.SPACE + "internationalisation" * 200
+    whole = [i for part in enc.stream(text) for i in part]
+    monkeypatch.setattr(spiece, "COMMIT_EVERY", 20)
+    parts = list(enc.stream(text))
+    assert len(parts) > 50 and [i for part in parts for i in part] == whole
+
+
+def test_encode_frame(spark, docs_of, model):
+    got = spiece.encode(docs_of(EDGE))
+    rows = got.collect()
+    assert len(rows) == len(EDGE) and all(r["exact"] and r["n_tokens"] == len(r["ids"]) for r in rows)
+    back = {r["doc_id"]: r["text"] for r in spiece.decode(got).collect()}
+    texts = dict(EDGE)
+    assert back[6] == texts[6] and back[1] == "" and back[4] == texts[4]
+    assert spiece.encode(docs_of([])).count() == 0
+
+
+def test_pipeline_stages(spark, sf_dir):
+    import corpus_pipeline
+
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    columns, before = docs.columns, docs.count()
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        docs = corpus_pipeline.write_table(stage(spark, docs, sf_dir), name)
+        assert docs.columns == columns and 0 < docs.count() <= before
+        before = docs.count()
+    last = corpus_pipeline.STAGES[-1][1](spark, docs, sf_dir)
+    assert last.count() == before and last.where("not exact").count() == 0
