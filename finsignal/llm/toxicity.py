@@ -233,13 +233,19 @@ def held_out(doc_id: Column) -> Column:
 
 
 def training_rows(documents: DataFrame, labels: DataFrame, bounds: tuple[int, int], max_bytes: int) -> tuple[list[str], list[bool]]:
-    """At most bounds = (toxic, clean) labelled texts, of at most max_bytes, chosen by hash; never held-out rows."""
+    """At most bounds = (toxic, clean) labelled texts, of at most max_bytes, chosen by hash; never held-out rows.
+
+    The ids are chosen from the labels alone; the texts then come by a broadcast of those ids, without a shuffle.
+    """
     known = labels.where(F.col("toxic").isin(0, 1)).groupBy("doc_id").agg(F.max("toxic").alias("_fs_toxic"))
-    known = known.where(~held_out(F.col("doc_id")))
-    pool = documents.select("doc_id", "text").where(F.col("text").isNotNull() & (F.octet_length("text") <= max_bytes)).join(known, "doc_id")
+    known = known.where(F.col("doc_id").isNotNull() & ~held_out(F.col("doc_id")))
     order = F.xxhash64("doc_id", F.lit("toxicity"))
-    rows = [pool.where(F.col("_fs_toxic") == c).orderBy(order, "doc_id", "text").limit(n).select("text", "_fs_toxic").collect() for c, n in zip((1, 0), bounds)]
-    return [r[0] for part in rows for r in part], [bool(r[1]) for part in rows for r in part]
+    chosen = [known.where(F.col("_fs_toxic") == c).orderBy(order, "doc_id").limit(n) for c, n in zip((1, 0), bounds)]
+    pool = documents.select("doc_id", "text").where(F.col("text").isNotNull() & (F.octet_length("text") <= max_bytes))
+    ids = chosen[0].unionByName(chosen[1])
+    rows = pool.join(F.broadcast(ids), "doc_id").select("doc_id", "text", "_fs_toxic").collect()  # sum(bounds) rows
+    rows.sort(key=lambda r: (r[0], r[1]))
+    return [r[1] for r in rows], [bool(r[2]) for r in rows]
 
 
 def train(documents: DataFrame, labels: DataFrame, bounds: tuple[int, int] = (1500, 3500), max_bytes: int = 16_000) -> Chain | None:
