@@ -17,13 +17,17 @@ PLACEHOLDERS = (
 REDIRECT = r"(?i)https?://(?:www\.)?google\.[a-z.]+/url\?"
 
 
+# Characters with the Unicode White_Space property.
+SPACES = "\t\n\x0b\x0c\r \x85\xa0\u1680\u2000\u2001\u2002\u2003\u2004\u2005\u2006\u2007\u2008\u2009\u200a\u2028\u2029\u202f\u205f\u3000"
+
+
 def _invisible_out(c: Column) -> Column:
     return F.translate(F.translate(c, NBSP, " "), ZERO_WIDTH, "")
 
 
 def strip(c: Column) -> Column:
-    """Whitespace of any kind off both ends (trim() knows spaces only)."""
-    return F.regexp_replace(c, r"(?U)^\s+|\s+$", "")
+    """Whitespace of any kind off both ends (trim() alone knows spaces only); no regular expression over the text."""
+    return F.btrim(c, F.lit(SPACES))
 
 
 def clean_text(c: Column) -> Column:
@@ -38,7 +42,7 @@ def clean_or_null(c: Column) -> Column:
 
 def truncate(c: Column, width: int) -> Column:
     """Longer texts are cut at width and right-stripped."""
-    return F.when(F.char_length(c) > width, F.regexp_replace(F.substring(c, 1, width), r"(?U)\s+$", "")).otherwise(c)
+    return F.when(F.char_length(c) > width, F.rtrim(F.substring(c, 1, width), F.lit(SPACES))).otherwise(c)
 
 
 def strip_html(c: Column) -> Column:

@@ -16,7 +16,7 @@ def _quoted(word: str) -> str:
 def extract_keywords(text: Column, d: Dictionary = Dictionary()) -> Column:
     """Sorted distinct keywords of a text: single words on word boundaries, phrases as substrings, without case."""
     low = F.lower(F.coalesce(text, F.lit("")))
-    hits = [F.when(low.contains(k) if " " in k else low.rlike(rf"(?U)\b{_quoted(k)}\b"), F.lit(k)) for k in d.distinct()]
+    hits = [F.when(low.contains(k) if " " in k else low.contains(k) & low.rlike(rf"(?U)\b{_quoted(k)}\b"), F.lit(k)) for k in d.distinct()]
     return F.filter(F.array(*hits), lambda x: x.isNotNull())
 
 

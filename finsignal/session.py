@@ -18,7 +18,7 @@ def build_session(app: str = "finsignal", master: str | None = None, **conf: str
     builder = SparkSession.builder.appName(app)
     if master:
         builder = builder.master(master)
-    named = {"spark_sql_shuffle_partitions": "spark.sql.shuffle.partitions", "spark_sql_warehouse_dir": "spark.sql.warehouse.dir"}
+    named = {"spark_sql_shuffle_partitions": "spark.sql.shuffle.partitions", "spark_sql_warehouse_dir": "spark.sql.warehouse.dir", "spark_ui_showConsoleProgress": "spark.ui.showConsoleProgress"}
     for key, value in (DEFAULTS | {named.get(k, k.replace("_", ".")): v for k, v in conf.items()}).items():
         builder = builder.config(key, value)
     return builder.getOrCreate()
