@@ -115,6 +115,27 @@ def fuzzy_match(titles: DataFrame, title: str, tie: str, targets: list[str], cut
     return scored.groupBy("target").agg(F.max_by(F.struct(F.col(title).alias("title"), "similarity"), F.struct("similarity", -F.col("_tie"))).alias("_b")).select("target", "_b.*")
 
 
+def select_table(lines: DataFrame, tables: DataFrame, targets: list[str], weights: dict[str, int], offset: int = 0, least: dict[str, int] | None = None) -> DataFrame:
+    """The table each target is read from, by document: the contents entry most like the target, the pages around it,
+    the weighted keyword score of their tables, the best one (the first on ties).
+
+    lines: doc_id, line_no, line. tables: doc_id, page, table_idx, row_idx, cells. least: terms of which that many must
+    occur in a table, as {term: 1, ...} with the number under ''.
+    """
+    entries = parse_toc(lines)
+    matched = fuzzy_match(entries.withColumnRenamed("line_no", "_tie"), "title", "_tie", targets)
+    wanted = entries.join(F.broadcast(matched.select("target", "title")), "title").select("doc_id", "target", "title", "page")  # a row a target
+    around = candidate_pages(wanted.withColumn("title", F.col("target")), tables.select("doc_id", "page"), offset)
+    keys = ["doc_id", "page", "table_idx"]
+    scored = table_score(tables, keys, weights)
+    if least:
+        terms = [t for t in least if t]
+        found = tables.groupBy(*keys).agg(*[F.max(F.lower(F.concat_ws(" ", "cells")).contains(t).cast("int")).alias(f"_h{i}") for i, t in enumerate(terms)])
+        enough = sum((F.col(f"_h{i}") for i in range(len(terms))), F.lit(0)) >= least.get("", len(terms))
+        scored = scored.join(found.where(enough).select(*keys), keys, "left_semi")
+    return best_candidate(scored.join(around, ["doc_id", "page"]), ["doc_id", "title"], "score", ["page", "table_idx"]).withColumnRenamed("title", "target")
+
+
 def alias_match(df: DataFrame, name: str, aliases: DataFrame) -> DataFrame:
     """Currency code of a name: an exact alias first, else the first alias contained in it. aliases: a fixed short list."""
     key = F.upper(strip(F.col(name)))

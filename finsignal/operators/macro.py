@@ -5,7 +5,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.rules import envelope_ok
 from ..functions.text import all_of
+from ..functions.values import map_fields, normalize_month, normalize_year, period as period_of
 from .paging import between
 from .upsert import action_counts, fill_null_upsert
 
@@ -97,6 +99,31 @@ def refresh_all(existing: DataFrame, frames: dict[str, DataFrame], keys: list[st
     return fill_null_upsert(existing, pivot_sources(frames, keys, columns), keys, every)
 
 
+def refresh_indicator(existing: DataFrame, records: DataFrame, fields: dict[str, str], trend: dict[str, str], scope: str = "all") -> DataFrame:
+    """One indicator's raw records (strings: month, year and source fields) into the table.
+
+    Months and years are normalised, unusable months dropped, fields renamed and parsed, nulls filled or rows inserted,
+    and month-over-month trends added (column -> trend column) for all rows or, with scope 'changed', only for inserted
+    and updated ones. Adds action and period.
+    """
+    if scope not in ("all", "changed"):
+        raise ValueError("scope is all or changed")
+    columns = map_fields(fields, records.columns)
+    clean = records.select(normalize_month(F.col("month")).alias("month"), normalize_year(F.col("year")).alias("year"), *[c.alias(n) for n, c in columns.items()]).where("month is not null")
+    first = [F.col(c).asc_nulls_last() for c in columns]
+    state = fill_null_upsert(existing, clean, ["month", "year"], list(columns), first).withColumn("period", period_of(F.col("month"), F.col("year")))
+    for column, name in trend.items():
+        state = previous_period(state, "period", column, name)
+        if scope == "changed":
+            state = state.withColumn(name, F.when(F.col("action").isin("inserted", "updated"), F.col(name)))
+    return state
+
+
+def records_of(envelopes: DataFrame) -> DataFrame:
+    """Records of successful extractor envelopes; others give none."""
+    return envelopes.where(envelope_ok(envelopes.columns)).select("table_name", "report_date", "source_url", F.inline("data"))
+
+
 def refresh_counts(existing: DataFrame, frames: dict[str, DataFrame], keys: list[str], columns: dict[str, list[str]]) -> DataFrame:
     """Counters of each source on its own, against the table before the refresh."""
     out = None

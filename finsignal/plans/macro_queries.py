@@ -119,6 +119,15 @@ def refresh_pivot(spark, sf):
     return M.refresh_all(_stored(spark, sf), _frames(spark, sf), ["month", "year"], INDICATORS)
 
 
+def refresh_indicator(spark, sf):
+    """One indicator from raw strings: upper-case months, thousands commas, blanks; trends over the new state."""
+    m = months(spark, sf)
+    raw = F.when(F.col("fuel_price").isNull(), " ").otherwise(F.format_number("fuel_price", 1))
+    records = m.select(F.upper(F.when(F.month("period") % 6 == 5, "Foo").otherwise(F.col("month"))).alias("month"), F.concat(F.lit(" "), "year").alias("year"), raw.alias("diesel_price"))
+    stored = _stored(spark, sf).select("month", "year", F.when(F.month("period") % 4 == 0, F.col("fuel_price")).alias("fuel_price"))
+    return M.refresh_indicator(stored, records, {"diesel_price": "fuel_price"}, {"fuel_price": "fuel_trend"})
+
+
 def refresh_counts(spark, sf):
     return M.refresh_counts(_stored(spark, sf), _frames(spark, sf), ["month", "year"], INDICATORS)
 
@@ -176,7 +185,7 @@ _G = f"WITH {_M}, g AS (SELECT * FROM m WHERE month(period) % 5 <> 0)"
 
 QUERIES = {f.__name__: f for f in (
     macro_stats, macro_stats_long, macro_stats_year, macro_summary, macro_compare_months, macro_compare_years, macro_compare_periods, macro_search, macro_last_n, macro_history, macro_latest_year, macro_month,
-    macro_trend_join, macro_trend_lag, upsert_state, upsert_actions, refresh_pivot, refresh_counts, refresh_rollup, update_by_key, insert_strict, semi_ids,
+    macro_trend_join, macro_trend_lag, upsert_state, upsert_actions, refresh_pivot, refresh_indicator, refresh_counts, refresh_rollup, update_by_key, insert_strict, semi_ids,
 )}
 _P1, _P2 = "period BETWEEN DATE '1995-01-01' AND DATE '1996-06-01'", "period BETWEEN DATE '1998-02-01' AND DATE '1999-12-01'"
 ORACLE = {
@@ -197,6 +206,8 @@ ORACLE = {
     "upsert_state": f"WITH {_M}, {_IN} {_upsert('i', COLUMNS)}",
     "upsert_actions": f"WITH {_M}, {_IN} SELECT {_ACTIONS} FROM ({_upsert('i', COLUMNS)})",
     "refresh_pivot": f"WITH {_M}, {_IN}, {_PIVOT} {_upsert('p', COLUMNS)}",
+    "refresh_indicator": f"""WITH {_M}, s AS (SELECT month, year, CASE WHEN month(period) % 4 = 0 THEN fuel_price END AS fuel_price FROM m WHERE month(period) % 2 = 0), x AS (SELECT month, year, fuel_price FROM m WHERE month(period) % 6 <> 5),
+  u AS (SELECT *, strptime('1 ' || month || ' ' || year, '%d %B %Y')::DATE AS period FROM ({_upsert('x', ['fuel_price'])})) SELECT u.*, u.fuel_price - b.fuel_price AS fuel_trend FROM u LEFT JOIN u b ON b.period = u.period - INTERVAL 1 MONTH""",
     "refresh_counts": f"WITH {_M}, {_IN} {_SRC}",
     "refresh_rollup": f"WITH {_M}, {_IN}, c AS ({_SRC}) SELECT 4::BIGINT AS sources, 1::BIGINT AS failed, sum(saved)::BIGINT AS rows_saved, 'd-exchange' AS report_date, 'partial_success' AS status FROM c",
     "update_by_key": "SELECT d.doc_id, coalesce(l.quality, 0)::INTEGER AS quality, d.lang FROM documents d LEFT JOIN labels l USING (doc_id)",

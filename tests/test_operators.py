@@ -191,3 +191,22 @@ def test_sentiment_backfill(spark):
     assert {r["id"]: r["valid"] for r in sentiment.preview(df, spark.createDataFrame([(1,), (2,), (9,)], "id int"), scorer).collect()} == {1: True, 2: False}
     model = sentiment.model_scorer(lambda: lambda texts: [("positive", 0.5)] * len(texts))
     assert sentiment.backfill(df, model, "all").where("id = 1").first()["sentiment_score"] == 0.5
+
+
+def test_select_table(spark):
+    lines = spark.createDataFrame([("d", 0, "Table 1: Consumer fuel prices ...... 3"), ("d", 1, "Table 2: Exchange rates ...... 9")], "doc_id string, line_no int, line string")
+    rows = [("d", 3, 0, 0, ["aviation fuel"]), ("d", 4, 0, 0, ["retail fuel fuel"]), ("d", 4, 1, 0, ["retail fuel fuel"]), ("d", 9, 0, 0, ["usd euro fuel fuel fuel"])]
+    tables = spark.createDataFrame(rows, "doc_id string, page int, table_idx int, row_idx int, cells array<string>")
+    best = grid.select_table(lines, tables, ["fuel prices"], {"fuel": 2, "aviation": -15}).collect()
+    assert [(r["target"], r["page"], r["table_idx"], r["score"]) for r in best] == [("fuel prices", 4, 0, 4)]
+    assert grid.select_table(lines, tables, ["fuel prices"], {"fuel": 2}, least={"retail": 1, "kerosene": 1}).count() == 0
+
+
+def test_envelopes(spark):
+    schema = "table_name string, report_date string, status string, source_url string, data array<struct<month string, year string, cbr string>>"
+    envelopes = spark.createDataFrame([("t", "d", "success", "u", [("MARCH", "2026", "9.75"), ("Foo", "2026", "1")]), ("t", "d", "failed", "u", [("May", "2026", "1")]), ("t", "d", "success", "u", [])], schema)
+    old = spark.createDataFrame([("February", "2026", 10.0)], "month string, year string, cbk_rate double")
+    out = macro.refresh_indicator(old, macro.records_of(envelopes), dims.FIELD_MAPS["cbr"], {"cbk_rate": "cbr_trend"}, "changed")
+    assert sorted((r["month"], r["action"], r["cbr_trend"]) for r in out.collect()) == [("February", "kept", None), ("March", "inserted", -0.25)]
+    again = macro.refresh_indicator(out.select("month", "year", "cbk_rate"), macro.records_of(envelopes), dims.FIELD_MAPS["cbr"], {})
+    assert again.where("action = 'inserted'").count() == 0
