@@ -4,7 +4,8 @@ The tree is fitted on a bounded sample (SAMPLE_ROWS, by hash of vec_id) and sent
 its nearest leaf. A query takes inner nodes and leaves from a priority queue by the largest inner product that the
 node's ball (centre and radius) allows, and so lists the leaves it visits, best first. How many it visits is calibrated:
 a set of queries is searched exactly, and visits widen until their recall is reached. Work is grouped by leaf; leaves
-with many rows are split into chunks, so no leaf has to fit in one task.
+with many rows are split into chunks, so no leaf has to fit in one task. The first FIRST_VISITS leaves give a kth best
+score, and later leaves return only rows that reach it.
 """
 
 from __future__ import annotations
@@ -21,8 +22,8 @@ from pyspark.sql import functions as F
 from .scratch import write_table
 from .vectors import matrix, usable
 
-SAMPLE_ROWS, LEAF_ROWS, BRANCH, CHUNK_ROWS = 20_000, 256, 8, 4096
-CALIBRATE_QUERIES, TARGET_RECALL = 128, 0.97
+SAMPLE_ROWS, BRANCH, CHUNK_ROWS = 20_000, 8, 4096
+CALIBRATE_QUERIES, TARGET_RECALL, FIRST_VISITS = 128, 0.95, 4
 OUT = "query_id long, vec_id long, score double"
 
 
@@ -121,10 +122,13 @@ def _search(k: int):
         out: list[list] = [[], [], []]
         if rows.num_rows and asked.num_rows:
             ids, points, query_ids, queries = rows["vec_id"].to_numpy(), matrix(rows["vec"]), asked["query_id"].to_numpy(), matrix(asked["query"])
+            floor = asked["floor"].to_numpy()
             for at in range(0, len(queries), 512):
                 rough = queries[at : at + 512] @ points.T
                 for q, line in enumerate(rough, at):
                     found, score = best_of(ids, points, query_ids[q], queries[q], line, k)
+                    keep = score >= floor[q]
+                    found, score = found[keep], score[keep]
                     out[0].append(np.full(len(found), query_ids[q]))
                     out[1].append(found)
                     out[2].append(score)
@@ -142,7 +146,7 @@ def _ranked(found: DataFrame, k: int) -> DataFrame:
 def brute_force(rows: DataFrame, queries: DataFrame, k: int, chunks: int) -> DataFrame:
     """Exact neighbours of a bounded set of queries (query_id, query) over all rows, a chunk of rows in a task."""
     data = rows.select("vec_id", "vec", F.pmod(F.xxhash64("vec_id"), F.lit(chunks)).cast("int").alias("chunk"))
-    asked = queries.withColumn("chunk", F.explode(F.sequence(F.lit(0), F.lit(chunks - 1))))
+    asked = queries.withColumn("floor", F.lit(float("-inf"))).withColumn("chunk", F.explode(F.sequence(F.lit(0), F.lit(chunks - 1))))
     return _ranked(data.groupBy("chunk").cogroup(asked.groupBy("chunk")).applyInArrow(_search(k), OUT), k)
 
 
@@ -164,7 +168,7 @@ def neighbours(embeddings: DataFrame, k: int = 20, every: int = 20, recall: floa
     if not sample.num_rows:
         sample = rows.limit(1).select("vec").toArrow()
     points = matrix(sample["vec"])
-    tree = fit_tree(points, max(8.0, LEAF_ROWS * len(points) / n))
+    tree = fit_tree(points, max(16.0, 5 * len(points) / n**0.5))  # about sqrt(n) leaves, as splits overshoot
     n_leaves = len(tree.leaves())  # the tree goes along with the tasks: bounded by the sample
 
     def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -200,5 +204,12 @@ def neighbours(embeddings: DataFrame, k: int = 20, every: int = 20, recall: floa
         if got >= recall * total:
             visits = r["place"] + 1
             break
-    hits = chunked.select("leaf", "chunk", "vec_id", "vec").groupBy("leaf", "chunk").cogroup(asked(queries, visits).groupBy("leaf", "chunk")).applyInArrow(_search(k), OUT)
-    return _ranked(hits, k).select("query_id", "rank", "vec_id", "score")
+
+    def wave(which: DataFrame) -> DataFrame:
+        return chunked.select("leaf", "chunk", "vec_id", "vec").groupBy("leaf", "chunk").cogroup(which.groupBy("leaf", "chunk")).applyInArrow(_search(k), OUT)
+
+    listed = asked(queries, visits)
+    first = write_table(_ranked(wave(asked(queries, FIRST_VISITS).withColumn("floor", F.lit(float("-inf")))), k).drop("rank"), "wave1")
+    kth = first.groupBy("query_id").agg(F.when(F.count(F.lit(1)) == k, F.min("score")).alias("kth"))
+    rest = listed.where(F.col("place") >= FIRST_VISITS).join(kth, "query_id", "left").withColumn("floor", F.coalesce("kth", F.lit(float("-inf")))).drop("kth")
+    return _ranked(first.unionByName(wave(rest)), k).select("query_id", "rank", "vec_id", "score")
