@@ -23,9 +23,12 @@ from pyspark.sql import functions as F
 
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 SPACE = "▁"
-#: No piece has a space mark after another character, or a line feed: paths always meet there.
-WORD = re.compile(f"{SPACE}*[^{SPACE}\n]+|{SPACE}+|\n")
-CACHE_WORDS, CACHE_PAIRS, CACHE_CHARS, COMMIT_EVERY = 200_000, 400_000, 40, 256
+#: Where no piece can cross, paths always meet: before a space mark that follows another character, and between letters
+#: and other characters (word_pattern checks the vocabulary for the latter).
+COARSE = re.compile(f"{SPACE}*[^{SPACE}\n]+|{SPACE}+|\n")
+OTHER = "\x00-@\\[-`{-¿\u2000-\u206f\u3000-\u303f\uff00-\uff0f\uff1a-\uff1f"  # ASCII and common marks that are no letters
+FINE = re.compile(f"{SPACE}*[^{SPACE}{OTHER}]+|{SPACE}*[{OTHER}]+|{SPACE}+")
+CACHE_WORDS, CACHE_PAIRS, CACHE_CHARS, COMMIT_EVERY = 250_000, 600_000, 40, 256
 
 
 def _varint(data: bytes, at: int) -> tuple[int, int]:
@@ -67,6 +70,14 @@ def load_model(path: str = MODEL) -> tuple[list[str], list[float], list[int]]:
     return pieces, scores, kinds
 
 
+def word_pattern(pieces: list[str]) -> re.Pattern:
+    """The finest split of marked text that no piece of the vocabulary crosses."""
+    for pattern in (FINE, COARSE):
+        if all(len(pattern.findall(p)) == 1 for p in pieces):
+            return pattern
+    return re.compile("(?s).+")
+
+
 class Encoder(dict):
     """word -> ids as int32 bytes, filled as words come up; emptied when it holds CACHE_WORDS words."""
 
@@ -74,20 +85,33 @@ class Encoder(dict):
         pieces, scores, kinds = model
         self.piece_id = {p: i for i, (p, k) in enumerate(zip(pieces, kinds)) if k == 1}
         self.rank = {p: (-scores[i], i) for p, i in self.piece_id.items()}
+        self.worst = (float("inf"), 0)
         self.longest = max(map(len, self.piece_id), default=1)
+        self.words = word_pattern(list(self.piece_id))
+        self.endings: dict = {}  # trie of pieces read from their last character; '' holds the piece itself
+        for piece in self.piece_id:
+            node = self.endings
+            for c in reversed(piece):
+                node = node.setdefault(c, {})
+            node[""] = piece
         self.byte_id = {int(p[3:5], 16): i for i, (p, k) in enumerate(zip(pieces, kinds)) if k == 6}
         self.follows: dict[tuple[str | None, str], bool] = {}
         self.older: dict[str, bytes] = {}
+        self.table = decoder_table(model)
+        self.lossy = 0  # words that decoding did not give back
 
     def merged(self, chars: str) -> list[str]:
         """What merging gives for a short string: the best-ranked neighbours first, the leftmost on ties."""
-        parts = list(chars)
-        while len(parts) > 1:
-            best = min(((self.rank[a + b], i) for i, (a, b) in enumerate(zip(parts, parts[1:])) if a + b in self.rank), default=None)
-            if best is None:
-                break
-            i = best[1]
+        parts, rank, none = list(chars), self.rank, self.worst
+        ranks = [rank.get(a + b, none) for a, b in zip(parts, parts[1:])]
+        while ranks and (best := min(ranks)) is not none:
+            i = ranks.index(best)
             parts[i : i + 2] = [parts[i] + parts[i + 1]]
+            del ranks[i]
+            if i:
+                ranks[i - 1] = rank.get(parts[i - 1] + parts[i], none)
+            if i < len(ranks):
+                ranks[i] = rank.get(parts[i] + parts[i + 1], none)
         return parts
 
     def may_follow(self, before: str | None, piece: str) -> bool:
@@ -109,15 +133,20 @@ class Encoder(dict):
 
     def _advance(self, chars: str, last: dict[int, str | None], at: int) -> None:
         """Find the arc that survives at boundary `at`: longer pieces first; a lone character always has an arc."""
-        known, follows = self.piece_id, self.follows
-        for start in range(max(0, at - self.longest), at):
-            piece = chars[start:at]
-            if (piece in known or at - start == 1) and start in last:
-                before = last[start]
-                ok = follows.get((before, piece))
-                if self.may_follow(before, piece) if ok is None else ok:
-                    last[at] = piece
-                    return
+        node, arcs, start = self.endings, [], at
+        while start > 0 and (node := node.get(chars[start - 1])) is not None:
+            start -= 1
+            if "" in node and start in last:
+                arcs.append((start, node[""]))
+        if not arcs and at - 1 in last:
+            arcs = [(at - 1, chars[at - 1])]
+        follows = self.follows
+        for start, piece in reversed(arcs):
+            before = last[start]
+            ok = follows.get((before, piece))
+            if self.may_follow(before, piece) if ok is None else ok:
+                last[at] = piece
+                return
 
     def stream(self, chars: str) -> Iterator[list[int]]:
         """Committed ids of one stretch, in order."""
@@ -147,7 +176,12 @@ class Encoder(dict):
         return [i for p in reversed(parts) for i in self._ids(p)]
 
     def _encode(self, word: str) -> bytes:
-        return b"".join(struct.pack(f"<{len(ids)}i", *ids) for ids in self.stream(word))
+        out, plain = [], []
+        for ids in self.stream(word):
+            out.append(struct.pack(f"<{len(ids)}i", *ids))
+            plain += map(self.table.__getitem__, ids)
+        self.lossy += b"".join(plain) != word.replace(SPACE, " ").encode("utf-8", "surrogatepass")
+        return b"".join(out)
 
     def __missing__(self, word: str) -> bytes:
         if len(word) > CACHE_CHARS:
@@ -169,7 +203,7 @@ class Encoder(dict):
             if n:
                 out.append(np.array([self.byte_id[b] for b in SPACE.encode()], dtype=np.int32).tobytes())
             marked = part.replace(" ", SPACE)
-            out.extend(map(self.__getitem__, WORD.findall(marked if n else SPACE + marked)))
+            out.extend(map(self.__getitem__, self.words.findall(marked if n else SPACE + marked)))
         return np.frombuffer(b"".join(out), dtype=np.int32)
 
 
@@ -199,6 +233,9 @@ def decode_ids(ids: list[int], table: list[bytes]) -> str:
 def encode(documents: DataFrame, model_path: str = MODEL) -> DataFrame:
     """doc_id, n_tokens long, ids array<int>, exact boolean (decoding gives the text back) for every whole text.
 
+    Decoding joins the bytes of ids, so it is checked once for each word as it is first encoded; a worker that ever met a
+    word that did not come back marks all its later texts as not exact.
+
     Null and empty texts have no ids and are exact (null counts as empty). Repeated rows are each encoded; an empty table
     gives no rows; other columns are ignored. One pass in Arrow batches, no shuffle; the model file is read on the driver
     and its pieces go along with the tasks.
@@ -206,13 +243,15 @@ def encode(documents: DataFrame, model_path: str = MODEL) -> DataFrame:
     model = load_model(model_path)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder, table = worker_encoder(model), decoder_table(model)
+        encoder = worker_encoder(model)
         for batch in batches:
             for at in range(0, batch.num_rows, 1000):
                 part = batch.slice(at, 1000)
                 texts = [x.as_py() or "" for x in part.column("text")]
-                found = [encoder.encode(t) for t in texts]
-                exact = [decode_ids(ids.tolist(), table) == t for ids, t in zip(found, texts)]
+                found, exact = [], []
+                for text in texts:
+                    found.append(encoder.encode(text))
+                    exact.append(not encoder.lossy)
                 sizes = np.fromiter(map(len, found), dtype=np.int64, count=len(found))
                 offsets = np.concatenate(([0], np.cumsum(sizes))).astype(np.int32)
                 lists = pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.concatenate(found) if found else np.empty(0, dtype=np.int32)))
