@@ -29,7 +29,7 @@ from pyspark.sql import functions as F
 WORD = re.compile(r"[^\W\d_]+")
 BUCKETS = 1 << 18
 FLOOR = 1e-3
-CACHE_WORDS = 200_000
+CACHE_WORDS = 80_000
 SPAN_AT = 0.5
 SEGMENT = 48
 
@@ -219,11 +219,14 @@ def fit(texts: list[str], toxic: list[bool]) -> Chain | None:
 class _Emissions(dict):
     def __init__(self, chain: Chain):
         self.chain = chain
+        self.older: dict[str, float] = {}
 
     def __missing__(self, word: str) -> float:
-        if len(self) > CACHE_WORDS:
+        if len(self) >= CACHE_WORDS:  # keep one older generation, so that frequent words stay
+            self.older = dict(self)
             self.clear()
-        self[word] = value = self.chain.emission(word)
+        value = self.older.get(word)
+        self[word] = value = self.chain.emission(word) if value is None else value
         return value
 
 
