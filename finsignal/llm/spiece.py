@@ -98,7 +98,6 @@ class Encoder(dict):
         self.follows: dict[tuple[str | None, str], bool] = {}
         self.older: dict[str, bytes] = {}
         self.table = decoder_table(model)
-        self.lossy = 0  # words that decoding did not give back
 
     def merged(self, chars: str) -> list[str]:
         """What merging gives for a short string: the best-ranked neighbours first, the leftmost on ties."""
@@ -176,12 +175,7 @@ class Encoder(dict):
         return [i for p in reversed(parts) for i in self._ids(p)]
 
     def _encode(self, word: str) -> bytes:
-        out, plain = [], []
-        for ids in self.stream(word):
-            out.append(struct.pack(f"<{len(ids)}i", *ids))
-            plain += map(self.table.__getitem__, ids)
-        self.lossy += b"".join(plain) != word.replace(SPACE, " ").encode("utf-8", "surrogatepass")
-        return b"".join(out)
+        return b"".join(struct.pack(f"<{len(ids)}i", *ids) for ids in self.stream(word))
 
     def __missing__(self, word: str) -> bytes:
         if len(word) > CACHE_CHARS:
@@ -233,8 +227,7 @@ def decode_ids(ids: list[int], table: list[bytes]) -> str:
 def encode(documents: DataFrame, model_path: str = MODEL) -> DataFrame:
     """doc_id, n_tokens long, ids array<int>, exact boolean (decoding gives the text back) for every whole text.
 
-    Decoding joins the bytes of ids, so it is checked once for each word as it is first encoded; a worker that ever met a
-    word that did not come back marks all its later texts as not exact.
+    The ids of every row are decoded again and compared with its whole text, so `exact` depends on that row alone.
 
     Null and empty texts have no ids and are exact (null counts as empty). Repeated rows are each encoded; an empty table
     gives no rows; other columns are ignored. One pass in Arrow batches, no shuffle; the model file is read on the driver
@@ -248,10 +241,8 @@ def encode(documents: DataFrame, model_path: str = MODEL) -> DataFrame:
             for at in range(0, batch.num_rows, 1000):
                 part = batch.slice(at, 1000)
                 texts = [x.as_py() or "" for x in part.column("text")]
-                found, exact = [], []
-                for text in texts:
-                    found.append(encoder.encode(text))
-                    exact.append(not encoder.lossy)
+                found = [encoder.encode(text) for text in texts]
+                exact = [decode_ids(ids.tolist(), encoder.table) == text for ids, text in zip(found, texts)]
                 sizes = np.fromiter(map(len, found), dtype=np.int64, count=len(found))
                 offsets = np.concatenate(([0], np.cumsum(sizes))).astype(np.int32)
                 lists = pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.concatenate(found) if found else np.empty(0, dtype=np.int32)))

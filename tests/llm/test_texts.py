@@ -2,6 +2,7 @@ import hashlib
 import random
 
 import numpy as np
+import pyarrow as pa
 import pytest
 import xxhash
 from conftest import EDGE
@@ -233,6 +234,37 @@ def test_encode_frame(spark, docs_of, model):
     assert spiece.encode(docs_of([])).count() == 0
 
 
+def test_exact_is_a_property_of_the_row(spark, model, monkeypatch):
+    """A text that does not come back says nothing about the texts after it; faults between words show."""
+    pieces, scores, kinds = model
+    poor = (pieces, scores, [5 if p == spiece.SPACE + "the" else k for p, k in zip(pieces, kinds)])
+    table = spiece.decoder_table(poor)
+    kept = spiece.decoder_table
+    monkeypatch.setattr(spiece, "load_model", lambda path: model)
+    monkeypatch.setattr(spiece, "decoder_table", lambda m: table if m == model else kept(m))
+    encoder = spiece.Encoder(model)
+    monkeypatch.setattr(spiece, "worker_encoder", lambda m: encoder)
+    batch = pa.RecordBatch.from_pydict({"doc_id": [1, 2, 3], "text": ["see the sea", "see a sea", "see the"]})
+    assert run_batches(spiece, batch) == [False, True, False]
+    encoder.table = kept(model)
+    encoder.words = spiece.re.compile(f"{spiece.SPACE}[a-z]+")
+    batch = pa.RecordBatch.from_pydict({"doc_id": [4, 5], "text": ["one1", "one two"]})
+    assert run_batches(spiece, batch) == [False, True]
+
+
+def run_batches(module, batch):
+    """The `exact` column of the function that module.encode gives to the tasks, run here on one batch."""
+
+    class Frame:
+        def select(self, *columns):
+            return self
+
+        def mapInArrow(self, run, schema):
+            return [x for out in run(iter([batch])) for x in out.column("exact").to_pylist()]
+
+    return module.encode(Frame())
+
+
 def test_pipeline_stages(spark, sf_dir):
     import corpus_pipeline
 
