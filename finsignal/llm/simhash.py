@@ -197,161 +197,115 @@ def near_duplicates(documents: DataFrame, bits: int = BITS) -> DataFrame:
     return docs.join(ids, "fp").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
-# ---- wide fingerprints: near copies by similarity of 5-word shingles --------------------------------------------------
+# ---- near copies by similarity of 5-word shingles: MinHash bands for candidates, exact Jaccard for links --------------
 
-WIDE_WORDS, WIDE_SHINGLE, WIDE_BITS = 4, 5, 46
-MIX = (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93)
-LARGE_CELL = 256
+SIMILAR_SHINGLE, SIMILAR_FIFTHS = 5, 4  # links have a Jaccard similarity of at least 4/5
+#: A pair at 0.8 shares none of 20 bands of 5 with a chance of (1 - 0.8**5)**20 = 0.0004, at any number of rows.
+BANDS, BAND_ROWS = 20, 5
+_DRAW = np.random.default_rng(11).integers(0, 1 << 64, size=(2, BANDS * BAND_ROWS), dtype=np.uint64, endpoint=False)
+_FLIP, _TIMES = _DRAW[0], _DRAW[1] | np.uint64(1)
+HASH_BLOCK = 4096
 
 
-def wide_fingerprint(text: str | None, shingle: int = WIDE_SHINGLE) -> list[int]:
-    """256-bit SimHash of the distinct 5-word shingles, as four words; few words: the whole sequence; none: zeros."""
+def shingle_set(text: str | None, shingle: int = SIMILAR_SHINGLE) -> np.ndarray:
+    """Sorted hashes of the distinct 5-word shingles (A-Z lower-cased); few words: the whole sequence; none: empty."""
     words = (text or "").encode("utf-8", "surrogatepass").lower().split()
     if not words:
-        return [0] * WIDE_WORDS
+        return np.empty(0, dtype=np.uint64)
     line = b" ".join(words)
     ends = np.cumsum(np.fromiter(map(len, words), dtype=np.int64, count=len(words)) + 1)
     n = max(1, len(words) - shingle + 1)
     starts, stops = np.concatenate(([0], ends[: n - 1])).tolist(), (ends[min(shingle, len(words)) - 1 :] - 1).tolist()
-    h = np.unique(np.array([xxhash.xxh64_intdigest(line[a:b], SEED) for a, b in zip(starts, stops)], dtype=np.uint64))
-    out = []
-    for m in MIX:
-        ones = np.zeros(64, dtype=np.int64)
-        for at in range(0, len(h), BLOCK_SHINGLES):
-            x = h[at : at + BLOCK_SHINGLES] * np.uint64(m)
-            x ^= x >> np.uint64(29)
-            x *= np.uint64(0xBF58476D1CE4E5B9)
-            x ^= x >> np.uint64(32)
-            ones += np.unpackbits(x.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
-        out.append(sum(1 << b for b in np.flatnonzero(ones * 2 > len(h)).tolist()))
-    return out
-
-
-def _wide(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        found = [wide_fingerprint(x.as_py()) for x in batch.column("text")]
-        columns = [pa.array([_signed(f[i]) for f in found], pa.int64()) for i in range(WIDE_WORDS)]
-        yield pa.RecordBatch.from_arrays([batch.column("doc_id"), *columns], ["doc_id", *(f"f{i}" for i in range(WIDE_WORDS))])
-
-
-def wide_grids(n: int) -> list[list[int]]:
-    """Grids for n fingerprints: each takes the counts of some of the 128 segments, as masks over the four packed
-    embeddings. More rows need finer cells, and finer cells more grids for the same recall."""
-    per_grid = max(9, int(np.ceil(np.log(max(n, 2)) / np.log(8 / 3))) - 4)
-    grids = int(np.ceil(3.0 / 0.716**per_grid))
-    rng = np.random.default_rng(11)
-    out = []
-    for _ in range(grids):
-        masks = [0] * WIDE_WORDS
-        for s in rng.choice(32 * WIDE_WORDS, size=per_grid, replace=False).tolist():
-            masks[s // 32] |= 3 << (2 * (s % 32))
-        out.append(masks)
-    return out
-
-
-def _far(codes: np.ndarray, i: np.ndarray, j: np.ndarray) -> np.ndarray:
-    return np.bitwise_count(codes[i] ^ codes[j]).sum(axis=1, dtype=np.int64)
-
-
-def _wide_cell_links(cell: np.ndarray, ids: np.ndarray, fp: np.ndarray, bits: int) -> tuple[list[int], list[int]]:
-    """Trees of links inside whole cells: Manhattan bound first, exact distance then."""
-    code = np.stack([_embed(fp[:, w]) for w in range(fp.shape[1])], axis=1)
-    starts = np.concatenate(([0], np.flatnonzero(np.diff(cell)) + 1))
-    sizes = np.diff(np.concatenate((starts, [len(cell)])))
-    parent: dict[int, int] = {}
-    u: list[int] = []
-    v: list[int] = []
-
-    def root(x: int) -> int:
-        while parent.get(x, x) != x:
-            parent[x] = parent.get(parent[x], parent[x])
-            x = parent[x]
-        return x
-
-    def link(i: np.ndarray, j: np.ndarray) -> None:
-        for a, b in zip(ids[i].tolist(), ids[j].tolist()):
-            ra, rb = root(a), root(b)
-            if ra != rb:
-                parent[max(ra, rb)] = min(ra, rb)
-                u.append(a)
-                v.append(b)
-
-    small = np.repeat(sizes <= LARGE_CELL, sizes)
-    left = np.flatnonzero(small)
-    for d in range(1, int(sizes[sizes <= LARGE_CELL].max(initial=1))):
-        left = left[left + d < len(cell)]
-        left = left[cell[left] == cell[left + d]]
-        if not len(left):
-            break
-        near = left[_far(code, left, left + d) <= bits]
-        near = near[_far(fp, near, near + d) <= bits]
-        link(near, near + d)
-    for k in np.flatnonzero(sizes > LARGE_CELL):
-        rest = np.arange(starts[k], starts[k] + sizes[k])
-        while len(rest):
-            queue, rest = [rest[0]], rest[1:]
-            while queue and len(rest):
-                at = queue.pop()
-                hit = np.bitwise_count(code[rest] ^ code[at]).sum(axis=1, dtype=np.int64) <= bits
-                hit[hit] = np.bitwise_count(fp[rest[hit]] ^ fp[at]).sum(axis=1, dtype=np.int64) <= bits
-                if hit.any():
-                    link(np.full(int(hit.sum()), at), rest[hit])
-                    queue.extend(rest[hit])
-                    rest = rest[~hit]
-    return u, v
-
-
-def _wide_links(bits: int):
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        kept: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
+    return np.unique(np.array([xxhash.xxh64_intdigest(line[a:b], SEED) for a, b in zip(starts, stops)], dtype=np.uint64))
 
-        def out() -> pa.RecordBatch:
-            u, v = _wide_cell_links(*(np.concatenate(x) for x in zip(*kept)), bits)
-            return pa.RecordBatch.from_arrays([pa.array(u, pa.int64()), pa.array(v, pa.int64())], ["u", "v"])
 
-        for batch in batches:
-            if not batch.num_rows:
-                continue
-            cell, ids, *words = (batch.column(c).to_numpy(zero_copy_only=False) for c in ("cell", "id", *(f"f{i}" for i in range(WIDE_WORDS))))
-            fp = np.stack([w.view(np.uint64) for w in words], axis=1)
-            last = np.searchsorted(cell, cell[-1])
-            if last == 0 and kept and kept[-1][0][-1] == cell[-1]:
-                kept.append((cell, ids, fp))
-                continue
-            kept.append((cell[:last], ids[:last], fp[:last]))
-            yield out()
-            kept = [(cell[last:], ids[last:], fp[last:])]
-        if kept:
-            yield out()
+def set_key(own: np.ndarray) -> int:
+    """64-bit hash of a whole set, signed."""
+    return _signed(xxhash.xxh64_intdigest(own.tobytes(), SEED))
 
-    return run
 
+def band_keys(own: np.ndarray) -> np.ndarray:
+    """Keys of the MinHash bands of a set, signed."""
+    least = np.full(BANDS * BAND_ROWS, ~np.uint64(0))
+    for at in range(0, len(own), HASH_BLOCK):
+        x = (own[at : at + HASH_BLOCK, None] ^ _FLIP) * _TIMES
+        x ^= x >> np.uint64(32)
+        x *= np.uint64(0xBF58476D1CE4E5B9)
+        np.minimum(least, x.min(axis=0), out=least)
+    bands = least.reshape(BANDS, BAND_ROWS)
+    return np.array([_signed(xxhash.xxh64_intdigest(b.tobytes(), i)) for i, b in enumerate(bands)], dtype=np.int64)
 
-def similar_groups(documents: DataFrame, bits: int = WIDE_BITS) -> DataFrame:
-    """(doc_id, component_id) of rows with a doc_id: groups of documents whose 5-word shingles are similar.
 
-    256-bit fingerprints at most `bits` apart count as similar. Sets with a Jaccard similarity of 0.8 differ in 39 bits
-    on average (standard deviation 6), so 46 bits take nine in ten of such pairs, and some pairs from 0.65 on. Equal
-    fingerprints are one node. A pair at 0.8 shares a cell of some grid with a chance of about 0.95.
+def _signatures(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        keys, sizes, bands = [], [], []
+        for x in batch.column("text"):
+            own = shingle_set(x.as_py())
+            keys.append(set_key(own))
+            sizes.append(len(own))
+            bands.append(band_keys(own))
+        lists = pa.ListArray.from_arrays(pa.array(np.arange(len(bands) + 1, dtype=np.int32) * BANDS), pa.array(np.concatenate(bands) if bands else np.empty(0, dtype=np.int64)))
+        yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(keys, pa.int64()), pa.array(sizes, pa.int64()), lists], ["doc_id", "k", "n", "bands"])
+
+
+def verified(pairs: DataFrame, nodes: DataFrame, documents: DataFrame) -> DataFrame:
+    """The pairs (u, v) of set keys whose sets, taken again from the whole texts, have a Jaccard similarity of 0.8 or more."""
+    asked = pairs.select(F.explode(F.array("u", "v")).alias("k")).distinct()
+    ids = nodes.join(asked, "k", "left_semi").select("k", F.col("id").alias("doc_id"))
+
+    def own(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for at in range(0, batch.num_rows, 200):
+                part = batch.slice(at, 200)
+                sets = [(k, x) for k, t in zip(part.column("k").to_pylist(), part.column("text")) if set_key(x := shingle_set(t.as_py())) == k]  # rows that share a doc_id but not the text go
+                lists = pa.array([x.view(np.int64) for _, x in sets], pa.list_(pa.int64()))
+                yield pa.RecordBatch.from_arrays([pa.array([k for k, _ in sets], pa.int64()), lists], ["k", "shingles"])
+
+    texts = documents.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(ids, "doc_id").select("k", "text")
+    sets = write_table(texts.mapInArrow(own, "k long, shingles array<long>").groupBy("k").agg(F.first("shingles").alias("shingles")), "sets")
+    right = pairs.join(sets.select(F.col("k").alias("v"), F.col("shingles").alias("_v")), "v")
+    both = right.join(sets.select(F.col("k").alias("u"), F.col("shingles").alias("_u")), "u")
+    counted = both.select("u", "v", F.size(F.array_intersect("_u", "_v")).alias("both"), (F.size("_u") + F.size("_v")).alias("all"))
+    return counted.where(5 * F.col("both") >= SIMILAR_FIFTHS * (F.col("all") - F.col("both"))).select("u", "v")
+
+
+def similar_groups(documents: DataFrame) -> DataFrame:
+    """(doc_id, component_id) of rows with a doc_id: groups of documents joined by chains of links, where each link has a
+    Jaccard similarity of 5-word shingle sets of at least 0.8, checked exactly.
+
+    Candidates share a MinHash band; the bands are the same at every size and hold 0.9996 of the pairs at 0.8. Equal sets
+    are one node. First every node is checked against the smallest node of each of its bands; then, in bands that still
+    hold more than one group, the nodes outside the group of the smallest are checked against all nodes of other groups.
+    Only pairs that set sizes rule out, or whose ends are joined already, are left unchecked.
     """
-    words = [f"f{i}" for i in range(WIDE_WORDS)]
-    docs = write_table(documents.where("doc_id is not null").select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(_wide, "doc_id long, " + ", ".join(f"{w} long" for w in words)), "wide")
-    nodes = write_table(docs.groupBy(*words).agg(F.min("doc_id").alias("id")), "nodes")
-    grids = wide_grids(nodes.count())
-    codes = [embed(F.col(w)) for w in words]
-    coded = nodes.select("id", *words, *[c.alias(f"_c{i}") for i, c in enumerate(codes)])
-    cells = F.array(*[F.xxhash64(F.lit(g), *[F.col(f"_c{i}").bitwiseAND(F.lit(_signed(m))) for i, m in enumerate(masks) if m]) for g, masks in enumerate(grids)])
-    n = int(documents.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    rows = coded.select(F.explode(cells).alias("cell"), "id", *words)
-    links = rows.repartition(n, "cell").sortWithinPartitions("cell").mapInArrow(_wide_links(bits), "u long, v long")
-    roots = write_table(components(links), "roots").select(F.col("u").alias("id"), "root")
-    named = nodes.join(roots, "id", "left").select(*words, F.coalesce("root", "id").alias("component_id"))
-    return docs.join(named, words).select("doc_id", "component_id")
-
-
-def keep_first(documents: DataFrame, bits: int = WIDE_BITS) -> DataFrame:
+    named = documents.where("doc_id is not null").select(F.col("doc_id").cast("long").alias("doc_id"), "text")
+    docs = write_table(named.mapInArrow(_signatures, "doc_id long, k long, n long, bands array<long>"), "signatures")
+    nodes = write_table(docs.groupBy("k").agg(F.min("doc_id").alias("id"), F.first("n").alias("n"), F.first("bands").alias("bands")), "nodes")
+    cells = nodes.where("n > 0").select("k", "n", F.explode("bands").alias("cell"))
+    hubs = cells.groupBy("cell").agg(F.min(F.struct("k", "n")).alias("hub"), F.count(F.lit(1)).alias("rows")).where("rows > 1").select("cell", F.col("hub.k").alias("hub"), F.col("hub.n").alias("hub_n"))
+    shared = write_table(cells.join(hubs, "cell"), "cells")  # bands that two nodes or more share
+    sizes_allow = lambda a, b: (5 * F.least(a, b) >= SIMILAR_FIFTHS * F.greatest(a, b))
+    first = write_table(shared.where(F.col("k") != F.col("hub")).where(sizes_allow(F.col("n"), F.col("hub_n"))).select(F.col("hub").alias("u"), F.col("k").alias("v")).distinct(), "pairs")
+    links = write_table(verified(first, nodes, documents), "similar")
+    roots = write_table(components(links), "roots").select(F.col("u").alias("k"), "root")
+
+    root = lambda c, to: roots.select(F.col("k").alias(c), F.col("root").alias(to))
+    placed = shared.join(root("k", "_r"), "k", "left").join(root("hub", "_h"), "hub", "left").select("cell", "k", "n", F.coalesce("_r", "k").alias("group"), F.coalesce("_h", "hub").alias("hub_group"))
+    placed = write_table(placed, "placed")
+    stray = placed.where(F.col("group") != F.col("hub_group")).select("cell", F.col("k").alias("a"), F.col("n").alias("an"), F.col("group").alias("ag"))
+    met = placed.join(stray, "cell").where((F.col("group") != F.col("ag")) & sizes_allow(F.col("n"), F.col("an")))
+    second = met.select(F.least("a", "k").alias("u"), F.greatest("a", "k").alias("v")).distinct().join(first, ["u", "v"], "left_anti")
+    more = write_table(verified(write_table(second, "pairs"), nodes, documents), "similar")
+
+    roots = write_table(components(links.unionByName(more)), "roots").select(F.col("u").alias("k"), "root")
+    grouped = write_table(nodes.select("k", "id").join(roots, "k", "left").select("k", "id", F.coalesce("root", "k").alias("root")), "groups")
+    ids = grouped.join(grouped.groupBy("root").agg(F.min("id").alias("component_id")), "root").select("k", "component_id")
+    return docs.select("doc_id", "k").join(ids, "k").select("doc_id", "component_id")
+
+
+def keep_first(documents: DataFrame) -> DataFrame:
     """One document of each group of near copies, the one with the smallest doc_id, with all its columns. Documents
     without doc_id stay; of repeated rows with one doc_id one stays."""
-    first = similar_groups(documents, bits).where("doc_id = component_id").select("doc_id").distinct()
+    first = similar_groups(documents).where("doc_id = component_id").select("doc_id").distinct()
     named = documents.join(first, "doc_id", "left_semi").dropDuplicates(["doc_id"])
     return named.unionByName(documents.where("doc_id is null")).select(*documents.columns)

@@ -86,6 +86,47 @@ def test_keep_first(spark, docs_of):
     assert simhash.keep_first(docs_of([])).count() == 0
 
 
+def test_similar_groups_around_the_threshold(spark, docs_of):
+    """Pairs just above and just below 0.8, chains, a dense group and short texts against all pairs of shingle sets."""
+    rng = random.Random(12)
+    word = lambda: f"w{rng.randrange(10**7)}"
+    rows = []
+
+    def changed(words, n, spread):
+        out = list(words)
+        for i in range(n):
+            out[8 + i * spread] = word()
+        return out
+
+    for n in [5, 6, 7, 8] * 25:  # 300 words: similarity 0.84 down to 0.76
+        base = [word() for _ in range(300)]
+        rows += [base, changed(base, n, 30)]
+    chain = [word() for _ in range(300)]
+    for _ in range(5):
+        rows.append(chain)
+        chain = changed(chain, 5, rng.randrange(20, 30))
+    base = [word() for _ in range(300)]
+    rows += [[*base[:i], word(), *base[i + 1 :]] for i in range(0, 300, 4)] + [changed(base, rng.randrange(2, 9), 25) for _ in range(40)]
+    rows += [["a", "b"], ["A", "b"], ["a"], [], [], ["a", "b", "c", "d", "e", "f"], ["b", "c", "d", "e", "f"]]
+    rng.shuffle(rows)
+    sets = [{tuple(w.lower() for w in r[i : i + 5]) for i in range(max(1, len(r) - 4))} for r in rows]
+    root = list(range(len(rows)))
+
+    def find(i):
+        while root[i] != i:
+            i = root[i]
+        return i
+
+    for j in range(len(rows)):
+        for i in range(j):
+            both = len(sets[i] & sets[j])
+            if 5 * both >= 4 * (len(sets[i]) + len(sets[j]) - both):
+                a, b = find(i), find(j)
+                root[max(a, b)] = min(a, b)
+    got = {r["doc_id"]: r["component_id"] for r in simhash.similar_groups(docs_of([(i, " ".join(r)) for i, r in enumerate(rows)])).collect()}
+    assert got == {i: find(i) for i in range(len(rows))}
+
+
 def brute_repeats(rows):
     data = [(t or "").encode() for _, t in rows]
     seen = {}
