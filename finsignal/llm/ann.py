@@ -4,7 +4,8 @@ The tree is fitted on a bounded sample (SAMPLE_ROWS, by hash of vec_id) and sent
 its nearest leaf. A query takes inner nodes and leaves from a priority queue by the largest inner product that the
 node's ball (centre and radius) allows, and so lists the leaves it visits, best first. How many it visits is calibrated:
 a set of queries is searched exactly, and visits widen until their recall is reached. Work is grouped by leaf; leaves
-with many rows are split into chunks, so no leaf has to fit in one task. The first FIRST_VISITS leaves give a kth best
+with many rows are split into chunks and their queries into blocks, so no leaf and no crowd of queries has to fit in one
+task. The first FIRST_VISITS leaves give a kth best
 score, and later leaves return only rows that reach it.
 """
 
@@ -22,7 +23,7 @@ from pyspark.sql import functions as F
 from .scratch import write_table
 from .vectors import matrix, usable
 
-SAMPLE_ROWS, BRANCH, CHUNK_ROWS = 20_000, 8, 4096
+SAMPLE_ROWS, BRANCH, CHUNK_ROWS, QUERY_ROWS = 20_000, 8, 4096, 4096
 CALIBRATE_QUERIES, TARGET_RECALL, FIRST_VISITS = 128, 0.95, 4
 OUT = "query_id long, vec_id long, score double"
 
@@ -150,6 +151,17 @@ def brute_force(rows: DataFrame, queries: DataFrame, k: int, chunks: int) -> Dat
     return _ranked(data.groupBy("chunk").cogroup(asked.groupBy("chunk")).applyInArrow(_search(k), OUT), k)
 
 
+def leaf_search(chunked: DataFrame, asked: DataFrame, k: int) -> DataFrame:
+    """Best rows of each (leaf, chunk) for the queries asked of it (query_id, query, leaf, chunk, floor). The queries of a
+    chunk are dealt by hash into blocks of about QUERY_ROWS, and its rows go to each of its blocks."""
+    asked = write_table(asked.select("query_id", "query", "leaf", "chunk", "floor"), "asked")
+    blocks = asked.groupBy("leaf", "chunk").agg(F.ceil(F.count(F.lit(1)) / QUERY_ROWS).cast("int").alias("blocks"))
+    keys = ["leaf", "chunk", "block"]
+    dealt = asked.join(blocks, ["leaf", "chunk"]).withColumn("block", F.pmod(F.xxhash64("query_id", F.lit("block")), F.col("blocks")).cast("int"))
+    rows = chunked.join(blocks, ["leaf", "chunk"]).withColumn("block", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    return rows.select(*keys, "vec_id", "vec").groupBy(*keys).cogroup(dealt.select(*keys, "query_id", "query", "floor").groupBy(*keys)).applyInArrow(_search(k), OUT)
+
+
 def neighbours(embeddings: DataFrame, k: int = 20, every: int = 20, recall: float = TARGET_RECALL) -> DataFrame:
     """(query_id, rank, vec_id, score): for each row whose vec_id is divisible by `every`, its k nearest rows found, by
     inner product in double precision of the original vectors, ties to the smaller vec_id, its own row excepted.
@@ -206,7 +218,7 @@ def neighbours(embeddings: DataFrame, k: int = 20, every: int = 20, recall: floa
             break
 
     def wave(which: DataFrame) -> DataFrame:
-        return chunked.select("leaf", "chunk", "vec_id", "vec").groupBy("leaf", "chunk").cogroup(which.groupBy("leaf", "chunk")).applyInArrow(_search(k), OUT)
+        return leaf_search(chunked, which, k)
 
     listed = asked(queries, visits)
     first = write_table(_ranked(wave(asked(queries, FIRST_VISITS).withColumn("floor", F.lit(float("-inf")))), k).drop("rank"), "wave1")

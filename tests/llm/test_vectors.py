@@ -62,6 +62,32 @@ def test_recall(spark):
     assert hit >= 0.9 * 20 * 100
 
 
+def test_query_side_is_bounded(spark, monkeypatch, tmp_path):
+    """Queries that all visit one leaf are searched in blocks, with the same result."""
+    rows = [(i, [1.0, 2.0 + i % 7], 0, 1) for i in range(600)]
+    df = spark.createDataFrame(rows, SCHEMA)
+    want = sorted(map(tuple, ann.neighbours(df, every=2).collect()))
+    monkeypatch.setattr(ann, "QUERY_ROWS", 16, raising=False)
+    search, folder = ann._search, str(tmp_path)
+
+    def noted(k):
+        run = search(k)
+
+        def one(rows, asked):
+            import uuid
+
+            if "floor" in asked.column_names and "leaf" in asked.column_names:
+                open(f"{folder}/{asked.num_rows}-{uuid.uuid4().hex}", "w").close()
+            return run(rows, asked)
+
+        return one
+
+    monkeypatch.setattr(ann, "_search", noted)
+    assert sorted(map(tuple, ann.neighbours(df, every=2).collect())) == want
+    sizes = [int(p.name.split("-")[0]) for p in tmp_path.iterdir()]
+    assert sum(sizes) >= 300 and max(sizes) <= 48
+
+
 def test_zero_vectors(spark):
     df = spark.createDataFrame([(0, [0.0, 0.0], 0, 1), (20, [1.0, 0.0], 0, 1), (21, [0.5, 0.0], 0, 1)], SCHEMA)
     assert set(ann.neighbours(df).toPandas().query_id) == {20}
