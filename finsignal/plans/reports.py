@@ -72,7 +72,7 @@ def table_select(spark, sf):
 def toc_pages(spark, sf):
     """Part names as contents lines with dot leaders, and the pages searched for each."""
     lines = table(spark, sf, "part").select(F.concat(F.lit("d"), F.col("p_partkey") % 50).alias("doc_id"), F.col("p_partkey").cast("int").alias("line_no"), F.concat(F.lit("Table "), F.col("p_size"), F.lit(": "), "p_name", F.lit(" ........ "), F.col("p_size")).alias("line"))
-    pages = lines.select("doc_id", F.col("line_no").alias("page")).where("page <= 50")
+    pages = lines.select("doc_id", (F.floor((F.col("line_no") - 1) / F.lit(50)) + 1).cast("int").alias("page"))  # a page for each line of a document
     return G.candidate_pages(G.parse_toc(lines), pages, 1).groupBy("doc_id", "title").agg(F.count(F.lit(1)).alias("n"), F.min("page").alias("first_page"), F.max("page").alias("last_page"))
 
 

@@ -52,3 +52,21 @@ def test_runs(spark, sf_dir, name):
 def test_entry(spark):
     assert entry.entry(spark).count() > 0
     assert set(entry.oracle_sql()) <= set(entry.queries())
+
+
+def test_toc_pages_reach_the_last_page(spark, sf_dir):
+    """Every contents entry against the pages of its whole document, counted by hand."""
+    from finsignal.plans import reports
+
+    parts = spark.read.parquet(f"{sf_dir}/part.parquet").collect()
+    last, want = {}, {}
+    for r in parts:
+        doc = f"d{r['p_partkey'] % 50}"
+        last[doc] = last.get(doc, 0) + 1
+    for r in parts:
+        doc, at = f"d{r['p_partkey'] % 50}", r["p_size"] + 1
+        pages = range(max(at - 1, 0), min(at + 3, last[doc]) + 1)
+        if len(pages):
+            want.setdefault((doc, r["p_name"]), []).extend(pages)
+    got = {(r["doc_id"], r["title"]): (r["n"], r["first_page"], r["last_page"]) for r in reports.toc_pages(spark, sf_dir).collect()}
+    assert got == {k: (len(v), min(v), max(v)) for k, v in want.items()}
