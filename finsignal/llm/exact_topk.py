@@ -1,16 +1,18 @@
 """Exact top-k by integer inner product with one KD-tree per shard.
 
-Vectors are dealt to shards of a bounded size by a hash of vec_id; a unit of work is one shard with one block of
-queries, so every query meets every row without a join. In a unit the shard becomes a KD-tree: median splits along the
-widest side, tight bounding boxes at the leaves. Each query visits leaves best first, by the largest product any point
-of the box can reach, until no box can beat its kth best score. That score travels: a first wave searches one shard for
-each query, and the second wave, over all other shards, starts from the kth score found there and returns nothing
-below it.
+Vectors are dealt to shards of a bounded size by a hash of vec_id. A task reads its shards one after another: first a
+shard's rows, which become a KD-tree (median splits along the widest side, tight bounding boxes at the leaves), then the
+queries of that shard as a stream of batches. Each query visits leaves best first, by the largest product any point of
+the box can reach, until no box can beat its kth best score. That score travels: a first wave searches one shard for each
+query, and the second wave, over all other shards, starts from the kth score found there and returns nothing below it.
+
+Products are taken in double precision where every sum stays below 2**53, in 64-bit integers below 2**63, and in Python's
+whole numbers beyond, so scores are exact in every case.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -21,8 +23,9 @@ from .scratch import write_table
 from .vectors import matrix, usable
 
 SCALE = 64
-SHARD_ROWS, QUERY_ROWS, LEAF_ROWS = 8192, 4096, 64
+SHARD_ROWS, QUERY_ROWS, LEAF_ROWS = 8192, 1024, 64
 OUT = "query_id long, vec_id long, score long"
+NONE = -(1 << 63)
 
 
 class KDTree:
@@ -49,53 +52,109 @@ class KDTree:
         return np.maximum(queries, 0) @ self.high.T + np.minimum(queries, 0) @ self.low.T
 
 
-def _ranked(score: np.ndarray, place: np.ndarray, n: int) -> np.ndarray:
-    """One integer that orders by score, then by smaller place in the shard (rows of a shard stand by vec_id)."""
-    return score.astype(np.int64) * n + (n - 1 - place)
-
-
-def search(ids: np.ndarray, points: np.ndarray, query_ids: np.ndarray, queries: np.ndarray, floor: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(query_id, vec_id, score) of each query's k best rows of a shard, its own row excepted, with scores of at least
-    floor[query]. Values are whole numbers in double precision, so products are exact and ties are true ties."""
-    by_id = np.argsort(ids, kind="stable")
-    ids, points = ids[by_id], points[by_id]
-    n, tree = len(ids), KDTree(points)
-    reach = tree.reach(queries)
-    visit = np.argsort(-reach, axis=1, kind="stable")
-    low = -(1 << 62)  # below any code, and its negative still fits
-    best = np.full((len(queries), k), low, dtype=np.int64)
-    active = np.arange(len(queries))
-    for step in range(len(tree.bounds)):
-        kth = best[active, -1]
-        bound = np.maximum(floor[active], np.where(kth == low, -np.inf, np.floor_divide(kth, n).astype(np.float64)))
-        active = active[reach[active, visit[active, step]] >= bound]
-        if not len(active):
-            break
-        leaf = visit[active, step]
-        for one in np.unique(leaf):
-            who, (a, b) = active[leaf == one], tree.bounds[one]
-            place = tree.order[a:b]
-            score = queries[who] @ points[place].T
-            code = _ranked(score, place, n)
-            code[(ids[place] == query_ids[who][:, None]) | (score < floor[who][:, None])] = low
-            both = np.concatenate([best[who], code], axis=1)
-            best[who] = -np.sort(np.partition(-both, k - 1, axis=1)[:, :k], axis=1)
-    who, at = np.nonzero(best != low)
-    code = best[who, at]
-    return query_ids[who], ids[n - 1 - code % n], code // n
-
-
-def _unit(k: int):
-    def run(shard: pa.Table, asked: pa.Table) -> pa.Table:
-        names = ["query_id", "vec_id", "score"]
-        if not shard.num_rows or not asked.num_rows:
-            return pa.table([pa.array([], pa.int64())] * 3, names)
-        found = search(shard["vec_id"].to_numpy(), matrix(shard["vec"]), asked["query_id"].to_numpy(), matrix(asked["query"]), asked["floor"].to_numpy(), k)
-        return pa.table([pa.array(x, pa.int64()) for x in found], names)
+def whole(values: np.ndarray) -> np.ndarray:
+    """Doubles that are whole numbers as Python's whole numbers."""
+    return np.array([[int(v) for v in row] for row in values.tolist()], dtype=object).reshape(values.shape)
+
+
+class Shard:
+    """The rows of a shard, by ascending vec_id, with their tree."""
+
+    def __init__(self, ids: np.ndarray, points: np.ndarray):
+        by_id = np.argsort(ids, kind="stable")
+        self.ids, self.points = ids[by_id], points[by_id]
+        self.tree = KDTree(self.points)
+        self.largest = float(np.abs(self.points).max(initial=0.0))
+
+    def search(self, query_ids: np.ndarray, queries: np.ndarray, floor: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(query_id, vec_id, score) of each query's k best rows of the shard, its own row excepted, with scores of at
+        least floor[query] (NONE: no floor)."""
+        bound = float(np.abs(queries).max(initial=0.0)) * self.largest * max(1, self.points.shape[1])
+        if bound >= 1 << 62:
+            return self._plain(query_ids, queries, floor, k)
+        reach = self.tree.reach(queries) + bound * 1e-12 * (bound >= 1 << 53)  # room for rounded sums
+        if bound >= 1 << 53:
+            points, asked = self.points.astype(np.int64), queries.astype(np.int64)
+        else:
+            points, asked = self.points, queries
+        visit = np.argsort(-reach, axis=1, kind="stable")
+        best = np.full((len(queries), k), NONE, dtype=np.int64)
+        best_at = np.full((len(queries), k), len(self.ids), dtype=np.int64)  # places in the shard; ties: the smaller one
+        active = np.arange(len(queries))
+        for step in range(len(self.tree.bounds)):
+            kth = np.maximum(best[active, -1], floor[active])
+            active = active[(kth == NONE) | (reach[active, visit[active, step]] >= kth.astype(np.float64) * (1 - 1e-15 * np.sign(kth)))]
+            if not len(active):
+                break
+            leaf = visit[active, step]
+            for one in np.unique(leaf):
+                who, (a, b) = active[leaf == one], self.tree.bounds[one]
+                place = self.tree.order[a:b]
+                score = (asked[who] @ points[place].T).astype(np.int64)
+                good = (score >= np.maximum(best[who, -1], floor[who])[:, None]) & (self.ids[place] != query_ids[who][:, None])
+                some = good.any(axis=1)
+                if not some.any():
+                    continue
+                who, score, good = who[some], score[some], good[some]
+                both = np.concatenate([best[who], np.where(good, score, NONE)], axis=1)
+                at = np.concatenate([best_at[who], np.where(good, place, len(self.ids))], axis=1)
+                top = np.lexsort((at, ~both), axis=1)[:, :k]  # ~x falls where x grows, without overflow
+                best[who], best_at[who] = np.take_along_axis(both, top, axis=1), np.take_along_axis(at, top, axis=1)
+        who, rank = np.nonzero(best_at < len(self.ids))
+        return query_ids[who], self.ids[best_at[who, rank]], best[who, rank]
+
+    def _plain(self, query_ids: np.ndarray, queries: np.ndarray, floor: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Every product in Python's whole numbers. A result beyond a long cannot be returned and is an error."""
+        points, out = whole(self.points), []
+        for qid, query, least in zip(query_ids.tolist(), whole(queries), floor.tolist()):
+            scores = sorted((-int(s), i) for s, i in zip(points @ query, self.ids.tolist()) if i != qid and (least == NONE or s >= least))[:k]
+            if scores and (-scores[0][0] >= 1 << 63 or scores[-1][0] > 1 << 63):
+                raise ValueError(f"the inner products of vector {qid} do not fit in 64 bits")
+            out += [(qid, i, -s) for s, i in scores]
+        return tuple(np.array(x, dtype=np.int64) for x in zip(*out)) if out else (np.empty(0, dtype=np.int64),) * 3
+
+
+def streamed(index: Callable[[pa.Table], object], answer: Callable[[object, pa.RecordBatch], pa.RecordBatch]) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """Rows sorted by (shard, asks): a shard's rows (asks = 0) are gathered and indexed, its queries (asks = 1) answered
+    a batch at a time. Memory: one shard and one batch of queries."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        shard, held, found = None, [], None
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            key = batch.column("shard").to_numpy().astype(np.int64) * 2 + batch.column("asks").to_numpy()
+            starts = np.concatenate(([0], np.flatnonzero(np.diff(key)) + 1))
+            for a, b in zip(starts.tolist(), [*starts[1:].tolist(), len(key)]):
+                own, asks = divmod(int(key[a]), 2)
+                if own != shard:
+                    shard, held, found = own, [], None
+                part = batch.slice(a, b - a)
+                if not asks:
+                    held.append(part)
+                    continue
+                if held:
+                    found, held = index(pa.Table.from_batches(held)), []
+                if found is not None:
+                    for at in range(0, part.num_rows, QUERY_ROWS):
+                        yield answer(found, part.slice(at, QUERY_ROWS))
 
     return run
 
 
+def _index(rows: pa.Table) -> Shard:
+    return Shard(rows["vec_id"].to_numpy(), np.floor(matrix(rows["vec"]) * SCALE))
+
+
+def _answer(k: int):
+    def answer(shard: Shard, asked: pa.RecordBatch) -> pa.RecordBatch:
+        queries = np.floor(matrix(asked.column("vec")) * SCALE)
+        found = shard.search(asked.column("vec_id").to_numpy(), queries, asked.column("floor").to_numpy(), k)
+        return pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in found], ["query_id", "vec_id", "score"])
+
+    return answer
+
+
 def _best(found: DataFrame, k: int) -> DataFrame:
     order = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
     return found.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
@@ -106,23 +165,25 @@ def top_k(embeddings: DataFrame, k: int = 20, every: int = 20) -> DataFrame:
     products over all other rows of floor(64 * x), ties to the smaller vec_id.
 
     Vectors that vectors.usable leaves out take no part (zero vectors do); equal vectors under several ids all count;
-    an empty table gives no rows. Other columns are ignored. A unit holds at most about SHARD_ROWS rows and QUERY_ROWS
-    queries; rows are repeated for each block of queries and queries for each shard.
+    an empty table gives no rows. Other columns are ignored. Scores are exact whatever the components' size; a result
+    that does not fit in a long raises a ValueError. A shard holds about SHARD_ROWS rows and is indexed once in each
+    wave; every query meets every shard, so a query's vector is sent once to each.
     """
-    scaled = usable(embeddings, zero_ok=True).select("vec_id", F.transform("vec", lambda x: F.floor(x * SCALE).cast("double")).alias("vec"))
-    rows = write_table(scaled, "scaled")
-    n, asked = rows.select(F.count(F.lit(1)), F.count_if(F.col("vec_id") % every == 0)).first()
-    shards, blocks = max(1, -(-n // SHARD_ROWS)), max(1, -(-asked // QUERY_ROWS))
-    hashed = F.xxhash64("vec_id")
-    placed = rows.withColumns({"shard": F.pmod(hashed, F.lit(shards)).cast("int"), "block": F.pmod(F.shiftrightunsigned(hashed, 20), F.lit(blocks)).cast("int")})
-    queries = placed.where(F.col("vec_id") % every == 0).select(F.col("vec_id").alias("query_id"), F.col("vec").alias("query"), "shard", "block")
-    copies = placed.select("vec_id", "vec", "shard", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))).alias("block"))
+    rows = write_table(usable(embeddings, zero_ok=True), "vectors")
+    n = rows.count()
+    shards = max(1, -(-n // SHARD_ROWS))
+    none = F.lit(NONE)
+    placed = rows.select(F.pmod(F.xxhash64("vec_id"), F.lit(shards)).cast("int").alias("shard"), F.lit(0).alias("asks"), "vec_id", "vec", none.alias("floor"))
+    queries = placed.where(F.col("vec_id") % every == 0).withColumn("asks", F.lit(1))
+    tasks = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
 
     def wave(asked: DataFrame) -> DataFrame:
-        return copies.groupBy("shard", "block").cogroup(asked.groupBy("shard", "block")).applyInArrow(_unit(k), OUT)
+        both = placed.unionByName(asked).repartition(tasks, "shard").sortWithinPartitions("shard", "asks")
+        return both.mapInArrow(streamed(_index, _answer(k)), OUT)
 
-    first = write_table(_best(wave(queries.withColumn("floor", F.lit(float("-inf")))), k).drop("rank"), "wave1")
-    kth = first.groupBy("query_id").agg(F.when(F.count(F.lit(1)) == k, F.min("score")).cast("double").alias("kth"))
+    first = write_table(_best(wave(queries), k).drop("rank"), "wave1")
+    kth = first.groupBy("query_id").agg(F.when(F.count(F.lit(1)) == k, F.min("score")).alias("_kth"))
     others = F.filter(F.sequence(F.lit(0), F.lit(shards - 1)), lambda s: s != F.col("_own"))
-    rest = queries.withColumnRenamed("shard", "_own").join(kth, "query_id", "left").select("query_id", "query", F.coalesce("kth", F.lit(float("-inf"))).alias("floor"), F.explode(others).alias("shard"), "block")
+    rest = queries.withColumnRenamed("shard", "_own").join(kth.withColumnRenamed("query_id", "vec_id"), "vec_id", "left")
+    rest = rest.select(F.explode(others).alias("shard"), "asks", "vec_id", "vec", F.coalesce("_kth", none).alias("floor"))
     return _best(first.unionByName(wave(rest)), k).select("query_id", "rank", "vec_id", "score")

@@ -6,10 +6,15 @@ minus infinity). With these transition scores one arc at most survives at each b
 BPE merging gives, so ids equal the model's own encoding. The search keeps the boundaries of the last longest-piece
 characters; whenever all their backpointer paths meet in one boundary, ids up to it are committed and forgotten. Texts
 are read once, from left to right, in memory bounded by the window and a cache of short words.
+
+Places that no piece of the vocabulary crosses are boundaries where all paths meet whatever stands around them, so the
+search commits there without looking: a text is cut at them, and the ids of short stretches are kept in the cache. The
+search itself runs in stretches that are new or long, and commits inside a stretch every COMMIT_EVERY characters.
 """
 
 from __future__ import annotations
 
+import hashlib
 import re
 import struct
 import sys
@@ -57,19 +62,42 @@ def _fields(data: bytes) -> Iterator[tuple[int, object]]:
 
 
 def load_model(path: str = MODEL) -> tuple[list[str], list[float], list[int]]:
-    """Pieces, scores and kinds (1 normal, 2 unknown, 3 control, 6 byte) of a model file, read on the driver."""
+    """Pieces, scores and kinds (1 normal, 2 unknown, 3 control, 6 byte) of a model file, read on the driver.
+
+    The lattice stands for BPE models with byte fallback that leave texts as they are but for spaces. A model of another
+    kind, with another normaliser, or with user-defined or unused pieces is refused with a ValueError.
+    """
     with open(path, "rb") as f:
         data = f.read()
-    pieces, scores, kinds = [], [], []
+    pieces, scores, kinds, trainer, normalizer = [], [], [], {}, {}
     for number, value in _fields(data):
         if number == 1:
             own = dict(_fields(value))
             pieces.append(own[1].decode())
             scores.append(struct.unpack("<f", own[2])[0] if 2 in own else 0.0)
             kinds.append(own.get(3, 1))
+        elif number == 2:
+            trainer = dict(_fields(value))
+        elif number == 3:
+            normalizer = dict(_fields(value))
+    # Field numbers of the model format and their defaults.
+    kind = {1: "unigram", 2: "bpe", 3: "word", 4: "char"}.get(trainer.get(3, 1), "unknown")
+    if kind != "bpe":
+        raise ValueError(f"a model of kind {kind}: only bpe models are encoded here")
+    if normalizer.get(2) or not normalizer.get(3, 1) or normalizer.get(4, 1) or not normalizer.get(5, 1) or trainer.get(24, 0):
+        raise ValueError("only models that keep texts as they are, with a space before the first word, are encoded here")
+    if odd := {k for k in kinds if k not in (1, 2, 3, 6)}:
+        raise ValueError(f"pieces of kinds {sorted(odd)} (4: user-defined, 5: unused) are not encoded here")
+    if kinds.count(6) != 256:
+        raise ValueError("only models with byte fallback are encoded here")
     return pieces, scores, kinds
 
 
+def model_key(model: tuple[list[str], list[float], list[int]]) -> str:
+    """A digest of all pieces, scores and kinds of a model."""
+    return hashlib.sha256(repr(model).encode("utf-8", "surrogatepass")).hexdigest()
+
+
 def word_pattern(pieces: list[str]) -> re.Pattern:
     """The finest split of marked text that no piece of the vocabulary crosses."""
     for pattern in (FINE, COARSE):
@@ -187,24 +215,28 @@ class Encoder(dict):
         self[word] = value = self._encode(word) if value is None else value
         return value
 
-    def encode(self, text: str) -> np.ndarray:
-        """Ids of a text, with the mark of a space before its first character; a space mark in the text itself is
-        written as its bytes, so that decoding gives it back. Empty text: no ids."""
+    def packed(self, text: str) -> bytes:
+        """Ids of a text as int32 bytes, with the mark of a space before its first character; a space mark in the text
+        itself is written as its bytes, so that decoding gives it back. Empty text: no ids."""
         if not text:
-            return np.empty(0, dtype=np.int32)
+            return b""
         out = []
         for n, part in enumerate(text.split(SPACE)):
             if n:
                 out.append(np.array([self.byte_id[b] for b in SPACE.encode()], dtype=np.int32).tobytes())
             marked = part.replace(" ", SPACE)
             out.extend(map(self.__getitem__, self.words.findall(marked if n else SPACE + marked)))
-        return np.frombuffer(b"".join(out), dtype=np.int32)
+        return b"".join(out)
+
+    def encode(self, text: str) -> np.ndarray:
+        """Ids of a text."""
+        return np.frombuffer(self.packed(text), dtype=np.int32)
 
 
 def worker_encoder(model: tuple[list[str], list[float], list[int]]) -> Encoder:
-    """One encoder for each Python worker and model, so that tasks after the first find its caches filled."""
+    """One encoder for each Python worker and whole model, so that tasks after the first find its caches filled."""
     state = sys.modules.setdefault("finsignal_worker_state", ModuleType("finsignal_worker_state"))
-    key = hash((len(model[0]), tuple(model[0][-50:]), tuple(model[1][-50:])))
+    key = model_key(model)
     if getattr(state, "key", None) != key:
         state.key, state.encoder = key, Encoder(model)
     return state.encoder
@@ -224,6 +256,20 @@ def decode_ids(ids: list[int], table: list[bytes]) -> str:
     return (data[1:] if data[:1] == b" " else data).decode("utf-8", "replace")
 
 
+def come_back(ids: np.ndarray, sizes: np.ndarray, pieces: pa.LargeBinaryArray, texts: list[str]) -> list[bool]:
+    """Does each text's share of the ids, decoded, equal the whole text? All ids of a batch are looked up at once."""
+    taken = pieces.take(pa.array(ids))
+    data = taken.buffers()[2]
+    places = np.frombuffer(taken.buffers()[1], dtype=np.int64)[taken.offset :]
+    ends = places[np.cumsum(sizes)].tolist()
+    out, start = [], int(places[0])
+    for end, text in zip(ends, texts):
+        own = data[start:end].to_pybytes() if end > start else b""
+        out.append((own[1:] if own[:1] == b" " else own) == text.encode("utf-8", "surrogatepass"))
+        start = end
+    return out
+
+
 def encode(documents: DataFrame, model_path: str = MODEL) -> DataFrame:
     """doc_id, n_tokens long, ids array<int>, exact boolean (decoding gives the text back) for every whole text.
 
@@ -237,15 +283,17 @@ def encode(documents: DataFrame, model_path: str = MODEL) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder = worker_encoder(model)
+        pieces = pa.array(encoder.table, pa.large_binary())
         for batch in batches:
             for at in range(0, batch.num_rows, 1000):
                 part = batch.slice(at, 1000)
-                texts = [x.as_py() or "" for x in part.column("text")]
-                found = [encoder.encode(text) for text in texts]
-                exact = [decode_ids(ids.tolist(), encoder.table) == text for ids, text in zip(found, texts)]
-                sizes = np.fromiter(map(len, found), dtype=np.int64, count=len(found))
+                texts = [x or "" for x in part.column("text").to_pylist()]
+                found = [encoder.packed(text) for text in texts]
+                sizes = np.fromiter(map(len, found), dtype=np.int64, count=len(found)) // 4
+                ids = np.frombuffer(b"".join(found), dtype=np.int32)
+                exact = come_back(ids, sizes, pieces, texts)
                 offsets = np.concatenate(([0], np.cumsum(sizes))).astype(np.int32)
-                lists = pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.concatenate(found) if found else np.empty(0, dtype=np.int32)))
+                lists = pa.ListArray.from_arrays(pa.array(offsets), pa.array(ids))
                 yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array(sizes), lists, pa.array(exact, pa.bool_())], ["doc_id", "n_tokens", "ids", "exact"])
 
     narrow = documents.select(F.col("doc_id").cast("long").alias("doc_id"), "text")

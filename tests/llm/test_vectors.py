@@ -35,6 +35,29 @@ def test_exact(spark, monkeypatch, shard, block):
     assert set(got.query_id) == set(range(0, 400, 20))
 
 
+def test_large_components(spark):
+    """Products beyond 2**53 and beyond packed codes, both signs, against Python's whole numbers."""
+    rng = np.random.default_rng(9)
+    for dim, size in ((1, 9e5), (4, 1e6), (8, 1e7), (2, 2.5e7)):
+        x = (rng.choice([-1.0, 1.0], size=(300, dim)) * rng.uniform(0.9 * size, size, size=(300, dim))).astype(np.float32)
+        x[7] = x[3]
+        df = spark.createDataFrame([(i, [float(v) for v in row], 0, 1) for i, row in enumerate(x)], SCHEMA).repartition(3)
+        whole = [[int(np.floor(64 * float(v))) for v in row] for row in x]
+        got = {}
+        for r in exact_topk.top_k(df).collect():
+            got.setdefault(r["query_id"], []).append((r["rank"], r["vec_id"], r["score"]))
+        assert set(got) == set(range(0, 300, 20))
+        for q, own in got.items():
+            want = sorted((-sum(a * b for a, b in zip(whole[q], v)), i) for i, v in enumerate(whole) if i != q)[:20]
+            assert sorted(own) == [(n + 1, i, -s) for n, (s, i) in enumerate(want)]
+
+
+def test_result_beyond_a_long_is_an_error(spark):
+    df = spark.createDataFrame([(0, [3e9], 0, 1), (1, [3e9], 0, 1)], SCHEMA)
+    with pytest.raises(Exception, match="do not fit in 64 bits"):
+        exact_topk.top_k(df).collect()
+
+
 def test_few_rows_and_none(spark):
     _, df = table(spark, 10)
     few = exact_topk.top_k(df.where("vec_id < 5"))
