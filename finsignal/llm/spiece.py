@@ -202,7 +202,40 @@ class Encoder(dict):
             end -= len(last[end])
         return [i for p in reversed(parts) for i in self._ids(p)]
 
+    def _short(self, chars: str) -> bytes:
+        """The same search over a stretch too short for a commit before its end, in one loop."""
+        root, follows, may_follow = self.endings, self.follows, self.may_follow
+        last: list[str | None] = [None] * (len(chars) + 1)
+        live = [True] + [False] * len(chars)
+        for at in range(1, len(chars) + 1):
+            node, start, arcs = root, at, []
+            while start:
+                start -= 1
+                node = node.get(chars[start])
+                if node is None:
+                    break
+                if live[start] and "" in node:
+                    arcs.append((start, node[""]))
+            if not arcs and live[at - 1]:
+                arcs.append((at - 1, chars[at - 1]))
+            while arcs:
+                start, piece = arcs.pop()
+                pair = last[start], piece
+                ok = follows.get(pair)
+                if may_follow(*pair) if ok is None else ok:
+                    last[at] = piece
+                    live[at] = True
+                    break
+        parts, end, known = [], len(chars), self.piece_id
+        while end:
+            parts.append(last[end])
+            end -= len(last[end])
+        ids = [known[p] for p in reversed(parts)] if all(p in known for p in parts) else [i for p in reversed(parts) for i in self._ids(p)]
+        return struct.pack(f"<{len(ids)}i", *ids)
+
     def _encode(self, word: str) -> bytes:
+        if len(word) < COMMIT_EVERY:
+            return self._short(word)
         return b"".join(struct.pack(f"<{len(ids)}i", *ids) for ids in self.stream(word))
 
     def __missing__(self, word: str) -> bytes:
