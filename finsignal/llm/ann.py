@@ -1,12 +1,16 @@
 """Approximate nearest neighbours by a hierarchical k-means tree with best-bin-first traversal.
 
 The tree is fitted on a bounded sample (SAMPLE_ROWS, by hash of vec_id) and sent to the tasks; every row is indexed in
-its nearest leaf. A query takes inner nodes and leaves from a priority queue by the largest inner product that the
-node's ball (centre and radius) allows, and so lists the leaves it visits, best first. How many it visits is calibrated:
-a set of queries is searched exactly, and visits widen until their recall is reached. Work is grouped by leaf; leaves
-with many rows are split into chunks and their queries into blocks, so no leaf and no crowd of queries has to fit in one
-task. The first FIRST_VISITS leaves give a kth best
-score, and later leaves return only rows that reach it.
+its nearest leaf. A query takes inner nodes and leaves from a priority queue by the inner product with the node's centre
+plus a part of what the node's radius allows, and so lists the leaves it visits, best first. How many it visits, and
+which part of the radius counts, is calibrated: some queries are searched exactly, and visits widen until recall is
+reached for all of them together and for nine in ten of them.
+
+Leaves that are neighbours in the tree lie together in bins of about BIN_ROWS rows; a leaf with more rows has bins of its
+own. A query's vector is sent once to each bin that holds a leaf it visits. A task gathers a bin's rows, then answers the
+bin's queries as a stream, so no leaf and no crowd of queries has to fit in a task. The first FIRST_VISITS leaves give a
+kth best score, and later leaves return only rows that reach it. A query that then has fewer than k rows visits all other
+leaves as well.
 """
 
 from __future__ import annotations
@@ -21,10 +25,11 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .scratch import write_table
-from .vectors import matrix, usable
+from .vectors import first_of_equal, matrix, streamed, usable
 
-SAMPLE_ROWS, BRANCH, CHUNK_ROWS, QUERY_ROWS = 20_000, 8, 4096, 4096
-CALIBRATE_QUERIES, TARGET_RECALL, FIRST_VISITS = 128, 0.95, 4
+SAMPLE_ROWS, BRANCH, BIN_ROWS, PAIRS = 20_000, 8, 16_384, 1 << 17
+CALIBRATE_QUERIES, TARGET_RECALL, LEAST_RECALL, FIRST_VISITS = 128, 0.97, 0.9, 4
+RADIUS_PARTS = (0.0, 0.5, 1.0)
 OUT = "query_id long, vec_id long, score double"
 
 
@@ -83,9 +88,9 @@ def nearest_leaf(tree: Tree, x: np.ndarray) -> np.ndarray:
     return np.array(tree.leaf_of)[nodes[pick]]
 
 
-def visit_order(tree: Tree, queries: np.ndarray, visits: int) -> list[list[int]]:
+def visit_order(tree: Tree, queries: np.ndarray, visits: int, part: float = 1.0) -> list[list[int]]:
     """Best-bin-first: the first `visits` leaves of each query, in the order the priority queue gives them."""
-    reach = queries @ tree.centres.T + np.sqrt((queries**2).sum(axis=1))[:, None] * tree.radius
+    reach = queries @ tree.centres.T + part * np.sqrt((queries**2).sum(axis=1))[:, None] * tree.radius
     out = []
     for row in reach:
         queue, found = [(-row[0], 0)], []
@@ -104,39 +109,67 @@ def exact_scores(points: np.ndarray, query: np.ndarray) -> np.ndarray:
     return np.cumsum(points * query, axis=1)[:, -1]
 
 
-def best_of(ids: np.ndarray, points: np.ndarray, query_id: int, query: np.ndarray, rough: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
-    """(vec_ids, scores) of the k best rows, the query's own excepted: rough products choose, exact ones decide."""
-    rough = np.where(ids == query_id, -np.inf, rough)
-    if len(rough) > k:
-        kth = np.partition(rough, len(rough) - k)[len(rough) - k]
-        near = np.flatnonzero(rough >= kth - 1e-9 * (1 + abs(kth)))
-    else:
-        near = np.arange(len(rough))
-    near = near[ids[near] != query_id]
-    score = exact_scores(points[near], query)
-    top = np.lexsort((ids[near], -score))[:k]
-    return ids[near][top], score[top]
-
-
-def _search(k: int):
-    def run(rows: pa.Table, asked: pa.Table) -> pa.Table:
-        out: list[list] = [[], [], []]
-        if rows.num_rows and asked.num_rows:
-            ids, points, query_ids, queries = rows["vec_id"].to_numpy(), matrix(rows["vec"]), asked["query_id"].to_numpy(), matrix(asked["query"])
-            floor = asked["floor"].to_numpy()
-            for at in range(0, len(queries), 512):
-                rough = queries[at : at + 512] @ points.T
-                for q, line in enumerate(rough, at):
-                    found, score = best_of(ids, points, query_ids[q], queries[q], line, k)
-                    keep = score >= floor[q]
-                    found, score = found[keep], score[keep]
-                    out[0].append(np.full(len(found), query_ids[q]))
-                    out[1].append(found)
-                    out[2].append(score)
-        flat = [np.concatenate(x) if x else np.empty(0) for x in out]
-        return pa.table([pa.array(flat[0].astype(np.int64)), pa.array(flat[1].astype(np.int64)), pa.array(flat[2].astype(np.float64))], ["query_id", "vec_id", "score"])
-
-    return run
+class Bin:
+    """The rows of a bin by leaf. Of equal vectors only the k + 1 smallest ids stay, which changes no answer."""
+
+    def __init__(self, rows: pa.Table, k: int):
+        leaf, self.k, self.leaves = rows["leaf"].to_numpy(), k, {}
+        ids, points = rows["vec_id"].to_numpy(), matrix(rows["vec"])
+        for one in np.unique(leaf).tolist():
+            self.leaves[one] = first_of_equal(ids[leaf == one], points[leaf == one], k + 1)
+
+    def answer(self, asked: pa.RecordBatch) -> pa.RecordBatch:
+        """Each query's k best rows of the leaves it wants here, its own row excepted, with scores of at least its floor:
+        rough products choose, exact ones decide."""
+        query_ids, queries, floor = asked.column("vec_id").to_numpy(), matrix(asked.column("vec")), asked.column("floor").to_numpy()
+        want = asked.column("want")
+        owner, wanted = np.repeat(np.arange(len(queries)), want.value_lengths().to_numpy()), want.flatten().to_numpy()
+        parts: list[tuple] = []
+        for leaf, (ids, points) in self.leaves.items():
+            who = owner[wanted == leaf]
+            if not len(who):
+                continue
+            rough = queries[who] @ points.T
+            rough[ids == query_ids[who][:, None]] = -np.inf
+            kth = np.partition(rough, len(ids) - self.k, axis=1)[:, len(ids) - self.k] if len(ids) > self.k else np.full(len(who), -np.inf)
+            least = np.maximum(kth, floor[who])
+            least = np.where(np.isfinite(least), least - 1e-9 * (1 + np.abs(least)), -np.inf)
+            at, row = np.nonzero((rough >= least[:, None]) & (rough > -np.inf))
+            for cut in range(0, len(at), PAIRS):
+                q, r = who[at[cut : cut + PAIRS]], row[cut : cut + PAIRS]
+                score = exact_scores(points[r], queries[q])
+                keep = score >= floor[q]
+                parts.append((q[keep], ids[r[keep]], score[keep]))
+        q, found, score = (np.concatenate(x) for x in zip(*parts)) if parts else (np.empty(0, dtype=np.int64), np.empty(0, dtype=np.int64), np.empty(0))
+        order = np.lexsort((found, -score, q))
+        q, found, score = q[order], found[order], score[order]
+        starts = np.concatenate(([0], np.flatnonzero(np.diff(q)) + 1)) if len(q) else np.empty(0, dtype=np.int64)
+        nth = np.arange(len(q)) - np.repeat(starts, np.diff(np.concatenate((starts, [len(q)]))))
+        best = nth < self.k
+        return pa.RecordBatch.from_arrays([pa.array(query_ids[q[best]]), pa.array(found[best]), pa.array(score[best])], ["query_id", "vec_id", "score"])
+
+
+@dataclass
+class Layout:
+    """Bins of leaves: a leaf's first bin, and over how many bins its rows are dealt by hash of vec_id."""
+
+    first: np.ndarray
+    parts: np.ndarray
+
+
+def lay_out(sizes: np.ndarray) -> Layout:
+    """Leaves, in the order of the tree, to bins of at most BIN_ROWS rows; a larger leaf has several of its own."""
+    first, parts, at, filled = np.zeros(len(sizes), dtype=np.int32), np.ones(len(sizes), dtype=np.int32), 0, 0
+    for leaf, n in enumerate(sizes.tolist()):
+        if filled and filled + n > BIN_ROWS:
+            at, filled = at + 1, 0
+        first[leaf] = at
+        if n > BIN_ROWS:
+            parts[leaf] = -(-n // BIN_ROWS)
+            at += int(parts[leaf])
+        else:
+            filled += n
+    return Layout(first, parts)
 
 
 def _ranked(found: DataFrame, k: int) -> DataFrame:
@@ -144,31 +177,35 @@ def _ranked(found: DataFrame, k: int) -> DataFrame:
     return found.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
 
 
-def brute_force(rows: DataFrame, queries: DataFrame, k: int, chunks: int) -> DataFrame:
-    """Exact neighbours of a bounded set of queries (query_id, query) over all rows, a chunk of rows in a task."""
-    data = rows.select("vec_id", "vec", F.pmod(F.xxhash64("vec_id"), F.lit(chunks)).cast("int").alias("chunk"))
-    asked = queries.withColumn("floor", F.lit(float("-inf"))).withColumn("chunk", F.explode(F.sequence(F.lit(0), F.lit(chunks - 1))))
-    return _ranked(data.groupBy("chunk").cogroup(asked.groupBy("chunk")).applyInArrow(_search(k), OUT), k)
-
-
-def leaf_search(chunked: DataFrame, asked: DataFrame, k: int) -> DataFrame:
-    """Best rows of each (leaf, chunk) for the queries asked of it (query_id, query, leaf, chunk, floor). The queries of a
-    chunk are dealt by hash into blocks of about QUERY_ROWS, and its rows go to each of its blocks."""
-    asked = write_table(asked.select("query_id", "query", "leaf", "chunk", "floor"), "asked")
-    blocks = asked.groupBy("leaf", "chunk").agg(F.ceil(F.count(F.lit(1)) / QUERY_ROWS).cast("int").alias("blocks"))
-    keys = ["leaf", "chunk", "block"]
-    dealt = asked.join(blocks, ["leaf", "chunk"]).withColumn("block", F.pmod(F.xxhash64("query_id", F.lit("block")), F.col("blocks")).cast("int"))
-    rows = chunked.join(blocks, ["leaf", "chunk"]).withColumn("block", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    return rows.select(*keys, "vec_id", "vec").groupBy(*keys).cogroup(dealt.select(*keys, "query_id", "query", "floor").groupBy(*keys)).applyInArrow(_search(k), OUT)
+def calibrate(tree: Tree, queries: np.ndarray, owner: np.ndarray, leaf: np.ndarray, sizes: np.ndarray, recall: float) -> tuple[int, float]:
+    """(visits, part of the radius) that read the fewest rows and reach `recall` over all true neighbours and LEAST_RECALL
+    for nine in ten queries. owner, leaf: query number and leaf of each true neighbour."""
+    leaves, options = len(sizes), []
+    for part in RADIUS_PARTS:
+        order = np.array(visit_order(tree, queries, leaves, part))
+        place = np.empty_like(order)
+        np.put_along_axis(place, order, np.arange(leaves)[None, :].repeat(len(order), axis=0), axis=1)
+        at = place[owner, leaf]
+        total = np.bincount(owner, minlength=len(queries))
+        visits = leaves
+        for v in range(1, leaves + 1):
+            own = np.bincount(owner[at < v], minlength=len(queries)) / np.maximum(total, 1)
+            if (at < v).mean() >= recall and (own[total > 0] >= LEAST_RECALL).mean() >= 0.9:
+                visits = v
+                break
+        options.append((float(sizes[order[:, :visits]].sum()), visits, part))
+    _, visits, part = min(options)
+    return visits, part
 
 
 def neighbours(embeddings: DataFrame, k: int = 20, every: int = 20, recall: float = TARGET_RECALL) -> DataFrame:
     """(query_id, rank, vec_id, score): for each row whose vec_id is divisible by `every`, its k nearest rows found, by
     inner product in double precision of the original vectors, ties to the smaller vec_id, its own row excepted.
 
-    Vectors that vectors.usable leaves out take no part (zero vectors neither). With at most k candidates all are
-    returned. An empty table gives no rows. The sample for the tree (SAMPLE_ROWS) and the queries for calibration
-    (CALIBRATE_QUERIES) are bounded and chosen by hash; all rows are indexed and all queries answered.
+    Vectors that vectors.usable leaves out take no part (zero vectors neither). Every query gets k rows, or all
+    candidates if there are fewer. An empty table gives no rows. The sample for the tree (SAMPLE_ROWS) and the queries
+    for calibration (CALIBRATE_QUERIES) are bounded and chosen by hash; all rows are indexed and all queries answered.
+    Where vectors have no structure a tree cannot prune, and calibration then visits most leaves: see the README.
     """
     spark = embeddings.sparkSession
     rows = write_table(usable(embeddings, zero_ok=False), "vectors")
@@ -190,38 +227,62 @@ def neighbours(embeddings: DataFrame, k: int = 20, every: int = 20, recall: floa
                 yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(leaf.astype(np.int32))], ["vec_id", "vec", "leaf"])
 
     placed = write_table(rows.mapInArrow(place, "vec_id long, vec array<double>, leaf int"), "leaves")
-    sizes = placed.groupBy("leaf").agg(F.ceil(F.count(F.lit(1)) / CHUNK_ROWS).cast("int").alias("chunks"))  # a row a leaf: bounded by the sample
-    chunked = placed.join(F.broadcast(sizes), "leaf").withColumn("chunk", F.pmod(F.xxhash64("vec_id"), F.col("chunks")).cast("int"))
-
-    def asked(which: DataFrame, visits: int) -> DataFrame:
-        def order(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    sizes = np.zeros(n_leaves, dtype=np.int64)
+    for r in placed.groupBy("leaf").count().collect():  # a row a leaf: bounded by the sample
+        sizes[r["leaf"]] = r["count"]
+    layout = lay_out(sizes)
+    bins = spark.createDataFrame([(i, int(a), int(b)) for i, (a, b) in enumerate(zip(layout.first, layout.parts))], "leaf int, first int, parts int")
+    shard = (F.col("first") + F.pmod(F.xxhash64("vec_id"), F.col("parts"))).cast("int")
+    indexed = placed.join(F.broadcast(bins), "leaf").select(shard.alias("shard"), F.lit(0).alias("asks"), "vec_id", "vec", "leaf", F.lit(None).cast("array<int>").alias("want"), F.lit(None).cast("double").alias("floor"))
+    tasks = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    columns = "shard int, asks int, vec_id long, vec array<double>, leaf int, want array<int>, floor double"
+
+    def asked(which: DataFrame, after: int, upto: int, part: float) -> DataFrame:
+        """Queries (vec_id, vec, floor) dealt to the bins of their visits number `after` to `upto`."""
+
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for batch in batches:
-                if batch.num_rows:
-                    lists = visit_order(tree, matrix(batch.column("vec")), visits)
-                    yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(lists, pa.list_(pa.int32()))], ["query_id", "query", "visit"])
-
-        listed = which.select("vec_id", "vec").mapInArrow(order, "query_id long, query array<double>, visit array<int>")
-        each = listed.select("query_id", "query", F.posexplode("visit").alias("place", "leaf")).join(F.broadcast(sizes), "leaf")
-        return each.select("query_id", "query", "place", "leaf", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)).alias("chunk"))
-
-    queries = placed.where(F.col("vec_id") % every == 0)
-    pool = queries.orderBy(F.xxhash64("vec_id", F.lit("calibrate")), "vec_id").limit(CALIBRATE_QUERIES)
-    truth = brute_force(rows, write_table(pool.select(F.col("vec_id").alias("query_id"), F.col("vec").alias("query")), "calibration"), k, max(1, -(-n // 16384)))
-    at = asked(pool, n_leaves).select("query_id", "place", "leaf").distinct()
-    found_at = truth.join(placed.select("vec_id", "leaf"), "vec_id").join(at, ["query_id", "leaf"])  # at most CALIBRATE_QUERIES * k rows
-    spread = found_at.groupBy("place").count().orderBy("place").collect()  # at most one row a leaf
-    visits, total, got = n_leaves, sum(r["count"] for r in spread), 0
-    for r in spread:
-        got += r["count"]
-        if got >= recall * total:
-            visits = r["place"] + 1
-            break
-
-    def wave(which: DataFrame) -> DataFrame:
-        return leaf_search(chunked, which, k)
-
-    listed = asked(queries, visits)
-    first = write_table(_ranked(wave(asked(queries, FIRST_VISITS).withColumn("floor", F.lit(float("-inf")))), k).drop("rank"), "wave1")
-    kth = first.groupBy("query_id").agg(F.when(F.count(F.lit(1)) == k, F.min("score")).alias("kth"))
-    rest = listed.where(F.col("place") >= FIRST_VISITS).join(kth, "query_id", "left").withColumn("floor", F.coalesce("kth", F.lit(float("-inf")))).drop("kth")
-    return _ranked(first.unionByName(wave(rest)), k).select("query_id", "rank", "vec_id", "score")
+                for at in range(0, batch.num_rows, 1024):
+                    own = batch.slice(at, 1024)
+                    row, shards, want = [], [], []
+                    for i, leaves in enumerate(visit_order(tree, matrix(own.column("vec")), upto, part)):
+                        by_bin: dict[int, list[int]] = {}
+                        for leaf in leaves[after:]:
+                            for b in range(layout.first[leaf], layout.first[leaf] + layout.parts[leaf]):
+                                by_bin.setdefault(int(b), []).append(leaf)
+                        row += [i] * len(by_bin)
+                        shards += by_bin
+                        want += by_bin.values()
+                    vec_id, vec, floor = (own.column(c).take(pa.array(row, pa.int64())) for c in ("vec_id", "vec", "floor"))
+                    ones, none = pa.array(np.ones(len(row), dtype=np.int32)), pa.array([None] * len(row), pa.int32())
+                    yield pa.RecordBatch.from_arrays([pa.array(shards, pa.int32()), ones, vec_id, vec, none, pa.array(want, pa.list_(pa.int32())), floor], [c.split()[0] for c in columns.split(", ")])
+
+        return which.select("vec_id", "vec", "floor").mapInArrow(run, columns)
+
+    def search(which: DataFrame, after: int, upto: int, part: float) -> DataFrame:
+        both = indexed.unionByName(asked(which, after, upto, part)).repartition(tasks, "shard").sortWithinPartitions("shard", "asks")
+        return both.mapInArrow(streamed(lambda table: Bin(table, k), lambda found, batch: found.answer(batch)), OUT)
+
+    lowest = F.lit(float("-inf"))
+    queries = placed.where(F.col("vec_id") % every == 0).withColumn("floor", lowest)
+    pool = write_table(queries.orderBy(F.xxhash64("vec_id", F.lit("calibrate")), "vec_id").limit(CALIBRATE_QUERIES), "calibration")
+    truth = _ranked(search(pool, 0, n_leaves, 0.0), k).select("query_id", "vec_id")
+    known = placed.select("vec_id", "leaf").join(F.broadcast(truth), "vec_id").select("query_id", "leaf").toArrow()  # at most CALIBRATE_QUERIES * k rows
+    asks = pool.select("vec_id", "vec").toArrow()
+    number = {q: i for i, q in enumerate(asks["vec_id"].to_pylist())}
+    owner = np.array([number[q] for q in known["query_id"].to_pylist()], dtype=np.int64)
+    visits, part = calibrate(tree, matrix(asks["vec"]), owner, known["leaf"].to_numpy(), sizes, recall) if len(owner) else (n_leaves, 0.0)
+
+    early = min(FIRST_VISITS, visits)
+    found = write_table(_ranked(search(queries, 0, early, part), k).drop("rank"), "wave1")
+    for after, upto in ((early, visits), (visits, n_leaves)):
+        if after >= upto:
+            continue
+        kth = found.groupBy(F.col("query_id").alias("vec_id")).agg(F.count(F.lit(1)).alias("_n"), F.min("score").alias("_kth"))
+        rest = queries.drop("floor").join(kth, "vec_id", "left").withColumn("floor", F.when(F.col("_n") == k, F.col("_kth")).otherwise(lowest))
+        if after == visits:  # only queries that are short of rows go on
+            rest = rest.where(F.coalesce("_n", F.lit(0)) < min(k, n - 1))
+            if rest.isEmpty():
+                continue
+        found = write_table(_ranked(found.unionByName(search(rest, after, upto, part)), k).drop("rank"), "wave")
+    return _ranked(found, k).select("query_id", "rank", "vec_id", "score")

@@ -12,18 +12,16 @@ whole numbers beyond, so scores are exact in every case.
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator
-
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .scratch import write_table
-from .vectors import matrix, usable
+from .vectors import first_of_equal, matrix, streamed, usable
 
 SCALE = 64
-SHARD_ROWS, QUERY_ROWS, LEAF_ROWS = 8192, 1024, 64
+SHARD_ROWS, LEAF_ROWS = 8192, 64
 OUT = "query_id long, vec_id long, score long"
 NONE = -(1 << 63)
 
@@ -114,36 +112,8 @@ class Shard:
         return tuple(np.array(x, dtype=np.int64) for x in zip(*out)) if out else (np.empty(0, dtype=np.int64),) * 3
 
 
-def streamed(index: Callable[[pa.Table], object], answer: Callable[[object, pa.RecordBatch], pa.RecordBatch]) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
-    """Rows sorted by (shard, asks): a shard's rows (asks = 0) are gathered and indexed, its queries (asks = 1) answered
-    a batch at a time. Memory: one shard and one batch of queries."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        shard, held, found = None, [], None
-        for batch in batches:
-            if not batch.num_rows:
-                continue
-            key = batch.column("shard").to_numpy().astype(np.int64) * 2 + batch.column("asks").to_numpy()
-            starts = np.concatenate(([0], np.flatnonzero(np.diff(key)) + 1))
-            for a, b in zip(starts.tolist(), [*starts[1:].tolist(), len(key)]):
-                own, asks = divmod(int(key[a]), 2)
-                if own != shard:
-                    shard, held, found = own, [], None
-                part = batch.slice(a, b - a)
-                if not asks:
-                    held.append(part)
-                    continue
-                if held:
-                    found, held = index(pa.Table.from_batches(held)), []
-                if found is not None:
-                    for at in range(0, part.num_rows, QUERY_ROWS):
-                        yield answer(found, part.slice(at, QUERY_ROWS))
-
-    return run
-
-
-def _index(rows: pa.Table) -> Shard:
-    return Shard(rows["vec_id"].to_numpy(), np.floor(matrix(rows["vec"]) * SCALE))
+def _index(k: int):
+    return lambda rows: Shard(*first_of_equal(rows["vec_id"].to_numpy(), np.floor(matrix(rows["vec"]) * SCALE), k + 1))
 
 
 def _answer(k: int):
@@ -179,7 +149,7 @@ def top_k(embeddings: DataFrame, k: int = 20, every: int = 20) -> DataFrame:
 
     def wave(asked: DataFrame) -> DataFrame:
         both = placed.unionByName(asked).repartition(tasks, "shard").sortWithinPartitions("shard", "asks")
-        return both.mapInArrow(streamed(_index, _answer(k)), OUT)
+        return both.mapInArrow(streamed(_index(k), _answer(k)), OUT)
 
     first = write_table(_best(wave(queries), k).drop("rank"), "wave1")
     kth = first.groupBy("query_id").agg(F.when(F.count(F.lit(1)) == k, F.min("score")).alias("_kth"))

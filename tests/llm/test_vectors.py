@@ -1,7 +1,7 @@
 import numpy as np
 import pytest
 
-from finsignal.llm import ann, exact_topk
+from finsignal.llm import ann, exact_topk, vectors
 
 SCHEMA = "vec_id long, embedding array<float>, label int, score long"
 
@@ -24,7 +24,7 @@ def best(x, q, k, skip):
 @pytest.mark.parametrize(("shard", "block"), [(8192, 4096), (50, 7)])
 def test_exact(spark, monkeypatch, shard, block):
     monkeypatch.setattr(exact_topk, "SHARD_ROWS", shard)
-    monkeypatch.setattr(exact_topk, "QUERY_ROWS", block)
+    monkeypatch.setattr(vectors, "QUERY_ROWS", block)
     x, df = table(spark, 400)
     x = np.floor(64 * x)
     got = exact_topk.top_k(df).toPandas()
@@ -86,29 +86,47 @@ def test_recall(spark):
 
 
 def test_query_side_is_bounded(spark, monkeypatch, tmp_path):
-    """Queries that all visit one leaf are searched in blocks, with the same result."""
+    """Queries that all visit one leaf are answered in small batches, with the same result."""
     rows = [(i, [1.0, 2.0 + i % 7], 0, 1) for i in range(600)]
     df = spark.createDataFrame(rows, SCHEMA)
     want = sorted(map(tuple, ann.neighbours(df, every=2).collect()))
-    monkeypatch.setattr(ann, "QUERY_ROWS", 16, raising=False)
-    search, folder = ann._search, str(tmp_path)
+    monkeypatch.setattr(vectors, "QUERY_ROWS", 16)
+    answer, folder = ann.Bin.answer, str(tmp_path)
 
-    def noted(k):
-        run = search(k)
+    def noted(self, asked):
+        import uuid
 
-        def one(rows, asked):
-            import uuid
+        open(f"{folder}/{asked.num_rows}-{uuid.uuid4().hex}", "w").close()
+        return answer(self, asked)
 
-            if "floor" in asked.column_names and "leaf" in asked.column_names:
-                open(f"{folder}/{asked.num_rows}-{uuid.uuid4().hex}", "w").close()
-            return run(rows, asked)
-
-        return one
-
-    monkeypatch.setattr(ann, "_search", noted)
+    monkeypatch.setattr(ann.Bin, "answer", noted)
     assert sorted(map(tuple, ann.neighbours(df, every=2).collect())) == want
     sizes = [int(p.name.split("-")[0]) for p in tmp_path.iterdir()]
-    assert sum(sizes) >= 300 and max(sizes) <= 48
+    assert sum(sizes) >= 300 and max(sizes) <= 16
+
+
+def test_large_leaves_and_short_queries(spark, monkeypatch):
+    """Leaves over several bins, and queries whose visits hold fewer than k rows."""
+    monkeypatch.setattr(ann, "BIN_ROWS", 40)
+    monkeypatch.setattr(ann, "calibrate", lambda *a: (1, 0.5))
+    rng = np.random.default_rng(4)
+    centres = 10 * rng.normal(size=(30, 4))
+    x = np.concatenate([np.repeat(centres[:1], 300, axis=0), centres[rng.integers(1, 30, 300)]]) + 0.01 * rng.normal(size=(600, 4))
+    df = spark.createDataFrame([(i, [float(v) for v in row], 0, 1) for i, row in enumerate(x)], SCHEMA)
+    got = ann.neighbours(df).toPandas()
+    assert (got.groupby("query_id").size() == 20).all() and got.query_id.nunique() == 30
+    short = set(ann.lay_out(np.array([100, 5, 30, 20])).first.tolist())
+    assert short == {0, 3, 4} and ann.lay_out(np.array([100, 5, 30, 20])).parts.tolist() == [3, 1, 1, 1]
+
+
+def test_equal_vectors_keep_answers():
+    rng = np.random.default_rng(5)
+    points, ids = rng.integers(0, 3, size=(500, 2)).astype(float), rng.permutation(500)
+    kept_ids, kept = vectors.first_of_equal(ids, points, 4)
+    assert (np.diff(kept_ids) > 0).all()
+    for v in np.unique(points, axis=0):
+        same = np.sort(ids[(points == v).all(axis=1)])
+        assert kept_ids[(kept == v).all(axis=1)].tolist() == same[:4].tolist()
 
 
 def test_zero_vectors(spark):
