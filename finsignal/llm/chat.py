@@ -68,13 +68,14 @@ def fold(events: DataFrame) -> DataFrame:
     """Final messages (conv_id, slot, role, text) of an event log.
 
     An event survives if no later edit or regeneration hit its own or an earlier message. A message's role is the last
-    one given to it. Null text adds nothing; repeated equal events count once; messages without a surviving event go.
+    one given to it (of several at one seq the largest). Null text adds nothing; repeated equal events count once;
+    messages without a surviving event go. Events with a null conv_id are one conversation; an empty log gives no rows.
     """
     upto = Window.partitionBy("conv_id").orderBy("slot").rangeBetween(Window.unboundedPreceding, Window.currentRow)
     reset = F.max(F.when(F.col("kind").isin(*RESETS), F.col("seq"))).over(upto)
     alive = F.col("_fs_reset").isNull() | (F.col("seq") >= F.col("_fs_reset"))
     piece = F.when(alive, F.struct("seq", F.coalesce("text", F.lit("")).alias("text")))
-    messages = events.withColumn("_fs_reset", reset).groupBy("conv_id", "slot").agg(F.max_by("role", F.when(F.col("role").isNotNull(), F.col("seq"))).alias("role"), F.collect_list(piece).alias("_fs_pieces"))
+    messages = events.withColumn("_fs_reset", reset).groupBy("conv_id", "slot").agg(F.max(F.when(F.col("role").isNotNull(), F.struct("seq", "role")))["role"].alias("role"), F.collect_list(piece).alias("_fs_pieces"))
     text = F.array_join(F.transform(F.array_sort(F.array_distinct("_fs_pieces")), lambda p: p["text"]), "")
     return messages.where(F.size("_fs_pieces") > 0).select("conv_id", "slot", F.coalesce("role", F.lit("")).alias("role"), text.alias("text"))
 
@@ -83,7 +84,7 @@ def render(messages: DataFrame, template: Template = Template()) -> DataFrame:
     """One row per conversation: conv_id, formatted, turn_spans array<struct<start, loss_start, loss_end>>.
 
     Spans are code points in `formatted`; [loss_start, loss_end) is the text of a masked (assistant) turn and empty for
-    other turns.
+    other turns. Messages with a null conv_id are one conversation; no messages, no rows; other columns are ignored.
     """
     head = F.concat(F.lit(template.turn), template.escape_role(F.col("role")), F.lit("\n"))
     body = messages.withColumns({"_fs_head": head, "_fs_body": template.escape(F.col("text"))})
@@ -97,7 +98,8 @@ def render(messages: DataFrame, template: Template = Template()) -> DataFrame:
 
 
 def read_back(rendered: DataFrame, template: Template = Template()) -> DataFrame:
-    """Parse rendered conversations: adds turns array<struct<role, text>> and loss_texts array<string>, unescaped."""
+    """Parse rendered conversations: adds turns array<struct<role, text>> and loss_texts array<string>, unescaped. Masked
+    turns without text add nothing to loss_texts; an empty table gives no rows."""
     parts = F.slice(F.split("formatted", f"\\Q{template.turn}\\E", -1), F.lit(2), F.greatest(F.size("turn_spans"), F.lit(0)))
 
     def turn(part: Column) -> Column:
@@ -117,5 +119,6 @@ def read_back(rendered: DataFrame, template: Template = Template()) -> DataFrame
 
 
 def format_turns(turns: DataFrame, template: Template = Template()) -> DataFrame:
-    """Finished turns to rendered conversations, through the event log."""
+    """Finished turns to rendered conversations, through the event log. Null roles and texts count as empty, equal turns
+    each, turns without conv_id as one conversation; an empty table gives no rows; other columns are ignored."""
     return render(fold(events_from_turns(turns)), template)

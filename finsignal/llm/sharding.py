@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 # The multiplier of the published jump hash generator, 2862933555777941757, in 32- and 16-bit parts.
 MULT_HIGH, MULT_LOW1, MULT_LOW0 = 0x27BB2EE6, 0x87B0, 0xB0FD
 MASK32 = 0xFFFFFFFF
+RANGE_ROWS = 10_000  # slots that one row becomes at a time
 
 
 def key_halves(key: Column) -> tuple[Column, Column]:
@@ -57,8 +58,9 @@ def assign_shards(df: DataFrame, key: str, shards: int, grown: int | None = None
 def number_slots(df: DataFrame, shard_col: str, keys: list[str], spread: Column, slot_col: str = "slot") -> DataFrame:
     """Gapless numbers from 0 inside each shard, ordered by (spread, keys); rows of one shard never meet in one task.
 
-    df: narrow rows (shard, keys). Equal rows are counted before the shuffle and expanded after it, so a key that
-    holds a third of all rows costs one row per task. `spread`: a small integer expression of bounded range, which
+    df: narrow rows (shard, keys). Equal rows are counted before the shuffle and expanded after it, in ranges of at most
+    RANGE_ROWS that are dealt to tasks anew, so a key that holds a third of all rows costs one row a task on the way in,
+    and neither one task nor one array on the way out. `spread`: a small integer expression of bounded range, which
     splits a shard into pieces; pieces get their offsets from a table of shards x pieces counts.
     """
     cols = [shard_col, "_fs_piece", *keys]
@@ -70,7 +72,14 @@ def number_slots(df: DataFrame, shard_col: str, keys: list[str], spread: Column,
     started = packed.withColumn("_fs_start", F.coalesce(F.sum("_fs_n").over(inside), F.lit(0)))
     at = F.col("_fs_offset") + F.col("_fs_start")
     joined = started.join(F.broadcast(offsets), [shard_col, "_fs_piece"])  # at most shards x pieces rows
-    return joined.withColumn(slot_col, F.explode(F.sequence(at, at + F.col("_fs_n") - 1))).drop("_fs_piece", "_fs_n", "_fs_start", "_fs_offset")
+    named = joined.withColumn("_fs_at", at).drop("_fs_piece", "_fs_start", "_fs_offset")
+    one = named.where("_fs_n = 1").withColumn(slot_col, F.col("_fs_at"))
+    ranges = named.where("_fs_n > 1").withColumn("_fs_no", F.explode(F.sequence(F.lit(0).cast("long"), F.floor((F.col("_fs_n") - 1) / RANGE_ROWS))))
+    first = F.col("_fs_at") + F.col("_fs_no") * RANGE_ROWS
+    last = F.least(first + RANGE_ROWS, F.col("_fs_at") + F.col("_fs_n")) - 1
+    tasks = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    many = ranges.withColumns({"_fs_first": first, "_fs_last": last}).repartition(tasks).withColumn(slot_col, F.explode(F.sequence("_fs_first", "_fs_last")))
+    return one.drop("_fs_n", "_fs_at").unionByName(many.drop("_fs_n", "_fs_at", "_fs_no", "_fs_first", "_fs_last"))
 
 
 def shard_documents(documents: DataFrame, shards: int = 16, pieces: int = 512) -> DataFrame:

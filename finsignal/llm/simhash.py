@@ -20,12 +20,12 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .components import components
-from .scratch import write_table
+from .scratch import join_counted, write_table
 
 SHINGLE, SEED, BITS = 4, 42, 4
 LOW_BITS = 0x5555555555555555  # the lower bit of every two-bit segment
 BLOCK_BYTES, BLOCK_SHINGLES = 4 << 20, 1 << 16
-SMALL_CELL = 12
+SMALL_CELL, LARGE_CELL = 12, 4096
 
 
 def _signed(x: int) -> int:
@@ -101,8 +101,9 @@ def grid_masks(bits: int, agree: int = 3) -> list[int]:
     return [sum(choice) for choice in combinations(parts, agree)]
 
 
-def _tree(fp: np.ndarray, bits: int) -> list[tuple[int, int]]:
-    """Links that connect what is connected in one cell, by breadth-first search: fewer than its fingerprints."""
+def _tree(fp: np.ndarray, bits: int) -> list[np.ndarray]:
+    """Links that connect what is connected in one cell, by breadth-first search, as arrays of shape (2, n): fewer links
+    than fingerprints."""
     code, left, found = _embed(fp), np.arange(len(fp)), []
     while len(left):
         queue, left = [left[0]], left[1:]
@@ -112,12 +113,31 @@ def _tree(fp: np.ndarray, bits: int) -> list[tuple[int, int]]:
             near[near] = np.bitwise_count(fp[left[near]] ^ fp[at]) <= bits
             if near.any():
                 new = left[near]
-                found.extend((int(at), int(x)) for x in new)
+                found.append(np.stack([np.full(len(new), fp[at]), fp[new]]))
                 queue.extend(new)
                 left = left[~near]
     return found
 
 
+def _split(fp: np.ndarray, bits: int) -> list[np.ndarray]:
+    """Links of a cell of any size. A cell above LARGE_CELL is cut by a further exact grid over the segments in which its
+    embeddings differ: of bits + 2 groups of them a linked pair agrees in two, so it shares one of the finer cells."""
+    if len(fp) <= LARGE_CELL:
+        return _tree(fp, bits)
+    code = _embed(fp)
+    differ = int(np.bitwise_or.reduce(code ^ code[0]))
+    segments = [3 << (2 * s) for s in range(32) if differ >> (2 * s) & 3]
+    if len(segments) < bits + 2:
+        return _tree(fp, bits)
+    found = []
+    for a, b in combinations([sum(segments[g :: bits + 2]) for g in range(bits + 2)], 2):
+        order = np.argsort(key := code & np.uint64(a | b), kind="stable")
+        for part in np.split(fp[order], np.flatnonzero(np.diff(key[order])) + 1):
+            if len(part) > 1:
+                found += _split(part, bits) if 2 * len(part) < len(fp) else _tree(part, bits)
+    return found
+
+
 def _cell_links(cell: np.ndarray, fp: np.ndarray, bits: int) -> tuple[np.ndarray, np.ndarray]:
     """Links of whole cells; rows of one cell stand together."""
     edge = np.flatnonzero(np.diff(cell)) + 1
@@ -134,11 +154,9 @@ def _cell_links(cell: np.ndarray, fp: np.ndarray, bits: int) -> tuple[np.ndarray
         a.append(fp[i])
         b.append(fp[i + d])
     for k in np.flatnonzero(sizes > SMALL_CELL):
-        own = fp[starts[k] : starts[k] + sizes[k]]
-        if tree := _tree(own, bits):
-            pair = np.array(tree)
-            a.append(own[pair[:, 0]])
-            b.append(own[pair[:, 1]])
+        for pair in _split(fp[starts[k] : starts[k] + sizes[k]], bits):
+            a.append(pair[0])
+            b.append(pair[1])
     none = np.empty(0, dtype=np.uint64)
     return (np.concatenate(a), np.concatenate(b)) if a else (none, none)
 
@@ -173,7 +191,10 @@ def _links(bits: int):
 def near_links(distinct: DataFrame, bits: int = BITS) -> DataFrame:
     """distinct(fp) -> links (u, v) that connect all fingerprints joined by chains of at most `bits` differing bits.
 
-    One shuffle of 35 rows of 16 bytes for each distinct fingerprint, sorted by cell inside its partitions.
+    One shuffle of 35 rows of 16 bytes for each distinct fingerprint, sorted by cell inside its partitions: the same at
+    every size. A cell is told by three of seven groups of segments, about 19 bits, so n unlike fingerprints meet n / 2**19
+    others in each of the 35 grids: 7 comparisons a fingerprint for 10**5 of them, 7,000 for 10**8. Cells above LARGE_CELL
+    fingerprints are cut further in memory, which divides that by about 20. A task holds a cell as 16 bytes a fingerprint.
     """
     cells = F.array(*[F.xxhash64(F.lit(i), F.col("_code").bitwiseAND(F.lit(_signed(m)))) for i, m in enumerate(grid_masks(bits))])
     rows = distinct.withColumn("_code", embed(F.col("fp"))).select(F.explode(cells).alias("cell"), "fp")
@@ -189,12 +210,14 @@ def near_duplicates(documents: DataFrame, bits: int = BITS) -> DataFrame:
     doc_id (null if there is none); an empty table gives no rows; other columns are ignored.
     """
     docs = write_table(fingerprints(documents), "fingerprints")
-    nodes = write_table(docs.groupBy("fp").agg(F.min("doc_id").alias("first")), "nodes")
+    nodes = write_table(docs.groupBy("fp").agg(F.min("doc_id").alias("first"), F.count(F.lit(1)).alias("rows")), "nodes")
     roots = write_table(components(near_links(nodes.select("fp"), bits)), "roots").withColumnRenamed("u", "fp")
     linked = nodes.join(roots, "fp").groupBy("root").agg(F.min("first").alias("first"))
     named = roots.join(linked, "root").select("fp", F.col("first").alias("_joined"), F.lit(True).alias("_in"))
-    ids = nodes.join(named, "fp", "left").select("fp", F.when(F.col("_in"), F.col("_joined")).otherwise(F.col("first")).alias("component_id"))
-    return docs.join(ids, "fp").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+    ids = nodes.join(named, "fp", "left").select("fp", F.when(F.col("_in"), F.col("_joined")).otherwise(F.col("first")).alias("component_id"), "rows")
+    total = nodes.agg(F.sum("rows")).first()[0] or 0
+    whole = join_counted(docs, write_table(ids, "ids"), "fp", total)
+    return whole.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
 # ---- near copies by similarity of 5-word shingles: MinHash bands for candidates, exact Jaccard for links --------------
@@ -280,7 +303,7 @@ def similar_groups(documents: DataFrame) -> DataFrame:
     """
     named = documents.where("doc_id is not null").select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     docs = write_table(named.mapInArrow(_signatures, "doc_id long, k long, n long, bands array<long>"), "signatures")
-    nodes = write_table(docs.groupBy("k").agg(F.min("doc_id").alias("id"), F.first("n").alias("n"), F.first("bands").alias("bands")), "nodes")
+    nodes = write_table(docs.groupBy("k").agg(F.min("doc_id").alias("id"), F.first("n").alias("n"), F.first("bands").alias("bands"), F.count(F.lit(1)).alias("rows")), "nodes")
     cells = nodes.where("n > 0").select("k", "n", F.explode("bands").alias("cell"))
     hubs = cells.groupBy("cell").agg(F.min(F.struct("k", "n")).alias("hub"), F.count(F.lit(1)).alias("rows")).where("rows > 1").select("cell", F.col("hub.k").alias("hub"), F.col("hub.n").alias("hub_n"))
     shared = write_table(cells.join(hubs, "cell"), "cells")  # bands that two nodes or more share
@@ -298,9 +321,11 @@ def similar_groups(documents: DataFrame) -> DataFrame:
     more = write_table(verified(write_table(second, "pairs"), nodes, documents), "similar")
 
     roots = write_table(components(links.unionByName(more)), "roots").select(F.col("u").alias("k"), "root")
-    grouped = write_table(nodes.select("k", "id").join(roots, "k", "left").select("k", "id", F.coalesce("root", "k").alias("root")), "groups")
-    ids = grouped.join(grouped.groupBy("root").agg(F.min("id").alias("component_id")), "root").select("k", "component_id")
-    return docs.select("doc_id", "k").join(ids, "k").select("doc_id", "component_id")
+    grouped = write_table(nodes.select("k", "id", "rows").join(roots, "k", "left").select("k", "id", "rows", F.coalesce("root", "k").alias("root")), "groups")
+    least = grouped.groupBy("root").agg(F.min("id").alias("component_id"), F.count(F.lit(1)).alias("nodes"))
+    placed = join_counted(grouped, least, "root", nodes.count(), "nodes")
+    ids = write_table(placed.select("k", "component_id", "rows"), "ids")
+    return join_counted(docs.select("doc_id", "k"), ids, "k", docs.count()).select("doc_id", "component_id")
 
 
 def keep_first(documents: DataFrame) -> DataFrame:

@@ -238,7 +238,8 @@ def held_out(doc_id: Column) -> Column:
 def training_rows(documents: DataFrame, labels: DataFrame, bounds: tuple[int, int], max_bytes: int) -> tuple[list[str], list[bool]]:
     """At most bounds = (toxic, clean) labelled texts, of at most max_bytes, chosen by hash; never held-out rows.
 
-    The ids are chosen from the labels alone; the texts then come by a broadcast of those ids, without a shuffle.
+    The ids are chosen from the labels alone; the texts then come by a broadcast of those ids, and only they are shuffled.
+    An id that several documents have counts once, with its smallest text.
     """
     known = labels.where(F.col("toxic").isin(0, 1)).groupBy("doc_id").agg(F.max("toxic").alias("_fs_toxic"))
     known = known.where(F.col("doc_id").isNotNull() & ~held_out(F.col("doc_id")))
@@ -246,7 +247,8 @@ def training_rows(documents: DataFrame, labels: DataFrame, bounds: tuple[int, in
     chosen = [known.where(F.col("_fs_toxic") == c).orderBy(order, "doc_id").limit(n) for c, n in zip((1, 0), bounds)]
     pool = documents.select("doc_id", "text").where(F.col("text").isNotNull() & (F.octet_length("text") <= max_bytes))
     ids = chosen[0].unionByName(chosen[1])
-    rows = pool.join(F.broadcast(ids), "doc_id").select("doc_id", "text", "_fs_toxic").collect()  # sum(bounds) rows
+    found = pool.join(F.broadcast(ids), "doc_id").groupBy("doc_id").agg(F.min("text").alias("text"), F.first("_fs_toxic").alias("_fs_toxic"))
+    rows = found.collect()  # at most sum(bounds) rows, however often an id repeats
     rows.sort(key=lambda r: (r[0], r[1]))
     return [r[1] for r in rows], [bool(r[2]) for r in rows]
 
@@ -294,7 +296,11 @@ def score(documents: DataFrame, chain: Chain | None) -> DataFrame:
 
 
 def drop_toxic(documents: DataFrame, chain: Chain | None) -> DataFrame:
-    """Documents that are not predicted toxic, all columns unchanged; scoring and dropping happen in one pass."""
+    """Documents that are not predicted toxic, all columns unchanged; scoring and dropping happen in one pass.
+
+    Null and empty texts are scored as texts without toxic words; repeated rows are judged each; an empty table gives no
+    rows; without a chain all documents stay.
+    """
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         emissions = _Emissions(chain)
         cut = chain.cut() if chain else 0.0

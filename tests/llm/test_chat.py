@@ -35,8 +35,9 @@ def test_fold(spark):
         (1, 0, 0, "start", "user", "hel"), (1, 0, 1, "delta", None, "lo"), (1, 1, 2, "start", "assistant", "bad"), (1, 1, 3, "delta", None, " answer"), (1, 1, 4, "regenerate", None, "good"),
         (1, 1, 5, "delta", None, "!"), (1, 1, 5, "delta", None, "!"), (2, 0, 0, "start", "user", "a"), (2, 1, 1, "start", "assistant", "b"), (2, 2, 2, "start", "user", "c"), (2, 0, 3, "edit", None, "A"), (2, 1, 4, "start", "assistant", None),
     ]
+    log += [(3, 0, 0, "start", "user", "x"), (3, 0, 0, "start", "system", "x")]  # two roles at one seq: the larger
     got = {(r["conv_id"], r["slot"]): (r["role"], r["text"]) for r in chat.fold(spark.createDataFrame(log, EVENTS)).collect()}
-    assert got == {(1, 0): ("user", "hello"), (1, 1): ("assistant", "good!"), (2, 0): ("user", "A"), (2, 1): ("assistant", "")}
+    assert got == {(1, 0): ("user", "hello"), (1, 1): ("assistant", "good!"), (2, 0): ("user", "A"), (2, 1): ("assistant", ""), (3, 0): ("user", "x")}
 
 
 @settings(max_examples=8, deadline=None, suppress_health_check=[HealthCheck.function_scoped_fixture])

@@ -28,7 +28,9 @@ def test_jump_matches_the_published_loop(spark):
         sharding.jump_shards(F.col("id"), [0])
 
 
-def test_slots_and_growth(spark, docs_of):
+@pytest.mark.parametrize("most", [10_000, 7])
+def test_slots_and_growth(spark, docs_of, monkeypatch, most):
+    monkeypatch.setattr(sharding, "RANGE_ROWS", most)
     rows = EDGE + [(7, "same")] * 500 + [(i, f"t{i}") for i in range(100, 400)]
     got = sharding.shard_documents(docs_of(rows), 4, 8).collect()
     assert len(got) == len(rows)

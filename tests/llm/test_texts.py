@@ -46,10 +46,11 @@ def groups(fp, ids, bits):
     return [out.get(r) for r in root]
 
 
-@pytest.mark.parametrize("small", [12, 2])
-def test_links(spark, monkeypatch, small):
-    """Chains and a dense group of fingerprints against all pairs, through both ways of searching a cell."""
+@pytest.mark.parametrize(("small", "large"), [(12, 4096), (2, 4096), (2, 5)])
+def test_links(spark, monkeypatch, small, large):
+    """Chains and a dense group of fingerprints against all pairs, through all ways of searching a cell."""
     monkeypatch.setattr(simhash, "SMALL_CELL", small)
+    monkeypatch.setattr(simhash, "LARGE_CELL", large)
     rng = random.Random(2)
     fp = [rng.getrandbits(64) for _ in range(40)]
     for base in fp[:6]:
@@ -69,6 +70,30 @@ def test_links(spark, monkeypatch, small):
             assert same == (want[i] == want[j])
 
 
+def test_large_cell_is_cut():
+    """A cell of fingerprints that agree in some segments: the same components as all pairs, by the finer grids."""
+    rng = random.Random(21)
+    fp = np.array(sorted({rng.getrandbits(40) for _ in range(5000)} | {(1 << 39 | i) ^ 1 << j for i in range(300) for j in range(40)}), dtype=np.uint64)
+    assert len(fp) > simhash.LARGE_CELL
+
+    def roots(pairs):
+        root = {int(x): int(x) for x in fp}
+
+        def find(x):
+            while root[x] != x:
+                root[x] = root[root[x]]
+                x = root[x]
+            return x
+
+        for a, b in pairs:
+            root[find(int(a))] = find(int(b))
+        kinds = {}
+        return [kinds.setdefault(find(int(x)), i) for i, x in enumerate(fp)]
+
+    flat = lambda parts: [(a, b) for p in parts for a, b in p.T]
+    assert roots(flat(simhash._split(fp, 4))) == roots(flat(simhash._tree(fp, 4)))
+
+
 def test_near_duplicates_edges(spark, docs_of):
     got = simhash.near_duplicates(docs_of(EDGE)).collect()
     assert len(got) == len(EDGE)
@@ -149,18 +174,29 @@ def brute_repeats(rows):
     return sorted(out, key=str)
 
 
-@pytest.mark.parametrize("piece", [1 << 17, 700])
-def test_repeats(spark, docs_of, monkeypatch, piece):
+@pytest.mark.parametrize(("piece", "hot", "rows_in_batch", "sample"), [(1 << 17, 20, 10_000, 4000), (700, 20, 3, 4000), (1 << 17, 1, 5, 4000), (700, 2, 1, 8)])
+def test_repeats(spark, docs_of, monkeypatch, piece, hot, rows_in_batch, sample):
+    """Short stretches, small batches, and strings that are hot in all documents or in a sample of them."""
     monkeypatch.setattr(repeats, "PIECE", piece)
+    monkeypatch.setattr(repeats, "HOT_LEAST", hot)
+    monkeypatch.setattr(repeats, "SAMPLE_DOCS", sample)
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", rows_in_batch)
     rng = random.Random(4)
     text = lambda n: "".join(rng.choice("abcdé ") for _ in range(n))
     p, q, r = text(260), text(199), text(520)
     rows = [(1, text(300) + p + text(50)), (2, p + text(400)), (3, q + text(9)), (4, q), (5, r + text(100) + r), (6, text(40) + r[:330]), (7, "a" * 450), (8, "ab" * 150 + "c"), (9, None), (10, ""), (11, r), (11, r), (None, p), (12, r[100:420] + text(3)), (13, text(200)), (14, "a" * 199 + "b")]
     got = sorted((tuple(x) for x in repeats.remove_repeats(docs_of(rows)).collect()), key=str)
+    spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
     assert got == brute_repeats(rows)
     assert repeats.remove_repeats(docs_of([])).count() == 0
 
 
+def test_texts_are_not_shuffled(spark, docs_of):
+    """Only the narrow side of the last join is exchanged."""
+    plan = repeats.remove_repeats(docs_of([(1, "a" * 300), (2, "b" * 300)]))._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange") == 1 and "Bucketed: true" in plan
+
+
 def test_pii(spark, docs_of):
     text = "é mail ann@x.example.org, ip 10.0.0.7 and 300.1.1.1 card 4111 1111 1111 1111 or 4111111111111112 call +1 (415) 555-0134."
     rows = EDGE + [(50, text), (51, "password=a9ce335683f9772ddc ok"), (52, "In 1998 about 25 of 1,250 took version 3.")]
