@@ -109,11 +109,14 @@ def op1_raked_mixture(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _sql_op1(targets: mixing.Targets = mixing.Targets()) -> str:
-    topic = """CASE WHEN contains(t, 'password') OR contains(t, 'token = ') THEN 'secrets' WHEN contains(t, '@') OR contains(t, '+1 (') THEN 'contacts'
-      WHEN contains(t, 'License') OR contains(t, 'CC BY') THEN 'licences' WHEN contains(t, '###') OR contains(t, '$$$') THEN 'markup' ELSE 'prose' END"""
     ctes = [
-        f"""facts AS MATERIALIZED (SELECT doc_id, coalesce(source, '(none)') AS source, coalesce(lang, '(none)') AS lang, {topic} AS topic,
-          len(regexp_extract_all(t, '[^ \\t\\n\\v\\f\\r]+'))::BIGINT AS tokens FROM (SELECT *, coalesce(text, '') AS t FROM documents))""",
+        f"""words AS MATERIALIZED (SELECT row_number() OVER () AS r, *, coalesce(text, '') AS t, list_distinct(regexp_extract_all(lower(coalesce(text, '')), '{mixing.ANCHOR}')) AS ws FROM documents)""",
+        "df AS MATERIALIZED (SELECT word, count(*) AS n FROM (SELECT unnest(ws) AS word FROM words) GROUP BY word)",
+        f"""anchors AS MATERIALIZED (SELECT word, row_number() OVER (ORDER BY n, word) AS place FROM (SELECT * FROM df WHERE n * {mixing.TOPIC_LEAST} >= (SELECT count(*) FROM words)
+          AND n * {mixing.TOPIC_MOST} <= (SELECT count(*) FROM words) ORDER BY n DESC, word LIMIT {mixing.TOPICS}))""",
+        "topics AS MATERIALIZED (SELECT r, arg_min(word, place) AS topic FROM (SELECT r, unnest(ws) AS word FROM words) JOIN anchors USING (word) GROUP BY r)",
+        """facts AS MATERIALIZED (SELECT doc_id, coalesce(source, '(none)') AS source, coalesce(lang, '(none)') AS lang, coalesce(topic, '(other)') AS topic,
+          len(regexp_extract_all(t, '[^ \\t\\n\\v\\f\\r]+'))::BIGINT AS tokens FROM words LEFT JOIN topics USING (r))""",
         "cells AS MATERIALIZED (SELECT source, lang, topic, sum(tokens)::DOUBLE AS tokens FROM facts GROUP BY ALL)",
     ]
     for dim in mixing.DIMS:
@@ -131,7 +134,7 @@ def _sql_op1(targets: mixing.Targets = mixing.Targets()) -> str:
     ctes.append(f"rates AS MATERIALIZED (SELECT source, lang, topic, r / max(r) OVER () AS rate FROM (SELECT *, CASE WHEN tokens > 0 THEN w / tokens ELSE 0 END AS r FROM w{len(steps)}))")
     draw = f"('0x' || substr(md5('{targets.seed}:' || coalesce(doc_id::VARCHAR, '')), 1, 13))::BIGINT::DOUBLE / 4503599627370496"
     return f"""WITH {", ".join(ctes)}
-    SELECT doc_id, source, lang, topic, tokens, round(p, 6) AS probability, {draw} < p AS selected
+    SELECT doc_id, source, lang, topic, tokens, round(p, 6) AS probability, p >= 1 OR {draw} < p AS selected, (p >= 1 OR {draw} < p)::INTEGER AS copies
     FROM (SELECT *, CASE WHEN tokens = 0 THEN 1.0 ELSE rate END::DOUBLE AS p FROM facts JOIN rates USING (source, lang, topic))"""
 
 

@@ -1,5 +1,6 @@
 import zlib
 
+import numpy as np
 import pytest
 from conftest import EDGE
 from pyspark.sql import functions as F
@@ -55,6 +56,35 @@ def test_rates_meet_targets(spark):
         assert abs(kept["t0"] / kept["t1"] - 1) < 1e-6
 
 
+def test_many_cells_in_one_value(spark):
+    """The shuffled path meets targets too, and stops once they are met."""
+    cells = [("s0" if a < 30 else f"s{a}", f"l{a % 3}", f"t{a}", 10 + a) for a in range(40)]
+    df = spark.createDataFrame(cells, "source string, lang string, topic string, tokens long")
+    targets = mixing.Targets(exponents={"source": 0.5, "lang": 1.0, "topic": 1.0}, weights={})
+    both = [mixing.rake(df, targets, small).toPandas().sort_values("topic") for small in (True, False)]
+    assert np.allclose(both[0].rate, both[1].rate, atol=1e-9)
+
+
+def test_budget_repeats(spark, docs_of):
+    df = docs_of([(i, "w " * 50) for i in range(400)])
+    for budget in (10_000, 50_000):
+        targets = mixing.Targets(exponents={}, weights={}, budget=budget)
+        out = mixing.mix(df, targets, F.lit("t"))
+        assert abs(out.agg(F.sum(F.col("copies") * F.col("tokens"))).first()[0] / budget - 1) < 0.15
+        assert mixing.keep_mixed(df, targets, F.lit("t")).count() == out.agg(F.sum("copies")).first()[0]
+
+
+def test_topics(spark, docs_of):
+    rows = [(i, "the common words " + ("Apple tart" if i % 10 == 0 else "river bank" if i % 10 == 1 else "more " * i)) for i in range(100)] + [(None, None), (500, "")]
+    df = docs_of(rows)
+    anchors = mixing.fit_topics(df)
+    assert anchors == ["apple", "bank", "river", "tart"]
+    got = {r["doc_id"]: r["topic"] for r in mixing.mix(df).collect()}
+    assert got[10] == "apple" and got[11] == "bank" and got[12] == got[500] == got[None] == "(other)"
+    assert {r["topic"] for r in mixing.mix(df, topic=F.col("spans")).collect()} == {"x"}
+    assert mixing.fit_topics(docs_of([])) == []
+
+
 def test_sample_edges(spark, docs_of):
     rows = EDGE + [(i, "w " * (i % 40)) for i in range(10, 300)]
     df = docs_of(rows).withColumn("source", F.when(F.col("doc_id") == 11, None).otherwise(F.col("source")))
