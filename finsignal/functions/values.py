@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .text import capitalize, strip
@@ -131,6 +131,12 @@ def to_json_row(columns: list[str]) -> Column:
     return F.to_json(F.struct(*columns), {"timestampFormat": "yyyy-MM-dd'T'HH:mm:ssXXX", "dateFormat": "yyyy-MM-dd", "ignoreNullFields": "false"})
 
 
+def missing_fields(df: DataFrame, fields: dict[str, str]) -> DataFrame:
+    """One row of warnings: for each target column the rows whose source field is absent, blank or no number."""
+    values = map_fields(fields, df.columns)
+    return df.select(*[c.alias(n) for n, c in values.items()]).agg(*[F.count_if(F.col(n).isNull()).alias(f"missing_{n}") for n in values])
+
+
 def map_fields(fields: dict[str, str], available: list[str]) -> dict[str, Column]:
     """Target column -> numeric expression of its source field; a missing source is null."""
     return {target: normalize_numeric(F.col(source).cast("string")) if source in available else F.lit(None).cast("double") for source, target in fields.items()}

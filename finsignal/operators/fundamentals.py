@@ -42,6 +42,13 @@ def extract_fundamentals(lines: DataFrame, labels: DataFrame, needed: list[str]
     return out.withColumns({"dividend_per_share": total, "missing": absent}).drop("_d0", "_d1")
 
 
+def history(df: DataFrame, ticker: str, limit: int = 5) -> DataFrame:
+    """A company's newest reports first, 1 to 20 of them."""
+    if not 1 <= limit <= 20:
+        raise ValueError("limit lies in 1..20")
+    return df.where(F.col("ticker") == ticker).orderBy(F.desc("report_date"), F.desc("id")).limit(limit)
+
+
 def ratio(a: Column, b: Column) -> Column:
     """a / b; 0 where b is 0 or null."""
     return F.coalesce(F.try_divide(a, b), F.lit(0.0))

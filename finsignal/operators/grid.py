@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections import Counter
 from dataclasses import dataclass
 
 import pandas as pd
@@ -91,19 +92,26 @@ def candidate_pages(entries: DataFrame, pages: DataFrame, offset: int = 0, back:
     return entries.join(last, "doc_id").where(F.greatest(at - back, F.lit(0)) <= F.least(at + ahead, F.col("_last"))).select("doc_id", "title", F.explode(span).alias("page"))
 
 
+def could_reach(x: str, y: str, cutoff: float) -> bool:
+    """Can the shorter text x reach the cutoff inside y? A match of m characters scores at most 2m / (len(x) + m), and m is
+    at most the number of characters they share."""
+    shared = (Counter(x) & Counter(y)).total()
+    return 200.0 * shared >= cutoff * (len(x) + shared)
+
+
 @F.pandas_udf(DoubleType())
-def partial_ratio(a: pd.Series, b: pd.Series) -> pd.Series:
-    """0..100: best match of the shorter text inside the longer, without case."""
+def partial_ratio(a: pd.Series, b: pd.Series, cutoff: pd.Series) -> pd.Series:
+    """0..100: best match of the shorter text inside the longer, without case; 0 where the cutoff is out of reach."""
     from difflib import SequenceMatcher
 
-    def one(x: str, y: str) -> float:
+    def one(x: str, y: str, least: float) -> float:
         x, y = sorted((x.lower(), y.lower()), key=len)
-        if not x:
+        if not x or not could_reach(x, y, least):
             return 0.0
         blocks = SequenceMatcher(None, x, y, autojunk=False).get_matching_blocks()
         return max(100.0 * SequenceMatcher(None, x, y[max(0, m.b - m.a) : max(0, m.b - m.a) + len(x)], autojunk=False).ratio() for m in blocks)
 
-    return pd.Series([0.0 if x is None or y is None else one(x, y) for x, y in zip(a, b)])
+    return pd.Series([0.0 if x is None or y is None else one(x, y, least) for x, y, least in zip(a, b, cutoff)])
 
 
 def fuzzy_match(titles: DataFrame, title: str, tie: str, targets: list[str], cutoff: float = 50.0) -> DataFrame:
@@ -111,7 +119,7 @@ def fuzzy_match(titles: DataFrame, title: str, tie: str, targets: list[str], cut
     spark = titles.sparkSession
     wanted = F.broadcast(spark.createDataFrame([(t,) for t in targets], "target string"))  # the given list
     distinct = titles.where(F.col(title).isNotNull()).groupBy(title).agg(F.min(tie).alias("_tie"))
-    scored = distinct.join(wanted, F.lit(True)).withColumn("similarity", partial_ratio("target", title)).where(F.col("similarity") >= cutoff)
+    scored = distinct.join(wanted, F.lit(True)).withColumn("similarity", partial_ratio("target", title, F.lit(float(cutoff)))).where(F.col("similarity") >= cutoff)
     return scored.groupBy("target").agg(F.max_by(F.struct(F.col(title).alias("title"), "similarity"), F.struct("similarity", -F.col("_tie"))).alias("_b")).select("target", "_b.*")
 
 

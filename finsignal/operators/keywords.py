@@ -35,8 +35,12 @@ def impact_score(keywords: Column, d: Dictionary = Dictionary()) -> Column:
 
 
 def enrich(df: DataFrame, text: Column, d: Dictionary = Dictionary()) -> DataFrame:
-    """Adds keywords, categories, matched_keywords_count and impact_score; other columns stay."""
-    found = df.withColumn("keywords", extract_keywords(text, d))
+    """Adds keywords, categories, matched_keywords_count and impact_score; other columns stay.
+
+    The keywords pass through a generator of one row, which neither filters nor projections are pushed through: texts are
+    matched once however often the keywords are used."""
+    held = df.withColumn("_fs_found", F.array(extract_keywords(text, d))).drop("keywords")
+    found = held.select("*", F.explode("_fs_found").alias("keywords")).drop("_fs_found")
     return found.withColumns({"categories": extract_categories(F.col("keywords"), d), "matched_keywords_count": F.size("keywords"), "impact_score": impact_score(F.col("keywords"), d)})
 
 

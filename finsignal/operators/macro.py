@@ -52,10 +52,12 @@ def compare_periods(df: DataFrame, columns: list[str], first: Column, second: Co
 
 
 def compare_months(df: DataFrame, period: str, a, b, columns: list[str]) -> DataFrame:
-    """Two periods side by side with deltas (b - a): two one-row frames."""
-    left = df.where(F.col(period) == F.lit(a)).limit(1).select(F.col(period).alias("period_a"), *[F.col(c).alias(f"{c}_a") for c in columns])
-    right = df.where(F.col(period) == F.lit(b)).limit(1).select(F.col(period).alias("period_b"), *[F.col(c).alias(f"{c}_b") for c in columns])
-    return left.crossJoin(right).select("period_a", "period_b", *[x for c in columns for x in (f"{c}_a", f"{c}_b", (F.col(f"{c}_b") - F.col(f"{c}_a")).alias(f"{c}_delta"))])
+    """Two periods side by side with deltas (b - a), in one pass; no row unless both are there. Of several rows of a period
+    the largest counts."""
+    side = lambda v: F.max(F.when(F.col(period) == F.lit(v), F.struct(period, *columns)))
+    both = df.where(F.col(period).isin(a, b)).agg(side(a).alias("_a"), side(b).alias("_b")).where("_a is not null and _b is not null")
+    named = [F.col(f"_{s}")[c].alias(f"{name}_{s}") for s in "ab" for c, name in ((period, "period"), *((c, c) for c in columns))]
+    return both.select(*named).select("period_a", "period_b", *[x for c in columns for x in (f"{c}_a", f"{c}_b", (F.col(f"{c}_b") - F.col(f"{c}_a")).alias(f"{c}_delta"))])
 
 
 def missing_periods(df: DataFrame, period: str, wanted: list) -> list:
@@ -65,8 +67,11 @@ def missing_periods(df: DataFrame, period: str, wanted: list) -> list:
 
 
 def month_over_month(df: DataFrame, period: str, column: str, trend: str, keys: list[str] = ()) -> DataFrame:
-    """Value minus the previous calendar month's, null across gaps: lag with a check of the distance."""
-    w = Window.partitionBy(*keys).orderBy(period) if keys else Window.partitionBy(F.lit(0)).orderBy(period)
+    """Value minus the previous calendar month's, null across gaps: lag with a check of the distance. Without keys all
+    months would meet in one task, so the month before is joined instead."""
+    if not keys:
+        return previous_period(df, period, column, trend)
+    w = Window.partitionBy(*keys).orderBy(period)
     adjacent = F.lag(period).over(w) == F.add_months(period, -1)
     return df.withColumn(trend, F.when(adjacent, F.col(column) - F.lag(column).over(w)))
 

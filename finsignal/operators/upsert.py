@@ -5,11 +5,13 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..storage import write_table
 from .paging import first_per_key
 
 
 def append(df: DataFrame, path: str, partition_by: list[str] = ()) -> None:
-    """Append-only insert of validated rows."""
+    """Append-only insert of validated rows. A job is all or nothing, so rows that would fail are set apart before it
+    (rules.quarantine) instead of being tried one by one after it."""
     df.write.mode("append").partitionBy(*partition_by).parquet(path)
 
 
@@ -58,8 +60,9 @@ def action_counts(df: DataFrame) -> DataFrame:
 
 
 def update_by_key(existing: DataFrame, updates: DataFrame, key: str, column: str) -> DataFrame:
-    """Overwrite one column where an update with a non-null value exists."""
-    u = updates.select(key, F.col(column).alias("_fs_new"))
+    """Overwrite one column where an update with a non-null value exists. Of several updates of a key the largest value
+    counts, so rows never multiply."""
+    u = updates.groupBy(key).agg(F.max(column).alias("_fs_new"))
     return existing.join(u, key, "left").withColumn(column, F.coalesce("_fs_new", column)).drop("_fs_new")
 
 
@@ -71,8 +74,9 @@ def insert_strict(batch: DataFrame, existing: DataFrame, keys: list[str]) -> tup
 
 def assign_ids(df: DataFrame, order: list[Column], start: int, buckets: int = 64) -> DataFrame:
     """Gapless ascending ids from start + 1 in a total order: a range partitioning and per-partition offsets, so no task
-    sees all rows."""
-    spread = df.repartitionByRange(buckets, *order).withColumn("_fs_part", F.spark_partition_id())
+    sees all rows. The partitioned rows are written once with the number of their partition: range bounds come from a
+    sample, and a second pass could draw others."""
+    spread = write_table(df.repartitionByRange(buckets, *order).withColumn("_fs_part", F.spark_partition_id()), "ranges")
     sizes = spread.groupBy("_fs_part").agg(F.count(F.lit(1)).alias("_fs_n"))
     before = F.coalesce(F.sum("_fs_n").over(Window.orderBy("_fs_part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
     offsets = sizes.select("_fs_part", before.alias("_fs_before"))  # one row a partition

@@ -11,10 +11,9 @@ from ..operators import upsert as U
 from ..session import table
 
 
-def _raw(spark, sf):
+def raw_quotes(e):
     """Events as raw quote strings; every eleventh price is N/A, every thirteenth has a thousands comma, every
     seventeenth volume is blank."""
-    e = table(spark, sf, "events")
     value = F.col("value").cast("decimal(12,2)")
     price = F.when(F.col("event_id") % 11 == 0, "N/A").when(F.col("event_id") % 13 == 0, F.concat(F.lit("1,"), F.lpad(value.cast("string"), 6, "0"))).otherwise(value.cast("string"))
     volume = F.when(F.col("event_id") % 17 == 0, "").otherwise((F.col("user_id") * 1000).cast("string"))
@@ -22,8 +21,16 @@ def _raw(spark, sf):
     return e.select("event_id", F.concat(F.lit(" t"), "user_id").alias("ticker"), F.col("event_type").alias("name"), volume.alias("volume"), price.alias("price"), change.alias("change"), F.lit("2026-03-02T10:00:00Z").alias("timestamp"))
 
 
+def _raw(spark, sf):
+    return raw_quotes(table(spark, sf, "events"))
+
+
+def quote_totals(rows):
+    return rows.groupBy("ticker", "reason").agg(F.count(F.lit(1)).alias("n"), F.sum("price").alias("price_sum"), F.sum("volume").alias("volume_sum"), F.sum("daily_change").alias("change_sum"), F.sum(F.col("daily_change_pct").cast("decimal(12,2)")).alias("pct_sum"))
+
+
 def quote_parse(spark, sf):
-    return Q.ingest_quotes(_raw(spark, sf).drop("event_id")).groupBy("ticker", "reason").agg(F.count(F.lit(1)).alias("n"), F.sum("price").alias("price_sum"), F.sum("volume").alias("volume_sum"), F.sum("daily_change").alias("change_sum"), F.sum(F.col("daily_change_pct").cast("decimal(12,2)")).alias("pct_sum"))
+    return quote_totals(Q.ingest_quotes(_raw(spark, sf).drop("event_id")))
 
 
 def quote_quarantine(spark, sf):
@@ -77,8 +84,8 @@ def quote_bars(spark, sf):
 
 
 def quote_ids(spark, sf):
-    """Ids for appended ticks, after 1000 stored ones, in time order."""
-    return U.assign_ids(table(spark, sf, "events").select("event_id", "ts"), [F.col("ts"), F.col("event_id")], 1000, 16).select("event_id", "id")
+    """Ids for appended ticks and what they carry, after 1000 stored ones, in time order."""
+    return U.assign_ids(table(spark, sf, "events"), [F.col("ts"), F.col("event_id")], 1000, 16).select("event_id", "id", "event_type", "props")
 
 
 def asof_price(spark, sf):
@@ -115,7 +122,7 @@ ORACLE = {
     "quote_exact": "SELECT p_partkey, p_name, p_brand FROM part WHERE upper(p_brand) = 'BRAND#7' ORDER BY p_partkey LIMIT 1",
     "quote_rolling": "SELECT event_id, user_id, round(avg(c) OVER w * 60)::BIGINT AS mean_x60, round(stddev_samp(c) OVER w * stddev_samp(c) OVER w * 60)::BIGINT AS variance_x60 FROM (SELECT *, round(value * 100)::DOUBLE AS c FROM events) WINDOW w AS (PARTITION BY user_id ORDER BY ts, event_id ROWS BETWEEN 4 PRECEDING AND CURRENT ROW)",
     "quote_bars": "SELECT date_trunc('day', ts)::TIMESTAMP AS bar_start, event_type, arg_min(value, struct_pack(a := ts, b := value)) AS open, max(value) AS high, min(value) AS low, arg_max(value, struct_pack(a := ts, b := value)) AS close, count(*) AS n FROM events WHERE value IS NOT NULL GROUP BY ALL",
-    "quote_ids": "SELECT event_id, 1000 + row_number() OVER (ORDER BY ts, event_id) AS id FROM events",
+    "quote_ids": "SELECT event_id, 1000 + row_number() OVER (ORDER BY ts, event_id) AS id, event_type, props FROM events",
     "asof_price": "SELECT p.event_id, p.user_id, v.value AS last_view FROM (SELECT * FROM events WHERE event_type = 'purchase') p ASOF LEFT JOIN (SELECT user_id, ts, value FROM events WHERE event_type = 'view') v ON p.user_id = v.user_id AND p.ts >= v.ts",
     "quote_parse": f"WITH {_PARSED} SELECT ticker, reason, count(*) AS n, sum(p) AS price_sum, sum(v)::BIGINT AS volume_sum, sum(({_half_even(_half_even('p::DECIMAL(18,6) * c / 100', 4, 6) + ' / 10000::DECIMAL(38,4)', 3, 6)} / 1000)::DECIMAL(10,3)) AS change_sum, sum(c) AS pct_sum FROM q GROUP BY ALL",
     "quote_change": f"SELECT l_orderkey, l_linenumber, l_partkey, l_suppkey, ({_half_even(_half_even(f'l_extendedprice::DECIMAL(10,3) * {_DISC} / 100', 4, 9) + ' / 10000::DECIMAL(38,4)', 3, 6)} / 1000)::DECIMAL(10,3) AS daily_change FROM lineitem",

@@ -12,8 +12,10 @@ from ..operators import keywords as K
 from ..operators import paging as P
 from ..operators import upsert as U
 from ..session import table
-from ..sources.dims import Dictionary, dim_feeds, dim_keywords
+from ..sources.dims import FEEDS, REGIONAL_FEEDS, Dictionary, dim_feeds, dim_keywords
 
+#: Documents whose keys count as stored already.
+STORED = "lang = 'de'"
 WORDS = Dictionary(
     {"articles": ["the", "of the", "que"], "endings": ["tion", "thon", "ing"], "stems": ["ther", "que", "and"]},
     {"the": 1, "of the": 5, "tion": 4, "thon": 3, "que": 2, "ther": 3},
@@ -97,20 +99,20 @@ def _keyed(spark, sf):
 
 
 def dedupe_first(spark, sf):
-    """New keys only, first document of each; even doc_ids below 100 are stored already."""
+    """New keys only, first document of each; the German documents are stored already."""
     d = _keyed(spark, sf)
-    return U.new_rows(d, d.where("doc_id < 100 and doc_id % 2 = 0"), ["url"], [F.col("doc_id")]).select("url", "doc_id", "source")
+    return U.new_rows(d, d.where(STORED), ["url"], [F.col("doc_id")]).select("url", "doc_id", "source")
 
 
 def ingest_counters(spark, sf):
     d = _keyed(spark, sf)
-    return U.new_row_counts(d, d.where("doc_id < 100 and doc_id % 2 = 0"), ["url"], ["source"], [F.col("doc_id")])
+    return U.new_row_counts(d, d.where(STORED), ["url"], ["source"], [F.col("doc_id")])
 
 
 def ingest_rollup(spark, sf):
     d = _keyed(spark, sf)
-    counts = U.new_row_counts(d, d.where("doc_id < 100 and doc_id % 2 = 0"), ["url"], ["lang", "source"], [F.col("doc_id")])
-    return counts.rollup("lang", "source").agg(*[F.sum(c).alias(c) for c in ("fetched", "saved", "duplicates")])
+    counts = U.new_row_counts(d, d.where(STORED), ["url"], ["source"], [F.col("doc_id")]).withColumn("invalid", F.lit(0).cast("long"))
+    return H.ingest_rollup(counts, dim_feeds(spark).select(F.concat(F.lit("src"), "ord").alias("label"), "region"))
 
 
 def feed_regions(spark, sf):
@@ -120,16 +122,30 @@ def feed_regions(spark, sf):
     return d.join(F.broadcast(feeds), "source", "left").select("source", F.coalesce("region", F.lit("other")).alias("region"), F.coalesce("label", F.lit("Unknown")).alias("label"), "n")
 
 
-def ingest_headlines(spark, sf):
-    """The whole ingestion: documents as feed entries, stored keys as existing; counters by source."""
-    d = table(spark, sf, "documents")
-    entries = d.select(
-        F.lit(0).alias("feed_ord"), F.col("doc_id").cast("int").alias("entry_ord"), F.lit("u").alias("feed_url"), F.col("source").alias("label"), F.lit(None).cast("string").alias("feed_title"), F.substring("text", 1, 60).alias("title"),
+def entries_of(d):
+    """Documents as feed entries: the source as title, the text as summary, a digest of it as link."""
+    return d.select(
+        F.lit(0).alias("feed_ord"), F.col("doc_id").cast("int").alias("entry_ord"), F.lit("u").alias("feed_url"), F.col("source").alias("label"), F.lit(None).cast("string").alias("feed_title"), F.col("source").alias("title"),
         F.col("text").alias("summary"), F.lit(None).cast("string").alias("description"), F.md5(F.lower("text").cast("binary")).alias("link"), F.lit(None).cast("string").alias("id"), F.lit(None).cast("array<struct<value:string>>").alias("content"),
         F.lit("Mon, 02 Mar 2026 10:00:00 GMT").alias("published"), F.lit(None).cast("string").alias("updated"),
     )
-    existing = d.where("doc_id < 100 and doc_id % 2 = 0").select(F.md5(F.lower("text").cast("binary")).alias("url"))
-    return H.ingest_headlines(entries, existing, WORDS)[1]
+
+
+def _ingested(spark, sf):
+    d = table(spark, sf, "documents")
+    existing = d.where(STORED).select(F.md5(F.lower("text").cast("binary")).alias("url"))
+    return H.ingest_headlines(entries_of(d), existing, WORDS)
+
+
+def ingest_headlines(spark, sf):
+    """The whole ingestion, stored keys as existing; counters by source."""
+    return _ingested(spark, sf)[1]
+
+
+def ingest_rows(spark, sf):
+    """The rows that the ingestion appends."""
+    rows = _ingested(spark, sf)[0]
+    return rows.select("url", "entry_ord", "source", "headline", F.md5(F.col("description").cast("binary")).alias("description_digest"), "keywords_detected", "categories", "matched_keywords_count", "impact_score")
 
 
 def clean_text(spark, sf):
@@ -141,16 +157,16 @@ def strip_html(spark, sf):
 
 
 def meaningful(spark, sf):
-    """Usability of short fields: text heads, urls and placeholders by id."""
+    """Usability of fields: texts, urls and placeholders by id."""
     d = table(spark, sf, "documents")
-    field = F.when(F.col("doc_id") % 7 == 0, "Read more...").when(F.col("doc_id") % 7 == 1, F.lit("https://www.google.com/url?q=x")).when(F.col("doc_id") % 7 == 2, "n/a").when(F.col("doc_id") % 7 == 3, " 42 ").otherwise(F.substring("text", 1, 20))
+    field = F.when(F.col("doc_id") % 7 == 0, "Read more...").when(F.col("doc_id") % 7 == 1, F.lit("https://www.google.com/url?q=x")).when(F.col("doc_id") % 7 == 2, "n/a").when(F.col("doc_id") % 7 == 3, " 42 ").otherwise(F.col("text"))
     return d.select("doc_id", T.is_meaningful(field).alias("meaningful"))
 
 
 def assemble(spark, sf):
     d = table(spark, sf, "documents")
     described = F.when(F.col("doc_id") % 3 == 0, "[Removed]").otherwise(F.col("source"))
-    return d.select("doc_id", T.assemble_text(F.substring("text", 1, 30), described, F.col("lang")).alias("assembled"))
+    return d.select("doc_id", T.assemble_text(F.col("text"), described, F.col("lang")).alias("assembled"))
 
 
 def entities(spark, sf):
@@ -179,7 +195,7 @@ _W = " ".join(f"WHEN '{k}' THEN {v}" for k, v in WORDS.weights.items())
 ENRICHED = f"""e AS (SELECT *, list_filter({_CAT}, lambda x: x IS NOT NULL) AS cats, len(kw)::INTEGER AS n_kw,
   coalesce(list_sum(list_transform(kw, lambda k: CASE k {_W} ELSE 1 END)), 0)::INTEGER AS impact
   FROM (SELECT *, list_filter({_KW}, lambda x: x IS NOT NULL) AS kw FROM (SELECT *, lower(coalesce(text, '')) AS t FROM documents)))"""
-_KEYED = "k AS (SELECT md5(lower(text)) AS url, doc_id, source, lang FROM documents), old AS (SELECT DISTINCT url FROM k WHERE doc_id < 100 AND doc_id % 2 = 0)"
+_KEYED = f"k AS (SELECT md5(lower(text)) AS url, doc_id, source, lang FROM documents), old AS (SELECT DISTINCT url FROM k WHERE {STORED})"
 _COUNTED = f"{_KEYED}, r AS (SELECT k.*, row_number() OVER (PARTITION BY url ORDER BY doc_id) AS rn, old.url IS NULL AS fresh FROM k LEFT JOIN old USING (url))"
 _COUNTS = "count(*) AS fetched, count(*) FILTER (rn = 1 AND fresh) AS saved, count(*) - count(*) FILTER (rn = 1 AND fresh) AS duplicates"
 _SPACE = "regexp_replace({}, '\\s+', ' ', 'g')"
@@ -189,11 +205,17 @@ _MEANINGFUL = """(f <> '' AND NOT (regexp_matches(f, '(?i)https?://(?:www\\.)?go
   AND length(trim(f)) >= 3 AND regexp_matches(f, '[A-Za-z]'))"""
 _STRIP = "regexp_replace(regexp_replace({}, '^\\s+', ''), '\\s+$', '')"
 
+_INGEST = f"""WITH {ENRICHED.replace("lower(coalesce(text, ''))", "lower(concat_ws(' ', nullif(" + _STRIP.format("source") + ", ''), CASE WHEN " + _STRIP.format("text") + " IS DISTINCT FROM " + _STRIP.format("source") + " THEN nullif(" + _STRIP.format("text") + ", '') END))")},
+  k AS (SELECT *, md5(lower(text)) AS url FROM e), old AS (SELECT DISTINCT url FROM k WHERE {STORED})"""
+
 QUERIES = {f.__name__: f for f in (
     kw_extract, kw_categories, kw_impact, kw_enrich, kw_gate_topk, kw_frequency, kw_distinct_tokens, sources, kw_batch_totals, kw_dict_join, news_search, news_relevant, news_page, news_page_info,
-    keyset_scan, dedupe_first, ingest_counters, ingest_rollup, feed_regions, ingest_headlines, clean_text, strip_html, meaningful, assemble, entities, quarantine_documents,
+    keyset_scan, dedupe_first, ingest_counters, ingest_rollup, feed_regions, ingest_headlines, ingest_rows, clean_text, strip_html, meaningful, assemble, entities, quarantine_documents,
 )}
 ORACLE = {
+    "ingest_rows": f"""{_INGEST}, r AS (SELECT k.*, row_number() OVER (PARTITION BY k.url ORDER BY doc_id) AS rn FROM k LEFT JOIN old USING (url) WHERE impact >= 2 AND old.url IS NULL AND k.url IS NOT NULL)
+  SELECT url, doc_id::INTEGER AS entry_ord, {_STRIP.format("source")} AS source, {_STRIP.format("source")} AS headline, md5({_STRIP.format("text")}) AS description_digest, nullif(array_to_string(kw, ', '), '') AS keywords_detected,
+    nullif(array_to_string(cats, ', '), '') AS categories, n_kw AS matched_keywords_count, impact AS impact_score FROM r WHERE rn = 1""",
     "kw_extract": f"WITH {ENRICHED} SELECT doc_id, array_to_string(kw, ',') AS keywords FROM e",
     "kw_categories": f"WITH {ENRICHED} SELECT doc_id, array_to_string(cats, ',') AS categories FROM e",
     "kw_impact": f"WITH {ENRICHED} SELECT doc_id, impact AS impact_score FROM e",
@@ -212,18 +234,19 @@ ORACLE = {
     "keyset_scan": "SELECT doc_id, lang, source FROM documents WHERE doc_id > 17 ORDER BY doc_id LIMIT 25",
     "dedupe_first": f"WITH {_COUNTED} SELECT url, doc_id, source FROM r WHERE rn = 1 AND fresh",
     "ingest_counters": f"WITH {_COUNTED} SELECT source, {_COUNTS} FROM r GROUP BY source",
-    "ingest_rollup": f"WITH {_COUNTED} SELECT lang, source, {_COUNTS} FROM r GROUP BY ROLLUP (lang, source)",
+    "ingest_rollup": f"""WITH {_COUNTED}, c AS (SELECT source, {_COUNTS} FROM r GROUP BY source), n AS (SELECT *, try_cast(substr(source, 4) AS INTEGER) AS o FROM c),
+  g AS (SELECT *, CASE WHEN o < {REGIONAL_FEEDS} THEN 'kenya' WHEN o < {len(FEEDS)} THEN 'global' ELSE 'other' END AS region FROM n)
+  SELECT region, source, sum(fetched)::BIGINT AS fetched, sum(saved)::BIGINT AS saved, sum(duplicates)::BIGINT AS duplicates, 0::BIGINT AS invalid, count(*) FILTER (saved > 0) AS feeds_with_news FROM g GROUP BY ROLLUP (region, source)""",
     "feed_regions": "SELECT source, CASE WHEN o < 4 THEN 'kenya' WHEN o < 9 THEN 'global' ELSE 'other' END AS region, coalesce(label, 'Unknown') AS label, n FROM (SELECT source, count(*) AS n, substr(source, 4)::INTEGER AS o FROM documents GROUP BY source) LEFT JOIN (VALUES "
-    + ", ".join(f"({i}, '{label}')" for i, label in enumerate(("Business Daily Africa", "The Standard Business", "Nation Business", "Capital FM Business", "Reuters Business", "CNBC Markets", "Financial Times World", "IMF News", "World Bank News"))) + ") f(ord, label) ON o = ord",
-    "ingest_headlines": f"""WITH {ENRICHED.replace("lower(coalesce(text, ''))", "lower(concat_ws(' ', " + _STRIP.format("substr(text, 1, 60)") + ", CASE WHEN " + _STRIP.format("text") + " <> " + _STRIP.format("substr(text, 1, 60)") + " THEN " + _STRIP.format("text") + " END))")},
-  k AS (SELECT *, md5(lower(text)) AS url FROM e), old AS (SELECT DISTINCT url FROM k WHERE doc_id < 100 AND doc_id % 2 = 0),
+    + ", ".join(f"({i}, '{label}')" for i, label in enumerate(name for name, _ in FEEDS)) + ") f(ord, label) ON o = ord",
+    "ingest_headlines": f"""{_INGEST},
   r AS (SELECT k.*, row_number() OVER (PARTITION BY k.url ORDER BY doc_id) AS rn, old.url IS NULL AS fresh FROM k LEFT JOIN old USING (url) WHERE impact >= 2),
   a AS (SELECT source, count(*) AS fetched, count(*) FILTER (impact < 2) AS invalid FROM k GROUP BY source), b AS (SELECT source, count(*) FILTER (rn = 1 AND fresh) AS saved, count(*) - count(*) FILTER (rn = 1 AND fresh) AS duplicates FROM r GROUP BY source)
   SELECT source, fetched, coalesce(saved, 0) AS saved, coalesce(duplicates, 0) AS duplicates, invalid FROM a LEFT JOIN b USING (source)""",
     "clean_text": f"SELECT doc_id, md5({_CLEAN}) AS digest, length(CASE WHEN length({_CLEAN}) > 255 THEN rtrim(substr({_CLEAN}, 1, 255)) ELSE {_CLEAN} END)::INTEGER AS cut_chars FROM documents",
     "strip_html": f"SELECT page_id, md5(trim({_SPACE.format("regexp_replace(html, '<[^>]+>', ' ', 'g')")})) AS digest FROM pages",
-    "meaningful": f"""SELECT doc_id, {_MEANINGFUL} AS meaningful FROM (SELECT doc_id, trim(CASE doc_id % 7 WHEN 0 THEN 'Read more...' WHEN 1 THEN 'https://www.google.com/url?q=x' WHEN 2 THEN 'n/a' WHEN 3 THEN ' 42 ' ELSE {_STRIP.format("substr(text, 1, 20)")} END) AS f FROM documents)""",
-    "assemble": f"""WITH s AS (SELECT doc_id, {_STRIP.format("substr(text, 1, 30)")} AS h, CASE WHEN doc_id % 3 = 0 THEN '[Removed]' ELSE source END AS d, lang AS c FROM documents)
+    "meaningful": f"""SELECT doc_id, {_MEANINGFUL} AS meaningful FROM (SELECT doc_id, trim(CASE doc_id % 7 WHEN 0 THEN 'Read more...' WHEN 1 THEN 'https://www.google.com/url?q=x' WHEN 2 THEN 'n/a' WHEN 3 THEN ' 42 ' ELSE {_STRIP.format("text")} END) AS f FROM documents)""",
+    "assemble": f"""WITH s AS (SELECT doc_id, {_STRIP.format("text")} AS h, CASE WHEN doc_id % 3 = 0 THEN '[Removed]' ELSE source END AS d, lang AS c FROM documents)
   SELECT doc_id, CASE WHEN {_MEANINGFUL.replace('(f ', '(h ').replace('(f,', '(h,').replace('lower(f)', 'lower(h)').replace('trim(f)', 'trim(h)')} THEN concat_ws(' ', h, CASE WHEN d <> '[Removed]' AND length(d) >= 3 THEN d END, CASE WHEN length(c) >= 3 THEN c END) END AS assembled FROM s""",
     "quarantine_documents": "SELECT count(*) AS total, count(*) FILTER (NOT bad) AS saved, count(*) FILTER (bad) AS skipped FROM (SELECT length(text) < 100 OR length(text) > 10000 OR source = 'src0' AS bad FROM documents)",
 }

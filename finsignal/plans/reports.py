@@ -15,10 +15,13 @@ from ..operators import sentiment as S
 from ..session import table
 from ..sources.dims import dim_currencies, dim_labels
 from ..sources.readers import report_lines
+from .news import _MEANINGFUL as MEANINGFUL
+from .news import _STRIP as STRIP
 from .macro_queries import months
 
 LABELS = {"The": "revenue", "And": "eps", "Of": "shareholders_equity"}
 SCORES = {"tion": 3, "of the": 2, "zu": -4}
+TITLES = ["red widgets", "small brass ring", "blue bolts", "green gear", "large rod"]
 POSITIVE, NEGATIVE = ["the", "and", "of"], ["que", "tion", "der"]
 
 
@@ -69,15 +72,20 @@ def table_select(spark, sf):
     return G.best_candidate(table_score(spark, sf), ["source"], "score", ["doc_id"])
 
 
-def toc_pages(spark, sf):
-    """Part names as contents lines with dot leaders, and the pages searched for each."""
+def _contents(spark, sf):
+    """Part names as contents lines with dot leaders, and a page for each line of a document."""
     lines = table(spark, sf, "part").select(F.concat(F.lit("d"), F.col("p_partkey") % 50).alias("doc_id"), F.col("p_partkey").cast("int").alias("line_no"), F.concat(F.lit("Table "), F.col("p_size"), F.lit(": "), "p_name", F.lit(" ........ "), F.col("p_size")).alias("line"))
-    pages = lines.select("doc_id", (F.floor((F.col("line_no") - 1) / F.lit(50)) + 1).cast("int").alias("page"))  # a page for each line of a document
+    return lines, lines.select("doc_id", (F.floor((F.col("line_no") - 1) / F.lit(50)) + 1).cast("int").alias("page"))
+
+
+def toc_pages(spark, sf):
+    """The pages searched for each contents line."""
+    lines, pages = _contents(spark, sf)
     return G.candidate_pages(G.parse_toc(lines), pages, 1).groupBy("doc_id", "title").agg(F.count(F.lit(1)).alias("n"), F.min("page").alias("first_page"), F.max("page").alias("last_page"))
 
 
 def fuzzy_title(spark, sf):
-    return G.fuzzy_match(table(spark, sf, "part"), "p_name", "p_partkey", ["red widgets", "small brass ring", "blue bolts", "green gear", "large rod"])
+    return G.fuzzy_match(table(spark, sf, "part"), "p_name", "p_partkey", TITLES)
 
 
 def forex(spark, sf):
@@ -142,30 +150,30 @@ def score_band(spark, sf):
     return _labelled(spark, sf).groupBy(S.score_band(F.col("score")).alias("band")).agg(F.count(F.lit(1)).alias("n"))
 
 
-def _headlines(spark, sf):
-    d = table(spark, sf, "documents")
+def headlines_of(d):
+    """Documents as stored headlines; every eleventh has none, every fifth has a score already."""
     return d.select(F.col("doc_id").alias("id"), F.when(F.col("doc_id") % 11 != 0, F.col("text")).alias("headline"), F.lit("[removed]").alias("description"), F.lit(None).cast("string").alias("content"), F.when(F.col("doc_id") % 5 == 0, 0.25).alias("sentiment_score"))
 
 
-def _scorer():
+def lexicon():
     return S.lexicon_scorer(POSITIVE, NEGATIVE)
 
 
 def lexicon_score(spark, sf):
     """Scores of documents by the lexicon, as ten-thousandths."""
     d = table(spark, sf, "documents")
-    scored = S.score_text(d, F.col("text"), _scorer(), deep_clean=False)
+    scored = S.score_text(d, F.col("text"), lexicon(), deep_clean=False)
     return scored.select("doc_id", F.round(F.col("score") * 10000).cast("long").alias("score_x10000"))
 
 
 def score_stats(spark, sf):
     """Backfill of unscored rows: statistics of the run."""
-    return S.run_statistics(S.backfill(_headlines(spark, sf), _scorer())).withColumn("average_score", F.round(F.col("average_score") * 10000).cast("long"))
+    return S.run_statistics(S.backfill(headlines_of(table(spark, sf, "documents")), lexicon())).withColumn("average_score", F.round(F.col("average_score") * 10000).cast("long"))
 
 
 def score_preview(spark, sf):
     wanted = table(spark, sf, "labels").where("toxic = 1").select(F.col("doc_id").alias("id"))
-    return S.preview(_headlines(spark, sf), wanted, _scorer()).groupBy("band", "valid").agg(F.count(F.lit(1)).alias("n"))
+    return S.preview(headlines_of(table(spark, sf, "documents")), wanted, lexicon()).groupBy("band", "valid").agg(F.count(F.lit(1)).alias("n"))
 
 
 def page_links(spark, sf):
@@ -184,14 +192,43 @@ def page_article(spark, sf):
 
 def page_percent(spark, sf):
     text = PO.article_text(F.concat(F.coalesce("html", F.lit("")), F.lit("<p>"), F.col("page_id"), F.lit(".5 percent</p>")))
-    return table(spark, sf, "pages").select("page_id", PO.release_summary(F.concat_ws(" ", text, F.concat("page_id", F.lit(".25 %")))).alias("s")).select("page_id", F.md5(F.col("s.summary").cast("binary")).alias("digest"), "s.stance", "s.signal")
+    return table(spark, sf, "pages").select("page_id", PO.release_summary(F.concat_ws(" ", text, F.concat("page_id", F.lit(".25 %")))).alias("s")).select("page_id", F.md5(F.col("s.summary").cast("binary")).alias("digest"), "s.rate", "s.stance", "s.signal")
 
 
 def rate_history(spark, sf):
-    text = F.concat(F.lit("Central Bank Rate "), F.col("page_id") % 9, F.lit(".75% 10/0"), F.col("page_id") % 9 + 1, F.lit("/2025 then central bank rate 8% 2/1/2024"))
+    """Rates in the articles of pages: each sentence end becomes a rate of the page's."""
+    rate = F.concat(F.lit(" Central Bank Rate "), F.col("page_id") % 9, F.lit(".75% 10/0"), F.col("page_id") % 9 + 1, F.lit("/2025 "))
+    text = F.concat(F.replace(PO.article_text(F.col("html")), F.lit("."), rate), F.lit(" then central bank rate 8% 2/1/2024"))
     return PO.rate_history(table(spark, sf, "pages").withColumn("t", text), "t")
 
 
+def fundamentals_history(spark, sf):
+    """The newest reports of a company; orders stand in for reports, customers for companies."""
+    reports = table(spark, sf, "orders").select(F.concat(F.lit("c"), F.col("o_custkey") % 100).alias("ticker"), F.col("o_orderdate").cast("date").alias("report_date"), F.col("o_orderkey").alias("id"), F.col("o_totalprice").alias("revenue"))
+    return FN.history(reports, "c7", 20)
+
+
+def pairs_in_order(spark, sf):
+    """Exchange rows by a fixed order of their pairs: the place of each pair among the rows."""
+    pairs = ["USD/KES", "EUR/KES", "GBP/KES"]
+    found = forex(spark, sf).groupBy("pair").agg(F.count(F.lit(1)).alias("n"), F.max("rate").alias("top"))
+    rows = [(i, r["pair"], r["n"], r["top"]) for i, r in enumerate(P.ordered_by_list(found, "pair", pairs).collect())]  # a row a pair
+    return spark.createDataFrame(rows, "place int, pair string, n long, top double")
+
+
+def serialized(spark, sf):
+    """Orders as JSON documents with ISO dates."""
+    o = table(spark, sf, "orders").select("o_orderkey", F.col("o_orderdate").cast("date").alias("day"), F.nullif("o_orderstatus", F.lit("F")).alias("status"))
+    return o.select("o_orderkey", V.to_json_row(["o_orderkey", "day", "status"]).alias("json"))
+
+
+def table_choice(spark, sf):
+    """Tables of reports chosen by title: parts as contents lines, two tables a page."""
+    lines, pages = _contents(spark, sf)
+    tables = pages.withColumn("table_idx", F.explode(F.sequence(F.lit(0), F.lit(1)))).select("doc_id", "page", "table_idx", F.lit(0).alias("row_idx"), F.array(F.repeat(F.lit("rate "), (F.col("page") * 7 + F.col("table_idx") * 3) % 5), F.lit("total")).alias("cells"))
+    return G.select_table(lines, tables, TITLES, {"rate": 2, "total": 1}, 1)
+
+
 def rate_change(spark, sf):
     """Months as published rates, newest first within a year."""
     m = months(spark, sf).select("year", "period", "fuel_price")
@@ -223,7 +260,16 @@ def _sql_months() -> str:
 _GRID = f"""WITH {_sql_months()}, b AS (SELECT year::INTEGER AS table_idx, month(period) AS row_idx, month, coalesce(inflation, 0)::INTEGER AS v FROM m)"""
 _TABLES = "SELECT source, doc_id, lower(text) AS t FROM documents"
 _LINES = "l AS (SELECT doc_id, row_number() OVER (PARTITION BY doc_id ORDER BY o) - 1 AS line_no, line FROM (SELECT doc_id, unnest(string_split(text, chr(10))) AS raw, generate_subscripts(string_split(text, chr(10)), 1) AS o, trim(raw) AS line FROM documents) WHERE line <> '')"
-_POS, _NEG = (f"len(regexp_extract_all(lower(text), '(^|[^a-z0-9_])(?:{'|'.join(w)})'))" for w in (POSITIVE, NEGATIVE))
+_TOKENS = r"regexp_extract_all(lower(f), '[\p{L}\p{M}\p{Nd}\p{Pc}]+')"
+_POS, _NEG = (f"len(list_filter({_TOKENS}, lambda x: x IN ({', '.join(repr(x) for x in w)})))" for w in (POSITIVE, NEGATIVE))
+_USABLE = MEANINGFUL.replace("length(trim(f)) >= 3 AND regexp_matches(f,", "length(trim(regexp_replace(f, '<[^>]+>', ' ', 'g'))) >= 3 AND regexp_matches(regexp_replace(f, '<[^>]+>', ' ', 'g'),")
+_X10000 = "CASE WHEN pos > neg THEN round_even((pos - neg)::DOUBLE / (pos + neg) * 10000, 0) WHEN neg > pos THEN -round_even((neg - pos)::DOUBLE / (pos + neg) * 10000, 0) ELSE 0 END::BIGINT"
+SCORED_SQL = f"""SELECT doc_id AS id, doc_id % 5 = 0 AS doc5, CASE WHEN ok THEN {_X10000} END AS score_x10000 FROM (SELECT doc_id, coalesce({_USABLE}, false) AS ok, {_POS} AS pos, {_NEG} AS neg
+  FROM (SELECT doc_id, CASE WHEN doc_id % 11 <> 0 THEN {STRIP.format("text")} END AS f FROM documents))"""
+_BARE = r"regexp_replace(coalesce(html, ''), '(?is)<script\b[^>]*>.*?</script>|<style\b[^>]*>.*?</style>|<noscript\b[^>]*>.*?</noscript>', ' ', 'g')"
+_PART = r"nullif(regexp_extract(bare, '(?is)<{0}\b[^>]*>(.*)</{0}>', 1), '')"
+_PARTS = ", ".join(_PART.format(tag) for tag in ("article", "main", "body"))
+_ARTICLE = rf"SELECT page_id, trim(regexp_replace(regexp_replace(coalesce({_PARTS}, bare), '<[^>]+>', ' ', 'g'), '\s+', ' ', 'g')) AS article FROM (SELECT page_id, {_BARE} AS bare FROM ({{}}))"
 _SCORE = """CASE WHEN toxic = 1 THEN -(doc_id % 101)::DOUBLE / 100 WHEN quality = 1 THEN (doc_id % 101)::DOUBLE / 100 ELSE 0.0 END"""
 _LINKS = """p AS (SELECT page_id, unnest(regexp_extract_all(html, '(?is)<a\\s[^>]*href="([^"]*)"[^>]*>(.*?)</a>', 1)) AS url, unnest(regexp_extract_all(html, '(?is)<a\\s[^>]*href="([^"]*)"[^>]*>(.*?)</a>', 2)) AS t,
   generate_subscripts(regexp_extract_all(html, '(?is)<a\\s[^>]*href="([^"]*)"[^>]*>(.*?)</a>', 1), 1) - 1 AS link_no FROM pages),
@@ -231,7 +277,7 @@ _LINKS = """p AS (SELECT page_id, unnest(regexp_extract_all(html, '(?is)<a\\s[^>
 
 QUERIES = {f.__name__: f for f in (
     grid_year_fill, grid_parse, grid_parse_all, table_score, table_select, toc_pages, fuzzy_title, forex, lines_label_value, lines_next_value, ratios, live_pe, extract_fundamentals, score_signed, score_band, lexicon_score, score_stats,
-    score_preview, page_links, release_links, page_article, page_percent, rate_history, rate_change, value_parsing,
+    score_preview, page_links, release_links, page_article, page_percent, rate_history, rate_change, value_parsing, fundamentals_history, pairs_in_order, serialized, table_choice,
 )}
 _CELL = "CASE WHEN row_idx = 7 THEN NULL ELSE ('1' || lpad(v::VARCHAR, 3, '0') || '.5')::DOUBLE END"
 ORACLE = {
@@ -253,7 +299,27 @@ ORACLE = {
     "score_band": f"SELECT CASE WHEN s >= 0.5 THEN 'Strong Positive' WHEN s >= 0.2 THEN 'Moderate Positive' WHEN s <= -0.5 THEN 'Strong Negative' WHEN s <= -0.2 THEN 'Moderate Negative' ELSE 'Strict Neutral' END AS band, count(*) AS n FROM (SELECT {_SCORE} AS s FROM labels) GROUP BY ALL",
     "page_links": f"WITH {_LINKS} SELECT page_id, link_no, url, title FROM links",
     "release_links": f"WITH {_LINKS}, d AS (SELECT *, make_date(2025, (link_no % 12 + 1)::INTEGER, (page_id % 28 + 1)::INTEGER) AS published FROM links WHERE contains(lower(title || ' ' || url), 'the') OR contains(lower(title || ' ' || url), 'tion')), f AS (SELECT * FROM d QUALIFY row_number() OVER (PARTITION BY url ORDER BY page_id, link_no) = 1) SELECT page_id, link_no, url, published FROM f WHERE published >= DATE '2025-06-01' - INTERVAL 150 DAY ORDER BY published DESC, url LIMIT 20",
-    "rate_history": "SELECT page_id, i AS rate_no, CASE i WHEN 0 THEN (page_id % 9) + 0.75::DOUBLE ELSE 8.0::DOUBLE END AS rate, CASE i WHEN 0 THEN make_date(2025, (page_id % 9 + 1)::INTEGER, 10) ELSE DATE '2024-01-02' END AS published FROM pages, (VALUES (0), (1)) t(i)",
+    "rate_history": f"""WITH a AS ({_ARTICLE.format("pages")}), r AS (SELECT page_id, length(article) - length(replace(article, '.', '')) AS n, unnest(range(length(article) - length(replace(article, '.', '')) + 1)) AS i FROM a)
+  SELECT page_id, i::INTEGER AS rate_no, CASE WHEN i < n THEN (page_id % 9) + 0.75::DOUBLE ELSE 8.0::DOUBLE END AS rate, CASE WHEN i < n THEN make_date(2025, (page_id % 9 + 1)::INTEGER, 10) ELSE DATE '2024-01-02' END AS published FROM r""",
+    "page_article": f"SELECT page_id, md5(article) AS digest FROM ({_ARTICLE.format('pages')})",
+    "page_percent": rf"""SELECT page_id, md5(substr(t, 1, 450)) AS digest, nullif(regexp_extract(t, '(\d+(?:\.\d+)?)\s*(?:percent|per cent|%)', 1), '')::DOUBLE AS rate, 'neutral' AS stance, 'unknown' AS signal
+  FROM (SELECT page_id, article || ' ' || page_id || '.25 %' AS t FROM ({_ARTICLE.format("SELECT page_id, coalesce(html, '') || '<p>' || page_id || '.5 percent</p>' AS html FROM pages")}))""",
+    "toc_pages": """WITH l AS (SELECT 'd' || (p_partkey % 50) AS doc_id, p_name AS title, p_size + 1 AS target, (p_partkey - 1) // 50 + 1 AS page FROM part), m AS (SELECT doc_id, max(page) AS last FROM l GROUP BY doc_id),
+  s AS (SELECT doc_id, title, greatest(target - 1, 0) AS a, least(target + 3, last) AS b FROM l JOIN m USING (doc_id))
+  SELECT doc_id, title, sum(b - a + 1)::BIGINT AS n, min(a)::INTEGER AS first_page, max(b)::INTEGER AS last_page FROM s WHERE a <= b GROUP BY doc_id, title""",
+    "extract_fundamentals": rf"""WITH {_LINES}, n AS (SELECT doc_id, line_no, line || ' 2,' || lpad((line_no % 1000)::VARCHAR, 3, '0') || CASE WHEN line_no = 0 THEN ' 30 June 2025' ELSE '' END AS line FROM l),
+  h AS (SELECT doc_id, line_no, field, try_cast(replace(nullif(regexp_extract(line, '-?[0-9][0-9,]*(\.[0-9]+)?'), ''), ',', '') AS DOUBLE) AS value FROM n JOIN (VALUES {", ".join(f"('{k.lower()}', '{v}')" for k, v in LABELS.items())}) x(label, field) ON starts_with(lower(line), label)),
+  v AS (SELECT doc_id, field, arg_min(value, line_no) AS value FROM h WHERE value IS NOT NULL GROUP BY ALL),
+  d AS (SELECT doc_id, try_strptime(regexp_replace(regexp_extract_all(string_agg(line, chr(10) ORDER BY line_no), '[0-9]{{1,2}}\s+[A-Za-z]+\s+[0-9]{{4}}')[-1], '\s+', ' ', 'g'), '%d %B %Y')::DATE AS report_date FROM n GROUP BY doc_id),
+  w AS (SELECT doc_id, any_value(report_date) AS report_date, {", ".join(f"max(value) FILTER (field = '{f}') AS {f}" for f in LABELS.values())} FROM d LEFT JOIN v USING (doc_id) GROUP BY doc_id)
+  SELECT *, concat_ws(',', {", ".join(f"CASE WHEN {f} IS NULL THEN '{f}' END" for f in [*LABELS.values(), "report_date"])}) AS missing FROM w""",
+    "lexicon_score": f"SELECT doc_id, CASE WHEN ok THEN {_X10000} END AS score_x10000 FROM (SELECT doc_id, coalesce({_USABLE}, false) AS ok, {_POS} AS pos, {_NEG} AS neg FROM (SELECT doc_id, {STRIP.format('text')} AS f FROM documents))",
+    "score_stats": f"""SELECT count(*) FILTER (NOT doc5) AS processed, count(*) FILTER (NOT doc5 AND score_x10000 IS NOT NULL) AS updated, count(*) FILTER (NOT doc5 AND score_x10000 IS NULL) AS skipped, 0::BIGINT AS failed,
+  round(coalesce(avg(score_x10000) FILTER (NOT doc5), 0))::BIGINT AS average_score, CASE WHEN count(*) FILTER (NOT doc5) = 0 THEN 'no_data' ELSE 'success' END AS status FROM ({SCORED_SQL})""",
+    "score_preview": f"""SELECT CASE WHEN s IS NULL THEN NULL WHEN s >= 5000 THEN 'Strong Positive' WHEN s >= 2000 THEN 'Moderate Positive' WHEN s <= -5000 THEN 'Strong Negative' WHEN s <= -2000 THEN 'Moderate Negative' ELSE 'Strict Neutral' END AS band,
+  s IS NOT NULL AS valid, count(*) AS n FROM (SELECT id, score_x10000 AS s FROM ({SCORED_SQL}) WHERE id IN (SELECT doc_id FROM labels WHERE toxic = 1)) GROUP BY ALL""",
+    "fundamentals_history": "SELECT 'c7' AS ticker, o_orderdate::DATE AS report_date, o_orderkey AS id, o_totalprice AS revenue FROM orders WHERE o_custkey % 100 = 7 ORDER BY report_date DESC, id DESC LIMIT 20",
+    "serialized": """SELECT o_orderkey, '{"o_orderkey":' || o_orderkey || ',"day":"' || strftime(o_orderdate, '%Y-%m-%d') || '","status":' || CASE WHEN o_orderstatus = 'F' THEN 'null' ELSE '"' || o_orderstatus || '"' END || '}' AS json FROM orders""",
     "rate_change": f"WITH {_sql_months()}, r AS (SELECT year, period, fuel_price, lead(fuel_price) OVER (PARTITION BY year ORDER BY period DESC) AS previous_rate FROM m) SELECT *, fuel_price - previous_rate AS rate_delta, CASE WHEN fuel_price - previous_rate IS NULL THEN 'unknown' WHEN fuel_price > previous_rate THEN 'increase' WHEN fuel_price < previous_rate THEN 'decrease' ELSE 'unchanged' END AS direction FROM r",
     "value_parsing": "SELECT o_orderkey, o_orderdate::DATE AS day, date_trunc('month', o_orderdate)::DATE AS report_month, CASE WHEN year(o_orderdate) >= 2000 THEN strftime(o_orderdate, '%B %Y') END AS label, o_totalprice::DECIMAL(12,2) AS amount, strftime(o_orderdate, '%B') AS month, o_orderdate::DATE AS last_date, date_trunc('month', o_orderdate)::DATE AS period, 3::INTEGER AS n_parts FROM orders",
 }
@@ -261,3 +327,4 @@ ORACLE["table_select"] = f"SELECT source, doc_id, score FROM ({ORACLE['table_sco
 ORACLE["grid_parse_all"] = f"""{_GRID}, f AS (SELECT count(*) AS n, sum(({_CELL})::DECIMAL(18,3)) AS d FROM b WHERE row_idx <> 7), e AS (SELECT sum(v::DECIMAL(18,3)) AS d FROM b WHERE row_idx <> 7)
   SELECT 'fuel' AS indicator, n, d::DECIMAL(28,3) AS total FROM f UNION ALL SELECT 'cbr', count(*), (8.5 * count(*))::DECIMAL(28,3) FROM b UNION ALL SELECT 'inflation', count(*), (9 * count(*))::DECIMAL(28,3) FROM b
   UNION ALL SELECT 'exchange', (SELECT n FROM f), ((SELECT d FROM f) + (SELECT d FROM e) + 7 * (SELECT n FROM f))::DECIMAL(28,3)"""
+ORACLE["pairs_in_order"] = f"SELECT (list_position(['USD/KES', 'EUR/KES', 'GBP/KES'], pair) - 1)::INTEGER AS place, pair, count(*) AS n, max(rate) AS top FROM ({ORACLE['forex']}) GROUP BY pair"

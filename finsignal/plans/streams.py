@@ -1,60 +1,120 @@
-"""Streaming queries: events are replayed from their files with availableNow and compared with batch SQL."""
+"""Streaming queries: tables are replayed from their files with availableNow and compared with batch SQL.
 
-from __future__ import annotations
+What is stored is read from its folder, so a query that starts again goes on where the last one stopped.
+"""
 
-import tempfile
-import uuid
+from __future__ import annotations
 
-from pyspark.sql import SparkSession
+from pyspark.errors import AnalysisException
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import LongType, StructField, StructType
 
+from ..operators.headlines import build_headline
 from ..session import table
+from ..storage import new_path
 from ..streaming import streams as ST
+from .market import ORACLE as MARKET_SQL
+from .market import raw_quotes, quote_totals
+from .news import ENRICHED, WORDS, entries_of
+from .reports import headlines_of, lexicon, SCORED_SQL
 
 
-def _folder(spark: SparkSession, name: str) -> tuple[str, str]:
-    """Output and checkpoint folders in the shared folder of the cluster; a temporary one where none is set."""
-    root = (spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="finsignal-")).rstrip("/")
-    base = f"{root}/finsignal-{name}-{uuid.uuid4().hex}"
-    return f"{base}/out", f"{base}/checkpoint"
+def _stream(spark: SparkSession, sf: str, name: str) -> DataFrame:
+    """A table as a stream of its files; a pattern, since the table may be one file or a folder."""
+    return spark.readStream.schema(table(spark, sf, name).schema).parquet(f"{sf}/{name}.parque[t]")
 
 
 def _events(spark, sf):
     """Events with ts as an instant: the stored wall clock is UTC, whatever the session's zone."""
-    events = spark.readStream.schema(table(spark, sf, "events").schema).parquet(f"{sf}/events.parque[t]")  # a pattern: the table may be one file or a folder
-    return events.withColumn("ts", F.convert_timezone(F.lit("UTC"), F.current_timezone(), F.col("ts").cast("timestamp_ntz")).cast("timestamp"))
+    return _stream(spark, sf, "events").withColumn("ts", F.convert_timezone(F.lit("UTC"), F.current_timezone(), F.col("ts").cast("timestamp_ntz")).cast("timestamp"))
+
+
+def _stored(spark: SparkSession, schema, folder: str) -> DataFrame:
+    """All batches in a folder, with their number; none where nothing is written yet."""
+    numbered = StructType([*schema.fields, StructField("batch", LongType())])
+    try:
+        return spark.read.schema(numbered).parquet(folder)
+    except AnalysisException:
+        return spark.createDataFrame([], numbered)
+
+
+def append_new(stream: DataFrame, folder: str, keys: list[str], order: list) -> DataFrame:
+    """Run a stream into a folder of batches behind the append-only guard, and return what is stored. A batch is written
+    over if it is replayed, and is no part of what it is compared with."""
+    spark, out = stream.sparkSession, f"{folder}/out"
+
+    def write(fresh, number):
+        fresh.write.mode("overwrite").parquet(f"{out}/batch={number}")
+
+    def others(number):
+        return _stored(spark, stream.schema, out).where(F.col("batch") != number).drop("batch")
+
+    ST.append_new_sink(stream, others, write, keys, order).option("checkpointLocation", f"{folder}/checkpoint").trigger(availableNow=True).start().awaitTermination()
+    return _stored(spark, stream.schema, out).drop("batch")
 
 
 def stream_dedupe(spark, sf):
     """Keys of events, each once: watermark dedupe, then the append-only guard against what is stored."""
-    out, checkpoint = _folder(spark, "dedupe")
     keys = ["user_id", "event_type"]
     stream = ST.dedupe_stream(_events(spark, sf), keys, "ts", "40 days").select(*keys)
-    stored: list[str] = []
+    return append_new(stream, new_path(spark, "dedupe"), keys, [F.col(k) for k in keys])
 
-    def existing():
-        return spark.read.parquet(*stored) if stored else None
 
-    def write(fresh, number):
-        path = f"{out}/batch={number}"
-        fresh.write.mode("overwrite").parquet(path)
-        stored.append(path)
+def stream_headlines(spark, sf):
+    """Documents as landed feed entries: normalised, enriched, gated, deduplicated by url, appended."""
+    rows = build_headline(ST.headlines_stream(entries_of(_stream(spark, sf, "documents")), d=WORDS))
+    stored = append_new(rows, new_path(spark, "headlines"), ["url"], [F.col("feed_ord"), F.col("entry_ord")])
+    return stored.select("url", "keywords_detected", "categories", "matched_keywords_count", "impact_score")
+
+
+def stream_quotes(spark, sf):
+    """Events as raw quotes, parsed and appended; totals of the stored rows."""
+    folder = new_path(spark, "quotes")
+    raw = raw_quotes(_stream(spark, sf, "events")).drop("event_id")
+    ST.quotes_stream(raw, f"{folder}/out", f"{folder}/checkpoint").awaitTermination()
+    return quote_totals(spark.read.parquet(f"{folder}/out"))
+
+
+def stream_scores(spark, sf):
+    """Documents as new headlines: their scores are written into the stored ones."""
+    folder = new_path(spark, "scores")
+    start = headlines_of(table(spark, sf, "documents")).select("id", "sentiment_score")
+    start.write.parquet(f"{folder}/out/version=0")
+    done = update_versions(headlines_of(_stream(spark, sf, "documents")), folder)
+    return done.select("id", F.round(F.col("sentiment_score") * 10000).cast("long").alias("score_x10000"))
+
+
+def update_versions(headlines: DataFrame, folder: str) -> DataFrame:
+    """Run score updates over the versions of a table in a folder; batch n makes version n + 1 from the newest before it."""
+    spark = headlines.sparkSession
+
+    def before(number):
+        every = spark.read.parquet(f"{folder}/out")
+        last = every.where(F.col("version") <= number).agg(F.max("version")).first()[0]
+        return every.where(F.col("version") == last).drop("version")
+
+    def write(updated, number):
+        updated.write.mode("overwrite").parquet(f"{folder}/out/version={number + 1}")
 
-    query = ST.append_new_sink(stream, existing, write, keys, [F.col(k) for k in keys]).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
-    query.awaitTermination()
-    return spark.read.schema(stream.schema).parquet(*stored) if stored else spark.createDataFrame([], stream.schema)
+    ST.scores_sink(headlines, lexicon(), before, write).option("checkpointLocation", f"{folder}/checkpoint").trigger(availableNow=True).start().awaitTermination()
+    return before(1 << 30)
 
 
 def stream_bars(spark, sf):
     """Daily bars by event type of all days that the watermark has passed."""
-    out, checkpoint = _folder(spark, "bars")
+    folder = new_path(spark, "bars")
     bars = ST.bars_stream(_events(spark, sf), "ts", "event_type", "value", "1 day", "1 hour")
     utc = F.convert_timezone(F.current_timezone(), F.lit("UTC"), F.col("bar_start").cast("timestamp_ntz"))
-    return ST.run_to_table(bars, out, checkpoint).withColumn("bar_start", utc)
+    return ST.run_to_table(bars, f"{folder}/out", f"{folder}/checkpoint").withColumn("bar_start", utc)
 
 
-QUERIES = {"stream_dedupe": stream_dedupe, "stream_bars": stream_bars}
+QUERIES = {f.__name__: f for f in (stream_dedupe, stream_headlines, stream_quotes, stream_scores, stream_bars)}
 ORACLE = {
     "stream_dedupe": "SELECT DISTINCT user_id, event_type FROM events",
+    "stream_headlines": f"""WITH {ENRICHED} SELECT DISTINCT ON (url) url, nullif(array_to_string(kw, ', '), '') AS keywords_detected, nullif(array_to_string(cats, ', '), '') AS categories, n_kw AS matched_keywords_count, impact AS impact_score
+  FROM (SELECT *, md5(lower(text)) AS url FROM e) WHERE impact >= 2""",
+    "stream_quotes": MARKET_SQL["quote_parse"],
+    "stream_scores": f"SELECT id, CASE WHEN doc5 THEN 2500 ELSE score_x10000 END::BIGINT AS score_x10000 FROM ({SCORED_SQL})",
     "stream_bars": "SELECT date_trunc('day', ts)::TIMESTAMP AS bar_start, event_type, arg_min(value, struct_pack(a := ts, b := value)) AS open, max(value) AS high, min(value) AS low, arg_max(value, struct_pack(a := ts, b := value)) AS close, count(*) AS n FROM events WHERE date_trunc('day', ts) + INTERVAL 1 DAY <= (SELECT max(ts) FROM events) - INTERVAL 1 HOUR GROUP BY ALL",
 }

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import strip
@@ -22,12 +22,25 @@ def read_quotes_json(spark: SparkSession, path: str) -> DataFrame:
 
 
 def read_feed_entries(spark: SparkSession, path: str, fmt: str = "json") -> DataFrame:
-    """Feed entries from JSON lines, or from RSS items (fmt='xml')."""
+    """Feed entries from JSON lines, or from RSS files (fmt='xml'): one row an item, with the feed's own fields. Feeds are
+    numbered by file name, as label and url name them; entries by their place in the feed."""
     if fmt == "xml":
-        return spark.read.schema("title string, description string, link string, guid string, pubDate string").format("xml").option("rowTag", "item").load(path).selectExpr("title", "description", "link", "guid AS id", "pubDate AS published")
+        item = "struct<title: string, description: string, link: string, guid: string, pubDate: string, summary: string, updated: string, encoded: string>"
+        feeds = spark.read.schema(f"title string, link string, item array<{item}>").format("xml").option("rowTag", "channel").option("ignoreNamespace", "true").load(path)
+        named = feeds.select(F.input_file_name().alias("feed_url"), F.col("title").alias("feed_title"), F.posexplode("item").alias("entry_ord", "i"))
+        order = dims_by_name(named)
+        return named.join(F.broadcast(order), "feed_url").select(
+            "feed_ord", "entry_ord", "feed_url", F.regexp_extract("feed_url", r"([^/]+?)(\.[A-Za-z]+)?$", 1).alias("label"), "feed_title", "i.title", "i.summary", "i.description", "i.link", F.col("i.guid").alias("id"),
+            F.when(F.col("i.encoded").isNotNull(), F.array(F.struct(F.col("i.encoded").alias("value")))).alias("content"), F.col("i.pubDate").alias("published"), "i.updated",
+        )
     return spark.read.schema(SCHEMAS["feed_entries"]).json(path)
 
 
+def dims_by_name(named: DataFrame) -> DataFrame:
+    """(feed_url, feed_ord): landed feed files, a short list, numbered by name."""
+    return named.select("feed_url").distinct().select("feed_url", (F.row_number().over(Window.orderBy("feed_url")) - 1).alias("feed_ord"))
+
+
 def read_table_grid(spark: SparkSession, path: str, fmt: str = "json") -> DataFrame:
     return spark.read.schema(SCHEMAS["table_grid"]).format(fmt).load(path)
 

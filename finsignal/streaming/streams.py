@@ -6,11 +6,12 @@ from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.streaming import DataStreamWriter
+from pyspark.sql.streaming import DataStreamWriter, StreamingQuery
 
 from ..operators.headlines import enrich_articles, min_impact_gate, normalize_entry
+from ..operators.quotes import ingest_quotes
 from ..operators.sentiment import Scorer, backfill
-from ..operators.upsert import new_rows
+from ..operators.upsert import new_rows, update_by_key
 from ..sources.dims import Dictionary
 
 
@@ -19,13 +20,12 @@ def dedupe_stream(stream: DataFrame, keys: list[str], ts: str, delay: str) -> Da
     return stream.withWatermark(ts, delay).dropDuplicatesWithinWatermark(keys)
 
 
-def append_new_sink(stream: DataFrame, read_existing: Callable[[], DataFrame | None], write: Callable[[DataFrame, int], None], keys: list[str], order: list[Column]) -> DataStreamWriter:
-    """Append keys that are not stored yet: the last guard behind the watermark, also on replays."""
+def append_new_sink(stream: DataFrame, read_others: Callable[[int], DataFrame], write: Callable[[DataFrame, int], None], keys: list[str], order: list[Column]) -> DataStreamWriter:
+    """Append keys that are not stored yet: the last guard behind the watermark, also on replays. read_others(number): what
+    batches other than this one have stored."""
 
     def each(batch: DataFrame, number: int) -> None:
-        existing = read_existing()
-        fresh = new_rows(batch, existing, keys, order) if existing is not None else new_rows(batch, batch.limit(0), keys, order)
-        write(fresh, number)
+        write(new_rows(batch, read_others(number), keys, order), number)
 
     return stream.writeStream.foreachBatch(each)
 
@@ -43,9 +43,21 @@ def bars_stream(stream: DataFrame, ts: str, key: str, value: str, every: str, de
     return bars.select(F.col("window.start").alias("bar_start"), key, "open", "high", "low", "close", "n")
 
 
-def scores_stream(headlines: DataFrame, scorer: Scorer) -> DataFrame:
-    """New headlines with their sentiment scores: stateless, so it is the batch job itself."""
-    return backfill(headlines, scorer)
+def quotes_stream(raw: DataFrame, path: str, checkpoint: str) -> StreamingQuery:
+    """Raw quotes to market rows, appended to a table; rows with a reason are kept apart by that column."""
+    return ingest_quotes(raw).writeStream.format("parquet").outputMode("append").option("path", path).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+
+
+def scores_sink(headlines: DataFrame, scorer: Scorer, read_stored: Callable[[int], DataFrame], write: Callable[[DataFrame, int], None]) -> DataStreamWriter:
+    """Scores of new headlines (id, headline, description, content, sentiment_score), written into the stored ones by id:
+    each micro-batch is one update of the table. read_stored(number): the table before that batch, so a replayed batch
+    gives the same table."""
+
+    def each(batch: DataFrame, number: int) -> None:
+        scored = backfill(batch, scorer).where("outcome = 'updated'")
+        write(update_by_key(read_stored(number), scored.select("id", "sentiment_score"), "id", "sentiment_score"), number)
+
+    return headlines.writeStream.foreachBatch(each)
 
 
 def run_to_table(stream: DataFrame, path: str, checkpoint: str, mode: str = "append") -> DataFrame:

@@ -210,3 +210,87 @@ def test_envelopes(spark):
     assert sorted((r["month"], r["action"], r["cbr_trend"]) for r in out.collect()) == [("February", "kept", None), ("March", "inserted", -0.25)]
     again = macro.refresh_indicator(out.select("month", "year", "cbk_rate"), macro.records_of(envelopes), dims.FIELD_MAPS["cbr"], {})
     assert again.where("action = 'inserted'").count() == 0
+
+
+def test_ids_with_payload(spark):
+    """Gapless ids in order over many rows that carry other columns."""
+    n = 300_000
+    df = spark.range(n).select(((F.col("id") * 7919) % 104729).alias("k"), F.col("id").alias("tie"), F.md5(F.col("id").cast("string")).alias("a"), F.rand(3).alias("b"), F.lit("x").alias("c"))
+    got = upsert.assign_ids(df, [F.col("k"), F.col("tie")], 10)
+    assert tuple(got.agg(F.countDistinct("id"), F.min("id"), F.max("id")).first()) == (n, 11, n + 10)
+    rows = got.orderBy("id").select("k", "tie").limit(2000).collect()
+    assert [tuple(r) for r in rows] == sorted((i * 7919 % 104729, i) for i in range(n))[:2000]
+
+
+def test_update_never_multiplies(spark):
+    have, new = spark.createDataFrame([(1, 0.1), (2, None)], "id long, s double"), spark.createDataFrame([(1, 0.5), (1, 0.7), (1, None), (3, 1.0)], "id long, s double")
+    assert sorted(map(tuple, upsert.update_by_key(have, new, "id", "s").collect()), key=str) == [(1, 0.7), (2, None)]
+
+
+def test_append(spark, tmp_path):
+    df = spark.createDataFrame([(1, "a"), (2, "b")], "id long, d string")
+    upsert.append(df, str(tmp_path / "t"), ["d"])
+    upsert.append(df, str(tmp_path / "t"), ["d"])
+    assert spark.read.parquet(str(tmp_path / "t")).count() == 4
+
+
+def test_missing_fields(spark):
+    df = spark.createDataFrame([("1", "x"), (None, "2"), ("", "3")], "a string, b string")
+    assert values.missing_fields(df, {"a": "x", "b": "y", "none": "z"}).first().asDict() == {"missing_x": 2, "missing_y": 1, "missing_z": 3}
+
+
+def test_history_bounds(spark):
+    df = spark.createDataFrame([("A", dt.date(2024, 1, i), i) for i in range(1, 9)] + [("B", dt.date(2025, 1, 1), 99)], "ticker string, report_date date, id int")
+    assert [r["id"] for r in fundamentals.history(df, "A", 3).collect()] == [8, 7, 6]
+    for bad in (0, 21):
+        with pytest.raises(ValueError):
+            fundamentals.history(df, "A", bad)
+
+
+def test_feeds_to_articles(spark, tmp_path):
+    """RSS files through to normalised articles."""
+    item = "<item><title>{0} oil</title><description>{0} text</description><link>https://x.org/{0}</link><guid>g{0}</guid><pubDate>Mon, 02 Mar 2026 07:00:00 GMT</pubDate></item>"
+    for name, n in (("b-feed", 2), ("a-feed", 1)):
+        (tmp_path / f"{name}.xml").write_text(f"<rss><channel><title>T {name}</title><link>l</link>" + "".join(item.format(f"{name}{i}") for i in range(n)) + "</channel></rss>")
+    entries = readers.read_feed_entries(spark, str(tmp_path), "xml")
+    assert set(spark.read.schema(dims.SCHEMAS["feed_entries"]).json(spark.sparkContext.emptyRDD()).columns) == set(entries.columns)
+    rows = headlines.normalize_entry(entries).orderBy("feed_ord", "entry_ord").collect()
+    assert [(r["source"], r["headline"], r["url"], r["malformed"]) for r in rows] == [("a-feed", "a-feed0 oil", "https://x.org/a-feed0", False), *[("b-feed", f"b-feed{i} oil", f"https://x.org/b-feed{i}", False) for i in range(2)]]
+    assert rows[0]["published_at"] is not None and rows[0]["description"] == "a-feed0 text"
+
+
+def test_grid_and_page_readers(spark, tmp_path):
+    (tmp_path / "g.json").write_text(json.dumps({"source_url": "u", "page": 1, "table_idx": 0, "row_idx": 2, "cells": ["January", "1.5"]}))
+    row = readers.read_table_grid(spark, str(tmp_path / "g.json")).first()
+    assert row["cells"] == ["January", "1.5"] and row["row_idx"] == 2 and row["indicator"] is None
+    spark.createDataFrame([(1, "u", "<p>x</p>")], dims.SCHEMAS["pages"]).write.parquet(str(tmp_path / "p"))
+    assert readers.read_pages(spark, str(tmp_path / "p")).first()["html"] == "<p>x</p>"
+
+
+def test_json_rows_and_fixed_order(spark):
+    df = spark.createDataFrame([(1, dt.date(2026, 3, 2), None)], "id long, d date, v double")
+    assert json.loads(df.select(values.to_json_row(["id", "d", "v"]).alias("j")).first()["j"]) == {"id": 1, "d": "2026-03-02", "v": None}
+    pairs = spark.createDataFrame([("EUR",), ("GBP",), ("USD",)], "p string")
+    assert [r["p"] for r in paging.ordered_by_list(pairs, "p", ["USD", "EUR", "GBP"]).collect()] == ["USD", "EUR", "GBP"]
+
+
+def test_streams_start_again(spark, tmp_path):
+    """A stream that is started again appends only what is new, and score updates go on from the last version."""
+    from finsignal.plans import streams
+
+    source, folder = str(tmp_path / "in"), str(tmp_path / "work")
+    schema = "k string, n long"
+    read = lambda: spark.readStream.schema(schema).parquet(source)
+    spark.createDataFrame([("a", 1), ("b", 2), ("a", 3)], schema).write.parquet(source)
+    assert sorted(map(tuple, streams.append_new(read(), folder, ["k"], [F.col("n")]).collect())) == [("a", 1), ("b", 2)]
+    spark.createDataFrame([("b", 9), ("c", 4)], schema).write.mode("append").parquet(source)
+    assert sorted(map(tuple, streams.append_new(read(), folder, ["k"], [F.col("n")]).collect())) == [("a", 1), ("b", 2), ("c", 4)]
+
+    heads, work = str(tmp_path / "heads"), str(tmp_path / "scores")
+    schema = "id long, headline string, description string, content string, sentiment_score double"
+    rows = lambda *ids: spark.createDataFrame([(i, "the cat and the dog", None, None, None) for i in ids], schema)
+    rows(1, 2, 3).select("id", "sentiment_score").write.parquet(f"{work}/out/version=0")
+    read = lambda: spark.readStream.schema(schema).parquet(heads)
+    for ids, want in (((1,), {1: 1.0, 2: None, 3: None}), ((3,), {1: 1.0, 2: None, 3: 1.0})):
+        rows(*ids).write.mode("append").parquet(heads)
+        assert {r["id"]: r["sentiment_score"] for r in streams.update_versions(read(), work).collect()} == want
