@@ -1,48 +1,17 @@
-"""Intermediate tables in the folder that driver and executors share, and joins that a hot key does not slow down."""
+"""Intermediate tables, and joins that a hot key does not slow down."""
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-_OWN: dict[str, str] = {}
+from ..storage import new_path, shared_dir, write_table
+
+__all__ = ["HOT_PARTS", "join_counted", "new_path", "shared_dir", "write_table"]
 #: A key with more than 1 / HOT_PARTS of all rows is hot; there are fewer than HOT_PARTS such keys.
 HOT_PARTS = 1000
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder named in spark.checkpoint.dir. Where that is unset, a temporary one for a local master (tests), and an
-    error for any other: executors on other machines would write to disks of their own."""
-    found = spark.conf.get("spark.checkpoint.dir", None)
-    if not found:
-        if not spark.sparkContext.master.startswith("local"):
-            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
-        app = spark.sparkContext.applicationId
-        if app not in _OWN:
-            _OWN[app] = tempfile.mkdtemp(prefix="finsignal-")
-        found = _OWN[app]
-    return found.rstrip("/")
-
-
-def new_path(spark: SparkSession, name: str) -> str:
-    """A new place in the shared folder. All places of one application lie in one folder, finsignal-<application id>,
-    which may be removed once the results are written."""
-    return f"{shared_dir(spark)}/finsignal-{spark.sparkContext.applicationId}/{name}-{uuid.uuid4().hex}"
-
-
-def write_table(df: DataFrame, name: str) -> DataFrame:
-    """Write df as Parquet in the shared folder and read it back.
-
-    This cuts lineage and survives lost executors: nothing is recomputed from earlier steps.
-    """
-    path, schema = new_path(df.sparkSession, name), df.schema
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(schema).parquet(path)
-
-
 def join_counted(rows: DataFrame, table: DataFrame, key: str, total: int, count: str = "rows") -> DataFrame:
     """rows joined to a table with one row a key, whose column `count` tells how many rows have it (of `total`).
 

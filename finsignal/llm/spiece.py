@@ -33,7 +33,7 @@ SPACE = "▁"
 COARSE = re.compile(f"{SPACE}*[^{SPACE}\n]+|{SPACE}+|\n")
 OTHER = "\x00-@\\[-`{-¿\u2000-\u206f\u3000-\u303f\uff00-\uff0f\uff1a-\uff1f"  # ASCII and common marks that are no letters
 FINE = re.compile(f"{SPACE}*[^{SPACE}{OTHER}]+|{SPACE}*[{OTHER}]+|{SPACE}+")
-CACHE_WORDS, CACHE_PAIRS, CACHE_CHARS, COMMIT_EVERY = 250_000, 600_000, 40, 256
+CACHE_WORDS, CACHE_PAIRS, CACHE_CHARS, COMMIT_EVERY = 150_000, 300_000, 40, 256
 
 
 def _varint(data: bytes, at: int) -> tuple[int, int]:

@@ -467,3 +467,37 @@ def test_pipeline_stages(spark, sf_dir):
         before = docs.count()
     last = corpus_pipeline.STAGES[-1][1](spark, docs, sf_dir)
     assert last.count() == before and last.where("not exact").count() == 0
+
+
+def test_pipeline_edges(spark, docs_of, tmp_path):
+    """Null and empty texts, repeated rows, a null id, a very long text and columns with the operators' own names, through
+    all stages; and an empty table."""
+    import corpus_pipeline
+
+    rng = random.Random(31)
+    prose = lambda n: " ".join(f"w{rng.randrange(10**5)}" for _ in range(n))
+    near = prose(200).split()
+    rows = [*EDGE, (20, "mail ann@x.example.org " + prose(50)), (21, " ".join(near)), (22, " ".join([*near[:100], "changed", *near[101:]])), (23, prose(30_000))]
+    rows += [(i, prose(60) + (" vilething nastyblob vilething" if i % 3 == 0 else "")) for i in range(100, 220)]
+    labels = spark.createDataFrame([(i, 1, int(i % 3 == 0)) for i in range(100, 220)], "doc_id long, quality int, toxic int")
+    for name, given in (("some", rows), ("none", [])):
+        folder = str(tmp_path / name)
+        labels.write.parquet(f"{folder}/labels.parquet")
+        docs = docs_of(given)
+        docs.write.parquet(f"{folder}/documents.parquet")
+        kept = [{r["doc_id"] for r in docs.collect()}]
+        for stage_name, stage in corpus_pipeline.STAGES[:-1]:
+            docs = corpus_pipeline.write_table(stage(spark, docs, folder), f"edge-{stage_name}")
+            found = docs.collect()
+            kept.append({r["doc_id"] for r in found})
+            assert docs.columns == docs_of([]).columns and kept[-1] <= kept[-2]
+            if given and stage_name == "toxicity":
+                assert {1, 2, 3, 4, 5, 6, None, 20, 21, 22, 23} <= kept[-1] and sum(i % 3 == 0 for i in kept[-1] if i and i >= 100) <= 4
+            if given and stage_name == "near_duplicates":
+                assert {21, 23, None} <= kept[-1] and 22 not in kept[-1] and 3 not in kept[-1]
+                assert sorted(r["doc_id"] for r in found if r["doc_id"]) == sorted(i for i in kept[-1] if i)
+            if given and stage_name == "personal_data":
+                assert next(r["text"] for r in found if r["doc_id"] == 20).startswith("mail <EMAIL> ")
+        last = corpus_pipeline.STAGES[-1][1](spark, docs, folder).collect()
+        assert len(last) == docs.count() and all(r["exact"] for r in last)
+        assert corpus_pipeline.run(spark, folder).count() == len(last)
