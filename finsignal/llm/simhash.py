@@ -271,10 +271,19 @@ def _signatures(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(keys, pa.int64()), pa.array(sizes, pa.int64()), lists], ["doc_id", "k", "n", "bands"])
 
 
-def verified(pairs: DataFrame, nodes: DataFrame, documents: DataFrame) -> DataFrame:
-    """The pairs (u, v) of set keys whose sets, taken again from the whole texts, have a Jaccard similarity of 0.8 or more."""
-    asked = pairs.select(F.explode(F.array("u", "v")).alias("k")).distinct()
-    ids = nodes.join(asked, "k", "left_semi").select("k", F.col("id").alias("doc_id"))
+PARITY_BITS = 1024
+
+
+def parity(own: np.ndarray) -> np.ndarray:
+    """For each of PARITY_BITS places whether an odd number of shingles falls on it, as 64-bit integers. Two sets differ in
+    at least as many shingles as their parities differ in places."""
+    odd = np.bincount((own & np.uint64(PARITY_BITS - 1)).astype(np.int64), minlength=PARITY_BITS) & 1
+    return np.packbits(odd.astype(np.uint8), bitorder="little").view(np.int64)
+
+
+def shingle_sets(keys: DataFrame, nodes: DataFrame, documents: DataFrame) -> DataFrame:
+    """(k, shingles, parity): the sets of the given nodes, taken again from the whole text of one document each."""
+    ids = nodes.join(keys, "k", "left_semi").select("k", F.col("id").alias("doc_id"))
 
     def own(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -282,24 +291,53 @@ def verified(pairs: DataFrame, nodes: DataFrame, documents: DataFrame) -> DataFr
                 part = batch.slice(at, 200)
                 sets = [(k, x) for k, t in zip(part.column("k").to_pylist(), part.column("text")) if set_key(x := shingle_set(t.as_py())) == k]  # rows that share a doc_id but not the text go
                 lists = pa.array([x.view(np.int64) for _, x in sets], pa.list_(pa.int64()))
-                yield pa.RecordBatch.from_arrays([pa.array([k for k, _ in sets], pa.int64()), lists], ["k", "shingles"])
+                odd = pa.array([parity(x) for _, x in sets], pa.list_(pa.int64()))
+                yield pa.RecordBatch.from_arrays([pa.array([k for k, _ in sets], pa.int64()), lists, odd], ["k", "shingles", "parity"])
 
     texts = documents.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(ids, "doc_id").select("k", "text")
-    sets = write_table(texts.mapInArrow(own, "k long, shingles array<long>").groupBy("k").agg(F.first("shingles").alias("shingles")), "sets")
+    return write_table(texts.mapInArrow(own, "k long, shingles array<long>, parity array<long>").groupBy("k").agg(F.first("shingles").alias("shingles"), F.first("parity").alias("parity")), "sets")
+
+
+def verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
+    """The pairs (u, v) of set keys whose sets have a Jaccard similarity of 0.8 or more."""
     right = pairs.join(sets.select(F.col("k").alias("v"), F.col("shingles").alias("_v")), "v")
     both = right.join(sets.select(F.col("k").alias("u"), F.col("shingles").alias("_u")), "u")
     counted = both.select("u", "v", F.size(F.array_intersect("_u", "_v")).alias("both"), (F.size("_u") + F.size("_v")).alias("all"))
     return counted.where(5 * F.col("both") >= SIMILAR_FIFTHS * (F.col("all") - F.col("both"))).select("u", "v")
 
 
+def prefix_pairs(members: DataFrame, sets: DataFrame) -> DataFrame:
+    """Candidate pairs (u, v) with u < v between stray members and members of other groups: all that can be similar.
+
+    members: k, n, group, stray. Shingles are ordered by how many members hold them, the rarest first. Sets with a
+    similarity of 0.8 share one of the first n - ceil(0.8 n) + 1, their first common shingle leaves enough behind it on
+    both sides, and they differ in at most a ninth of their shingles, so their parities do not differ in more places. All
+    three are tested inside the join. Near copies that differ from one another begin with shingles of their own, so a
+    crowd of them gives few pairs, where their bands would give all.
+    """
+    held = sets.join(members, "k").select("k", "n", "group", "stray", F.explode("shingles").alias("s"))
+    counts = held.groupBy("s").agg(F.count(F.lit(1)).alias("_c"))
+    first = (F.col("n") - F.floor((F.col("n") * SIMILAR_FIFTHS + 4) / 5) + 1).cast("int")
+    ordered = held.join(counts, "s").groupBy("k", "n", "group", "stray").agg(F.array_sort(F.collect_list(F.struct("_c", "s"))).alias("_own"))
+    each = ordered.join(sets.select("k", "parity"), "k").select("k", "n", "group", "stray", "parity", F.posexplode(F.slice("_own", F.lit(1), first)).alias("at", "_t"))
+    rows = write_table(each.select("k", "n", "group", "stray", "parity", "at", "_t.s"), "prefixes")
+    asks = rows.where("stray").select("s", F.col("k").alias("a"), F.col("n").alias("an"), F.col("group").alias("ag"), F.col("at").alias("aat"), F.col("parity").alias("ap"))
+    left = F.least(F.col("n") - F.col("at"), F.col("an") - F.col("aat"))
+    enough = (5 + SIMILAR_FIFTHS) * left >= SIMILAR_FIFTHS * (F.col("n") + F.col("an"))
+    differ = F.aggregate(F.zip_with("parity", "ap", lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda t, x: t + x)
+    alike = (5 + SIMILAR_FIFTHS) * differ <= F.col("n") + F.col("an")
+    return rows.join(asks, (rows["s"] == asks["s"]) & (F.col("group") != F.col("ag")) & enough & alike).select(F.least("a", "k").alias("u"), F.greatest("a", "k").alias("v")).distinct()
+
+
 def similar_groups(documents: DataFrame) -> DataFrame:
     """(doc_id, component_id) of rows with a doc_id: groups of documents joined by chains of links, where each link has a
     Jaccard similarity of 5-word shingle sets of at least 0.8, checked exactly.
 
     Candidates share a MinHash band; the bands are the same at every size and hold 0.9996 of the pairs at 0.8. Equal sets
     are one node. First every node is checked against the smallest node of each of its bands; then, in bands that still
-    hold more than one group, the nodes outside the group of the smallest are checked against all nodes of other groups.
-    Only pairs that set sizes rule out, or whose ends are joined already, are left unchecked.
+    hold more than one group, the nodes outside the group of the smallest are compared with the nodes of other groups
+    through the rare shingles they share. Only pairs that sizes or shingles rule out, or whose ends are joined already,
+    are left unchecked.
     """
     named = documents.where("doc_id is not null").select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     docs = write_table(named.mapInArrow(_signatures, "doc_id long, k long, n long, bands array<long>"), "signatures")
@@ -307,18 +345,19 @@ def similar_groups(documents: DataFrame) -> DataFrame:
     cells = nodes.where("n > 0").select("k", "n", F.explode("bands").alias("cell"))
     hubs = cells.groupBy("cell").agg(F.min(F.struct("k", "n")).alias("hub"), F.count(F.lit(1)).alias("rows")).where("rows > 1").select("cell", F.col("hub.k").alias("hub"), F.col("hub.n").alias("hub_n"))
     shared = write_table(cells.join(hubs, "cell"), "cells")  # bands that two nodes or more share
-    sizes_allow = lambda a, b: (5 * F.least(a, b) >= SIMILAR_FIFTHS * F.greatest(a, b))
-    first = write_table(shared.where(F.col("k") != F.col("hub")).where(sizes_allow(F.col("n"), F.col("hub_n"))).select(F.col("hub").alias("u"), F.col("k").alias("v")).distinct(), "pairs")
-    links = write_table(verified(first, nodes, documents), "similar")
+    sizes_allow = 5 * F.least("n", "hub_n") >= SIMILAR_FIFTHS * F.greatest("n", "hub_n")
+    first = write_table(shared.where(F.col("k") != F.col("hub")).where(sizes_allow).select(F.col("hub").alias("u"), F.col("k").alias("v")).distinct(), "pairs")
+    sets = shingle_sets(shared.select("k").distinct(), nodes, documents)
+    links = write_table(verified(first, sets), "similar")
     roots = write_table(components(links), "roots").select(F.col("u").alias("k"), "root")
 
     root = lambda c, to: roots.select(F.col("k").alias(c), F.col("root").alias(to))
     placed = shared.join(root("k", "_r"), "k", "left").join(root("hub", "_h"), "hub", "left").select("cell", "k", "n", F.coalesce("_r", "k").alias("group"), F.coalesce("_h", "hub").alias("hub_group"))
-    placed = write_table(placed, "placed")
-    stray = placed.where(F.col("group") != F.col("hub_group")).select("cell", F.col("k").alias("a"), F.col("n").alias("an"), F.col("group").alias("ag"))
-    met = placed.join(stray, "cell").where((F.col("group") != F.col("ag")) & sizes_allow(F.col("n"), F.col("an")))
-    second = met.select(F.least("a", "k").alias("u"), F.greatest("a", "k").alias("v")).distinct().join(first, ["u", "v"], "left_anti")
-    more = write_table(verified(write_table(second, "pairs"), nodes, documents), "similar")
+    placed = write_table(placed.withColumn("stray", F.col("group") != F.col("hub_group")), "placed")
+    open_cells = placed.where("stray").select("cell").distinct()
+    members = write_table(placed.join(open_cells, "cell", "left_semi").groupBy("k", "n", "group").agg(F.max("stray").alias("stray")), "members")
+    second = prefix_pairs(members, sets).join(first, ["u", "v"], "left_anti")
+    more = write_table(verified(write_table(second, "pairs"), sets), "similar")
 
     roots = write_table(components(links.unionByName(more)), "roots").select(F.col("u").alias("k"), "root")
     grouped = write_table(nodes.select("k", "id", "rows").join(roots, "k", "left").select("k", "id", "rows", F.coalesce("root", "k").alias("root")), "groups")

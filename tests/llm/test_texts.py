@@ -156,6 +156,15 @@ def test_similar_groups_around_the_threshold(spark, docs_of):
     assert got == {i: find(i) for i in range(len(rows))}
 
 
+def test_parity_never_exceeds_the_difference():
+    rng = np.random.default_rng(12)
+    for n in (0, 1, 40, 900, 5000):
+        a = np.unique(rng.integers(0, 1 << 63, n, dtype=np.uint64))
+        b = np.unique(np.concatenate([a[n // 7 :], rng.integers(0, 1 << 63, n // 9, dtype=np.uint64)]))
+        places = int(np.bitwise_count(simhash.parity(a) ^ simhash.parity(b)).sum())
+        assert places <= len(np.setxor1d(a, b)) and (places > 0) == (n > 1)
+
+
 def brute_repeats(rows):
     data = [(t or "").encode() for _, t in rows]
     seen = {}
@@ -478,7 +487,7 @@ def test_pipeline_edges(spark, docs_of, tmp_path):
     prose = lambda n: " ".join(f"w{rng.randrange(10**5)}" for _ in range(n))
     near = prose(200).split()
     rows = [*EDGE, (20, "mail ann@x.example.org " + prose(50)), (21, " ".join(near)), (22, " ".join([*near[:100], "changed", *near[101:]])), (23, prose(30_000))]
-    rows += [(i, prose(60) + (" vilething nastyblob vilething" if i % 3 == 0 else "")) for i in range(100, 220)]
+    rows += [(i, prose(60) + " word words" + (" vilething nastyblob vilething" if i % 3 == 0 else "")) for i in range(100, 220)]
     labels = spark.createDataFrame([(i, 1, int(i % 3 == 0)) for i in range(100, 220)], "doc_id long, quality int, toxic int")
     for name, given in (("some", rows), ("none", [])):
         folder = str(tmp_path / name)
