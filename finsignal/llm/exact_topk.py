@@ -21,7 +21,7 @@ from .scratch import write_table
 from .vectors import first_of_equal, matrix, streamed, usable
 
 SCALE = 64
-SHARD_ROWS, LEAF_ROWS = 8192, 64
+SHARD_ROWS, LEAF_ROWS, QUERY_ROWS = 8192, 64, 4096
 OUT = "query_id long, vec_id long, score long"
 NONE = -(1 << 63)
 
@@ -149,7 +149,7 @@ def top_k(embeddings: DataFrame, k: int = 20, every: int = 20) -> DataFrame:
 
     def wave(asked: DataFrame) -> DataFrame:
         both = placed.unionByName(asked).repartition(tasks, "shard").sortWithinPartitions("shard", "asks")
-        return both.mapInArrow(streamed(_index(k), _answer(k)), OUT)
+        return both.mapInArrow(streamed(_index(k), _answer(k), QUERY_ROWS), OUT)
 
     first = write_table(_best(wave(queries), k).drop("rank"), "wave1")
     kth = first.groupBy("query_id").agg(F.when(F.count(F.lit(1)) == k, F.min("score")).alias("_kth"))

@@ -52,9 +52,10 @@ def first_of_equal(ids: np.ndarray, points: np.ndarray, most: int) -> tuple[np.n
     return ids[keep], points[keep]
 
 
-def streamed(index: Callable[[pa.Table], object], answer: Callable[[object, pa.RecordBatch], pa.RecordBatch]) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+def streamed(index: Callable[[pa.Table], object], answer: Callable[[object, pa.RecordBatch], pa.RecordBatch], rows: int | None = None) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
     """Rows sorted by (shard, asks): a shard's rows (asks = 0) are gathered and indexed, its queries (asks = 1) answered
-    a batch at a time. Memory: one shard and one batch of queries."""
+    `rows` (default QUERY_ROWS) at a time. Memory: one shard and one batch of queries."""
+    most = rows or QUERY_ROWS
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         shard, held, found = None, [], None
@@ -74,7 +75,7 @@ def streamed(index: Callable[[pa.Table], object], answer: Callable[[object, pa.R
                 if held:
                     found, held = index(pa.Table.from_batches(held)), []
                 if found is not None:
-                    for at in range(0, part.num_rows, QUERY_ROWS):
-                        yield answer(found, part.slice(at, QUERY_ROWS))
+                    for at in range(0, part.num_rows, most):
+                        yield answer(found, part.slice(at, most))
 
     return run

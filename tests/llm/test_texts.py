@@ -161,7 +161,7 @@ def test_parity_never_exceeds_the_difference():
     for n in (0, 1, 40, 900, 5000):
         a = np.unique(rng.integers(0, 1 << 63, n, dtype=np.uint64))
         b = np.unique(np.concatenate([a[n // 7 :], rng.integers(0, 1 << 63, n // 9, dtype=np.uint64)]))
-        places = int(np.bitwise_count(simhash.parity(a) ^ simhash.parity(b)).sum())
+        places = int(np.bitwise_count(simhash.parity(a).view(np.uint64) ^ simhash.parity(b).view(np.uint64)).sum())
         assert places <= len(np.setxor1d(a, b)) and (places > 0) == (n > 1)
 
 
