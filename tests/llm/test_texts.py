@@ -3,6 +3,7 @@ import random
 import re
 import time
 
+import induced_sorting
 import numpy as np
 import pyarrow as pa
 import pytest
@@ -200,6 +201,23 @@ def test_repeats(spark, docs_of, monkeypatch, piece, hot, rows_in_batch, sample)
     assert repeats.remove_repeats(docs_of([])).count() == 0
 
 
+@pytest.mark.parametrize("most", [8, 1 << 16])
+def test_induced_sorting(most):
+    rng = random.Random(6)
+    texts = ["".join(rng.choice("ab") for _ in range(rng.randrange(60))).encode() for _ in range(40)] + [b"", b"a" * 90, b"ab" * 40]
+    t = [x for i, own in enumerate(texts) for x in [*(b + len(texts) for b in own), len(texts) - 1 - i]]
+    assert induced_sorting.suffix_order(t, most) == sorted(range(len(t)), key=lambda p: t[p:])
+
+
+def test_repeats_of_the_given_documents(spark, sf_dir):
+    """Whole documents against suffixes in the order that induced sorting through queues on disk gives."""
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    rows = sorted((r["doc_id"], r["text"]) for r in docs.select("doc_id", "text").collect())
+    want = induced_sorting.removed([t.encode() for _, t in rows], repeats.LENGTH)
+    got = sorted(tuple(r) for r in repeats.remove_repeats(docs).collect())
+    assert got == [(i, *x) for (i, _), x in zip(rows, want)] and sum(x[1] for x in want) > 0
+
+
 def test_texts_are_not_shuffled(spark, docs_of):
     """Only the narrow side of the last join is exchanged."""
     plan = repeats.remove_repeats(docs_of([(1, "a" * 300), (2, "b" * 300)]))._jdf.queryExecution().executedPlan().toString()
