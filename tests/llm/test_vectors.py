@@ -85,6 +85,29 @@ def test_recall(spark):
     assert hit >= 0.9 * 20 * 100
 
 
+@pytest.mark.parametrize("norms", [False, True])
+def test_clustered_vectors_are_pruned(norms):
+    """Vectors with structure (200 clusters, of one or of any norm): queries that calibration did not see read few rows."""
+    rng = np.random.default_rng(9)
+    centres = rng.normal(size=(200, 64))
+    x = centres[rng.integers(0, 200, 20_000)] + 0.4 * rng.normal(size=(20_000, 64))
+    x /= np.sqrt((x**2).sum(axis=1))[:, None]
+    if norms:
+        x *= rng.uniform(0.7, 1.3, size=len(x))[:, None]
+    tree = ann.fit_tree(x[rng.choice(len(x), 5000, replace=False)], max(16.0, 5 * 5000 / len(x) ** 0.5))
+    leaf = ann.nearest_leaf(tree, x)
+    sizes = np.bincount(leaf, minlength=len(tree.leaves()))
+    asked = rng.choice(len(x), 328, replace=False)
+    scores = x[asked] @ x.T
+    scores[np.arange(328), asked] = -np.inf
+    near = np.argpartition(-scores, 20, axis=1)[:, :20]
+    visits, part = ann.calibrate(tree, x[asked[:128]], np.repeat(np.arange(128), 20), leaf[near[:128].ravel()], sizes, ann.TARGET_RECALL)
+    order = ann.visit_order(tree, x[asked[128:]], visits, part)
+    recall = np.mean([np.isin(leaf[own], seen).mean() for own, seen in zip(near[128:], order)])
+    read = np.mean([sizes[seen].sum() for seen in order]) / len(x)
+    assert recall >= 0.95 and read <= 0.3
+
+
 def test_query_side_is_bounded(spark, monkeypatch, tmp_path):
     """Queries that all visit one leaf are answered in small batches, with the same result."""
     rows = [(i, [1.0, 2.0 + i % 7], 0, 1) for i in range(600)]
