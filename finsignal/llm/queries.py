@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import alignment, ann, chat, exact_topk, mixing, pii, repeats, sharding, simhash, spiece, toxicity, whitening
+from . import alignment, ann, chat, exact_dedup, exact_topk, mixing, pii, repeats, sharding, simhash, spiece, toxicity, whitening
 
 
 def _read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -60,6 +60,15 @@ def op12_jacobi_davidson_whitening(spark: SparkSession, sf_dir: str) -> DataFram
     return whitening.whiten(_read(spark, sf_dir, "embeddings"))
 
 
+def op13_streaming_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return exact_dedup.deduplicate(spark, f"{sf_dir}/documents.parquet")
+
+
+SQL_OP13 = """
+WITH t AS (SELECT doc_id, coalesce(text, '') AS text, regexp_replace(coalesce(text, ''), '[ \t\n\v\f\r]', '', 'g') AS bare FROM documents)
+SELECT doc_id, first_value(doc_id) OVER w AS keep_id, count(*) OVER (PARTITION BY bare) AS group_size, row_number() OVER w = 1 AS kept, sha256(bare) AS text_sha256
+FROM t WINDOW w AS (PARTITION BY bare ORDER BY length(text) DESC, doc_id)"""
+
 #: CRC-32 bit by bit over the bytes; DuckDB has no function for it.
 _CRC = """xor(4294967295, list_reduce(list_prepend(4294967295::BIGINT, list_transform(regexp_extract_all(hex(encode(coalesce(text, ''))), '..'),
   lambda h: ('0x' || h)::BIGINT)), lambda c, b: xor(c >> 8, list_reduce([xor(c, b) & 255, 1, 2, 3, 4, 5, 6, 7, 8],
@@ -146,5 +155,5 @@ def _sql_op1(targets: mixing.Targets = mixing.Targets()) -> str:
     FROM (SELECT *, CASE WHEN tokens = 0 THEN 1.0 ELSE rate END::DOUBLE AS p FROM facts JOIN rates USING (source, lang, topic))"""
 
 
-QUERIES = {"op12_jacobi_davidson_whitening": op12_jacobi_davidson_whitening, "op11_merge_path_alignment": op11_merge_path_alignment, "op6_repeated_bytes": op6_repeated_bytes, "op4_viterbi_sentencepiece": op4_viterbi_sentencepiece, "op7_crf_pii": op7_crf_pii, "op9_crf_toxicity": op9_crf_toxicity, "op3_kmeans_tree_ann": op3_kmeans_tree_ann, "op8_kdtree_topk": op8_kdtree_topk, "op5_simhash_popcount": op5_simhash_popcount, "op1_raked_mixture": op1_raked_mixture, "op2_chat_events": op2_chat_events, "op10_jump_sharding": op10_jump_sharding}
-ORACLE = {"op8_kdtree_topk": SQL_OP8, "op1_raked_mixture": _sql_op1(), "op2_chat_events": SQL_OP2, "op10_jump_sharding": SQL_OP10}
+QUERIES = {"op13_streaming_exact_dedup": op13_streaming_exact_dedup, "op12_jacobi_davidson_whitening": op12_jacobi_davidson_whitening, "op11_merge_path_alignment": op11_merge_path_alignment, "op6_repeated_bytes": op6_repeated_bytes, "op4_viterbi_sentencepiece": op4_viterbi_sentencepiece, "op7_crf_pii": op7_crf_pii, "op9_crf_toxicity": op9_crf_toxicity, "op3_kmeans_tree_ann": op3_kmeans_tree_ann, "op8_kdtree_topk": op8_kdtree_topk, "op5_simhash_popcount": op5_simhash_popcount, "op1_raked_mixture": op1_raked_mixture, "op2_chat_events": op2_chat_events, "op10_jump_sharding": op10_jump_sharding}
+ORACLE = {"op13_streaming_exact_dedup": SQL_OP13, "op8_kdtree_topk": SQL_OP8, "op1_raked_mixture": _sql_op1(), "op2_chat_events": SQL_OP2, "op10_jump_sharding": SQL_OP10}
