@@ -20,6 +20,7 @@ from .vectors import matrix
 
 SCALE, SHIFT = 64, 1_000_000
 BLOCK_ROWS = 1024
+SUM_TASKS = 8  # that add up what the tasks before them give
 INNER_STEPS, OUTER_STEPS, PROBE_STEPS = 8, 200, 3
 EPS = float(np.finfo(float).eps)
 
@@ -48,6 +49,39 @@ def _packed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([pa.array([p.tobytes() for p in parts], pa.binary())], ["block"])
 
 
+def _total(blocks: DataFrame, dim: int, part: Callable[[np.ndarray], np.ndarray], shape: tuple[int, ...], kind: type) -> np.ndarray:
+    """Sum of part(x) over all blocks, in whole numbers or doubles. A task gives one array; these are dealt to SUM_TASKS
+    tasks, which give one each, so the driver gets SUM_TASKS arrays, whatever the number of tasks before."""
+    size, arrow = int(np.prod(shape)), pa.int64() if kind is int else pa.float64()
+
+    def array(own: np.ndarray) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.ListArray.from_arrays(pa.array([0, size], pa.int32()), pa.array(own, arrow))], ["own"])
+
+    def inside(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        own = np.zeros(size, dtype=kind)
+        for batch in batches:
+            for block in batch.column("block"):
+                own += part(np.frombuffer(block.as_buffer(), dtype=np.int64).reshape(-1, dim)).ravel()
+        yield array(own)
+
+    def across(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        own = np.zeros(size, dtype=kind)
+        for batch in batches:
+            own += matrix(batch.column("own")).sum(axis=0, dtype=kind) if batch.num_rows else 0
+        yield array(own)
+
+    shape_of = f"own array<{'long' if kind is int else 'double'}>"
+    found = blocks.mapInArrow(inside, shape_of).repartition(SUM_TASKS).mapInArrow(across, shape_of).toArrow()
+    return matrix(found.column("own")).sum(axis=0, dtype=kind).reshape(shape)
+
+
+def _centred(x: np.ndarray, n: int, sums: np.ndarray) -> np.ndarray:
+    """n * x - sums in whole numbers; an error where they could leave 64 bits."""
+    if 2 * n * int(np.abs(x).max(initial=0)) >= 1 << 63:
+        raise OverflowError("n times a component does not fit in 64 bits")
+    return n * x - sums
+
+
 @dataclass(frozen=True)
 class FitList:
     """Distinct vectors in blocks, in the shared folder, with their number n and exact sums by dimension."""
@@ -58,23 +92,9 @@ class FitList:
     sums: np.ndarray
 
     def total(self, part: Callable[[np.ndarray, int], np.ndarray], shape: tuple[int, ...]) -> np.ndarray:
-        """Sum of part(n * x - sums, n) over all blocks. A task gives one array; arrays meet in a shuffle by place, so the
-        driver gets as many numbers as one array holds, whatever the number of tasks."""
-        dim, n, sums, size = self.dim, self.n, self.sums, int(np.prod(shape))
-
-        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            own = np.zeros(size)
-            for batch in batches:
-                for block in batch.column("block"):
-                    x = np.frombuffer(block.as_buffer(), dtype=np.int64).reshape(-1, dim)
-                    own += part(n * x - sums, n).ravel()
-            yield pa.RecordBatch.from_arrays([pa.array([own.tolist()], pa.list_(pa.float64()))], ["own"])
-
-        places = self.blocks.mapInArrow(run, "own array<double>").select(F.posexplode("own").alias("at", "v")).groupBy("at").agg(F.sum("v").alias("v"))
-        out = np.zeros(size)
-        for r in places.collect():  # dim * columns numbers at most
-            out[r["at"]] = r["v"]
-        return out.reshape(shape)
+        """Sum of part(n * x - sums, n) over all blocks."""
+        n, sums = self.n, self.sums
+        return _total(self.blocks, self.dim, lambda x: part(_centred(x, n, sums), n), shape, float)
 
     def product(self, q: np.ndarray) -> np.ndarray:
         """Covariance times the columns of q."""
@@ -91,25 +111,14 @@ class FitList:
 
 def fit_list(rows: DataFrame, dim: int) -> FitList:
     """Each distinct x of `rows` once. Copies are merged before the shuffle, so a vector that a third of all rows share
-    costs a row a task. A list whose sums leave 64 bits is an error."""
+    costs a row a task. A list whose sums could leave 64 bits is an error."""
     blocks = write_table(rows.select("x").distinct().mapInArrow(_packed, "block binary"), "fit-list")
 
-    def sums(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        n, own, size = 0, np.zeros(dim, dtype=np.int64), 0
-        for batch in batches:
-            for block in batch.column("block"):
-                x = np.frombuffer(block.as_buffer(), dtype=np.int64).reshape(-1, dim)
-                n, own, size = n + len(x), own + x.sum(axis=0), max(size, int(np.abs(x).max()))
-        yield pa.RecordBatch.from_arrays([pa.array([n]), pa.array([size]), pa.array([own.tolist()], pa.list_(pa.int64()))], ["n", "size", "own"])
-
-    parts = write_table(blocks.mapInArrow(sums, "n long, size long, own array<long>"), "fit-sums")
-    n, size = parts.agg(F.sum("n"), F.max("size")).first()
-    if n and 2 * n * size >= 1 << 63:
-        raise OverflowError("n times a component does not fit in 64 bits")
-    found = np.zeros(dim, dtype=np.int64)
-    for r in parts.select(F.posexplode("own").alias("at", "v")).groupBy("at").agg(F.sum("v").alias("v")).collect():
-        found[r["at"]] = r["v"]
-    return FitList(blocks, dim, int(n or 0), found)
+    n, size = _total(blocks, dim, lambda x: np.array([len(x), np.abs(x.astype(float)).sum(axis=0).max(initial=0.0)]), (2,), float)
+    if 2 * size >= 1 << 63:
+        raise OverflowError("sums do not fit in 64 bits")
+    n = int(n)
+    return FitList(blocks, dim, n, _total(blocks, dim, lambda x: x.sum(axis=0), (dim,), int))
 
 
 def _orthogonal(t: np.ndarray, *bases: np.ndarray) -> np.ndarray:
@@ -276,7 +285,7 @@ def project(rows: DataFrame, w: Whitening) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            centred = n * matrix(batch.column("x")) - sums if batch.num_rows else np.empty((0, len(sums)), dtype=np.int64)
+            centred = _centred(matrix(batch.column("x")), n, sums) if batch.num_rows else np.empty((0, len(sums)), dtype=np.int64)
             if np.square(centred.astype(float)).sum(axis=1).max(initial=0.0) >= 2.0**63 * (1 - 1e-9):
                 raise OverflowError("a deviation does not fit in 64 bits")
             out = (centred / n) @ turn
