@@ -24,7 +24,12 @@ from pyspark.sql import functions as F
 from .scratch import HOT_PARTS, join_counted, new_path, write_table
 
 SPACES = b" \t\n\v\f\r"
-PROVIDER = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
+#: State on disk: commits write changes, not whole copies, and many small stores do not set disk aside for growth.
+STATE_CONF = {
+    "spark.sql.streaming.stateStore.providerClass": "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider",
+    "spark.sql.streaming.stateStore.rocksdb.changelogCheckpointing.enabled": "true",
+    "spark.sql.streaming.stateStore.rocksdb.allowFAllocate": "false",
+}
 FILES_A_BATCH = 1000
 FILTER_BITS = 1 << 25  # of the filter that tells which rows a second reading needs: 4 MB at most
 AT = ["file", "row"]
@@ -42,13 +47,14 @@ def _digests(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 @contextmanager
 def _disk_state(spark: SparkSession) -> Iterator[None]:
     """Queries that start here keep their state in RocksDB."""
-    name = "spark.sql.streaming.stateStore.providerClass"
-    before = spark.conf.get(name, None)
-    spark.conf.set(name, PROVIDER)
+    before = {name: spark.conf.get(name, None) for name in STATE_CONF}
+    for name, value in STATE_CONF.items():
+        spark.conf.set(name, value)
     try:
         yield
     finally:
-        spark.conf.unset(name) if before is None else spark.conf.set(name, before)
+        for name, value in before.items():
+            spark.conf.unset(name) if value is None else spark.conf.set(name, value)
 
 
 def _contents(files: list[str], bits: np.ndarray, spark: SparkSession) -> DataFrame:
