@@ -35,9 +35,14 @@ def clean_text(c: Column) -> Column:
     return F.coalesce(strip(F.regexp_replace(_invisible_out(c), r"(?U)\s+", " ")), F.lit(""))
 
 
+def bare(c: Column) -> Column:
+    """Hidden characters out and ends stripped; inner whitespace stays."""
+    return strip(_invisible_out(c))
+
+
 def clean_or_null(c: Column) -> Column:
-    """Hidden characters out and ends stripped; an empty result is null. Inner whitespace stays."""
-    return F.nullif(strip(_invisible_out(c)), F.lit(""))
+    """The same; an empty result is null."""
+    return F.nullif(bare(c), F.lit(""))
 
 
 def truncate(c: Column, width: int) -> Column:
@@ -87,7 +92,7 @@ def assemble_text(headline: Column, *more: Column) -> Column:
 
 def combined_text(*columns: Column) -> Column:
     """Stripped non-empty fields joined by spaces."""
-    return F.concat_ws(" ", *[F.nullif(strip(c), F.lit("")) for c in columns])
+    return F.array_join(F.filter(F.array(*map(strip, columns)), lambda x: x != ""), " ")
 
 
 def fold_quotes(c: Column) -> Column:

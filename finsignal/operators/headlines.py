@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.text import clean_or_null, combined_text, truncate
+from ..functions.once import compute_once
+from ..functions.text import bare, clean_or_null, combined_text, truncate
 from ..functions.values import parse_feed_date
 from ..sources.dims import Dictionary
 from .keywords import enrich
@@ -16,15 +17,17 @@ MIN_IMPACT = 2
 
 def normalize_entry(entries: DataFrame) -> DataFrame:
     """Feed entries to articles: title or summary, link or id, description unless it repeats the title, first content
-    value, source and date. `malformed` marks rows without title or url."""
-    title = F.coalesce(clean_or_null(F.col("title")), clean_or_null(F.col("summary")))
-    url = F.coalesce(clean_or_null(F.col("link")), clean_or_null(F.col("id")))
-    description = F.coalesce(clean_or_null(F.col("summary")), clean_or_null(F.col("description")))
-    content = clean_or_null(F.try_element_at("content", F.lit(1))["value"])
-    source = resolve_source(F.col("label"), F.col("feed_title"), F.col("feed_url"))
-    return entries.select(
-        "feed_ord", "entry_ord", source.alias("source"), title.alias("headline"), F.nullif(description, title).alias("description"), content.alias("content"),
-        url.alias("url"), parse_feed_date(F.col("published"), F.col("updated")).alias("published_at"), (title.isNull() | url.isNull()).alias("malformed"),
+    value, source and date. `malformed` marks rows without title or url. Every field is cleaned once."""
+    raw = {c: F.col(c) for c in ("title", "summary", "description", "link", "id", "label", "feed_title", "feed_url")} | {"content": F.try_element_at("content", F.lit(1))["value"]}
+    dates = {"published_at": parse_feed_date(F.col("published"), F.col("updated"))}
+    held = compute_once(entries.select("feed_ord", "entry_ord", *raw.keys(), "published", "updated"), {n: bare(c) for n, c in raw.items()} | dates)
+    some = {n: F.nullif(F.col(n), F.lit("")) for n in raw}
+    title, url = F.coalesce(some["title"], some["summary"]), F.coalesce(some["link"], some["id"])
+    description = F.coalesce(some["summary"], some["description"])
+    source = F.coalesce(some["label"], some["feed_title"], some["feed_url"], F.lit("Unknown"))
+    return held.select(
+        "feed_ord", "entry_ord", source.alias("source"), title.alias("headline"), F.nullif(description, title).alias("description"), some["content"].alias("content"),
+        url.alias("url"), "published_at", (title.isNull() | url.isNull()).alias("malformed"),
     )
 
 

@@ -2,22 +2,39 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.once import compute_once
 from ..functions.text import clean_or_null
 from ..sources.dims import Dictionary
 
 
+WORD = r"(?U)\w+"  # a run of letters, digits and underscores of any script
+
+
 def _quoted(word: str) -> str:
     return "".join(c if c.isalnum() or c == " " else f"\\{c}" for c in word)
 
 
+def _found(low: Column, d: Dictionary) -> Column:
+    """Keywords of a lower-case text: one list of its words against all single words, phrases as substrings."""
+    words = [k for k in d.distinct() if re.fullmatch(r"\w+", k)]
+    phrases = [k for k in d.distinct() if " " in k]
+    marked = [k for k in d.distinct() if k not in words and k not in phrases]  # such as at&t: words by boundaries, but more than one
+    literal = lambda terms: F.array(*map(F.lit, terms)).cast("array<string>")
+    parts = [F.array_intersect(literal(words), F.regexp_extract_all(low, F.lit(WORD), F.lit(0)))] if words else []
+    parts += [F.filter(literal(phrases), lambda p: low.contains(p))] if phrases else []
+    parts += [F.array_compact(F.array(*[F.when(low.contains(k) & low.rlike(rf"(?U)\b{_quoted(k)}\b"), F.lit(k)) for k in marked]))] if marked else []
+    return F.array_sort(F.concat(*parts)) if parts else literal([])
+
+
 def extract_keywords(text: Column, d: Dictionary = Dictionary()) -> Column:
-    """Sorted distinct keywords of a text: single words on word boundaries, phrases as substrings, without case."""
-    low = F.lower(F.coalesce(text, F.lit("")))
-    hits = [F.when(low.contains(k) if " " in k else low.contains(k) & low.rlike(rf"(?U)\b{_quoted(k)}\b"), F.lit(k)) for k in d.distinct()]
-    return F.filter(F.array(*hits), lambda x: x.isNotNull())
+    """Sorted distinct keywords of a text: single words on word boundaries, phrases as substrings, without case. The text
+    is lower-cased once if it comes through compute_once (as in enrich), else once for each kind of keyword."""
+    return _found(F.lower(F.coalesce(text, F.lit(""))), d)
 
 
 def extract_categories(keywords: Column, d: Dictionary = Dictionary()) -> Column:
@@ -35,22 +52,63 @@ def impact_score(keywords: Column, d: Dictionary = Dictionary()) -> Column:
 
 
 def enrich(df: DataFrame, text: Column, d: Dictionary = Dictionary()) -> DataFrame:
-    """Adds keywords, categories, matched_keywords_count and impact_score; other columns stay.
-
-    The keywords pass through a generator of one row, which neither filters nor projections are pushed through: texts are
-    matched once however often the keywords are used."""
-    held = df.withColumn("_fs_found", F.array(extract_keywords(text, d))).drop("keywords")
-    found = held.select("*", F.explode("_fs_found").alias("keywords")).drop("_fs_found")
+    """Adds keywords, categories, matched_keywords_count and impact_score; other columns stay. A text is lower-cased once,
+    split into words once, and matched once, whatever the size of the dictionary and however often keywords are used."""
+    low = compute_once(df, {"_fs_low": F.lower(F.coalesce(text, F.lit("")))})
+    found = compute_once(low, {"keywords": _found(F.col("_fs_low"), d)}).drop("_fs_low")
     return found.withColumns({"categories": extract_categories(F.col("keywords"), d), "matched_keywords_count": F.size("keywords"), "impact_score": impact_score(F.col("keywords"), d)})
 
 
 def match_large_dictionary(df: DataFrame, key: str, text: str, words: DataFrame) -> DataFrame:
-    """(key, category, keyword) for a dictionary too large for one expression: distinct words of each text joined to
-    the dictionary by equality. Single words only."""
+    """(key, category, keyword) for a dictionary of single ASCII words: distinct words of each text joined to it by
+    equality. match_terms is the general form."""
     tokens = df.select(key, F.explode(F.array_distinct(F.regexp_extract_all(F.lower(F.coalesce(F.col(text), F.lit(""))), F.lit(r"([a-z0-9]+)"), F.lit(1)))).alias("keyword"))
     return tokens.join(words, "keyword").select(key, "category", "keyword")
 
 
+#: Of a phrase, so many characters before and after its first space are looked up in texts.
+SEAM = 3
+
+
+def _terms(words: DataFrame) -> DataFrame:
+    """(category, keyword, kind, key): what a text must hold for a term to be possible. A word itself; of a term with marks
+    its longest run of letters, which stands as a word in the text; of a phrase the characters around its first space."""
+    k = F.col("keyword")
+    runs = F.regexp_extract_all(k, F.lit(WORD), F.lit(0))
+    longest = F.element_at(F.array_sort(F.transform(runs, lambda r: F.struct((-F.char_length(r)).alias("n"), r.alias("r")))), 1)["r"]
+    before, after = F.substring_index(k, " ", 1), F.substring(k, F.instr(k, " ") + 1, F.lit(SEAM))
+    kind = F.when(k.contains(" "), "phrase").when(F.size(runs) == 0, "none").when(runs[0] == k, "word").otherwise("marked")
+    key = F.when(kind == "phrase", F.concat(F.right(before, F.lit(SEAM)), F.lit(" "), after)).otherwise(longest)
+    return words.select("category", "keyword", kind.alias("kind"), key.alias("key")).distinct()
+
+
+def match_terms(df: DataFrame, key: str, text: str, words: DataFrame) -> DataFrame:
+    """(key, category, keyword), each once, for dictionaries of any size (words: category, keyword): what extract_keywords
+    finds, by equality joins.
+
+    Each text becomes its distinct words and the few characters around each of its spaces; these meet the terms by a join,
+    which Spark broadcasts or shuffles by the dictionary's size. A match of a whole word is sure; phrases and terms with
+    marks are then looked for in the texts that hold their key. A null key is none; a term without a letter or digit is a
+    ValueError.
+    """
+    terms = _terms(words)
+    if not terms.where("kind = 'none'").isEmpty():
+        raise ValueError("a term has no letter or digit")
+    shapes = [r[0] for r in terms.where("kind = 'phrase'").select(F.array(F.instr("key", " ") - 1, F.char_length("key") - F.instr("key", " "))).distinct().collect()]  # (SEAM + 1) ** 2 at most
+    texts = df.where(F.col(key).isNotNull()).select(F.col(key).alias("_fs_key"), F.lower(F.coalesce(F.col(text), F.lit(""))).alias("_fs_low"))
+    low = F.col("_fs_low")
+    own = F.transform(F.array_distinct(F.regexp_extract_all(low, F.lit(WORD), F.lit(0))), lambda w: F.struct(F.lit(False).alias("seam"), w.alias("key")))
+    seams = [F.transform(F.array_distinct(F.regexp_extract_all(low, F.lit(f"(?s)(?=(.{{{a}}} .{{{b}}}))"), F.lit(1))), lambda w: F.struct(F.lit(True).alias("seam"), w.alias("key"))) for a, b in sorted(shapes)]
+    keys = compute_once(texts, {"_fs_low": low}).select("_fs_key", F.explode(F.concat(own, *seams)).alias("k")).select("_fs_key", "k.*")
+    met = keys.join(terms.withColumn("seam", F.col("kind") == "phrase"), ["seam", "key"]).select("_fs_key", "category", "keyword", "kind")
+    sure = met.where("kind = 'word'").select("_fs_key", "category", "keyword")
+    maybe = met.where("kind <> 'word'").groupBy("_fs_key").agg(F.collect_set(F.struct("category", "keyword", "kind")).alias("terms"))
+    bounded = lambda t: F.rlike(low, F.concat(F.lit(r"(?U)\b\Q"), t["keyword"], F.lit(r"\E\b")))
+    held = F.filter("terms", lambda t: F.when(t["kind"] == "phrase", low.contains(t["keyword"])).otherwise(bounded(t)))
+    found = texts.join(maybe, "_fs_key").select("_fs_key", F.explode(held).alias("t")).select("_fs_key", "t.category", "t.keyword")
+    return sure.unionByName(found).distinct().withColumnRenamed("_fs_key", key)
+
+
 def batch_totals(df: DataFrame) -> DataFrame:
     return df.agg(F.sum("matched_keywords_count").cast("long").alias("keyword_total"), F.sum("impact_score").cast("long").alias("impact_total"))
 

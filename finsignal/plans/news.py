@@ -68,6 +68,21 @@ def kw_dict_join(spark, sf):
     return K.match_large_dictionary(table(spark, sf, "documents"), "doc_id", "text", words)
 
 
+def benchmark_terms(spark, sf):
+    """(category, keyword): the words of all benchmark passages, and the phrases of two and three words next to one another."""
+    low = F.lower("text")
+    runs = lambda n: F.regexp_extract_all(low, F.lit(rf"(?U)(?<!\w)(?=(\w+(?: \w+){{{n - 1}}})(?!\w))"), F.lit(1))
+    each = table(spark, sf, "benchmark").select(F.explode(F.concat(runs(1), runs(2), runs(3))).alias("keyword")).distinct()
+    return each.select(F.concat(F.lit("c"), F.char_length("keyword") % 5).alias("category"), "keyword")
+
+
+def kw_terms(spark, sf):
+    """Thousands of words and phrases against all documents: how many terms of each category a document holds, and their digest."""
+    found = K.match_terms(table(spark, sf, "documents"), "doc_id", "text", benchmark_terms(spark, sf))
+    digest = F.md5(F.array_join(F.array_sort(F.collect_list("keyword")), ",").cast("binary"))
+    return found.groupBy("doc_id", "category").agg(F.count(F.lit(1)).alias("n"), digest.alias("digest"))
+
+
 def news_search(spark, sf):
     """Two containment filters and a least score."""
     d = _enriched(spark, sf)
@@ -209,7 +224,7 @@ _INGEST = f"""WITH {ENRICHED.replace("lower(coalesce(text, ''))", "lower(concat_
   k AS (SELECT *, md5(lower(text)) AS url FROM e), old AS (SELECT DISTINCT url FROM k WHERE {STORED})"""
 
 QUERIES = {f.__name__: f for f in (
-    kw_extract, kw_categories, kw_impact, kw_enrich, kw_gate_topk, kw_frequency, kw_distinct_tokens, sources, kw_batch_totals, kw_dict_join, news_search, news_relevant, news_page, news_page_info,
+    kw_extract, kw_categories, kw_impact, kw_enrich, kw_gate_topk, kw_frequency, kw_distinct_tokens, sources, kw_batch_totals, kw_dict_join, kw_terms, news_search, news_relevant, news_page, news_page_info,
     keyset_scan, dedupe_first, ingest_counters, ingest_rollup, feed_regions, ingest_headlines, ingest_rows, clean_text, strip_html, meaningful, assemble, entities, quarantine_documents,
 )}
 ORACLE = {
@@ -227,6 +242,12 @@ ORACLE = {
     "kw_batch_totals": f"WITH {ENRICHED} SELECT sum(n_kw)::BIGINT AS keyword_total, sum(impact)::BIGINT AS impact_total FROM e",
     "kw_dict_join": "SELECT doc_id, category, keyword FROM (SELECT doc_id, unnest(list_distinct(regexp_extract_all(lower(text), '[a-z0-9]+'))) AS keyword FROM documents) JOIN (VALUES "
     + ", ".join(f"('{c}', '{w}')" for c, words in WORDS.keywords.items() for w in words if " " not in w) + ") d(category, keyword) USING (keyword)",
+    "kw_terms": r"""WITH b AS (SELECT string_split(unnest(string_split_regex(lower(text), '[^\p{L}\p{M}\p{Nd}\p{Pc} ]')), ' ') AS p FROM benchmark), i AS (SELECT p, unnest(range(1, len(p) + 1)) AS k FROM b),
+  raw AS (SELECT DISTINCT p[k] AS keyword FROM i WHERE p[k] <> ''),
+  s AS (SELECT DISTINCT p[k] || ' ' || p[k + 1] AS keyword FROM i WHERE p[k] <> '' AND p[k + 1] <> '' UNION SELECT DISTINCT p[k] || ' ' || p[k + 1] || ' ' || p[k + 2] FROM i WHERE p[k] <> '' AND p[k + 1] <> '' AND p[k + 2] <> ''),
+  d AS (SELECT doc_id, lower(coalesce(text, '')) AS low, list_distinct(regexp_extract_all(lower(coalesce(text, '')), '[\p{L}\p{M}\p{Nd}\p{Pc}]+')) AS words FROM documents),
+  m AS (SELECT doc_id, keyword FROM (SELECT doc_id, unnest(words) AS keyword FROM d) SEMI JOIN raw USING (keyword) UNION ALL SELECT doc_id, keyword FROM d, s WHERE contains(low, keyword))
+  SELECT doc_id, 'c' || (length(keyword) % 5) AS category, count(*) AS n, md5(string_agg(keyword, ',' ORDER BY keyword)) AS digest FROM m GROUP BY ALL""",
     "news_search": f"WITH {ENRICHED} SELECT doc_id, source, impact AS impact_score FROM e WHERE contains(t, 'of the') AND contains(lower(source), 'src1') AND impact >= 5",
     "news_relevant": f"WITH {ENRICHED} SELECT doc_id, impact AS impact_score FROM e WHERE impact >= 8 OR list_contains(cats, 'stems')",
     "news_page": f"WITH {ENRICHED} SELECT doc_id, source, impact AS impact_score FROM e ORDER BY impact DESC, doc_id LIMIT 20 OFFSET 40",

@@ -24,6 +24,55 @@ def test_keyword_examples(spark):
     assert one(spark, keywords.impact_score(F.array(F.lit("fuel"), F.lit("oil"), F.lit("war"))), a=1) == 12
 
 
+def test_texts_are_matched_once(spark, sf_dir):
+    """One lower-casing and one list of words a text in the plans, no matching in a filter; entries are cleaned once."""
+    import re
+
+    from finsignal.plans import news
+
+    plan = lambda df: df._jdf.queryExecution().optimizedPlan().toString()
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    articles = headlines.enrich_articles(headlines.normalize_entry(news.entries_of(docs)), news.WORDS)  # links are digests of lower-case texts here
+    for df, lowers in ((keywords.enrich(docs, F.col("text")), 1), (headlines.min_impact_gate(keywords.enrich(docs, F.col("text"), news.WORDS)), 1), (articles, 2)):
+        text = plan(df)
+        assert len(re.findall(r"regexp_extract_all\(", text)) == 1 and len(re.findall(r"\blower\(", text)) == lowers and "RLIKE" not in text
+        assert not any("regexp_extract_all" in line for line in text.splitlines() if "Filter" in line)
+        assert text.count("translate(") <= 2 * 9  # nine fields, two replacements each
+
+
+def test_terms_with_marks(spark):
+    d = dims.Dictionary({"x": ["at&t", "u.s", "oil", "oil price", "größe"]}, {})
+    rows = [("AT&T and U.S oil-price; GRÖSSE größe",), ("at&ts u.sx oil prices soil price",), ("größer boat&t",), ("",)]
+    got = [r["keywords"] for r in keywords.enrich(spark.createDataFrame(rows, "t string"), F.col("t"), d).collect()]
+    assert got == [["at&t", "größe", "oil", "u.s"], ["oil", "oil price"], [], []]
+
+
+def test_large_dictionary(spark, sf_dir):
+    """10,000 words, phrases and terms with marks, joined to texts: what a plain search of every term in every text gives,
+    and what the expression form gives for a part of them."""
+    import re
+
+    texts = {r["doc_id"]: (r["text"] or "").lower() for r in spark.read.parquet(f"{sf_dir}/documents.parquet").collect()}
+    own = [re.findall(r"\w+", t) for t in texts.values()]
+    terms = sorted({w for ws in own for w in ws[:40]})
+    terms += sorted({" ".join(ws[i : i + n]) for ws in own for n in (2, 3) for i in range(0, len(ws) - n, 5)} | {ws[0][-2:] + " " + ws[1][:4] for ws in own if len(ws) > 1})[: 9900 - len(terms)]
+    terms += [f"{w}-x{i}" for i, w in enumerate(terms[:50])] + sorted({m for t in texts.values() for m in re.findall(r"\w+[-'.]\w+", t)})[:50]
+    terms += [f"none{i}" for i in range(10_000 - len(terms))]
+    words = spark.createDataFrame([("c", k) for k in terms], "category string, keyword string")
+    got = {}
+    for r in keywords.match_terms(spark.read.parquet(f"{sf_dir}/documents.parquet"), "doc_id", "text", words).collect():
+        got.setdefault(r["doc_id"], []).append(r["keyword"])
+    for i, t in texts.items():
+        runs = set(re.findall(r"\w+", t))
+        want = [k for k in terms if (k in t if " " in k else k in runs if re.fullmatch(r"\w+", k) else k in t and re.search(rf"\b{re.escape(k)}\b", t))]
+        assert sorted(got.get(i, [])) == sorted(set(want))
+    part = dims.Dictionary({"c": terms[::97]}, {})
+    for r in keywords.enrich(spark.read.parquet(f"{sf_dir}/documents.parquet"), F.col("text"), part).collect():
+        assert r["keywords"] == sorted(set(got.get(r["doc_id"], [])) & set(terms[::97]))
+    with pytest.raises(ValueError):
+        keywords.match_terms(words, "keyword", "keyword", spark.createDataFrame([("c", "&&")], words.schema))
+
+
 @pytest.mark.parametrize(("raw", "want"), [("+0.33%", 0.33), ("-2.26%", -2.26), ("abc", None), ("", None)])
 def test_change_pct(spark, raw, want):
     assert one(spark, values.parse_change_pct(F.col("c")), c=raw) == want
