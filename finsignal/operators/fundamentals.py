@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from ..functions.text import fold_quotes
 from ..functions.values import first_statement_value, last_long_date
 from ..sources.dims import METRIC_LABELS
+from .pieces import over_pieces
 
 DIVIDENDS = ("interim dividend", "final dividend")
 
@@ -20,13 +21,17 @@ def label_values(lines: DataFrame, labels: DataFrame) -> DataFrame:
     return valued.groupBy("doc_id", "field").agg(F.min_by("value", "line_no").alias("value"))
 
 
-def next_line_value(lines: DataFrame, phrase: str) -> DataFrame:
-    """(doc_id, value): the first non-zero value of a line with the phrase, or of the line after it."""
-    w = Window.partitionBy("doc_id").orderBy("line_no")
-    own = first_statement_value(F.col("line"))
-    both = lines.withColumns({"_own": own, "_next": F.lead(own).over(w)}).where(F.lower("line").contains(phrase.lower()))
+def next_line_value(lines: DataFrame, phrase: str, pieces: int | None = None) -> DataFrame:
+    """(doc_id, value): the first non-zero value of a line with the phrase, or of the line after it. With `pieces`, lines
+    are cut into that many ranges, each with the line that follows it, so one document may hold any share of the lines."""
+    own = lines.select("doc_id", "line_no", "line", first_statement_value(F.col("line")).alias("_own"))
+    following = {"_next": lambda w: F.lead("_own").over(w)}
+    if pieces:
+        both = over_pieces(own, ["doc_id"], ["line_no"], ["_own"], following, after=1, pieces=pieces)
+    else:
+        both = own.withColumns({n: make(Window.partitionBy("doc_id").orderBy("line_no")) for n, make in following.items()})
     value = F.coalesce("_own", "_next")
-    return both.withColumn("value", value).where((F.col("value").isNotNull()) & (F.col("value") != 0)).groupBy("doc_id").agg(F.min_by("value", "line_no").alias("value"))
+    return both.where(F.lower("line").contains(phrase.lower())).withColumn("value", value).where((F.col("value").isNotNull()) & (F.col("value") != 0)).groupBy("doc_id").agg(F.min_by("value", "line_no").alias("value"))
 
 
 def extract_fundamentals(lines: DataFrame, labels: DataFrame, needed: list[str] | None = None) -> DataFrame:

@@ -13,6 +13,7 @@ from pyspark.sql.types import DoubleType
 from ..functions.text import count_of, strip
 from ..functions.values import MONTHS, NUMBER
 from .paging import first_per_key
+from .pieces import carry_last
 
 
 @dataclass(frozen=True)
@@ -40,10 +41,14 @@ def tokens(cells: Column, drop_commas: bool = False) -> Column:
     return F.filter(F.transform(some, lambda c: strip(F.regexp_replace(c, marks, ""))), lambda c: c != "")
 
 
-def carry_year(df: DataFrame, table_keys: list[str], row: str, token: Column) -> DataFrame:
-    """The year of the last header row ('20xx') above each row of a table; null before the first."""
+def carry_year(df: DataFrame, table_keys: list[str], row: str, token: Column, pieces: int | None = None) -> DataFrame:
+    """The year of the last header row ('20xx') above each row of a table; null before the first. With `pieces`, tables are
+    cut into that many ranges of rows, so one table may hold any share of the rows."""
+    year = F.when(token.rlike(r"^20\d{2}$"), token)
+    if pieces:
+        return carry_last(df.withColumn("_fs_year", year), table_keys, [row], "_fs_year", "year", pieces).drop("_fs_year")
     w = Window.partitionBy(*table_keys).orderBy(row).rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    return df.withColumn("year", F.last(F.when(token.rlike(r"^20\d{2}$"), token), ignorenulls=True).over(w))
+    return df.withColumn("year", F.last(year, ignorenulls=True).over(w))
 
 
 def parse_grid(df: DataFrame, table_keys: list[str], config: GridConfig) -> DataFrame:

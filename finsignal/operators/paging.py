@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions.rules import check_page, check_window
 from ..functions.text import any_of
+from .pieces import carry_last
 
 
 def contains_ci(column: Column, term: str | None, literal: bool = True) -> Column | None:
@@ -85,13 +86,19 @@ def latest_per_key(df: DataFrame, keys: list[str], order: str, columns: list[str
     return picked.select(*keys, "_fs_last.*")
 
 
-def as_of(left: DataFrame, right: DataFrame, keys: list[str], left_ts: str, right_ts: str, value: str) -> DataFrame:
-    """Each left row with the last right value at or before its time: union and a running last(), one shuffle by key."""
+def as_of(left: DataFrame, right: DataFrame, keys: list[str], left_ts: str, right_ts: str, value: str, pieces: int | None = None) -> DataFrame:
+    """Each left row with the last right value at or before its time (of several at one time the largest): union and a
+    running last(), one shuffle by key. With `pieces`, rows are cut into that many ranges of (key, time) instead and last
+    values handed on between them, so a key may hold any share of the rows."""
     a = left.withColumns({"_fs_ts": F.col(left_ts), "_fs_side": F.lit(1), "_fs_v": F.lit(None).cast(right.schema[value].dataType)})
     b = right.select(*keys, F.col(right_ts).alias("_fs_ts"), F.lit(0).alias("_fs_side"), F.col(value).alias("_fs_v"))
     both = a.unionByName(b, allowMissingColumns=True)
-    w = Window.partitionBy(*keys).orderBy("_fs_ts", "_fs_side").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    return both.withColumn(value, F.last("_fs_v", ignorenulls=True).over(w)).where("_fs_side = 1").drop("_fs_ts", "_fs_side", "_fs_v")
+    order = ["_fs_ts", "_fs_side", "_fs_v"]
+    if pieces:
+        found = carry_last(both, keys, order, "_fs_v", value, pieces)
+    else:
+        found = both.withColumn(value, F.last("_fs_v", ignorenulls=True).over(Window.partitionBy(*keys).orderBy(*order).rowsBetween(Window.unboundedPreceding, Window.currentRow)))
+    return found.where("_fs_side = 1").drop("_fs_ts", "_fs_side", "_fs_v")
 
 
 def ordered_by_list(df: DataFrame, column: str, values: list[str]) -> DataFrame:

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from ..functions.rules import quarantine, required
 from ..functions.text import strip
 from ..functions.values import parse_change_pct, parse_price, parse_timestamp_iso, parse_volume
+from .pieces import over_pieces
 
 
 def daily_change(price: Column, pct: Column) -> Column:
@@ -41,10 +42,13 @@ def top_quotes(df: DataFrame, by: str, tie: str, limit: int, descending: bool =
     return df.orderBy(order, tie).limit(limit)
 
 
-def rolling(df: DataFrame, key: str, order: list[str], value: str, n: int) -> DataFrame:
-    """rolling_mean and rolling_stddev over the last n rows of a key, this one included."""
-    w = Window.partitionBy(key).orderBy(*order).rowsBetween(-(n - 1), 0)
-    return df.withColumns({"rolling_mean": F.avg(value).over(w), "rolling_stddev": F.stddev_samp(value).over(w)})
+def rolling(df: DataFrame, key: str, order: list[str], value: str, n: int, pieces: int | None = None) -> DataFrame:
+    """rolling_mean and rolling_stddev over the last n rows of a key, this one included. With `pieces`, rows are cut into
+    that many ranges of (key, order), and each gets the n - 1 rows before it, so a key may hold any share of the rows."""
+    columns = {"rolling_mean": lambda w: F.avg(value).over(w.rowsBetween(-(n - 1), 0)), "rolling_stddev": lambda w: F.stddev_samp(value).over(w.rowsBetween(-(n - 1), 0))}
+    if pieces:
+        return over_pieces(df, [key], order, [value], columns, before=n - 1, pieces=pieces)
+    return df.withColumns({name: make(Window.partitionBy(key).orderBy(*order)) for name, make in columns.items()})
 
 
 def ohlc(df: DataFrame, ts: str, key: str, value: str, every: str) -> DataFrame:

@@ -79,6 +79,26 @@ def quote_rolling(spark, sf):
     return r.select("event_id", "user_id", (F.round(F.col("rolling_mean") * 5 * 4 * 3).cast("long")).alias("mean_x60"), F.round(F.col("rolling_stddev") * F.col("rolling_stddev") * 60).cast("long").alias("variance_x60"))
 
 
+def _hot(e):
+    """Events with half of all users made one user, whose rows no one task should hold."""
+    return e.withColumn("user_id", F.when(F.col("user_id") % 2 == 0, F.lit(0).cast("long")).otherwise(F.col("user_id")))
+
+
+def hot_rolling(spark, sf):
+    """quote_rolling where one user has half of all ticks: ranges of ticks with the four ticks before them."""
+    e = _hot(table(spark, sf, "events")).select("event_id", "user_id", "ts", F.round(F.col("value") * 100).cast("double").alias("cents"))
+    r = Q.rolling(e, "user_id", ["ts", "event_id"], "cents", 5, pieces=64)
+    return r.select("event_id", "user_id", (F.round(F.col("rolling_mean") * 5 * 4 * 3).cast("long")).alias("mean_x60"), F.round(F.col("rolling_stddev") * F.col("rolling_stddev") * 60).cast("long").alias("variance_x60"))
+
+
+def hot_asof(spark, sf):
+    """asof_price where one user has half of all events: last views are handed on between ranges of events."""
+    e = _hot(table(spark, sf, "events"))
+    buys = e.where("event_type = 'purchase'").select("event_id", "user_id", "ts")
+    views = e.where("event_type = 'view'").select("user_id", F.col("ts").alias("view_ts"), F.col("value").alias("last_view"))
+    return P.as_of(buys, views, ["user_id"], "ts", "view_ts", "last_view", pieces=64).select("event_id", "user_id", "last_view")
+
+
 def quote_bars(spark, sf):
     return Q.ohlc(table(spark, sf, "events").where("value is not null"), "ts", "event_type", "value", "1 day")
 
@@ -111,7 +131,8 @@ _RAW = """raw AS (SELECT event_id, 't' || user_id AS ticker, event_type AS name,
 _PARSED = f"""{_RAW}, q AS (SELECT upper(ticker) AS ticker, CASE WHEN price = 'N/A' THEN 'missing_price' WHEN volume = '' THEN 'missing_volume' END AS reason,
   try_cast(replace(price, ',', '') AS DECIMAL(10,3)) AS p, try_cast(volume AS BIGINT) AS v, change::DECIMAL(12,2) AS c FROM raw)"""
 
-QUERIES = {f.__name__: f for f in (quote_parse, quote_quarantine, quote_blanks, quote_change, quote_volatility, quote_latest, quote_top, quote_search, quote_exact, quote_rolling, quote_bars, quote_ids, asof_price)}
+QUERIES = {f.__name__: f for f in (quote_parse, quote_quarantine, quote_blanks, quote_change, quote_volatility, quote_latest, quote_top, quote_search, quote_exact, quote_rolling, quote_bars, quote_ids, asof_price, hot_rolling, hot_asof)}
+_HOT = "hot AS (SELECT * REPLACE (CASE WHEN user_id % 2 = 0 THEN 0 ELSE user_id END AS user_id) FROM events)"
 _LATEST = "SELECT user_id, max(ts) AS ts, arg_max(event_id, struct_pack(a := ts, b := event_id)) AS event_id, arg_max(value, struct_pack(a := ts, b := event_id)) AS value FROM events GROUP BY user_id"
 ORACLE = {
     "quote_quarantine": f"WITH {_PARSED} SELECT coalesce(reason, 'valid') AS reason, count(*) AS n FROM q GROUP BY ALL",
@@ -121,6 +142,8 @@ ORACLE = {
     "quote_search": "SELECT p_partkey, p_name, p_brand FROM part WHERE p_name ILIKE '%red%' OR p_brand ILIKE '%red%'",
     "quote_exact": "SELECT p_partkey, p_name, p_brand FROM part WHERE upper(p_brand) = 'BRAND#7' ORDER BY p_partkey LIMIT 1",
     "quote_rolling": "SELECT event_id, user_id, round(avg(c) OVER w * 60)::BIGINT AS mean_x60, round(stddev_samp(c) OVER w * stddev_samp(c) OVER w * 60)::BIGINT AS variance_x60 FROM (SELECT *, round(value * 100)::DOUBLE AS c FROM events) WINDOW w AS (PARTITION BY user_id ORDER BY ts, event_id ROWS BETWEEN 4 PRECEDING AND CURRENT ROW)",
+    "hot_rolling": f"WITH {_HOT} SELECT event_id, user_id, round(avg(c) OVER w * 60)::BIGINT AS mean_x60, round(stddev_samp(c) OVER w * stddev_samp(c) OVER w * 60)::BIGINT AS variance_x60 FROM (SELECT *, round(value * 100)::DOUBLE AS c FROM hot) WINDOW w AS (PARTITION BY user_id ORDER BY ts, event_id ROWS BETWEEN 4 PRECEDING AND CURRENT ROW)",
+    "hot_asof": f"WITH {_HOT}, v AS (SELECT user_id, ts, max(value) AS value FROM hot WHERE event_type = 'view' GROUP BY ALL) SELECT p.event_id, p.user_id, v.value AS last_view FROM (SELECT * FROM hot WHERE event_type = 'purchase') p ASOF LEFT JOIN v ON p.user_id = v.user_id AND p.ts >= v.ts",
     "quote_bars": "SELECT date_trunc('day', ts)::TIMESTAMP AS bar_start, event_type, arg_min(value, struct_pack(a := ts, b := value)) AS open, max(value) AS high, min(value) AS low, arg_max(value, struct_pack(a := ts, b := value)) AS close, count(*) AS n FROM events WHERE value IS NOT NULL GROUP BY ALL",
     "quote_ids": "SELECT event_id, 1000 + row_number() OVER (ORDER BY ts, event_id) AS id, event_type, props FROM events",
     "asof_price": "SELECT p.event_id, p.user_id, v.value AS last_view FROM (SELECT * FROM events WHERE event_type = 'purchase') p ASOF LEFT JOIN (SELECT user_id, ts, value FROM events WHERE event_type = 'view') v ON p.user_id = v.user_id AND p.ts >= v.ts",
