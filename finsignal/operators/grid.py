@@ -3,9 +3,13 @@
 from __future__ import annotations
 
 from collections import Counter
+from collections.abc import Iterator
 from dataclasses import dataclass
+from difflib import SequenceMatcher
 
+import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType
@@ -104,28 +108,102 @@ def could_reach(x: str, y: str, cutoff: float) -> bool:
     return 200.0 * shared >= cutoff * (len(x) + shared)
 
 
-@F.pandas_udf(DoubleType())
-def partial_ratio(a: pd.Series, b: pd.Series, cutoff: pd.Series) -> pd.Series:
-    """0..100: best match of the shorter text inside the longer, without case; 0 where the cutoff is out of reach."""
-    from difflib import SequenceMatcher
+def ratio_within(a: str, b: str, cutoff: float) -> float:
+    """0..100: best match of the shorter text inside the longer; 0 where the cutoff is out of reach."""
+    x, y = sorted((a, b), key=len)
+    if not x or not could_reach(x, y, cutoff):
+        return 0.0
+    blocks = SequenceMatcher(None, x, y, autojunk=False).get_matching_blocks()
+    return max(100.0 * SequenceMatcher(None, x, y[max(0, m.b - m.a) : max(0, m.b - m.a) + len(x)], autojunk=False).ratio() for m in blocks)
 
-    def one(x: str, y: str, least: float) -> float:
-        x, y = sorted((x.lower(), y.lower()), key=len)
-        if not x or not could_reach(x, y, least):
-            return 0.0
-        blocks = SequenceMatcher(None, x, y, autojunk=False).get_matching_blocks()
-        return max(100.0 * SequenceMatcher(None, x, y[max(0, m.b - m.a) : max(0, m.b - m.a) + len(x)], autojunk=False).ratio() for m in blocks)
 
-    return pd.Series([0.0 if x is None or y is None else one(x, y, least) for x, y, least in zip(a, b, cutoff)])
+@F.pandas_udf(DoubleType())
+def partial_ratio(a: pd.Series, b: pd.Series, cutoff: pd.Series) -> pd.Series:
+    """The same for columns, without case; null: 0."""
+    return pd.Series([0.0 if x is None or y is None else ratio_within(x.lower(), y.lower(), least) for x, y, least in zip(a, b, cutoff)])
+
+
+#: Grams of targets and titles; how many of a target's rarest grams are looked up; how many titles each gives to score.
+GRAM, RARE_GRAMS, FIRST_TITLES = 3, 3, 4
+BUCKETS = 64  # of characters, in the bound that tells which titles need no scoring
+BLOCK_CELLS = 1 << 23
+
+
+def _grams(text: Column) -> Column:
+    """Distinct runs of GRAM characters of a lower-case text."""
+    return F.array_distinct(F.regexp_extract_all(text, F.lit(f"(?s)(?=(.{{{GRAM}}}))"), F.lit(1)))
+
+
+def likely_titles(distinct: DataFrame, title: str, wanted: DataFrame, cutoff: float) -> DataFrame:
+    """(target, similarity): the best of a few titles that share most of a target's rarest grams. An inverted index of the
+    titles, of the targets' grams only; what it gives is a lower bound, from which the full search starts."""
+    asked = wanted.select("target", F.explode(_grams(F.lower("target"))).alias("gram"))
+    index = distinct.select(title, F.explode(_grams(F.lower(title))).alias("gram")).join(F.broadcast(asked.select("gram").distinct()), "gram", "left_semi")  # grams of the given list
+    counts = index.groupBy("gram").agg(F.count(F.lit(1)).alias("n"))
+    rarest = asked.join(counts, "gram").withColumn("_rn", F.row_number().over(Window.partitionBy("target").orderBy("n", "gram"))).where(F.col("_rn") <= RARE_GRAMS)
+    shared = index.join(F.broadcast(rarest.select("target", "gram")), "gram").groupBy("target", title).agg(F.count(F.lit(1)).alias("n"))  # RARE_GRAMS a target
+    first = shared.withColumn("_rn", F.row_number().over(Window.partitionBy("target").orderBy(F.desc("n"), title))).where(F.col("_rn") <= FIRST_TITLES)
+    return first.withColumn("similarity", partial_ratio("target", title, F.lit(float(cutoff)))).groupBy("target").agg(F.max("similarity").alias("similarity"))
+
+
+def _histograms(texts: list[str]) -> np.ndarray:
+    """How often each bucket of characters occurs in each text."""
+    out = np.zeros((len(texts), BUCKETS), dtype=np.int16)
+    for row, t in zip(out, texts):
+        row[:] = np.minimum(np.bincount(np.frombuffer(t.encode("utf-32-le", "surrogatepass"), dtype=np.uint32) & (BUCKETS - 1), minlength=BUCKETS), 32767)
+    return out
+
+
+def _best_titles(targets: list[str], bounds: list[float]):
+    """Best title of each target in a task. A title is scored only if the characters it shares with a target allow the best
+    similarity so far; that is tested for whole blocks of titles and targets at once."""
+    low = [t.lower() for t in targets]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        best = np.array(bounds, dtype=float)
+        found: list[tuple[float, int, str] | None] = [None] * len(targets)
+        own, own_size = _histograms(low), np.fromiter(map(len, low), dtype=np.int64, count=len(low))
+        step = max(1, BLOCK_CELLS // (BUCKETS * max(1, len(low))))
+        for batch in batches:
+            titles, ties = batch.column("title").to_pylist(), batch.column("tie").to_pylist()
+            for at in range(0, len(titles), step):
+                part = [t.lower() for t in titles[at : at + step]]
+                size = np.minimum(np.fromiter(map(len, part), dtype=np.int64, count=len(part))[:, None], own_size)
+                shared = np.minimum(_histograms(part)[:, None, :], own).sum(axis=2, dtype=np.int64)
+                reach = 200.0 * shared / np.maximum(size + shared, 1)
+                rows, columns = np.nonzero((reach >= best - 1e-9) & (size > 0))
+                order = np.argsort(-reach[rows, columns], kind="stable")
+                for i, k in zip(rows[order].tolist(), columns[order].tolist()):
+                    if reach[i, k] < best[k] - 1e-9:
+                        continue
+                    score = ratio_within(low[k], part[i], best[k])
+                    mine = (score, -ties[at + i], titles[at + i])
+                    if score >= best[k] and (found[k] is None or mine[:2] > found[k][:2]):
+                        found[k], best[k] = mine, score
+        kept = [(t, f[2], f[0], -f[1]) for t, f in zip(targets, found) if f]
+        yield pa.RecordBatch.from_arrays([pa.array([x[n] for x in kept], kind) for n, kind in enumerate((pa.string(), pa.string(), pa.float64(), pa.int64()))], ["target", "title", "similarity", "tie"])
+
+    return run
 
 
 def fuzzy_match(titles: DataFrame, title: str, tie: str, targets: list[str], cutoff: float = 50.0) -> DataFrame:
-    """Best title for each of a few targets: distinct titles are scored once; ties keep the first by `tie`."""
-    spark = titles.sparkSession
-    wanted = F.broadcast(spark.createDataFrame([(t,) for t in targets], "target string"))  # the given list
-    distinct = titles.where(F.col(title).isNotNull()).groupBy(title).agg(F.min(tie).alias("_tie"))
-    scored = distinct.join(wanted, F.lit(True)).withColumn("similarity", partial_ratio("target", title, F.lit(float(cutoff)))).where(F.col("similarity") >= cutoff)
-    return scored.groupBy("target").agg(F.max_by(F.struct(F.col(title).alias("title"), "similarity"), F.struct("similarity", -F.col("_tie"))).alias("_b")).select("target", "_b.*")
+    """(target, title, similarity): the best title for each target of a given list, if it reaches the cutoff; ties keep the
+    first by `tie` (a whole number). Null titles are none; repeated targets count once.
+
+    First an index of grams finds a few likely titles a target, whose scores bound what is worth a look. Then each task goes
+    through its distinct titles once and scores those that could reach the bound; it gives a row a target. No frame holds
+    titles x targets rows, and none is left out: a skipped title cannot reach the best one.
+    """
+    spark, targets = titles.sparkSession, list(dict.fromkeys(t for t in targets if t is not None))
+    if not targets:
+        return spark.createDataFrame([], "target string, title string, similarity double")
+    wanted = spark.createDataFrame([(t,) for t in targets], "target string")
+    distinct = titles.where(F.col(title).isNotNull()).groupBy(title).agg(F.min(tie).cast("long").alias("_tie"))
+    known = {r["target"]: r["similarity"] for r in likely_titles(distinct, title, wanted, cutoff).collect()}  # a row a target
+    bounds = [max(float(cutoff), known.get(t, 0.0)) for t in targets]
+    found = distinct.select(F.col(title).alias("title"), F.col("_tie").alias("tie")).mapInArrow(_best_titles(targets, bounds), "target string, title string, similarity double, tie long")
+    best = found.groupBy("target").agg(F.max_by(F.struct("title", "similarity"), F.struct("similarity", -F.col("tie"))).alias("_b"))
+    return best.select("target", "_b.*")
 
 
 def select_table(lines: DataFrame, tables: DataFrame, targets: list[str], weights: dict[str, int], offset: int = 0, least: dict[str, int] | None = None) -> DataFrame:

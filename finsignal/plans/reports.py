@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import datetime as dt
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from ..functions import values as V
@@ -88,6 +89,14 @@ def fuzzy_title(spark, sf):
     return G.fuzzy_match(table(spark, sf, "part"), "p_name", "p_partkey", TITLES)
 
 
+def fuzzy_names(spark, sf):
+    """Part names for misspelt ones: of every fiftieth part, the name without its third letter and with its words turned."""
+    part = table(spark, sf, "part")
+    turned = F.array_join(F.reverse(F.split("p_name", " ")), " ")
+    asked = part.where("p_partkey % 50 = 0").select(F.concat(F.substring(turned, 1, 2), F.substring(turned, 4, 200)).alias("t")).distinct().orderBy("t")
+    return G.fuzzy_match(part, "p_name", "p_partkey", [r["t"] for r in asked.collect()], 60.0)  # the requested names
+
+
 def forex(spark, sf):
     """Exchange grids from nations: names by key, the rate from the last cell; unknown names and bad numbers go."""
     n = table(spark, sf, "customer")
@@ -212,8 +221,8 @@ def pairs_in_order(spark, sf):
     """Exchange rows by a fixed order of their pairs: the place of each pair among the rows."""
     pairs = ["USD/KES", "EUR/KES", "GBP/KES"]
     found = forex(spark, sf).groupBy("pair").agg(F.count(F.lit(1)).alias("n"), F.max("rate").alias("top"))
-    rows = [(i, r["pair"], r["n"], r["top"]) for i, r in enumerate(P.ordered_by_list(found, "pair", pairs).collect())]  # a row a pair
-    return spark.createDataFrame(rows, "place int, pair string, n long, top double")
+    order = Window.orderBy(F.array_position(F.array(*map(F.lit, pairs)), F.col("pair")))  # a row a pair
+    return found.select((F.row_number().over(order) - 1).alias("place"), "pair", "n", "top").orderBy("place")
 
 
 def serialized(spark, sf):
@@ -276,7 +285,7 @@ _LINKS = """p AS (SELECT page_id, unnest(regexp_extract_all(html, '(?is)<a\\s[^>
  links AS (SELECT page_id, link_no::INTEGER AS link_no, url, trim(regexp_replace(regexp_replace(t, '<[^>]+>', ' ', 'g'), '\\s+', ' ', 'g')) AS title FROM p)"""
 
 QUERIES = {f.__name__: f for f in (
-    grid_year_fill, grid_parse, grid_parse_all, table_score, table_select, toc_pages, fuzzy_title, forex, lines_label_value, lines_next_value, ratios, live_pe, extract_fundamentals, score_signed, score_band, lexicon_score, score_stats,
+    grid_year_fill, grid_parse, grid_parse_all, table_score, table_select, toc_pages, fuzzy_title, fuzzy_names, forex, lines_label_value, lines_next_value, ratios, live_pe, extract_fundamentals, score_signed, score_band, lexicon_score, score_stats,
     score_preview, page_links, release_links, page_article, page_percent, rate_history, rate_change, value_parsing, fundamentals_history, pairs_in_order, serialized, table_choice,
 )}
 _CELL = "CASE WHEN row_idx = 7 THEN NULL ELSE ('1' || lpad(v::VARCHAR, 3, '0') || '.5')::DOUBLE END"

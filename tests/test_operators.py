@@ -189,6 +189,26 @@ def test_grid_and_toc(spark):
     assert [(r["target"], r["title"]) for r in best] == [("fuel price", "Fuel Prices")]
 
 
+def test_fuzzy_titles_of_any_kind(spark):
+    """Best titles by brute force: ties, nulls, case, other scripts, targets without a likely title, and few scorings."""
+    import random
+
+    from test_queries import best_titles
+
+    draw = random.Random(8)
+    words = ["Exchange", "Rates", "of", "Fuel", "prices", "Zinssätze", "überall", "金利", "CBR", "inflation", "a", "monthly", "12"]
+    names = [" ".join(draw.choices(words, k=draw.randrange(1, 6))) for _ in range(400)] + ["", "x", "Fuel prices", "fuel Prices"]
+    targets = ["fuel price", "RATES EXCHANGE", "金利 überall", "qqqq", "", "a", "inflation monthl", "Fuel prices"]
+    df = spark.createDataFrame([(n, i) for i, n in enumerate(names)] + [(None, 5), ("Fuel prices", 3)], "title string, k int").repartition(3)
+    first = {}
+    for i, n in enumerate(names):
+        first[n] = min(first.get(n, 1 << 30), 3 if n == "Fuel prices" else i)
+    for cutoff in (50.0, 85.0):
+        got = {r["target"]: (r["title"], r["similarity"]) for r in grid.fuzzy_match(df, "title", "k", targets, cutoff).collect()}
+        assert got == best_titles({n: k for n, k in first.items() if n}, [t for t in targets if t], cutoff)  # an empty text is like none
+    assert grid.fuzzy_match(df, "title", "k", []).count() == 0 and grid.fuzzy_match(df.limit(0), "title", "k", targets).count() == 0
+
+
 def test_report_lines(spark):
     doc = "Revenue from contracts with customers 219,285 231,124\nShareholders’ equity 109,335 87,314\nInterim dividend\n0.20\nRevenue from contracts with customers 1\n30 June 2025"
     lines = readers.report_lines(spark.createDataFrame([("d", doc)], "doc_id string, text string"), "doc_id", "text")

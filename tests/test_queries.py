@@ -87,6 +87,16 @@ def plain_fuzzy_title(spark, sf_dir, got):
     assert {r["target"]: (r["title"], r["similarity"]) for r in got} == best_titles(names, TITLES)
 
 
+def plain_fuzzy_names(spark, sf_dir, got):
+    names, asked = {}, set()
+    for r in spark.read.parquet(f"{sf_dir}/part.parquet").collect():
+        names[r["p_name"]] = min(names.get(r["p_name"], 1 << 60), r["p_partkey"])
+        if r["p_partkey"] % 50 == 0:
+            turned = " ".join(reversed(r["p_name"].split(" ")))
+            asked.add(turned[:2] + turned[3:])
+    assert {r["target"]: (r["title"], r["similarity"]) for r in got} == best_titles(names, sorted(asked), 60.0)
+
+
 def plain_table_choice(spark, sf_dir, got):
     """Title, pages around it, and the best of two tables a page, by hand."""
     from finsignal.plans.reports import TITLES
@@ -110,7 +120,7 @@ def plain_table_choice(spark, sf_dir, got):
 
 
 #: Queries that SQL cannot express, against plain Python.
-PLAIN = {"entities": plain_entities, "fuzzy_title": plain_fuzzy_title, "table_choice": plain_table_choice}
+PLAIN = {"entities": plain_entities, "fuzzy_title": plain_fuzzy_title, "fuzzy_names": plain_fuzzy_names, "table_choice": plain_table_choice}
 
 
 def test_entry(spark):
