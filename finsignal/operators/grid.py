@@ -125,7 +125,7 @@ def partial_ratio(a: pd.Series, b: pd.Series, cutoff: pd.Series) -> pd.Series:
 
 #: Grams of targets and titles; how many of a target's rarest grams are looked up; how many titles each gives to score.
 GRAM, RARE_GRAMS, FIRST_TITLES = 3, 3, 4
-BUCKETS = 64  # of characters, in the bound that tells which titles need no scoring
+BUCKETS, PAIR_BUCKETS = 64, 256  # of characters and of pairs of them, in the bounds that tell which titles need no scoring
 BLOCK_CELLS = 1 << 23
 
 
@@ -146,14 +146,26 @@ def likely_titles(distinct: DataFrame, title: str, wanted: DataFrame, cutoff: fl
     return first.withColumn("similarity", partial_ratio("target", title, F.lit(float(cutoff)))).groupBy("target").agg(F.max("similarity").alias("similarity"))
 
 
-def _histograms(texts: list[str]) -> np.ndarray:
-    """How often each bucket of characters occurs in each text."""
-    out = np.zeros((len(texts), BUCKETS), dtype=np.int16)
+def _histograms(texts: list[str], run: int = 1, buckets: int = BUCKETS) -> np.ndarray:
+    """How often each bucket of characters (run = 1) or pairs of neighbours (run = 2) occurs in each text."""
+    out = np.zeros((len(texts), buckets), dtype=np.int16)
     for row, t in zip(out, texts):
-        row[:] = np.minimum(np.bincount(np.frombuffer(t.encode("utf-32-le", "surrogatepass"), dtype=np.uint32) & (BUCKETS - 1), minlength=BUCKETS), 32767)
+        codes = np.frombuffer(t.encode("utf-32-le", "surrogatepass"), dtype=np.uint32)
+        codes = codes if run == 1 else codes[:-1] * np.uint32(31) + codes[1:]
+        row[:] = np.minimum(np.bincount(codes & (buckets - 1), minlength=buckets), 32767)
     return out
 
 
+def pairs_needed(score: np.ndarray, size: np.ndarray) -> np.ndarray:
+    """Fewest pairs of neighbouring characters that a text of `size` shares with its best window at a similarity of `score`.
+
+    With m of t characters matched twice (score = 200 m / t), blocks of matches are parted by unmatched characters, so there
+    are at most t - 2 m + 1 blocks, and m characters in so many blocks hold m minus their number of pairs. t is least where
+    the window is matched whole: t = 200 size / (200 - score)."""
+    least = 200.0 * size / (200.0 - score)
+    return np.where(score * 1.5 > 100.0, least * (score * 0.015 - 1.0) - 1.0, 0.0)
+
+
 def _best_titles(targets: list[str], bounds: list[float]):
     """Best title of each target in a task. A title is scored only if the characters it shares with a target allow the best
     similarity so far; that is tested for whole blocks of titles and targets at once."""
@@ -163,6 +175,7 @@ def _best_titles(targets: list[str], bounds: list[float]):
         best = np.array(bounds, dtype=float)
         found: list[tuple[float, int, str] | None] = [None] * len(targets)
         own, own_size = _histograms(low), np.fromiter(map(len, low), dtype=np.int64, count=len(low))
+        own_pairs = _histograms(low, 2, PAIR_BUCKETS)
         step = max(1, BLOCK_CELLS // (BUCKETS * max(1, len(low))))
         for batch in batches:
             titles, ties = batch.column("title").to_pylist(), batch.column("tie").to_pylist()
@@ -172,6 +185,12 @@ def _best_titles(targets: list[str], bounds: list[float]):
                 shared = np.minimum(_histograms(part)[:, None, :], own).sum(axis=2, dtype=np.int64)
                 reach = 200.0 * shared / np.maximum(size + shared, 1)
                 rows, columns = np.nonzero((reach >= best - 1e-9) & (size > 0))
+                pairs, kept = _histograms(part, 2, PAIR_BUCKETS), []
+                for first in range(0, len(rows), BLOCK_CELLS // PAIR_BUCKETS):
+                    r, c = rows[first : first + BLOCK_CELLS // PAIR_BUCKETS], columns[first : first + BLOCK_CELLS // PAIR_BUCKETS]
+                    kept.append(np.minimum(pairs[r], own_pairs[c]).sum(axis=1, dtype=np.int64) >= pairs_needed(best[c], size[r, c]) - 1e-9)
+                enough = np.concatenate(kept) if kept else np.zeros(0, dtype=bool)
+                rows, columns = rows[enough], columns[enough]
                 order = np.argsort(-reach[rows, columns], kind="stable")
                 for i, k in zip(rows[order].tolist(), columns[order].tolist()):
                     if reach[i, k] < best[k] - 1e-9:
