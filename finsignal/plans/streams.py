@@ -5,14 +5,12 @@ What is stored is read from its folder, so a query that starts again goes on whe
 
 from __future__ import annotations
 
-from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import LongType, StructField, StructType
 
-from ..operators.headlines import build_headline
 from ..session import table
-from ..storage import new_path
+from ..storage import exists, new_path
 from ..streaming import streams as ST
 from .market import ORACLE as MARKET_SQL
 from .market import raw_quotes, quote_totals
@@ -33,10 +31,9 @@ def _events(spark, sf):
 def _stored(spark: SparkSession, schema, folder: str) -> DataFrame:
     """All batches in a folder, with their number; none where nothing is written yet."""
     numbered = StructType([*schema.fields, StructField("batch", LongType())])
-    try:
-        return spark.read.schema(numbered).parquet(folder)
-    except AnalysisException:
+    if not exists(spark, folder):
         return spark.createDataFrame([], numbered)
+    return spark.read.schema(numbered).parquet(folder)
 
 
 def append_new(stream: DataFrame, folder: str, keys: list[str], order: list) -> DataFrame:
@@ -61,19 +58,29 @@ def stream_dedupe(spark, sf):
     return append_new(stream, new_path(spark, "dedupe"), keys, [F.col(k) for k in keys])
 
 
+def ingest_stream(entries: DataFrame, folder: str, stored: DataFrame | None = None) -> DataFrame:
+    """Take what has landed into the headlines of a folder, and return them all. Starting again goes on."""
+    rows = ST.headlines_stream(entries, WORDS, stored)
+    with ST.disk_state(entries.sparkSession):
+        query = ST.append_stream(rows, f"{folder}/out", f"{folder}/checkpoint").trigger(availableNow=True).start()
+    query.awaitTermination()
+    return entries.sparkSession.read.schema(rows.schema).parquet(f"{folder}/out")
+
+
 def stream_headlines(spark, sf):
     """Documents as landed feed entries: normalised, enriched, gated, deduplicated by url, appended."""
-    rows = build_headline(ST.headlines_stream(entries_of(_stream(spark, sf, "documents")), d=WORDS))
-    stored = append_new(rows, new_path(spark, "headlines"), ["url"], [F.col("feed_ord"), F.col("entry_ord")])
+    stored = ingest_stream(entries_of(_stream(spark, sf, "documents")), new_path(spark, "headlines"))
     return stored.select("url", "keywords_detected", "categories", "matched_keywords_count", "impact_score")
 
 
 def stream_quotes(spark, sf):
-    """Events as raw quotes, parsed and appended; totals of the stored rows."""
+    """Events as raw quotes, parsed; valid rows are appended, the others kept apart. Totals of both."""
     folder = new_path(spark, "quotes")
     raw = raw_quotes(_stream(spark, sf, "events")).drop("event_id")
-    ST.quotes_stream(raw, f"{folder}/out", f"{folder}/checkpoint").awaitTermination()
-    return quote_totals(spark.read.parquet(f"{folder}/out"))
+    for query in ST.quotes_stream(raw, f"{folder}/out", f"{folder}/checkpoint"):
+        query.awaitTermination()
+    good, bad = spark.read.parquet(f"{folder}/out").withColumn("reason", F.lit(None).cast("string")), spark.read.parquet(f"{folder}/out-quarantine")
+    return quote_totals(good.unionByName(bad))
 
 
 def stream_scores(spark, sf):

@@ -38,3 +38,9 @@ def write_table(df: DataFrame, name: str) -> DataFrame:
     path, schema = new_path(df.sparkSession, name), df.schema
     df.write.parquet(path)
     return df.sparkSession.read.schema(schema).parquet(path)
+
+
+def exists(spark: SparkSession, path: str) -> bool:
+    """Is there a file or folder at this path, in whatever store Spark reads it from? Other failures are raised."""
+    place = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return place.getFileSystem(spark._jsc.hadoopConfiguration()).exists(place)

@@ -343,6 +343,50 @@ def test_json_rows_and_fixed_order(spark):
     assert [r["p"] for r in paging.ordered_by_list(pairs, "p", ["USD", "EUR", "GBP"]).collect()] == ["USD", "EUR", "GBP"]
 
 
+def test_keyed_state_of_headlines(spark, tmp_path):
+    """Urls are known from state after restarts and from an earlier table; the order of feeds decides among rows that come
+    together; no batch reads what is stored; keys are forgotten once the watermark has passed their timer."""
+    from finsignal.plans import streams
+    from finsignal.streaming import streams as ST
+
+    schema = dims.SCHEMAS["feed_entries"]
+    entry = lambda feed, n, url, text: (feed, n, "u", f"L{feed}", None, text, None, None, url, None, None, "Mon, 02 Mar 2026 07:00:00 GMT", None)
+    source, folder = str(tmp_path / "in"), str(tmp_path / "work")
+    stored = spark.createDataFrame([("old",)], "url string")
+    land = lambda *rows: spark.createDataFrame(list(rows), schema).write.mode("append").parquet(source)
+    run = lambda: sorted((r["url"], r["source"]) for r in streams.ingest_stream(spark.readStream.schema(schema).parquet(source), folder, stored).collect())
+    land(entry(1, 0, "a", "of the que"), entry(0, 3, "a", "of the tion"), entry(0, 1, "old", "of the que"), entry(0, 2, "z", "nothing"))
+    assert run() == [("a", "L0")]
+    (tmp_path / "work" / "out" / "part-broken.parquet").write_text("no Parquet")  # whoever read the store would fail
+    land(entry(0, 0, "a", "of the que"), entry(2, 0, "b", "of the que"), entry(0, 9, "old", "of the que"))
+    assert run() == [("a", "L0"), ("b", "L2")]
+    assert run() == [("a", "L0"), ("b", "L2")]
+
+    times = str(tmp_path / "times")
+    add = lambda *rows: spark.createDataFrame([(k, dt.datetime(2026, 3, d), n) for k, d, n in rows], "k string, t timestamp, n int").coalesce(1).write.mode("append").parquet(times)
+    out = []
+    for batch in ([("a", 1, 1), ("b", 1, 2)], [("a", 2, 3), ("c", 20, 4)], [("d", 21, 5), ("b", 19, 8)], [("a", 21, 6), ("c", 20, 7)]):
+        add(*batch)
+        rows = ST.first_of_key_stream(spark.readStream.schema("k string, t timestamp, n int").parquet(times), ["k"], ["n"], "t", 3 * 86_400_000)
+        with ST.disk_state(spark):
+            query = ST.append_stream(rows, str(tmp_path / "t-out"), str(tmp_path / "t-check")).trigger(availableNow=True).start()
+        query.awaitTermination()
+        out.append(sorted(r["n"] for r in spark.read.parquet(str(tmp_path / "t-out")).collect()))
+    assert out == [[1, 2], [1, 2, 4], [1, 2, 4, 5, 8], [1, 2, 4, 5, 6, 8]]  # c is still known, a and b are not
+
+
+def test_quotes_are_kept_apart(spark, tmp_path):
+    from finsignal.streaming import streams as ST
+
+    schema = "ticker string, name string, volume string, price string, change string, timestamp string"
+    spark.createDataFrame([("a", "A", "1", "2.5", "1%", None), ("b", "B", "", "2.5", "1%", None)], schema).write.parquet(str(tmp_path / "in"))
+    for query in ST.quotes_stream(spark.readStream.schema(schema).parquet(str(tmp_path / "in")), str(tmp_path / "out"), str(tmp_path / "check")):
+        query.awaitTermination()
+    good, bad = spark.read.parquet(str(tmp_path / "out")), spark.read.parquet(str(tmp_path / "out-quarantine"))
+    assert [r["ticker"] for r in good.collect()] == ["A"] and "reason" not in good.columns
+    assert [(r["ticker"], r["reason"]) for r in bad.collect()] == [("B", "missing_volume")]
+
+
 def test_streams_start_again(spark, tmp_path):
     """A stream that is started again appends only what is new, and score updates go on from the last version."""
     from finsignal.plans import streams
