@@ -77,8 +77,9 @@ def month_over_month(df: DataFrame, period: str, column: str, trend: str, keys:
 
 
 def previous_period(df: DataFrame, period: str, column: str, trend: str) -> DataFrame:
-    """The same by a self join on the month before: scales with the key, needs no order."""
-    before = df.select(F.add_months(period, 1).alias(period), F.col(column).alias("_fs_before"))
+    """The same by a self join on the month before: scales with the key, needs no order. Of several rows of a month the
+    largest value counts as the month's, so rows never multiply."""
+    before = df.groupBy(F.add_months(period, 1).alias(period)).agg(F.max(column).alias("_fs_before"))
     return df.join(before, period, "left").withColumn(trend, F.col(column) - F.col("_fs_before")).drop("_fs_before")
 
 

@@ -10,14 +10,15 @@ from ..functions.values import parse_date_dayfirst, publication_date
 from .paging import first_per_key, mentions_any, recent
 
 TERMS = ["mpc", "monetary policy", "committee", "cbr"]
-ANCHOR = r'(?is)<a\s[^>]*href="([^"]*)"[^>]*>(.*?)</a>'
+# An anchor with its address in double quotes, single quotes or none, and its text.
+ANCHOR = r"""(?is)<a\s(?:[^>]*?\s)?href\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+))[^>]*>(.*?)</a>"""
 
 
 def page_links(pages: DataFrame) -> DataFrame:
     """(page_id, link_no, url, title) of a page's anchors, in order."""
-    urls, titles = (F.regexp_extract_all(F.coalesce("html", F.lit("")), F.lit(ANCHOR), F.lit(i)) for i in (1, 2))
-    each = pages.select("page_id", F.posexplode(F.arrays_zip(urls.alias("url"), titles.alias("title"))).alias("link_no", "_l"))
-    return each.select("page_id", "link_no", F.col("_l.url").alias("url"), clean_text(strip_html(F.col("_l.title"))).alias("title"))
+    anchors = pages.select("page_id", F.posexplode(F.regexp_extract_all(F.coalesce("html", F.lit("")), F.lit(ANCHOR), F.lit(0))).alias("link_no", "_a"))
+    part = [F.regexp_extract("_a", ANCHOR, i) for i in (1, 2, 3, 4)]  # groups that take no part are empty
+    return anchors.select("page_id", "link_no", F.concat(*part[:3]).alias("url"), clean_text(strip_html(part[3])).alias("title"))
 
 
 def release_links(links: DataFrame, as_of, newest: int, terms: list[str] = TERMS, days: int = 150) -> DataFrame:

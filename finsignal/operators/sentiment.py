@@ -37,7 +37,7 @@ def lexicon_scorer(positive: list[str], negative: list[str]) -> Scorer:
     """Default scorer in built-ins: share of positive and negative words among their hits."""
 
     def hits(text: Column, words: list[str]) -> Column:
-        return F.size(F.regexp_extract_all(F.lower(text), F.lit(r"(?U)\b(" + "|".join(words) + r")\b"), F.lit(1)))
+        return F.size(F.regexp_extract_all(F.lower(text), F.lit(r"(?U)\b(" + "|".join(rf"\Q{w}\E" for w in words) + r")\b"), F.lit(1)))
 
     def score(df: DataFrame, text: str) -> DataFrame:
         counted = df.withColumns({"_p": hits(F.col(text), positive), "_n": hits(F.col(text), negative)})

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.text import all_of, any_of
 from ..storage import write_table
 from .paging import first_per_key
 
@@ -21,16 +22,24 @@ def rewrite(df: DataFrame, path: str, partition_by: list[str] = ()) -> None:
 
 
 def new_rows(batch: DataFrame, existing: DataFrame, keys: list[str], order: list[Column]) -> DataFrame:
-    """Batch rows to insert: the first of each key, unless the key is stored. Rows with a null key part never match."""
-    return first_per_key(batch, keys, order).join(existing.select(*keys).distinct(), keys, "left_anti")
+    """Batch rows to insert: the first of each key, unless the key is stored. Rows with a null key part match nothing, so
+    each of them is inserted."""
+    named = first_per_key(batch.dropna(subset=keys), keys, order).join(existing.select(*keys).distinct(), keys, "left_anti")
+    return named.unionByName(batch.where(any_of([F.col(k).isNull() for k in keys])).select(*named.columns))
 
 
 def new_row_counts(batch: DataFrame, existing: DataFrame, keys: list[str], by: list[str], order: list[Column]) -> DataFrame:
-    """fetched, saved and duplicates for each value of `by`."""
-    ranked = batch.withColumn("_fs_rn", F.row_number().over(Window.partitionBy(*keys).orderBy(*order)))
-    marked = ranked.join(existing.select(*keys).distinct().withColumn("_fs_old", F.lit(True)), keys, "left")
-    saved = F.count_if((F.col("_fs_rn") == 1) & F.col("_fs_old").isNull())
-    return marked.groupBy(*by).agg(F.count(F.lit(1)).alias("fetched"), saved.alias("saved"), (F.count(F.lit(1)) - saved).alias("duplicates"))
+    """fetched, saved and duplicates for each value of `by`: what new_rows inserts and leaves out. Partial aggregates by key
+    pick the first row, so no task holds the rows of a key."""
+    fetched = batch.groupBy(*by).agg(F.count(F.lit(1)).alias("fetched"))
+    ranks = [c.alias(f"_fs_o{i}") for i, c in enumerate(order)]
+    first = batch.dropna(subset=keys).select(*keys, F.struct(*ranks, *by).alias("_fs_at")).groupBy(*keys).agg(F.min("_fs_at").alias("_fs_at"))
+    named = first.join(existing.select(*keys).distinct(), keys, "left_anti").select(*[F.col(f"_fs_at.{c}").alias(c) for c in by])
+    nameless = batch.where(any_of([F.col(k).isNull() for k in keys])).select(*by)
+    saved = named.unionByName(nameless).groupBy(*[F.col(c).alias(f"_fs_{c}") for c in by]).agg(F.count(F.lit(1)).alias("_fs_saved"))
+    same = all_of([F.col(c).eqNullSafe(F.col(f"_fs_{c}")) for c in by])
+    n = F.coalesce("_fs_saved", F.lit(0).cast("long"))
+    return fetched.join(saved, same, "left").select(*by, "fetched", n.alias("saved"), (F.col("fetched") - n).alias("duplicates"))
 
 
 def fill_null_upsert(existing: DataFrame, incoming: DataFrame, keys: list[str], columns: list[str], order: list[Column] | None = None) -> DataFrame:

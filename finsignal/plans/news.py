@@ -140,7 +140,7 @@ def feed_regions(spark, sf):
 def entries_of(d):
     """Documents as feed entries: the source as title, the text as summary, a digest of it as link."""
     return d.select(
-        F.lit(0).alias("feed_ord"), F.col("doc_id").cast("int").alias("entry_ord"), F.lit("u").alias("feed_url"), F.col("source").alias("label"), F.lit(None).cast("string").alias("feed_title"), F.col("source").alias("title"),
+        F.lit(0).alias("feed_ord"), F.col("doc_id").alias("entry_ord"), F.lit("u").alias("feed_url"), F.col("source").alias("label"), F.lit(None).cast("string").alias("feed_title"), F.col("source").alias("title"),
         F.col("text").alias("summary"), F.lit(None).cast("string").alias("description"), F.md5(F.lower("text").cast("binary")).alias("link"), F.lit(None).cast("string").alias("id"), F.lit(None).cast("array<struct<value:string>>").alias("content"),
         F.lit("Mon, 02 Mar 2026 10:00:00 GMT").alias("published"), F.lit(None).cast("string").alias("updated"),
     )
@@ -229,7 +229,7 @@ QUERIES = {f.__name__: f for f in (
 )}
 ORACLE = {
     "ingest_rows": f"""{_INGEST}, r AS (SELECT k.*, row_number() OVER (PARTITION BY k.url ORDER BY doc_id) AS rn FROM k LEFT JOIN old USING (url) WHERE impact >= 2 AND old.url IS NULL AND k.url IS NOT NULL)
-  SELECT url, doc_id::INTEGER AS entry_ord, {_STRIP.format("source")} AS source, {_STRIP.format("source")} AS headline, md5({_STRIP.format("text")}) AS description_digest, nullif(array_to_string(kw, ', '), '') AS keywords_detected,
+  SELECT url, doc_id AS entry_ord, {_STRIP.format("source")} AS source, {_STRIP.format("source")} AS headline, md5({_STRIP.format("text")}) AS description_digest, nullif(array_to_string(kw, ', '), '') AS keywords_detected,
     nullif(array_to_string(cats, ', '), '') AS categories, n_kw AS matched_keywords_count, impact AS impact_score FROM r WHERE rn = 1""",
     "kw_extract": f"WITH {ENRICHED} SELECT doc_id, array_to_string(kw, ',') AS keywords FROM e",
     "kw_categories": f"WITH {ENRICHED} SELECT doc_id, array_to_string(cats, ',') AS categories FROM e",

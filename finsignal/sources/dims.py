@@ -58,7 +58,7 @@ SCHEMAS = {
     "macro_data": "id long, report_date date, inflation double, fuel_price double, cbk_rate double, usd_kes_rate double, euro_kes_rate double, pounds_kes_rate double, month string, year string, fuel_trend double, inflation_trend double, timestamp date",
     "fundamentals": "id long, ticker string, company string, report_date timestamp, eps double, pe_ratio double, dividend_yield double, revenue double, debt_ratio double, net_profit_margin double, timestamp timestamp",
     "quotes_json": "success boolean, data array<struct<ticker string, name string, volume string, price string, change string, lastUpdated string, timestamp string>>, meta string",
-    "feed_entries": "feed_ord int, entry_ord int, feed_url string, label string, feed_title string, title string, summary string, description string, link string, id string, content array<struct<value string>>, published string, updated string",
+    "feed_entries": "feed_ord int, entry_ord long, feed_url string, label string, feed_title string, title string, summary string, description string, link string, id string, content array<struct<value string>>, published string, updated string",
     "table_grid": "source_url string, report_date string, indicator string, page int, table_idx int, row_idx int, cells array<string>",
     "pages": "page_id long, url string, html string",
 }

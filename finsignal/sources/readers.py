@@ -30,7 +30,7 @@ def read_feed_entries(spark: SparkSession, path: str, fmt: str = "json") -> Data
         named = feeds.select(F.input_file_name().alias("feed_url"), F.col("title").alias("feed_title"), F.posexplode("item").alias("entry_ord", "i"))
         order = dims_by_name(named)
         return named.join(F.broadcast(order), "feed_url").select(
-            "feed_ord", "entry_ord", "feed_url", F.regexp_extract("feed_url", r"([^/]+?)(\.[A-Za-z]+)?$", 1).alias("label"), "feed_title", "i.title", "i.summary", "i.description", "i.link", F.col("i.guid").alias("id"),
+            "feed_ord", F.col("entry_ord").cast("long").alias("entry_ord"), "feed_url", F.regexp_extract("feed_url", r"([^/]+?)(\.[A-Za-z]+)?$", 1).alias("label"), "feed_title", "i.title", "i.summary", "i.description", "i.link", F.col("i.guid").alias("id"),
             F.when(F.col("i.encoded").isNotNull(), F.array(F.struct(F.col("i.encoded").alias("value")))).alias("content"), F.col("i.pubDate").alias("published"), "i.updated",
         )
     return spark.read.schema(SCHEMAS["feed_entries"]).json(path)

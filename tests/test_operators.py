@@ -407,3 +407,30 @@ def test_streams_start_again(spark, tmp_path):
     for ids, want in (((1,), {1: 1.0, 2: None, 3: None}), ((3,), {1: 1.0, 2: None, 3: 1.0})):
         rows(*ids).write.mode("append").parquet(heads)
         assert {r["id"]: r["sentiment_score"] for r in streams.update_versions(read(), work).collect()} == want
+
+
+def test_null_keys_are_inserted(spark):
+    """Rows without a key match nothing: all are inserted, and counters agree; one key may hold most rows."""
+    rows = [("a", 1, "x"), ("a", 0, "y"), (None, 2, "x"), (None, 3, None), ("old", 4, "x"), ("b", 5, None)] + [("hot", 10 + i, "x" if i % 2 else "y") for i in range(500)]
+    batch, existing = spark.createDataFrame(rows, "k string, o int, s string"), spark.createDataFrame([("old",), (None,)], "k string")
+    assert sorted(r["o"] for r in upsert.new_rows(batch, existing, ["k"], [F.col("o")]).collect()) == [0, 2, 3, 5, 10]
+    counts = {r["s"]: (r["fetched"], r["saved"], r["duplicates"]) for r in upsert.new_row_counts(batch, existing, ["k"], ["s"], [F.col("o")]).collect()}
+    assert counts == {"x": (253, 1, 252), "y": (251, 2, 249), None: (2, 2, 0)}
+
+
+def test_anchors_of_any_quoting(spark):
+    html = """<a class="x" href='/one'>One</a><A HREF=/two title="t">Two <b>b</b></A><a href="/three">3</a><a data-href="/no">none</a><abbr href="/no2">x</abbr><a href = "/it's">4</a>"""
+    got = policy.page_links(spark.createDataFrame([(1, html), (2, None)], "page_id long, html string")).orderBy("link_no").collect()
+    assert [(r["link_no"], r["url"], r["title"]) for r in got] == [(0, "/one", "One"), (1, "/two", "Two b"), (2, "/three", "3"), (3, "/it's", "4")]
+
+
+def test_repeated_months_do_not_multiply(spark):
+    df = spark.createDataFrame([(dt.date(2026, 1, 1), 1.0), (dt.date(2026, 1, 1), 3.0), (dt.date(2026, 2, 1), 5.0), (dt.date(2026, 2, 1), None), (None, 1.0)], "period date, v double")
+    got = sorted(str((r["period"], r["v"], r["t"])) for r in macro.previous_period(df, "period", "v", "t").collect())
+    assert got == sorted(map(str, [(dt.date(2026, 1, 1), 1.0, None), (dt.date(2026, 1, 1), 3.0, None), (dt.date(2026, 2, 1), 5.0, 2.0), (dt.date(2026, 2, 1), None, None), (None, 1.0, None)]))
+
+
+def test_lexicon_words_are_literal(spark):
+    scorer = sentiment.lexicon_scorer(["c.t", "up"], ["a|b"])
+    out = scorer(spark.createDataFrame([("cat cut c.t a|b a b up",)], "t string"), "t").first()
+    assert (out["label"], round(out["confidence"], 6)) == ("positive", round(1 / 3, 6))
