@@ -2,11 +2,15 @@
 
 from __future__ import annotations
 
+from dataclasses import dataclass
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import IntegerType, StructField, StructType
 
 from ..functions.rules import check_page, check_window
 from ..functions.text import any_of
+from ..storage import new_path
 from .pieces import carry_last
 
 
@@ -59,6 +63,46 @@ def offset_limit(df: DataFrame, order: list[Column], limit: int, offset: int = 0
     return df.orderBy(*order).offset(offset).limit(limit)
 
 
+@dataclass(frozen=True)
+class OrderedPages:
+    """A total order cut into ranges of known sizes, so that any page opens only the ranges it lies in."""
+
+    rows: DataFrame
+    order: list[Column]
+    starts: list[tuple[int, int, int]]  # range, rows before it, its rows
+
+    def window(self, limit: int, offset: int = 0) -> DataFrame:
+        """Rows offset to offset + limit of the order, in order."""
+        limit, offset = check_window(limit, offset)
+        own = [(part, before) for part, before, n in self.starts if before < offset + limit and before + n > offset]
+        if not own:
+            return self.rows.limit(0).drop("_fs_part")
+        first = own[0][1]
+        held = self.rows.where(F.col("_fs_part").isin([part for part, _ in own]))  # a filter on the table's partitions
+        return held.orderBy("_fs_part", *self.order).offset(offset - first).limit(limit).drop("_fs_part")
+
+    def page(self, number: int, size: int) -> DataFrame:
+        number, size = check_page(number, size)
+        return self.window(size, (number - 1) * size)
+
+    def total(self) -> int:
+        return sum(n for _, _, n in self.starts)
+
+
+def ordered_pages(df: DataFrame, order: list[Column], pieces: int = 64) -> OrderedPages:
+    """Cut df into about equal ranges of a total order (end it with a unique key), written once as a partitioned table. A
+    page then sorts the rows of one range or two, however deep it lies; the driver holds one count a range."""
+    spread = df.repartitionByRange(pieces, *order).withColumn("_fs_part", F.spark_partition_id())
+    path = new_path(df.sparkSession, "pages")
+    spread.write.partitionBy("_fs_part").parquet(path)
+    rows = df.sparkSession.read.schema(StructType([*df.schema.fields, StructField("_fs_part", IntegerType())])).parquet(path)
+    starts, before = [], 0
+    for r in rows.groupBy("_fs_part").agg(F.count(F.lit(1)).alias("n")).orderBy("_fs_part").collect():
+        starts.append((r["_fs_part"], before, r["n"]))
+        before += r["n"]
+    return OrderedPages(rows, order, starts)
+
+
 def page_info(df: DataFrame, limit: int, offset: int) -> DataFrame:
     """status, count, total, limit, offset of a page of df: one aggregate, no window over all rows."""
     total = F.count(F.lit(1))

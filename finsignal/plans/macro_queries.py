@@ -9,7 +9,9 @@ from pyspark.sql import functions as F
 from ..operators import macro as M
 from ..operators import paging as P
 from ..operators import upsert as U
+from ..operators.versions import PartitionedTable
 from ..session import table
+from ..storage import new_path
 
 COLUMNS = ["inflation", "fuel_price", "cbk_rate", "usd_rate", "euro_rate", "pound_rate"]
 INDICATORS = {"inflation": ["inflation"], "fuel": ["fuel_price"], "cbr": ["cbk_rate"], "exchange": ["usd_rate", "euro_rate", "pound_rate"]}
@@ -106,6 +108,17 @@ def upsert_state(spark, sf):
     return U.fill_null_upsert(_stored(spark, sf), _incoming(spark, sf), ["month", "year"], COLUMNS)
 
 
+def upsert_partitions(spark, sf):
+    """upsert_state into a table kept by year: each year's months arrive as an update that rewrites that year alone."""
+    stored = _stored(spark, sf)
+    held = PartitionedTable(spark, new_path(spark, "months"), stored.select("month", "year", *COLUMNS).schema, "year")
+    held.replace(stored)
+    incoming = _incoming(spark, sf)
+    for year in ("1996", "1998"):
+        held.upsert(incoming.where(F.col("year") == year), ["month", "year"], COLUMNS)
+    return held.read()
+
+
 def upsert_actions(spark, sf):
     return U.action_counts(upsert_state(spark, sf))
 
@@ -185,7 +198,7 @@ _G = f"WITH {_M}, g AS (SELECT * FROM m WHERE month(period) % 5 <> 0)"
 
 QUERIES = {f.__name__: f for f in (
     macro_stats, macro_stats_long, macro_stats_year, macro_summary, macro_compare_months, macro_compare_years, macro_compare_periods, macro_search, macro_last_n, macro_history, macro_latest_year, macro_month,
-    macro_trend_join, macro_trend_lag, upsert_state, upsert_actions, refresh_pivot, refresh_indicator, refresh_counts, refresh_rollup, update_by_key, insert_strict, semi_ids,
+    macro_trend_join, macro_trend_lag, upsert_state, upsert_partitions, upsert_actions, refresh_pivot, refresh_indicator, refresh_counts, refresh_rollup, update_by_key, insert_strict, semi_ids,
 )}
 _P1, _P2 = "period BETWEEN DATE '1995-01-01' AND DATE '1996-06-01'", "period BETWEEN DATE '1998-02-01' AND DATE '1999-12-01'"
 ORACLE = {
@@ -203,6 +216,8 @@ ORACLE = {
     "macro_month": f"WITH {_M} SELECT period, {', '.join(COLUMNS)} FROM m WHERE month = 'June'",
     "macro_trend_join": f"{_G} SELECT g.period, g.inflation, g.inflation - b.inflation AS trend FROM g LEFT JOIN g b ON b.period = g.period - INTERVAL 1 MONTH",
     "macro_trend_lag": f"{_G} SELECT period, inflation, CASE WHEN lag(period) OVER w = period - INTERVAL 1 MONTH THEN inflation - lag(inflation) OVER w END AS trend FROM g WINDOW w AS (PARTITION BY year ORDER BY period)",
+    "upsert_partitions": f"""WITH {_M}, {_IN}, u AS ({_upsert('i', COLUMNS)}) SELECT month, year, {", ".join(COLUMNS)} FROM u WHERE year IN ('1996', '1998')
+  UNION ALL SELECT month, year, {", ".join(COLUMNS)} FROM s WHERE year NOT IN ('1996', '1998')""",
     "upsert_state": f"WITH {_M}, {_IN} {_upsert('i', COLUMNS)}",
     "upsert_actions": f"WITH {_M}, {_IN} SELECT {_ACTIONS} FROM ({_upsert('i', COLUMNS)})",
     "refresh_pivot": f"WITH {_M}, {_IN}, {_PIVOT} {_upsert('p', COLUMNS)}",

@@ -99,6 +99,12 @@ def hot_asof(spark, sf):
     return P.as_of(buys, views, ["user_id"], "ts", "view_ts", "last_view", pieces=64).select("event_id", "user_id", "last_view")
 
 
+def deep_page(spark, sf):
+    """Rows 5,000 to 5,020 of all order lines by price: a page deep in the order, out of one range of 64."""
+    lines = table(spark, sf, "lineitem").select("l_orderkey", "l_linenumber", "l_extendedprice")
+    return P.ordered_pages(lines, [F.desc("l_extendedprice"), F.asc("l_orderkey"), F.asc("l_linenumber")]).window(20, 5000)
+
+
 def quote_bars(spark, sf):
     return Q.ohlc(table(spark, sf, "events").where("value is not null"), "ts", "event_type", "value", "1 day")
 
@@ -131,7 +137,7 @@ _RAW = """raw AS (SELECT event_id, 't' || user_id AS ticker, event_type AS name,
 _PARSED = f"""{_RAW}, q AS (SELECT upper(ticker) AS ticker, CASE WHEN price = 'N/A' THEN 'missing_price' WHEN volume = '' THEN 'missing_volume' END AS reason,
   try_cast(replace(price, ',', '') AS DECIMAL(10,3)) AS p, try_cast(volume AS BIGINT) AS v, change::DECIMAL(12,2) AS c FROM raw)"""
 
-QUERIES = {f.__name__: f for f in (quote_parse, quote_quarantine, quote_blanks, quote_change, quote_volatility, quote_latest, quote_top, quote_search, quote_exact, quote_rolling, quote_bars, quote_ids, asof_price, hot_rolling, hot_asof)}
+QUERIES = {f.__name__: f for f in (quote_parse, quote_quarantine, quote_blanks, quote_change, quote_volatility, quote_latest, quote_top, quote_search, quote_exact, quote_rolling, quote_bars, quote_ids, asof_price, hot_rolling, hot_asof, deep_page)}
 _HOT = "hot AS (SELECT * REPLACE (CASE WHEN user_id % 2 = 0 THEN 0 ELSE user_id END AS user_id) FROM events)"
 _LATEST = "SELECT user_id, max(ts) AS ts, arg_max(event_id, struct_pack(a := ts, b := event_id)) AS event_id, arg_max(value, struct_pack(a := ts, b := event_id)) AS value FROM events GROUP BY user_id"
 ORACLE = {
@@ -142,6 +148,7 @@ ORACLE = {
     "quote_search": "SELECT p_partkey, p_name, p_brand FROM part WHERE p_name ILIKE '%red%' OR p_brand ILIKE '%red%'",
     "quote_exact": "SELECT p_partkey, p_name, p_brand FROM part WHERE upper(p_brand) = 'BRAND#7' ORDER BY p_partkey LIMIT 1",
     "quote_rolling": "SELECT event_id, user_id, round(avg(c) OVER w * 60)::BIGINT AS mean_x60, round(stddev_samp(c) OVER w * stddev_samp(c) OVER w * 60)::BIGINT AS variance_x60 FROM (SELECT *, round(value * 100)::DOUBLE AS c FROM events) WINDOW w AS (PARTITION BY user_id ORDER BY ts, event_id ROWS BETWEEN 4 PRECEDING AND CURRENT ROW)",
+    "deep_page": "SELECT l_orderkey, l_linenumber, l_extendedprice FROM lineitem ORDER BY l_extendedprice DESC, l_orderkey, l_linenumber LIMIT 20 OFFSET 5000",
     "hot_rolling": f"WITH {_HOT} SELECT event_id, user_id, round(avg(c) OVER w * 60)::BIGINT AS mean_x60, round(stddev_samp(c) OVER w * stddev_samp(c) OVER w * 60)::BIGINT AS variance_x60 FROM (SELECT *, round(value * 100)::DOUBLE AS c FROM hot) WINDOW w AS (PARTITION BY user_id ORDER BY ts, event_id ROWS BETWEEN 4 PRECEDING AND CURRENT ROW)",
     "hot_asof": f"WITH {_HOT}, v AS (SELECT user_id, ts, max(value) AS value FROM hot WHERE event_type = 'view' GROUP BY ALL) SELECT p.event_id, p.user_id, v.value AS last_view FROM (SELECT * FROM hot WHERE event_type = 'purchase') p ASOF LEFT JOIN v ON p.user_id = v.user_id AND p.ts >= v.ts",
     "quote_bars": "SELECT date_trunc('day', ts)::TIMESTAMP AS bar_start, event_type, arg_min(value, struct_pack(a := ts, b := value)) AS open, max(value) AS high, min(value) AS low, arg_max(value, struct_pack(a := ts, b := value)) AS close, count(*) AS n FROM events WHERE value IS NOT NULL GROUP BY ALL",

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from decimal import Decimal
+
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -15,6 +17,17 @@ def read_table(spark: SparkSession, path: str, name: str | None = None) -> DataF
     return reader.parquet(path)
 
 
+def read_jdbc(spark: SparkSession, url: str, name: str, on: str | None = None, parts: int = 8, **options: str) -> DataFrame:
+    """A stored table over JDBC. With `on` (a number, date or timestamp column) it is read in `parts` ranges at once, whose
+    bounds the database tells in one query; filters and columns are pushed into each range's query."""
+    load = lambda **more: spark.read.format("jdbc").options(url=url, **options, **more).load()
+    bounds = load(query=f"SELECT MIN({on}) AS LOW, MAX({on}) AS HIGH FROM {name}").first() if on else (None, None)
+    if bounds[0] is None or bounds[0] == bounds[1]:
+        return load(dbtable=name)
+    low, high = (str(int(x)) if isinstance(x, (int, float, Decimal)) else str(x) for x in bounds)
+    return load(dbtable=name, partitionColumn=on, lowerBound=low, upperBound=high, numPartitions=str(parts))
+
+
 def read_quotes_json(spark: SparkSession, path: str) -> DataFrame:
     """Quote rows of successful envelopes; anything else gives no rows."""
     raw = spark.read.schema(SCHEMAS["quotes_json"]).option("multiLine", "true").json(path)
