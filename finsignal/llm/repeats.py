@@ -352,8 +352,8 @@ def _cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([batch.column("doc_id"), *[pa.array(c, pa.int64()) for c in columns[:3]], pa.array(columns[3], pa.string())], [c.split()[0] for c in OUT.split(", ")])
 
 
-def placed(documents: DataFrame) -> DataFrame:
-    """(doc_id, text, part, row): the documents in a table of their own, bucketed by part. A part is one of SLICES slices
+def placed(documents: DataFrame) -> tuple[DataFrame, str]:
+    """((doc_id, text, part, row), its name in the catalog): the documents in a table of their own, bucketed by part. A part is one of SLICES slices
     of a task's rows, so writing needs no shuffle, and joins by part need none either."""
     spark = documents.sparkSession
     at = F.monotonically_increasing_id()
@@ -362,7 +362,7 @@ def placed(documents: DataFrame) -> DataFrame:
     cut = numbered.select("doc_id", "text", (F.shiftright("_at", 33) * SLICES + row % SLICES).cast("int").alias("part"), row.cast("int").alias("row"))
     name, buckets = f"finsignal_texts_{uuid.uuid4().hex}", int(spark.conf.get("spark.sql.shuffle.partitions"))
     cut.write.format("parquet").option("path", new_path(spark, "texts")).bucketBy(buckets, "part").saveAsTable(name)
-    return spark.table(name)
+    return spark.table(name), name
 
 
 def remove_repeats(documents: DataFrame) -> DataFrame:
@@ -374,6 +374,9 @@ def remove_repeats(documents: DataFrame) -> DataFrame:
     Strings count as equal if two 64-bit hashes agree, one of a core and one of the whole (see Hasher): for m different
     strings with one core a chance of about m**2 / 2**65.
     """
-    docs = placed(documents)
-    spans = write_table(repeated_spans(docs), "spans")
-    return _with_found(docs, spans, "a", "n", how="left").select("doc_id", "text", "found").mapInArrow(_cut, OUT)
+    docs, name = placed(documents)
+    try:
+        spans = write_table(repeated_spans(docs), "spans")
+        return write_table(_with_found(docs, spans, "a", "n", how="left").select("doc_id", "text", "found").mapInArrow(_cut, OUT), "kept")
+    finally:
+        documents.sparkSession.sql(f"DROP TABLE IF EXISTS {name}")  # the catalog's entry; the files lie in the shared folder

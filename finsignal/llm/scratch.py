@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..storage import new_path, shared_dir, write_table
 
-__all__ = ["HOT_PARTS", "join_counted", "new_path", "shared_dir", "write_table"]
+__all__ = ["HOT_PARTS", "join_counted", "join_salted", "new_path", "shared_dir", "write_table"]
 #: A key with more than 1 / HOT_PARTS of all rows is hot; there are fewer than HOT_PARTS such keys.
 HOT_PARTS = 1000
 
@@ -21,3 +21,15 @@ def join_counted(rows: DataFrame, table: DataFrame, key: str, total: int, count:
     hot = F.broadcast(table.where(F.col(count) > least).drop(count))
     rest = table.where(F.col(count) <= least).drop(count)
     return rows.join(hot, key).unionByName(rows.join(hot.select(key), key, "left_anti").join(rest, key))
+
+
+def join_salted(rows: DataFrame, table: DataFrame, key: str, total: int, count: str = "rows") -> DataFrame:
+    """The same where rows of the table may be long: nothing but keys is broadcast. The rows of a hot key are dealt to
+    pieces of about total / HOT_PARTS, and its table row goes to each of them: fewer than 2 * HOT_PARTS copies in all."""
+    share = max(1, total // HOT_PARTS)
+    pieces = F.ceil(F.col(count) / share).cast("int")
+    hot = F.broadcast(table.where(F.col(count) > share).select(key, pieces.alias("_pieces")))
+    others = [c for c in rows.columns if c != key]
+    salted = rows.join(hot, key, "left").withColumn("_salt", F.coalesce(F.pmod(F.xxhash64(*others), F.col("_pieces")).cast("int"), F.lit(0))).drop("_pieces")
+    copies = table.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.when(F.col(count) > share, pieces - 1).otherwise(0)))).drop(count)
+    return salted.join(copies, [key, "_salt"]).drop("_salt")

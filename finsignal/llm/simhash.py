@@ -20,7 +20,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .components import components
-from .scratch import join_counted, write_table
+from .scratch import join_counted, join_salted, write_table
 
 SHINGLE, SEED, BITS = 4, 42, 4
 LOW_BITS = 0x5555555555555555  # the lower bit of every two-bit segment
@@ -299,9 +299,16 @@ def shingle_sets(keys: DataFrame, nodes: DataFrame, documents: DataFrame) -> Dat
 
 
 def verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
-    """The pairs (u, v) of set keys whose sets have a Jaccard similarity of 0.8 or more."""
-    right = pairs.join(sets.select(F.col("k").alias("v"), F.col("shingles").alias("_v")), "v")
-    both = right.join(sets.select(F.col("k").alias("u"), F.col("shingles").alias("_u")), "u")
+    """The pairs (u, v) of set keys whose sets have a Jaccard similarity of 0.8 or more. A set that many pairs hold goes to
+    each of several tasks, which share its pairs."""
+    total = pairs.count()
+
+    def with_sets(rows: DataFrame, end: str) -> DataFrame:
+        counts = pairs.groupBy(end).agg(F.count(F.lit(1)).alias("rows"))
+        own = sets.select(F.col("k").alias(end), F.col("shingles").alias(f"_{end}")).join(counts, end)
+        return join_salted(rows, own, end, total)
+
+    both = with_sets(with_sets(pairs.select("u", "v"), "v"), "u")
     counted = both.select("u", "v", F.size(F.array_intersect("_u", "_v")).alias("both"), (F.size("_u") + F.size("_v")).alias("all"))
     return counted.where(5 * F.col("both") >= SIMILAR_FIFTHS * (F.col("all") - F.col("both"))).select("u", "v")
 
@@ -316,9 +323,9 @@ def prefix_pairs(members: DataFrame, sets: DataFrame) -> DataFrame:
     crowd of them gives few pairs, where their bands would give all.
     """
     held = sets.join(members, "k").select("k", "n", "group", "stray", F.explode("shingles").alias("s"))
-    counts = held.groupBy("s").agg(F.count(F.lit(1)).alias("_c"))
+    counts = held.groupBy("s").agg(F.count(F.lit(1)).alias("_c"), F.count(F.lit(1)).alias("rows"))
     first = (F.col("n") - F.floor((F.col("n") * SIMILAR_FIFTHS + 4) / 5) + 1).cast("int")
-    ordered = held.join(counts, "s").groupBy("k", "n", "group", "stray").agg(F.array_sort(F.collect_list(F.struct("_c", "s"))).alias("_own"))
+    ordered = join_counted(held, counts, "s", members.agg(F.sum("n")).first()[0] or 0).groupBy("k", "n", "group", "stray").agg(F.array_sort(F.collect_list(F.struct("_c", "s"))).alias("_own"))
     each = ordered.join(sets.select("k", "parity"), "k").select("k", "n", "group", "stray", "parity", F.posexplode(F.slice("_own", F.lit(1), first)).alias("at", "_t"))
     rows = write_table(each.select("k", "n", "group", "stray", "parity", "at", "_t.s"), "prefixes")
     asks = rows.where("stray").select("s", F.col("k").alias("a"), F.col("n").alias("an"), F.col("group").alias("ag"), F.col("at").alias("aat"), F.col("parity").alias("ap"))
@@ -343,8 +350,8 @@ def similar_groups(documents: DataFrame) -> DataFrame:
     docs = write_table(named.mapInArrow(_signatures, "doc_id long, k long, n long, bands array<long>"), "signatures")
     nodes = write_table(docs.groupBy("k").agg(F.min("doc_id").alias("id"), F.first("n").alias("n"), F.first("bands").alias("bands"), F.count(F.lit(1)).alias("rows")), "nodes")
     cells = nodes.where("n > 0").select("k", "n", F.explode("bands").alias("cell"))
-    hubs = cells.groupBy("cell").agg(F.min(F.struct("k", "n")).alias("hub"), F.count(F.lit(1)).alias("rows")).where("rows > 1").select("cell", F.col("hub.k").alias("hub"), F.col("hub.n").alias("hub_n"))
-    shared = write_table(cells.join(hubs, "cell"), "cells")  # bands that two nodes or more share
+    hubs = cells.groupBy("cell").agg(F.min(F.struct("k", "n")).alias("hub"), F.count(F.lit(1)).alias("rows")).where("rows > 1").select("cell", F.col("hub.k").alias("hub"), F.col("hub.n").alias("hub_n"), "rows")
+    shared = write_table(join_counted(cells, hubs, "cell", BANDS * nodes.count()), "cells")  # bands that two nodes or more share
     sizes_allow = 5 * F.least("n", "hub_n") >= SIMILAR_FIFTHS * F.greatest("n", "hub_n")
     first = write_table(shared.where(F.col("k") != F.col("hub")).where(sizes_allow).select(F.col("hub").alias("u"), F.col("k").alias("v")).distinct(), "pairs")
     sets = shingle_sets(shared.select("k").distinct(), nodes, documents)

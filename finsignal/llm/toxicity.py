@@ -5,7 +5,7 @@ Training (driver, on a bounded sample of labelled documents, see the parameters
 1. Word features (the word, its first letters, its last letters) whose documents are toxic far beyond chance name the
    toxic words of toxic documents; that labels the tokens.
 2. A chain with labels clean and toxic is trained by gradient ascent on the conditional likelihood (forward-backward).
-3. A logistic curve turns the sum and the largest of a document's toxic marginals into a score.
+3. A logistic curve turns a document's largest toxic marginals, twelve at most, into a score.
 
 Scoring runs over every word of every text in Arrow batches. A word whose marginal cannot reach FLOOR whatever its
 neighbours are adds nothing, so documents without any other word need no forward-backward pass; all others get one over
@@ -20,6 +20,7 @@ import zlib
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
+from heapq import nlargest
 
 import numpy as np
 import pyarrow as pa
@@ -31,6 +32,7 @@ BUCKETS = 1 << 18
 FLOOR = 1e-3
 CACHE_WORDS = 80_000
 SPAN_AT = 0.5
+TOP = 12  # words that a document is judged by
 SEGMENT = 48
 
 
@@ -78,12 +80,19 @@ class Chain:
         return out
 
     def score(self, marginals: list[float]) -> float:
-        heavy = [m for m in marginals if m >= FLOOR]
+        total, most = evidence(marginals)
         a, b, c = self.curve
-        z = a + b * math.log1p(sum(heavy)) + c * max(heavy, default=0.0)
+        z = a + b * math.log1p(total) + c * most
         return 1 / (1 + math.exp(-max(-60.0, min(60.0, z))))
 
 
+def evidence(marginals: list[float]) -> tuple[float, float]:
+    """Sum of the TOP largest marginals of FLOOR or more, and the largest: the same for a text of any length, so that many
+    small marginals of a long text never add up to a toxic one."""
+    heavy = nlargest(TOP, (m for m in marginals if m >= FLOOR))
+    return sum(heavy), (heavy[0] if heavy else 0.0)
+
+
 def _surprise(hit: int, miss: int, share: float) -> float:
     """n * KL(hit / n || share) for a share of hits above `share`, else 0: log of how far beyond chance."""
     n = hit + miss
@@ -210,8 +219,7 @@ def fit(texts: list[str], toxic: list[bool]) -> Chain | None:
     chain = train_chain(segments, labels)
     points = []
     for ws in words:
-        heavy = [m for m in chain.marginals([chain.emission(w) for w in ws]) if m >= FLOOR]
-        points.append((sum(heavy), max(heavy, default=0.0)))
+        points.append(evidence(chain.marginals([chain.emission(w) for w in ws])))
     chain.curve = _curve(np.array(points), np.array(toxic, dtype=float))
     return chain
 

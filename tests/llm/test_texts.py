@@ -7,6 +7,7 @@ import induced_sorting
 import numpy as np
 import pyarrow as pa
 import pytest
+from pyspark.sql import functions as F
 import xxhash
 from conftest import EDGE
 from hypothesis import given, settings
@@ -375,6 +376,42 @@ def test_toxicity(spark, docs_of):
     assert {r["score"] for r in toxicity.score(docs, toxicity.train(docs, labels.limit(0))).collect()} == {0.0}
 
 
+def test_score_and_spans_by_hand(spark, sf_dir):
+    """Scores and spans of given documents, from marginals summed over all words, without caches, cuts or batches; a long
+    text of words that training never saw stays clean."""
+    import math
+
+    docs, labels = (spark.read.parquet(f"{sf_dir}/{n}.parquet") for n in ("documents", "labels"))
+    chain = toxicity.train(docs, labels)
+    text = {r["doc_id"]: r["text"] or "" for r in docs.collect()}
+    for r in toxicity.score(docs, chain).collect():
+        places = list(toxicity.WORD.finditer(text[r["doc_id"]]))
+        marginals = chain.marginals([chain.emission(m.group()) for m in places])
+        top = sorted((m for m in marginals if m >= toxicity.FLOOR), reverse=True)[: toxicity.TOP]
+        a, b, c = chain.curve
+        assert r["score"] == pytest.approx(1 / (1 + math.exp(-(a + b * math.log1p(sum(top)) + c * max(top, default=0.0)))), abs=1e-9)
+        runs, before = [], False
+        for m, at in zip(marginals, places):
+            if m >= toxicity.SPAN_AT:
+                runs = runs[:-1] + [f"{runs[-1].split(':')[0]}:{at.end()}"] if before else [*runs, f"{at.start()}:{at.end()}"]
+            before = m >= toxicity.SPAN_AT
+        assert r["spans"] == ",".join(runs) and r["predicted"] == (r["score"] >= 0.5)
+    for word in ("zzqqxw ", "lorem ipsum dolor "):
+        long = chain.marginals([chain.emission(w) for w in (word * 30_000).split()])
+        assert chain.score(long) < 0.5
+
+
+def test_salted_joins(spark):
+    """A key with most rows meets its table row in several pieces; every row meets it once."""
+    from finsignal.llm import scratch
+
+    rows = spark.range(6000).select(F.when(F.col("id") % 3 > 0, 7).otherwise(F.col("id")).alias("k"), F.col("id").alias("x"))
+    table = rows.groupBy("k").agg(F.count(F.lit(1)).alias("rows"), F.max("x").alias("top"))
+    want = sorted(map(tuple, rows.join(table.drop("rows"), "k").select("k", "x", "top").collect()))
+    for join in (scratch.join_salted, scratch.join_counted):
+        assert sorted(map(tuple, join(rows, table, "k", 6000).select("k", "x", "top").collect())) == want
+
+
 def test_marginals_sum_over_paths():
     chain = toxicity.Chain(np.zeros(toxicity.BUCKETS), 0.0, np.array([[0.3, -1.0], [0.2, 0.8]]), (0.0, 1.0, 1.0))
     emissions = [0.5, -2.0, 1.5, 0.1]
