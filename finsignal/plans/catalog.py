@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from . import macro_queries, market, news, reports, streams
+from . import landed, macro_queries, market, news, reports, streams
 
 QUERIES: dict = {}
 ORACLE: dict[str, str] = {}
-for _part in (news, market, macro_queries, reports, streams):
+for _part in (news, market, macro_queries, reports, streams, landed):
     QUERIES.update(_part.QUERIES)
     ORACLE.update(_part.ORACLE)

@@ -172,10 +172,10 @@ def strip_html(spark, sf):
 
 
 def meaningful(spark, sf):
-    """Usability of fields: texts, urls and placeholders by id."""
+    """Usability of fields: texts, urls and placeholders by id; and of every whole text."""
     d = table(spark, sf, "documents")
     field = F.when(F.col("doc_id") % 7 == 0, "Read more...").when(F.col("doc_id") % 7 == 1, F.lit("https://www.google.com/url?q=x")).when(F.col("doc_id") % 7 == 2, "n/a").when(F.col("doc_id") % 7 == 3, " 42 ").otherwise(F.col("text"))
-    return d.select("doc_id", T.is_meaningful(field).alias("meaningful"))
+    return d.select("doc_id", T.is_meaningful(field).alias("meaningful"), T.is_meaningful(F.col("text")).alias("text_meaningful"))
 
 
 def assemble(spark, sf):
@@ -266,7 +266,7 @@ ORACLE = {
   SELECT source, fetched, coalesce(saved, 0) AS saved, coalesce(duplicates, 0) AS duplicates, invalid FROM a LEFT JOIN b USING (source)""",
     "clean_text": f"SELECT doc_id, md5({_CLEAN}) AS digest, length(CASE WHEN length({_CLEAN}) > 255 THEN rtrim(substr({_CLEAN}, 1, 255)) ELSE {_CLEAN} END)::INTEGER AS cut_chars FROM documents",
     "strip_html": f"SELECT page_id, md5(trim({_SPACE.format("regexp_replace(html, '<[^>]+>', ' ', 'g')")})) AS digest FROM pages",
-    "meaningful": f"""SELECT doc_id, {_MEANINGFUL} AS meaningful FROM (SELECT doc_id, trim(CASE doc_id % 7 WHEN 0 THEN 'Read more...' WHEN 1 THEN 'https://www.google.com/url?q=x' WHEN 2 THEN 'n/a' WHEN 3 THEN ' 42 ' ELSE {_STRIP.format("text")} END) AS f FROM documents)""",
+    "meaningful": f"""SELECT doc_id, {_MEANINGFUL} AS meaningful, coalesce({_MEANINGFUL.replace('(f ', '(g ').replace('(f,', '(g,').replace('lower(f)', 'lower(g)').replace('trim(f)', 'trim(g)')}, false) AS text_meaningful FROM (SELECT doc_id, {_STRIP.format("text")} AS g, trim(CASE doc_id % 7 WHEN 0 THEN 'Read more...' WHEN 1 THEN 'https://www.google.com/url?q=x' WHEN 2 THEN 'n/a' WHEN 3 THEN ' 42 ' ELSE {_STRIP.format("text")} END) AS f FROM documents)""",
     "assemble": f"""WITH s AS (SELECT doc_id, {_STRIP.format("text")} AS h, CASE WHEN doc_id % 3 = 0 THEN '[Removed]' ELSE source END AS d, lang AS c FROM documents)
   SELECT doc_id, CASE WHEN {_MEANINGFUL.replace('(f ', '(h ').replace('(f,', '(h,').replace('lower(f)', 'lower(h)').replace('trim(f)', 'trim(h)')} THEN concat_ws(' ', h, CASE WHEN d <> '[Removed]' AND length(d) >= 3 THEN d END, CASE WHEN length(c) >= 3 THEN c END) END AS assembled FROM s""",
     "quarantine_documents": "SELECT count(*) AS total, count(*) FILTER (NOT bad) AS saved, count(*) FILTER (bad) AS skipped FROM (SELECT length(text) < 100 OR length(text) > 10000 OR source = 'src0' AS bad FROM documents)",

@@ -28,9 +28,9 @@ def read_jdbc(spark: SparkSession, url: str, name: str, on: str | None = None, p
     return load(dbtable=name, partitionColumn=on, lowerBound=low, upperBound=high, numPartitions=str(parts))
 
 
-def read_quotes_json(spark: SparkSession, path: str) -> DataFrame:
-    """Quote rows of successful envelopes; anything else gives no rows."""
-    raw = spark.read.schema(SCHEMAS["quotes_json"]).option("multiLine", "true").json(path)
+def read_quotes_json(spark: SparkSession, path: str, lines: bool = False) -> DataFrame:
+    """Quote rows of successful envelopes; anything else gives no rows. An envelope a file, or with `lines` one a line."""
+    raw = spark.read.schema(SCHEMAS["quotes_json"]).option("multiLine", str(not lines).lower()).json(path)
     return raw.where("success").selectExpr("inline(data)")
 
 
