@@ -88,6 +88,7 @@ def best_candidate(df: DataFrame, keys: list[str], score: str, tie: list[str]) -
 
 def parse_toc(lines: DataFrame) -> DataFrame:
     """(doc_id, line_no, title, page) of 'Table n: title .... page' lines."""
+    # Fixed value: the form of a contents line.
     pattern = r"(?i)^\s*Table\s+\d+[a-zA-Z]?(?:\([a-zA-Z]\))?\s*[:.\-]?\s*(.+?)\s*[.\s]{2,}\s*(\d+)\s*$"
     found = lines.where(F.lower("line").startswith("table") & F.col("line").rlike(pattern))
     return found.select("doc_id", "line_no", F.regexp_replace(F.regexp_extract("line", pattern, 1), r"^[ .]+|[ .]+$", "").alias("title"), F.regexp_extract("line", pattern, 2).cast("int").alias("page"))

@@ -9,6 +9,7 @@ from ..functions.text import clean_text, strip_html
 from ..functions.values import parse_date_dayfirst, publication_date
 from .paging import first_per_key, mentions_any, recent
 
+# Terms that mark a release.
 TERMS = ["mpc", "monetary policy", "committee", "cbr"]
 # An anchor with its address in double quotes, single quotes or none, and its text.
 ANCHOR = r"""(?is)<a\s(?:[^>]*?\s)?href\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+))[^>]*>(.*?)</a>"""
@@ -42,6 +43,7 @@ def release_summary(text: Column) -> Column:
 
 def rate_history(pages: DataFrame, text: str) -> DataFrame:
     """(page_id, rate_no, rate, published) of all 'Central Bank Rate r% d/m/y' in page order."""
+    # Fixed value: how a page states a rate and its date.
     pattern = r"(?i)Central Bank Rate\s+(\d+(?:\.\d+)?)\s*%\s+(\d{1,2}/\d{1,2}/\d{4})"
     rates, dates = (F.regexp_extract_all(F.coalesce(F.col(text), F.lit("")), F.lit(pattern), F.lit(i)) for i in (1, 2))
     each = pages.select("page_id", F.posexplode(F.arrays_zip(rates.alias("rate"), dates.alias("published"))).alias("rate_no", "_r"))
