@@ -68,6 +68,7 @@ def match_large_dictionary(df: DataFrame, key: str, text: str, words: DataFrame)
 
 #: Of a phrase, so many characters before and after its first space are looked up in texts.
 SEAM = 3
+PAD = "\0" * SEAM
 
 
 def _terms(words: DataFrame) -> DataFrame:
@@ -97,15 +98,17 @@ def match_terms(df: DataFrame, key: str, text: str, words: DataFrame) -> DataFra
     shapes = [r[0] for r in terms.where("kind = 'phrase'").select(F.array(F.instr("key", " ") - 1, F.char_length("key") - F.instr("key", " "))).distinct().collect()]  # (SEAM + 1) ** 2 at most
     texts = df.where(F.col(key).isNotNull()).select(F.col(key).alias("_fs_key"), F.lower(F.coalesce(F.col(text), F.lit(""))).alias("_fs_low"))
     low = F.col("_fs_low")
-    own = F.transform(F.array_distinct(F.regexp_extract_all(low, F.lit(WORD), F.lit(0))), lambda w: F.struct(F.lit(False).alias("seam"), w.alias("key")))
-    seams = [F.transform(F.array_distinct(F.regexp_extract_all(low, F.lit(f"(?s)(?=(.{{{a}}} .{{{b}}}))"), F.lit(1))), lambda w: F.struct(F.lit(True).alias("seam"), w.alias("key"))) for a, b in sorted(shapes)]
-    keys = compute_once(texts, {"_fs_low": low}).select("_fs_key", F.explode(F.concat(own, *seams)).alias("k")).select("_fs_key", "k.*")
-    met = keys.join(terms.withColumn("seam", F.col("kind") == "phrase"), ["seam", "key"]).select("_fs_key", "category", "keyword", "kind")
+    own = F.array_distinct(F.regexp_extract_all(low, F.lit(WORD), F.lit(0)))
+    around = F.array_distinct(F.regexp_extract_all(F.concat(F.lit(PAD), low, F.lit(PAD)), F.lit(f"(?s)(?=(.{{{SEAM}}} .{{{SEAM}}}))"), F.lit(1)))  # each space with what stands around it
+    seam = lambda a, b: F.transform("_fs_around", lambda w: F.substring(w, SEAM + 1 - a, a + 1 + b))
+    held = compute_once(texts, {"_fs_words": own} | ({"_fs_around": around} if shapes else {}))
+    keys = held.select("_fs_key", F.explode(F.array_distinct(F.concat("_fs_words", *[seam(a, b) for a, b in sorted(shapes)]))).alias("key"))  # words hold no space, seams do
+    met = keys.join(terms, "key").select("_fs_key", "category", "keyword", "kind")
     sure = met.where("kind = 'word'").select("_fs_key", "category", "keyword")
     maybe = met.where("kind <> 'word'").groupBy("_fs_key").agg(F.collect_set(F.struct("category", "keyword", "kind")).alias("terms"))
     bounded = lambda t: F.rlike(low, F.concat(F.lit(r"(?U)\b\Q"), t["keyword"], F.lit(r"\E\b")))
-    held = F.filter("terms", lambda t: F.when(t["kind"] == "phrase", low.contains(t["keyword"])).otherwise(bounded(t)))
-    found = texts.join(maybe, "_fs_key").select("_fs_key", F.explode(held).alias("t")).select("_fs_key", "t.category", "t.keyword")
+    real = F.filter("terms", lambda t: F.when(t["kind"] == "phrase", low.contains(t["keyword"])).otherwise(bounded(t)))
+    found = texts.join(maybe, "_fs_key").select("_fs_key", F.explode(real).alias("t")).select("_fs_key", "t.category", "t.keyword")
     return sure.unionByName(found).distinct().withColumnRenamed("_fs_key", key)
 
 
