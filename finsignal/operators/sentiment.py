@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.once import compute_once
 from ..functions.text import assemble_text, clean_for_scoring, is_meaningful
 
 #: A scorer adds `label` (positive, negative, neutral) and `confidence` (0..1) to a frame with a text column.
@@ -36,11 +37,13 @@ def score_band(score: Column) -> Column:
 def lexicon_scorer(positive: list[str], negative: list[str]) -> Scorer:
     """Default scorer in built-ins: share of positive and negative words among their hits."""
 
-    def hits(text: Column, words: list[str]) -> Column:
-        return F.size(F.regexp_extract_all(F.lower(text), F.lit(r"(?U)\b(" + "|".join(rf"\Q{w}\E" for w in words) + r")\b"), F.lit(1)))
+    def hits(low: Column, words: list[str]) -> Column:
+        first = "".join(sorted({rf"\x{{{ord(w[0]):x}}}" for w in words}))  # tried before the boundary, which costs more
+        return F.size(F.regexp_extract_all(low, F.lit(rf"(?U)(?=[{first}])\b(" + "|".join(rf"\Q{w}\E" for w in words) + r")\b"), F.lit(1)))
 
     def score(df: DataFrame, text: str) -> DataFrame:
-        counted = df.withColumns({"_p": hits(F.col(text), positive), "_n": hits(F.col(text), negative)})
+        low = compute_once(df, {"_fs_low": F.lower(F.col(text))})
+        counted = compute_once(low, {"_p": hits(F.col("_fs_low"), positive), "_n": hits(F.col("_fs_low"), negative)}).drop("_fs_low")
         label = F.when(F.col("_p") > F.col("_n"), "positive").when(F.col("_n") > F.col("_p"), "negative").otherwise("neutral")
         confidence = F.coalesce(F.try_divide(F.abs(F.col("_p") - F.col("_n")).cast("double"), (F.col("_p") + F.col("_n")).cast("double")), F.lit(0.0))
         return counted.withColumns({"label": label, "confidence": confidence}).drop("_p", "_n")
@@ -66,11 +69,15 @@ def model_scorer(load: Callable[[], Callable[[list[str]], list[tuple[str, float]
 
 
 def score_text(df: DataFrame, text: Column, scorer: Scorer, deep_clean: bool = True) -> DataFrame:
-    """Adds score: null where a text is unusable before or after cleaning."""
-    cleaned = clean_for_scoring(text) if deep_clean else text
-    prepared = df.withColumn("_fs_text", F.when(is_meaningful(text), cleaned))
+    """Adds score: null where a text is unusable before or after cleaning. A text is assembled, judged, cleaned and scored
+    once a row, whatever is made of the score; an unusable one is not cleaned."""
+    raw = compute_once(df, {"_fs_text": text})
+    usable = compute_once(raw, {"_fs_text": F.when(is_meaningful(F.col("_fs_text")), F.col("_fs_text"))})
+    cleaned = F.when(F.col("_fs_text").isNotNull(), clean_for_scoring(F.col("_fs_text")))
+    prepared = compute_once(usable.withColumn("_fs_text", cleaned), {"_fs_text": F.col("_fs_text")}) if deep_clean else usable
     scored = scorer(prepared, "_fs_text")
-    return scored.withColumn("score", F.when(is_meaningful(F.col("_fs_text")), signed_score(F.col("label"), F.col("confidence")))).drop("_fs_text", "label", "confidence")
+    signed = F.when(is_meaningful(F.col("_fs_text")), signed_score(F.col("label"), F.col("confidence")))
+    return compute_once(scored, {"score": signed}).drop("_fs_text", "label", "confidence")
 
 
 def backfill(headlines: DataFrame, scorer: Scorer, mode: str = "unscored") -> DataFrame:

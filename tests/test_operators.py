@@ -434,3 +434,26 @@ def test_lexicon_words_are_literal(spark):
     scorer = sentiment.lexicon_scorer(["c.t", "up"], ["a|b"])
     out = scorer(spark.createDataFrame([("cat cut c.t a|b a b up",)], "t string"), "t").first()
     assert (out["label"], round(out["confidence"], 6)) == ("positive", round(1 / 3, 6))
+
+
+def test_scores_are_made_once_a_row(spark):
+    """A filter on what a backfill gave repeats no part of it: one Arrow step, and one search for each word list."""
+    df = spark.createDataFrame([(1, "growth &amp; war", None, None, None)], "id int, headline string, description string, content string, sentiment_score double")
+    done = sentiment.backfill(df, sentiment.lexicon_scorer(["growth"], ["war"])).where("outcome = 'updated'").select("id", "sentiment_score")
+    plan = done._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("ArrowEvalPython") == 1 and plan.count("regexp_extract_all") == 2
+
+
+def test_texts_reach_python_by_need_and_slice(spark):
+    """Only texts with an ampersand are decoded and only others than ASCII composed; a slice of a batch is held at a time."""
+    import pyarrow as pa
+
+    from finsignal.functions import text as T
+
+    held = []
+    out = T._by_slices(pa.array(["a", None] * 1000), lambda t: held.append(t) or t + "!")
+    assert out.to_pylist() == ["a!", None] * 1000 and len(held) == 1000
+    rows = spark.createDataFrame([("a &amp; b",), ("plain",), ("ﬁn é",), (None,), ("",)], "t string")
+    got = rows.select(T.decode_entities(F.col("t")).alias("d"), T.nfkc(F.col("t")).alias("n"))
+    assert [tuple(r) for r in got.collect()] == [("a & b", "a &amp; b"), ("plain", "plain"), ("ﬁn é", "fin é"), (None, None), ("", "")]
+    assert "WHEN Contains(t" in got._jdf.queryExecution().optimizedPlan().toString()
