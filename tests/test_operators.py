@@ -457,3 +457,13 @@ def test_texts_reach_python_by_need_and_slice(spark):
     got = rows.select(T.decode_entities(F.col("t")).alias("d"), T.nfkc(F.col("t")).alias("n"))
     assert [tuple(r) for r in got.collect()] == [("a & b", "a &amp; b"), ("plain", "plain"), ("ﬁn é", "fin é"), (None, None), ("", "")]
     assert "WHEN Contains(t" in got._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_counters_match_texts_once(spark, sf_dir):
+    """The counters read what was written of each entry; no text is cleaned or matched again for them."""
+    from finsignal.plans import news
+
+    plan = news.ingest_headlines(spark, sf_dir)._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("regexp_extract_all") == 0 and plan.count("impact_score") > 0
+    few, many = (keywords._one_of([f"w{i}" for i in range(n)]) for n in (3, 100))
+    assert few != keywords.WORD and many == keywords.WORD
