@@ -220,7 +220,7 @@ def near_duplicates(documents: DataFrame, bits: int = BITS) -> DataFrame:
     return whole.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
-# ---- near copies by similarity of 5-word shingles: MinHash bands for candidates, exact Jaccard for links --------------
+# ---- near copies by similarity of 5-word shingles: the grids above and MinHash bands for candidates, exact Jaccard for links
 
 SIMILAR_SHINGLE, SIMILAR_FIFTHS = 5, 4  # links have a Jaccard similarity of at least 4/5
 #: A pair at 0.8 shares none of 20 bands of 5 with a chance of (1 - 0.8**5)**20 = 0.0004, at any number of rows.
@@ -261,14 +261,15 @@ def band_keys(own: np.ndarray) -> np.ndarray:
 
 def _signatures(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        keys, sizes, bands = [], [], []
+        keys, sizes, prints, bands = [], [], [], []
         for x in batch.column("text"):
-            own = shingle_set(x.as_py())
+            own = shingle_set(text := x.as_py())
             keys.append(set_key(own))
             sizes.append(len(own))
+            prints.append(_signed(fingerprint(text)))
             bands.append(band_keys(own))
         lists = pa.ListArray.from_arrays(pa.array(np.arange(len(bands) + 1, dtype=np.int32) * BANDS), pa.array(np.concatenate(bands) if bands else np.empty(0, dtype=np.int64)))
-        yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(keys, pa.int64()), pa.array(sizes, pa.int64()), lists], ["doc_id", "k", "n", "bands"])
+        yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(keys, pa.int64()), pa.array(sizes, pa.int64()), pa.array(prints, pa.int64()), lists], ["doc_id", "k", "n", "fp", "bands"])
 
 
 PARITY_BITS = 1024
@@ -298,6 +299,20 @@ def shingle_sets(keys: DataFrame, nodes: DataFrame, documents: DataFrame) -> Dat
     return write_table(texts.mapInArrow(own, "k long, shingles array<long>, parity array<long>").groupBy("k").agg(F.first("shingles").alias("shingles"), F.first("parity").alias("parity")), "sets")
 
 
+def grid_pairs(signatures: DataFrame, bits: int = BITS) -> DataFrame:
+    """Candidate pairs (u, v) of set keys from the fingerprints of near_duplicates: its links between fingerprints at most
+    `bits` bits apart, each end the smallest set of its fingerprint, and the other sets of a fingerprint with its smallest.
+
+    signatures: k, n, fp; sets without shingles take no part. As many pairs as links, whatever the size of a crowd."""
+    prints = write_table(signatures.where("n > 0").select("k", "fp").distinct(), "prints")
+    ends = write_table(prints.groupBy("fp").agg(F.min("k").alias("hub"), F.count(F.lit(1)).alias("rows")), "ends")
+    same = join_counted(prints, ends, "fp", prints.count()).where("k <> hub").select(F.col("hub").alias("u"), F.col("k").alias("v"))
+    end = lambda c: ends.select(F.col("fp").alias(c), F.col("hub").alias(f"_{c}"))
+    links = write_table(near_links(ends.select("fp"), bits).distinct(), "grid-links")
+    apart = links.join(end("u"), "u").join(end("v"), "v").where("_u <> _v").select(F.least("_u", "_v").alias("u"), F.greatest("_u", "_v").alias("v"))
+    return same.unionByName(apart).distinct()
+
+
 def verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     """The pairs (u, v) of set keys whose sets have a Jaccard similarity of 0.8 or more."""
     right = pairs.join(sets.select(F.col("k").alias("v"), F.col("shingles").alias("_v")), "v")
@@ -333,21 +348,24 @@ def similar_groups(documents: DataFrame) -> DataFrame:
     """(doc_id, component_id) of rows with a doc_id: groups of documents joined by chains of links, where each link has a
     Jaccard similarity of 5-word shingle sets of at least 0.8, checked exactly.
 
-    Candidates share a MinHash band; the bands are the same at every size and hold 0.9996 of the pairs at 0.8. Equal sets
-    are one node. First every node is checked against the smallest node of each of its bands; then, in bands that still
-    hold more than one group, the nodes outside the group of the smallest are compared with the nodes of other groups
-    through the rare shingles they share. Only pairs that sizes or shingles rule out, or whose ends are joined already,
-    are left unchecked.
+    Candidates come from the grids of near_duplicates (grid_pairs), whose trees connect a crowd of near copies by few pairs.
+    Its 4 of 64 bits miss most pairs near 0.8, so candidates also share a MinHash band; the bands are the same at every size
+    and hold 0.9996 of the pairs at 0.8. Equal sets are one node. First the grids' pairs are checked, and every node against
+    the smallest node of each of its bands; then, in bands that still hold more than one group, the nodes outside the group
+    of the smallest are compared with the nodes of other groups through the rare shingles they share. Only pairs that sizes
+    or shingles rule out, or whose ends are joined already, are left unchecked.
     """
     named = documents.where("doc_id is not null").select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    docs = write_table(named.mapInArrow(_signatures, "doc_id long, k long, n long, bands array<long>"), "signatures")
+    docs = write_table(named.mapInArrow(_signatures, "doc_id long, k long, n long, fp long, bands array<long>"), "signatures")
     nodes = write_table(docs.groupBy("k").agg(F.min("doc_id").alias("id"), F.first("n").alias("n"), F.first("bands").alias("bands"), F.count(F.lit(1)).alias("rows")), "nodes")
     cells = nodes.where("n > 0").select("k", "n", F.explode("bands").alias("cell"))
     hubs = cells.groupBy("cell").agg(F.min(F.struct("k", "n")).alias("hub"), F.count(F.lit(1)).alias("rows")).where("rows > 1").select("cell", F.col("hub.k").alias("hub"), F.col("hub.n").alias("hub_n"))
     shared = write_table(cells.join(hubs, "cell"), "cells")  # bands that two nodes or more share
     sizes_allow = 5 * F.least("n", "hub_n") >= SIMILAR_FIFTHS * F.greatest("n", "hub_n")
-    first = write_table(shared.where(F.col("k") != F.col("hub")).where(sizes_allow).select(F.col("hub").alias("u"), F.col("k").alias("v")).distinct(), "pairs")
-    sets = shingle_sets(shared.select("k").distinct(), nodes, documents)
+    banded = shared.where(F.col("k") != F.col("hub")).where(sizes_allow).select(F.col("hub").alias("u"), F.col("k").alias("v"))
+    first = write_table(banded.unionByName(grid_pairs(docs)).distinct(), "pairs")
+    asked = shared.select("k").unionByName(first.select(F.explode(F.array("u", "v")).alias("k"))).distinct()
+    sets = shingle_sets(asked, nodes, documents)
     links = write_table(verified(first, sets), "similar")
     roots = write_table(components(links), "roots").select(F.col("u").alias("k"), "root")
 

@@ -158,6 +158,22 @@ def test_similar_groups_around_the_threshold(spark, docs_of):
     assert got == {i: find(i) for i in range(len(rows))}
 
 
+def test_grids_give_candidates_of_near_copies(spark, docs_of, monkeypatch):
+    """Near copies that share no MinHash band are found by the grids of the fingerprints, and pairs of unlike sets with
+    near fingerprints are not linked."""
+    monkeypatch.setattr(simhash, "band_keys", lambda own: np.full(simhash.BANDS, simhash.set_key(own)))
+    rng = random.Random(21)
+    base = [f"w{rng.randrange(10**7)}" for _ in range(600)]
+    rows = [base] + [[*base[:i], "new", *base[i + 1 :]] for i in range(0, 600, 20)] + [[f"v{rng.randrange(10**7)}" for _ in range(300)]]
+    rows += [["a", "b", "c", "d", "e"], ["e", "d", "c", "b", "a"]] + [["p", "q", "r", "s", "t"] * n for n in (2, 3)] + [[]]
+    texts = [" ".join(r) for r in rows]
+    fp = [plain_fingerprint(t) for t in texts]
+    near = [i for i in range(31) if bin(fp[0] ^ fp[i]).count("1") <= 4]
+    assert len(near) > 10
+    got = {r["doc_id"]: r["component_id"] for r in simhash.similar_groups(docs_of(list(enumerate(texts)))).collect()}
+    assert all(got[i] == 0 for i in near) and all(got[i] == i for i in range(31, 34)) and got[len(rows) - 1] == len(rows) - 1
+
+
 def test_parity_never_exceeds_the_difference():
     rng = np.random.default_rng(12)
     for n in (0, 1, 40, 900, 5000):
