@@ -73,6 +73,17 @@ def test_large_dictionary(spark, sf_dir):
         keywords.match_terms(words, "keyword", "keyword", spark.createDataFrame([("c", "&&")], words.schema))
 
 
+def test_terms_are_matched_in_one_pass(spark):
+    """The words and spaces of a text are taken once, for words, phrases and terms with marks; a dictionary may lack any kind."""
+    df = spark.createDataFrame([(1, "The war of the at&t, warship"), (2, None), (None, "war"), (1, "oil war")], "id long, text string")
+    found = lambda terms: keywords.match_terms(df, "id", "text", spark.createDataFrame([("c", t) for t in terms], "category string, keyword string"))
+    every = found(["war", "of th", "at&t", "oil war", "ar of"])
+    assert every._jdf.queryExecution().optimizedPlan().toString().count("(?s)(?=") == 1
+    assert {tuple(r) for r in every.collect()} == {(1, "c", t) for t in ("war", "of th", "at&t", "oil war", "ar of")}
+    assert {tuple(r) for r in found(["war", "wars"]).collect()} == {(1, "c", "war")}
+    assert {tuple(r) for r in found(["he w"]).collect()} == {(1, "c", "he w")}
+
+
 @pytest.mark.parametrize(("raw", "want"), [("+0.33%", 0.33), ("-2.26%", -2.26), ("abc", None), ("", None)])
 def test_change_pct(spark, raw, want):
     assert one(spark, values.parse_change_pct(F.col("c")), c=raw) == want
