@@ -470,6 +470,46 @@ def test_texts_reach_python_by_need_and_slice(spark):
     assert "WHEN Contains(t" in got._jdf.queryExecution().optimizedPlan().toString()
 
 
+def test_texts_that_normalisation_leaves_stay_in_the_jvm(spark, monkeypatch):
+    """Accents, signs and an ampersand without an entity send no text to Python; what may change goes there, and all come out
+    as the standard library has them."""
+    import html
+    import re
+    import unicodedata
+
+    from finsignal.functions import text as T
+
+    plain = lambda t: re.sub(r"\s+", " ", re.sub("[\u200b\u200c\u200d\ufeff]", "", unicodedata.normalize("NFKC", re.sub("<[^>]+>", " ", html.unescape(t))).replace("\xa0", " "))).strip()
+    cleaned = lambda texts: [r["c"] for r in spark.createDataFrame([(t,) for t in texts], "t string").select(T.clean_for_scoring(F.col("t")).alias("c")).collect()]
+    left = ["Größe & señor, forêt", "«Œuvre» – “Ça”", "Ελλάδα, Москва, €5", "R & D & 5&6 &; &", "<p>für\n alle</p>", "東京と서울", "&é; &#; &#-1;"]
+    changed = ["e\u0301", "e&#769;", "&lt;b&gt;x", "AT&T &ampx &notit; &#x41 &#65", "Å ﬁ ½ …", "가\u11a8", "か\u3099", "a\xa0b", "😀 é", "q\u0307\u0323", "&#0; &#xD800;", "ｗｉｄｅ"]
+    assert cleaned(left + changed) == [plain(t) for t in left + changed]
+
+    @F.arrow_udf("string")
+    def refused(texts):
+        if texts.null_count < len(texts):
+            raise ValueError("a text came to Python")
+        return texts
+
+    monkeypatch.setattr(T, "_decoded_bare", refused)
+    assert cleaned(left) == [plain(t) for t in left]
+
+
+def test_composed_characters():
+    """By Unicode's quick check: NFKC changes none of these, none has a combining class, none may join the one before it."""
+    import re
+    import sys
+    import unicodedata
+
+    from finsignal.functions import text as T
+
+    parts = [unicodedata.decomposition(chr(c)).split() for c in range(sys.maxunicode + 1)]
+    joins = {int(p[1], 16) for p in parts if len(p) == 2 and not p[0].startswith("<")} | {*range(0x1161, 0x1176), *range(0x11A8, 0x11C3)}
+    held = [c for c in range(sys.maxunicode + 1) if re.match(f"[{T.COMPOSED}]", chr(c))]
+    assert len(held) > 30_000 and set(range(128)) <= set(held)
+    assert not [c for c in held if c in joins or unicodedata.combining(chr(c)) or unicodedata.category(chr(c)) in ("Cn", "Cs") or not unicodedata.is_normalized("NFKC", chr(c))]
+
+
 def test_counters_match_texts_once(spark, sf_dir):
     """The counters read what was written of each entry; no text is cleaned or matched again for them."""
     from finsignal.plans import news
