@@ -84,6 +84,32 @@ def test_terms_are_matched_in_one_pass(spark):
     assert {tuple(r) for r in found(["he w"]).collect()} == {(1, "c", "he w")}
 
 
+def test_terms_are_compared_where_they_were_met(spark):
+    """For words and phrases a text is read once, dealt out once and never searched for what met it; only terms with marks and
+    phrases of many spaces go back to the texts."""
+    df = spark.createDataFrame([(1, "The war of the oil price")], "id long, text string")
+    plan = lambda terms: keywords.match_terms(df, "id", "text", spark.createDataFrame([("c", t) for t in terms], "category string, keyword string"))._jdf.queryExecution().optimizedPlan().toString()
+    plain = plan(["war", "of th", "oil price"])
+    assert plain.count("lower(") == 1 and plain.count("RepartitionByExpression") == 1 and "Contains(_fs_low" not in plain
+    assert plan(["war", "of th", "at&t"]).count("lower(") == 2
+
+
+def test_terms_in_odd_places(spark):
+    """Every term in every text as a plain search finds it: spaces at ends and in rows, one-letter words, line ends, characters
+    beyond 16 bits, words that end a text, phrases of more spaces than are held, keys that come twice."""
+    import re
+
+    texts = ["a b", " a b ", "a  b", "x a b\nc d", "the end of", "of the\tend of  the end", "o f", "\U0001f600 a\U0001f600 b", "ba bc", "  ", "", "one two three four five six seven eight nine", "one two three four five six seven eight", "größe über alles ü", "at&t a b", "z\x00 b", "of", "theend of"]
+    terms = ["a b", "a", "b", " b", "a ", "a  b", "  ", " ", "b c", "end of", "d of", "f t", "the end of", "of the", "o f", "\U0001f600 b", "\U0001f600 a", "e über", "ü", "n a", "z", "\x00 b", "at&t", "two three four five six seven eight nine", "two three four five six seven", "e two three four five six seven eight n", "seven eight", "b\nc d", "d of  the e"]
+    rows = [(i // 2, t) for i, t in enumerate(texts)]
+    df = spark.createDataFrame([*rows, (None, "a b")], "id long, text string")
+    for some in (terms, [t for t in terms if t != "at&t" and t.count(" ") < 7], [t for t in terms if re.fullmatch(r"\w+", t)]):
+        words = spark.createDataFrame([("c", t) for t in some] + [("d", some[0]), ("c", None)], "category string, keyword string")
+        got = sorted(tuple(r) for r in keywords.match_terms(df, "id", "text", words).collect())
+        held = lambda k, t: k in t if " " in k else re.search(rf"(?<!\w){re.escape(k)}(?!\w)", t)
+        assert got == sorted({(i, c, k) for i, t in rows for c, k in [("c", k) for k in some] + [("d", some[0])] if held(k, t)})
+
+
 @pytest.mark.parametrize(("raw", "want"), [("+0.33%", 0.33), ("-2.26%", -2.26), ("abc", None), ("", None)])
 def test_change_pct(spark, raw, want):
     assert one(spark, values.parse_change_pct(F.col("c")), c=raw) == want
