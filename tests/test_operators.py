@@ -94,6 +94,23 @@ def test_terms_are_compared_where_they_were_met(spark):
     assert plan(["war", "of th", "at&t"]).count("lower(") == 2
 
 
+def test_terms_are_broadcast_whatever_their_files(spark, monkeypatch):
+    """The pieces of texts are not shuffled for a dictionary that fits, though Spark's own limit is lower; a larger one gives the same."""
+    df = spark.createDataFrame([(1, "The war of the oil price")], "id long, text string")
+    words = spark.createDataFrame([("c", t) for t in ("war", "of th", "oil price", "none")], "category string, keyword string")
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        small = keywords.match_terms(df, "id", "text", words)
+        assert "SortMergeJoin" not in small._jdf.queryExecution().executedPlan().toString()
+        monkeypatch.setattr(keywords, "BROADCAST", 0)
+        large = keywords.match_terms(df, "id", "text", words)
+        assert "SortMergeJoin" in large._jdf.queryExecution().executedPlan().toString()
+        assert sorted(large.collect()) == sorted(small.collect()) and small.count() == 3
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+
+
 def test_terms_in_odd_places(spark):
     """Every term in every text as a plain search finds it: spaces at ends and in rows, one-letter words, line ends, characters
     beyond 16 bits, words that end a text, phrases of more spaces than are held, keys that come twice."""
