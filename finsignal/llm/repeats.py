@@ -377,6 +377,6 @@ def remove_repeats(documents: DataFrame) -> DataFrame:
     docs, name = placed(documents)
     try:
         spans = write_table(repeated_spans(docs), "spans")
-        return write_table(_with_found(docs, spans, "a", "n", how="left").select("doc_id", "text", "found").mapInArrow(_cut, OUT), "kept")
+        return _with_found(docs, spans, "a", "n", how="left").select("doc_id", "text", "found").mapInArrow(_cut, OUT)
     finally:
-        documents.sparkSession.sql(f"DROP TABLE IF EXISTS {name}")  # the catalog's entry; the files lie in the shared folder
+        documents.sparkSession.sql(f"DROP TABLE IF EXISTS {name}")  # the catalog's entry; the plan reads the files, which stay in the shared folder

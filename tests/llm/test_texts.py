@@ -241,6 +241,13 @@ def test_texts_are_not_shuffled(spark, docs_of):
     assert plan.count("Exchange") == 1 and "Bucketed: true" in plan
 
 
+def test_repeats_leave_no_table(spark, docs_of):
+    """The table of the texts is out of the catalog before its files are read, as often as the result is asked for."""
+    got = repeats.remove_repeats(docs_of([(1, "a" * 300), (2, "b" * 300)]))
+    assert not [t for t in spark.catalog.listTables() if t.name.startswith("finsignal_texts_")]
+    assert sorted(r["n_removed"] for r in got.collect()) == [300, 300] and got.count() == 2
+
+
 def test_pii(spark, docs_of):
     text = "é mail ann@x.example.org, ip 10.0.0.7 and 300.1.1.1 card 4111 1111 1111 1111 or 4111111111111112 call +1 (415) 555-0134."
     rows = EDGE + [(50, text), (51, "password=a9ce335683f9772ddc ok"), (52, "In 1998 about 25 of 1,250 took version 3.")]
